@@ -31,7 +31,7 @@ def parse_records(files: DataFrame, payload: str = "payload", keep: list[str] |
     keep = keep or []
     lines = files.select(
         *keep, F.explode(F.split(F.col(payload), r"\r\n|\n|\r")).alias("line")
-    ).select(*keep, F.regexp_replace("line", r"^[\s﻿]+|\s+$", "").alias("line"))
+    ).select(*keep, F.regexp_replace("line", "^[\\s\ufeff]+|\\s+$", "").alias("line"))
     objects = lines.filter(F.col("line").startswith("{") & F.col("line").endswith("}"))
     # inside an array a second object or other text after the first makes the whole line invalid
     parsed = objects.select(

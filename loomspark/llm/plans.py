@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import glyphs, leaks, tokens
+from loomspark.llm import glyphs, leaks, personal, tokens
 from loomspark.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_spans(table(spark, sf_dir, "all_messages"), "id", "body", table(spark, sf_dir, "known_names"))
+    return found.select(F.col("id").alias("message_id"), "kind", "start_at").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "all_messages").select("id", "body", "ingested_at")
+    return personal.redact(messages, "body", table(spark, sf_dir, "known_names"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"))
 
@@ -40,6 +50,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_redacted": p2_redacted,
     "p8_ids": p8_ids, "p8_lengths": p8_lengths,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_texts": p10_texts,
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import glyphs, leaks, personal, tokens
-from loomspark.runtime import table
+from loomspark.llm import glyphs, grid, leaks, personal, tokens
+from loomspark.runtime import materialize, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,17 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redact(messages, "body", table(spark, sf_dir, "known_names"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = grid.cluster_texts(grid.distinct_messages(table(spark, sf_dir, "cluster_data")))
+    return members.filter("cluster_size >= 5").select("message_id", "first_id")
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = materialize(grid.distinct_messages(table(spark, sf_dir, "cluster_data")), "messages")
+    members, _ = grid.cluster_texts(messages)
+    return grid.describe(materialize(members, "members"), messages)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"))
 
@@ -50,6 +61,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_clusters": p3_clusters,
     "p2_found": p2_found, "p2_redacted": p2_redacted,
     "p8_ids": p8_ids, "p8_lengths": p8_lengths,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_texts": p10_texts,

@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import glyphs, grid, leaks, personal, tokens
+from loomspark.llm import glyphs, grid, leaks, neighbours, personal, tokens
 from loomspark.runtime import materialize, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf_dir, "message_vectors")).filter("similarity >= 0.8")
+    return near.select(F.least("id", "neighbour").alias("vec_a"), F.greatest("id", "neighbour").alias("vec_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "message_vectors")).withColumn("similarity", F.round("similarity", 4))
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "message_vectors")
+    queries = vectors.filter("vec_id % 100 = 0")  # the query set that searches are stated for
+    truth = neighbours.exact(vectors, queries).groupBy("id").agg(F.min("similarity").alias("worst"), F.count(F.lit(1)).alias("wanted"))
+    near = neighbours.nearest(vectors).filter("id % 100 = 0")
+    # a neighbour as similar as the tenth true one is as good, whichever of the tied ones it is
+    hits = near.join(truth, "id").filter("similarity >= worst - 0.0005").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    return truth.join(hits, "id", "left").agg(
+        F.count(F.lit(1)).alias("queries"), F.round(F.sum(F.coalesce("hits", F.lit(0))) / F.sum("wanted"), 4).alias("recall")
+    )
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find_spans(table(spark, sf_dir, "all_messages"), "id", "body", table(spark, sf_dir, "known_names"))
     return found.select(F.col("id").alias("message_id"), "kind", "start_at").distinct()
@@ -61,6 +82,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall,
     "p3_found": p3_found, "p3_clusters": p3_clusters,
     "p2_found": p2_found, "p2_redacted": p2_redacted,
     "p8_ids": p8_ids, "p8_lengths": p8_lengths,

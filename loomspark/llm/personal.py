@@ -115,6 +115,20 @@ COMPANY = re.compile(r"^\s+(?:studio|kit|kits|ltd|limited|inc|corp|gmbh|ag|llc|w
 HANDLE = re.compile(r"(?:@|\bu/|\br/|#|/)[\w-]*$")
 
 
+# What a text must hold for a search to be worth while: conditions that every hit of that search meets.
+NUMBERISH = re.compile(r"\d(?:[^\d\n]{0,4}\d){5}|\d(?:\s?\d){5}")
+STREET_WORDS = frozenset(_TYPES.split("|")) | frozenset(
+    "rue avenue boulevard allée place quai chemin impasse route calle avenida avda plaza paseo camino via viale piazza corso rua travessa".split()
+)
+STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s+\d")
+CUE_WORDS = frozenset(
+    "mr mrs ms miss mx dr prof professor herr frau sir madame señor señora sr sra name called signed regards best cheers sincerely yours spoke talk talked met ask asked "
+    "credit thanks thank invoice written sent landlord landlady sister brother mother father mum dad wife husband son daughter boss doctor friend colleague partner aunt uncle cousin neighbor neighbour".split()
+)
+INITIAL_FIELD = re.compile(r"(?:^|[\n|])\s*[A-Z]\.")
+LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, ch in enumerate(reversed(digits)):
@@ -166,14 +180,19 @@ class Finder:
             return []
         taken: list[tuple[int, int, str]] = []
         low = text.lower()
-        if "@" in text or "dot" in low or "at" in low and ("(at)" in low or "[at]" in low or "{at}" in low):
+        vocabulary = set(LETTERS.findall(low))
+        if "@" in text or "at" in vocabulary and ("dot" in vocabulary or "(at" in low or "( at" in low or "[at" in low or "[ at" in low or "{" in low):
             for pattern in (SPOKEN_LOCAL, EMAIL, SPOKEN_EMAIL):
                 self._add(taken, ((m.start(), m.end(), "email") for m in pattern.finditer(text)))
-        if any("0" <= c <= "9" for c in text):
+        long_number = NUMBERISH.search(text) is not None
+        if long_number:
             self._add(taken, self._identities(text))
+        if not vocabulary.isdisjoint(STREET_WORDS) or STREET_END.search(low):
             self._add(taken, self._addresses(text))
+        if long_number:
             self._add(taken, self._phones(text))
-        self._add(taken, self._people(text, taken))
+        if not vocabulary.isdisjoint(self.names) or self._cued(text, vocabulary) or INITIAL_FIELD.search(text):
+            self._add(taken, self._people(text, vocabulary))
         return sorted(taken)
 
     def redact(self, text: str | None) -> str | None:
@@ -241,7 +260,11 @@ class Finder:
                 yield a, b, "address"
                 at = b
 
-    def _people(self, text: str, taken: list):
+    @staticmethod
+    def _cued(text: str, vocabulary: set[str]) -> bool:
+        return not vocabulary.isdisjoint(CUE_WORDS) or "—" in text or "–" in text or "\n-" in text or text.startswith("-") or ". -" in text
+
+    def _people(self, text: str, vocabulary: set[str]):
         words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
         lowered = [w.lower() for _, _, w in words]
         hits = [i for i, w in enumerate(lowered) if w in self.names]
@@ -255,7 +278,7 @@ class Finder:
                 spans.append((words[span[0]][0], words[span[1]][1], "name"))
                 used = span[1]
         # unlisted names are found by what stands before them
-        for i, (a, b, w) in enumerate(words):
+        for i, (a, b, w) in enumerate(words if self._cued(text, vocabulary) or spans or hits else ()):
             if w[0].isupper() and lowered[i] not in self.names and lowered[i] not in _PLAIN and (len(w) > 2 or self._initial(text, words, i)):
                 before = text[max(0, a - 32) : a]
                 titled = TITLE.search(before)
@@ -271,7 +294,7 @@ class Finder:
             elif w[0].isupper() and lowered[i] not in _PLAIN and len(w) > 2 and AFTER_NAME.match(text[b : b + 14]) and re.search(r"(?:^|[.!?\n]\s*)$", text[max(0, a - 3) : a]) and lowered[i] in self.names:
                 spans.append((a, b, "name"))
         # an initial and a surname in a field of their own
-        for m in re.finditer(rf"(?:^|[\n|])\s*((?:{_CAP}|[A-Z]\.)(?:\s[A-Z]\.)?\s+(?:{_PARTICLE})?({_CAP}))(?=\s*(?:$|[\n|]))", text):
+        for m in () if not INITIAL_FIELD.search(text) else re.finditer(rf"(?:^|[\n|])\s*((?:{_CAP}|[A-Z]\.)(?:\s[A-Z]\.)?\s+(?:{_PARTICLE})?({_CAP}))(?=\s*(?:$|[\n|]))", text):
             if re.match(r"[A-Z]\.", m.group(1)):
                 spans.append((m.start(1), m.end(1), "name"))
         for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):

@@ -1,0 +1,537 @@
+"""Queries for the stages of the pipeline, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as X
+from loomspark.functions import vectors as V
+from loomspark.operators import chains, density, inference, messages, relations, rollups, search, writeback
+from loomspark.runtime import scratch_path, table
+from loomspark.sources import dumps, sinks, tables
+
+QUERIES = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql:
+            SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored messages, one row per id: copies differ in ingested_at only."""
+    m = table(spark, sf_dir, "all_messages")
+    return m.groupBy("id").agg(F.min(F.struct(*[c for c in m.columns if c != "id"])).alias("r")).select("id", "r.*")
+
+
+_ONCE = "once AS (SELECT DISTINCT ON (id) * FROM all_messages WHERE id IS NOT NULL ORDER BY id, ingested_at)"
+
+
+# ---- scalar functions --------------------------------------------------------------------------
+@query(r"""SELECT DISTINCT subreddit,
+  lower(regexp_replace(substr(subreddit, 1, 2), '[^\p{L}\p{N}_]', '', 'g')) AS prefix,
+  CASE WHEN coalesce(subreddit, '') = '' THEN '_' ELSE lower(regexp_replace(subreddit, '[^A-Za-z0-9\-_]', '', 'g')) END AS path_name,
+  regexp_replace(subreddit, '[^\p{L}\p{N}_]', '', 'g') AS dir_name FROM documents""")
+def x1_x3_x4_names(spark, sf_dir):
+    c = F.col("subreddit")
+    return table(spark, sf_dir, "documents").select(c).distinct().select(
+        c, X.name_prefix(c).alias("prefix"), X.path_name(c).alias("path_name"), X.dir_name(c).alias("dir_name")
+    )
+
+
+@query(r"""SELECT id, ingested_at, length(body) AS n_chars,
+  round((length(body) - length(replace(body, '!', ''))) / greatest(length(body), 1), 6) AS exclaim,
+  round(len(regexp_extract_all(body, '\p{Lu}')) / greatest(length(body), 1), 6) AS caps,
+  regexp_matches(body, '\$\d+|[0-9]+%|\d+ (users|customers|months)') AS detail,
+  len(list_filter(regexp_split_to_array(body, '[\s\x{85}\p{Z}\x0b]+'), lambda w: w <> '')) AS n_words FROM all_messages WHERE body IS NOT NULL""")
+def x5_x8_text_measures(spark, sf_dir):
+    b = F.col("body")
+    return table(spark, sf_dir, "all_messages").filter(b.isNotNull()).select(
+        "id", "ingested_at", F.length(b).cast("long").alias("n_chars"), F.round(X.share_of(b, "!"), 6).alias("exclaim"),
+        F.round(X.share_of(b, r"\p{Lu}"), 6).alias("caps"), b.rlike(messages.DETAIL).alias("detail"), X.word_count(b).cast("long").alias("n_words"),
+    )
+
+
+@query(r"""SELECT event_id, strftime(ts, '%m%y') AS mmyy, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def x9_x10_times(spark, sf_dir):
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    return table(spark, sf_dir, "events").select("event_id", X.month_tag(seconds).alias("mmyy"), X.epoch_text(seconds.cast("string")).alias("at"))
+
+
+@query(r"""SELECT id, ingested_at, CASE WHEN contains(parent_id, '_') THEN split_part(parent_id, '_', 2) ELSE parent_id END AS second,
+  list_extract(string_split(parent_id, '_'), -1) AS last FROM all_messages WHERE parent_id IS NOT NULL""")
+def x11_parent_ids(spark, sf_dir):
+    p = F.col("parent_id")
+    return table(spark, sf_dir, "all_messages").filter(p.isNotNull()).select("id", "ingested_at", X.second_segment(p).alias("second"), X.last_segment(p).alias("last"))
+
+
+@query("""SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS BIGINT) AS whole, CAST(round_even(-o_totalprice / 2, 0) AS BIGINT) AS half FROM orders""")
+def x12_round(spark, sf_dir):
+    p = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.round_to_long(p).alias("whole"), X.round_to_long(-p / 2).alias("half"))
+
+
+@query("""SELECT row_id, batch_id, delivered_at, CASE WHEN CAST(nlp_score AS VARCHAR) = 'nan' THEN 0 ELSE nlp_score END AS score FROM nlp_results""")
+def x13_nan(spark, sf_dir):
+    return table(spark, sf_dir, "nlp_results").select("row_id", "batch_id", "delivered_at", F.nanvl("nlp_score", F.lit(0).cast("float")).alias("score"))
+
+
+@query("""SELECT doc_id, n_chars, lang FROM documents""")
+def x14_x16_json(spark, sf_dir):
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct("n_chars", "lang")), F.lit("\n```"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.from_json(X.repair_json(fenced), "n_chars long, lang string").alias("r")).select("doc_id", "r.*")
+
+
+@query(r"""SELECT cluster_id, array_to_string(list_filter(texts, lambda t: t IS NOT NULL), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS joined,
+  '- ' || array_to_string(list_transform(list_filter(texts, lambda t: t IS NOT NULL), lambda t: replace(t, chr(10), ' ')), chr(10) || '- ') AS prompt FROM cluster_data WHERE texts IS NOT NULL""")
+def x17_joins(spark, sf_dir):
+    return table(spark, sf_dir, "cluster_data").filter("texts is not null").select(
+        "cluster_id", F.array_join("texts", "\n\n---\n\n").alias("joined"), inference.cluster_prompt(F.col("texts")).alias("prompt")
+    )
+
+
+@query(r"""SELECT doc_id, contains(upper(text), 'YES') AS yes, coalesce(replace(replace(replace(text, '\', '\\'), chr(9), ' '), chr(10), ' '), '\N') AS tsv,
+  CASE WHEN length(text) > 250 THEN substr(text, 1, 250) || '...' ELSE text END AS short, hex(encode(source)) AS hexed FROM documents""")
+def x19_x23_x24_x28_text(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", X.says_yes(t).alias("yes"), X.tsv_field(t).alias("tsv"), X.shorten(t).alias("short"), F.hex(F.encode("source", "utf-8")).alias("hexed")
+    )
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm,
+  round(list_max(embedding), 6) AS top, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best FROM embeddings""")
+def x21_x22_vectors(spark, sf_dir):
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(e), 4).alias("norm"), F.round(F.array_max(e), 6).alias("top"), V.argmax(e).alias("best"))
+
+
+# ---- sources and normalisation -----------------------------------------------------------------
+def _raw(spark, sf_dir):
+    """Messages in the shape of a raw dump: starting posts have a name and a title, comments a body."""
+    m = _messages(spark, sf_dir)
+    top = F.coalesce("parent_id", F.lit("")) == ""
+    return m.select(
+        "id", F.when(top, F.concat(F.lit("t3_"), "id")).alias("name"), "link_id", "parent_id", "subreddit", "author",
+        F.when(top, F.col("body")).alias("title"), F.lit(None).cast("string").alias("selftext"), F.when(~top, F.col("body")).alias("body"), "permalink",
+        F.when(F.col("author").startswith("m"), "moderator").alias("distinguished"),
+        F.unix_seconds("created_utc").cast("double").alias("created_utc"), F.col("ups").cast("double").alias("ups"), F.col("downs").cast("double").alias("downs"),
+        F.when(top, "submission").otherwise("comment").alias("kind"),
+    )
+
+
+_NORMAL = f"""WITH {_ONCE}, n AS (SELECT id, coalesce(parent_id, '') = '' AS top,
+    CASE WHEN coalesce(parent_id, '') = '' THEN 't3_' || id ELSE coalesce(link_id, '') END AS link_id,
+    CASE WHEN coalesce(parent_id, '') = '' THEN NULL ELSE parent_id END AS parent_id,
+    coalesce(subreddit, '') AS subreddit, coalesce(author, '') AS author,
+    CASE WHEN coalesce(parent_id, '') = '' THEN coalesce(body, '') || chr(10) ELSE coalesce(body, '') END AS body,
+    CAST(coalesce(ups, 0) AS DOUBLE) AS ups, CAST(coalesce(downs, 0) AS DOUBLE) AS downs FROM once),
+  k AS (SELECT * FROM n WHERE NOT contains(author, 'bot') AND NOT starts_with(author, 'm') AND ups * 0.8 + length(body) * 0.2 > 5
+    AND NOT regexp_matches(body, 'why doesn''t someone|wouldn''t it be cool if|in a perfect world|they should just|if I won the lottery|magical solution|cure for cancer|world peace|free .* for everyone')),
+  f AS (SELECT *, lower(regexp_replace(substr(subreddit, 1, 2), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS sanitized_prefix,
+    regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate') AS flag FROM k)"""
+
+
+@query(_NORMAL + " SELECT id, link_id, parent_id, body, sanitized_prefix, flag AS cpu_filter_is_idea, false AS is_idea FROM f")
+def f1_f10_messages(spark, sf_dir):
+    made = messages.message_table(_raw(spark, sf_dir), F.col("kind"))
+    return made.select("id", "link_id", "parent_id", "body", "sanitized_prefix", "cpu_filter_is_idea", "is_idea")
+
+
+@query(_NORMAL + " SELECT sanitized_prefix, count(*) AS n, CAST(sum(CAST(flag AS INTEGER)) AS BIGINT) AS n_ideas FROM f GROUP BY 1")
+def s8_k1_flagship(spark, sf_dir):
+    """Raw JSON lines to messages to a partitioned table, read back and counted per prefix."""
+    raw = _raw(spark, sf_dir)
+    lines = raw.select("kind", F.to_json(F.struct(*[c for c in raw.columns if c != "kind"])).alias("line"))
+    parts = [dumps.parse_items(lines.filter(F.col("kind") == k)).withColumn("kind", F.lit(k)) for k in ("submission", "comment")]
+    made = messages.message_table(parts[0].unionByName(parts[1]), F.col("kind"))
+    path = scratch_path(spark, "messages")
+    sinks.write_partitioned(made, path, ["sanitized_prefix"], mode="overwrite")
+    stored = spark.read.parquet(path)
+    return stored.groupBy("sanitized_prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cpu_filter_is_idea").cast("int")).alias("n_ideas"))
+
+
+@query(f"""WITH {_ONCE}, q AS (SELECT id, CASE WHEN coalesce(body, '') = '' THEN 0 ELSE coalesce(ups, 0)
+    * CASE WHEN (length(body) - length(replace(body, '!', ''))) / greatest(length(body), 1) > 0.05 OR len(regexp_extract_all(body, '\\p{{Lu}}')) / greatest(length(body), 1) > 0.3 THEN 0.5 ELSE 1 END
+    * CASE WHEN regexp_matches(body, '\\$\\d+|[0-9]+%|\\d+ (users|customers|months)') AND len(list_filter(regexp_split_to_array(body, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) > 100 THEN 1.5 ELSE 1 END END AS score FROM once)
+  SELECT id, CAST(score AS DOUBLE) AS score FROM q WHERE score >= 1""")
+def f7_quality(spark, sf_dir):
+    scored = _messages(spark, sf_dir).select("id", messages.quality_score(F.col("body"), F.col("ups")).alias("score"))
+    return scored.filter("score >= 1")
+
+
+@query(f"""WITH {_ONCE} SELECT id, body FROM once WHERE regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate')
+  AND NOT is_idea AND nlp_top_score IS NULL AND length(body) > 10""")
+def f11_f12_candidates(spark, sf_dir):
+    m = _messages(spark, sf_dir).withColumn("cpu_filter_is_idea", X.any_phrase(F.col("body"), messages.IDEA_WORDS, True))
+    return messages.long_enough(messages.nlp_candidates(m), "body", 10)
+
+
+@query("""SELECT source, lang, count(*) AS n FROM documents WHERE subreddit NOT IN ('PlumCraft', 'AmberTalk') AND subreddit IN
+  (SELECT subreddit FROM documents GROUP BY 1 HAVING count(*) >= 30) GROUP BY 1, 2""")
+def f18_f19_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(~F.col("subreddit").isin("PlumCraft", "AmberTalk"))
+    return messages.large_groups(docs, "subreddit", 30).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT cluster_id, coalesce(cluster_size, 0) AS cluster_size, '' AS generated_plan, CASE WHEN avg_quality_score >= 0.7 THEN 'high' ELSE 'low' END AS grade FROM opportunities WHERE cluster_id IN (1, 2, 5, 7, 9)""")
+def f22_f25_f26_columns(spark, sf_dir):
+    o = messages.with_default(table(spark, sf_dir, "opportunities"), "generated_plan", F.lit(""))
+    return o.filter(F.col("cluster_id").isin(1, 2, 5, 7, 9)).select(
+        "cluster_id", F.coalesce("cluster_size", F.lit(0)).alias("cluster_size"), "generated_plan",
+        F.when(F.col("avg_quality_score") >= 0.7, "high").otherwise("low").alias("grade"),
+    )
+
+
+# ---- joins and write-back ----------------------------------------------------------------------
+_RESULTS = r"r AS (SELECT regexp_replace(lower(regexp_replace(row_id, '[\s\p{Z}\p{Cf}]+', '', 'g')), '^t\d_', '') AS id, nlp_label, CASE WHEN CAST(nlp_score AS VARCHAR) = 'nan' THEN 0 ELSE nlp_score END AS nlp_score FROM nlp_results WHERE row_id IS NOT NULL), one AS (SELECT DISTINCT ON (id) * FROM r ORDER BY id, nlp_label NULLS FIRST, nlp_score NULLS FIRST)"
+
+
+def _results(spark, sf_dir):
+    return table(spark, sf_dir, "nlp_results").withColumn("row_id", X.bare_id(F.col("row_id")))
+
+
+@query(f"""WITH {_ONCE}, {_RESULTS} SELECT id, coalesce(one.nlp_label = 'idea', once.is_idea) AS is_idea, coalesce(one.nlp_score, once.nlp_top_score) AS nlp_top_score
+  FROM once LEFT JOIN one USING (id)""")
+def j1_write_back(spark, sf_dir):
+    return writeback.write_back(_messages(spark, sf_dir), _results(spark, sf_dir)).select("id", "is_idea", "nlp_top_score")
+
+
+@query(f"""WITH {_ONCE}, {_RESULTS} SELECT id, CASE WHEN one.nlp_label = 'idea' THEN true ELSE once.is_idea END AS is_idea FROM once LEFT JOIN one USING (id)""")
+def j2_write_back_once(spark, sf_dir):
+    return writeback.write_back(_messages(spark, sf_dir), _results(spark, sf_dir), reset=False).select("id", "is_idea")
+
+
+@query("""SELECT c.subreddit, c.cluster_id, c.message_count, o.cluster_size, o.avg_quality_score FROM cluster_data c JOIN opportunities o ON c.cluster_id = o.cluster_id AND c.subreddit = o.subreddit""")
+def j3_merge(spark, sf_dir):
+    merged = writeback.merge_plans(table(spark, sf_dir, "cluster_data"), table(spark, sf_dir, "opportunities"), ["subreddit", "cluster_id"])
+    return merged.select("subreddit", "cluster_id", "message_count", "cluster_size", "avg_quality_score")
+
+
+@query("""WITH u AS (SELECT cluster_id, max('plan-' || cluster_size) AS plan_id FROM opportunities WHERE cluster_size > 5 GROUP BY 1)
+  SELECT cluster_id, coalesce(u.plan_id, '') AS generated_plan FROM cluster_data LEFT JOIN u USING (cluster_id)""")
+def j4_plan_ids(spark, sf_dir):
+    ideas = table(spark, sf_dir, "cluster_data").select("cluster_id", F.lit("").alias("generated_plan"))
+    updates = table(spark, sf_dir, "opportunities").filter("cluster_size > 5").select("cluster_id", F.concat(F.lit("plan-"), F.col("cluster_size").cast("string")).alias("plan_id"))
+    return writeback.set_plan_ids(ideas, updates, ["cluster_id"])
+
+
+@query("""SELECT DISTINCT file_path, row_id FROM nlp_jobs j WHERE row_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nlp_results r WHERE r.row_id = j.row_id)""")
+def j6_pending(spark, sf_dir):
+    jobs = table(spark, sf_dir, "nlp_jobs").filter("row_id is not null").select("file_path", "row_id").distinct()
+    return writeback.pending(jobs, table(spark, sf_dir, "nlp_results"), "row_id")
+
+
+@query("""SELECT id, link_id, ingested_at FROM all_messages WHERE link_id IN (SELECT link_id FROM all_messages WHERE id IN
+  (SELECT unnest(message_ids) FROM cluster_data))""")
+def j5_j8_same_threads(spark, sf_dir):
+    wanted = table(spark, sf_dir, "cluster_data").select(F.explode("message_ids").alias("id"))
+    return writeback.same_threads(table(spark, sf_dir, "all_messages"), wanted).select("id", "link_id", "ingested_at")
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(message_ids) AS id FROM cluster_data), s AS (SELECT DISTINCT id FROM all_messages)
+  SELECT count(*) AS n, count(s.id) AS found, CASE WHEN count(s.id) = 0 THEN 0 WHEN count(s.id) < count(*) THEN 1 ELSE 2 END AS status FROM w LEFT JOIN s USING (id)""")
+def gr4_id_status(spark, sf_dir):
+    wanted = table(spark, sf_dir, "cluster_data").select(F.explode("message_ids").alias("id"))
+    return writeback.id_status(wanted, table(spark, sf_dir, "all_messages"))
+
+
+@query("""SELECT n_name, r_name, count(*) AS n_suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
+def j9_bridge(spark, sf_dir):
+    left = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "nation")
+    bridge = table(spark, sf_dir, "nation").withColumnsRenamed({"n_nationkey": "nation", "n_regionkey": "region"})
+    right = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "region")
+    return relations.through(left, bridge, right, "nation", "region").groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n_suppliers"))
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_name IN ('Supplier#000000001', 'Supplier#000000003', 'Supplier#1', 'Supplier#3'))""")
+def j10_any_tag(spark, sf_dir):
+    tags = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tag_id"), F.col("s_name").alias("name"))
+    taggables = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("taggable_id"), F.col("l_suppkey").alias("tag_id"), F.lit("part").alias("taggable_type"))
+    names = ["Supplier#000000001", "Supplier#000000003", "Supplier#1", "Supplier#3"]
+    return relations.with_any_tag(table(spark, sf_dir, "part"), "p_partkey", taggables, tags, "part", names).select("p_partkey", "p_name")
+
+
+# ---- chains -------------------------------------------------------------------------------------
+_WALK = f"""WITH RECURSIVE {_ONCE},
+  m AS (SELECT coalesce(subreddit, '') || '/' || id AS k, id, subreddit, is_idea, CASE WHEN coalesce(parent_id, '') <> '' THEN coalesce(subreddit, '') || '/' ||
+      CASE WHEN contains(parent_id, '_') THEN split_part(parent_id, '_', 2) ELSE parent_id END END AS p FROM once),
+  w(k, cur, hops) AS (SELECT k, k, 0 FROM m WHERE p IS NULL
+    UNION ALL SELECT m.k, w.cur, w.hops + 1 FROM w JOIN m ON m.p = w.k)"""
+
+
+@query(_WALK + " SELECT m.id, m.subreddit, w.hops FROM w JOIN m USING (k) WHERE m.is_idea")
+def gr1_complete_ideas(spark, sf_dir):
+    return chains.complete_ideas(_messages(spark, sf_dir))
+
+
+@query(rf"""WITH RECURSIVE {_ONCE}, m AS (SELECT id, nullif(regexp_replace(trim(parent_id), '^[tT]\d_', ''), '') AS p, coalesce(body, '') AS body, ups, downs, is_idea FROM once),
+  w(id, full_thread_body, total_ups, total_downs, hops) AS (
+    SELECT id, body, CAST(coalesce(ups, 0) AS BIGINT), CAST(coalesce(downs, 0) AS BIGINT), 0 FROM m WHERE p IS NULL
+    UNION ALL SELECT m.id, w.full_thread_body || chr(10) || chr(10) || '---' || chr(10) || chr(10) || m.body, w.total_ups + coalesce(m.ups, 0), w.total_downs + coalesce(m.downs, 0), w.hops + 1
+      FROM w JOIN m ON m.p = w.id WHERE w.hops < 100)
+  SELECT w.id AS start_id, full_thread_body, total_ups, total_downs, total_ups / (hops + 1) AS avg_ups, total_downs / (hops + 1) AS avg_downs FROM w JOIN m USING (id) WHERE m.is_idea""")
+def gr2_a9_threads(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return chains.threads(m, m.filter("is_idea"))
+
+
+# ---- aggregations --------------------------------------------------------------------------------
+@query("""SELECT subreddit_prefix, count(*) AS n, count(DISTINCT subreddit) AS n_subreddits, count(*) FILTER (is_idea) AS n_ideas, CAST(sum(ups) AS BIGINT) AS ups FROM all_messages GROUP BY 1""")
+def a1_a3_counts(spark, sf_dir):
+    return table(spark, sf_dir, "all_messages").groupBy("subreddit_prefix").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("subreddit").alias("n_subreddits"), F.count(F.when(F.col("is_idea"), 1)).alias("n_ideas"), F.sum("ups").alias("ups")
+    )
+
+
+def _members(spark, sf_dir):
+    """Messages with the pile they are listed in; piles of fewer than three messages count as noise."""
+    piles = table(spark, sf_dir, "cluster_data").select("cluster_id", F.explode("message_ids").alias("id"), F.size("message_ids").alias("n")).distinct()
+    labelled = piles.select("id", F.when(F.col("n") < 3, -1).otherwise(F.col("cluster_id")).alias("cluster_id"))
+    return labelled.join(_messages(spark, sf_dir).select("id", "body", "ups", "downs", "nlp_top_score"), "id")
+
+
+_MEMBERS = f"""{_ONCE}, piles AS (SELECT DISTINCT cluster_id, unnest(message_ids) AS id, len(message_ids) AS n FROM cluster_data),
+  mem AS (SELECT id, CASE WHEN n < 3 THEN -1 ELSE cluster_id END AS cluster_id, body, ups, downs, nlp_top_score FROM piles JOIN once USING (id))"""
+
+
+@query(f"""WITH {_MEMBERS} SELECT cluster_id, list(body ORDER BY id) FILTER (body IS NOT NULL OR body IS NULL) AS texts, list(id ORDER BY id) AS message_ids, CAST(coalesce(sum(ups), 0) AS BIGINT) AS total_ups,
+  CAST(coalesce(sum(downs), 0) AS BIGINT) AS total_downs, count(*) AS message_count FROM mem WHERE cluster_id >= 0 GROUP BY 1""")
+def a4_a7_rollup(spark, sf_dir):
+    return rollups.cluster_rollup(_members(spark, sf_dir), ["cluster_id"])
+
+
+@query(f"""WITH {_MEMBERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS r FROM mem WHERE cluster_id >= 0)
+  SELECT cluster_id, count(*) AS cluster_size, round(coalesce(avg(nlp_top_score), avg(ups), 0.0), 5) AS avg_quality_score, list(body ORDER BY id) FILTER (r <= 10) AS representative_texts FROM ranked GROUP BY 1""")
+def a5_opportunities(spark, sf_dir):
+    return rollups.opportunities(_members(spark, sf_dir), ["cluster_id"]).withColumn("avg_quality_score", F.round("avg_quality_score", 5))
+
+
+@query(rf"""WITH {_MEMBERS} SELECT cluster_id, CASE WHEN avg(length(body)) > 200 THEN 2 ELSE 0 END + CASE WHEN avg(CAST(coalesce(regexp_matches(body, '\d+'), false) AS INTEGER)) > 0.3 THEN 2 ELSE 0 END
+  + CASE WHEN avg(CAST(coalesce(regexp_matches(body, '(?i)(build|create|develop|solve|implement|design)'), false) AS INTEGER)) > 0.4 THEN 3 ELSE 0 END AS quality FROM mem GROUP BY 1""")
+def a6_quality(spark, sf_dir):
+    return rollups.cluster_quality(_members(spark, sf_dir), ["cluster_id"], "body")
+
+
+@query(f"""WITH {_MEMBERS} SELECT count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS n_clusters, CAST(sum(CASE WHEN cluster_id < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM mem""")
+def a8_stats(spark, sf_dir):
+    return rollups.cluster_stats(_members(spark, sf_dir))
+
+
+@query("""WITH w AS (SELECT DISTINCT input_path FROM chain_files), d AS (SELECT DISTINCT input_path FROM embedding_jobs WHERE output_path IS NOT NULL)
+  SELECT count(*) AS wanted, count(d.input_path) AS done, 100.0 * count(d.input_path) / count(*) AS percent FROM w LEFT JOIN d USING (input_path)""")
+def a10_completion(spark, sf_dir):
+    done = table(spark, sf_dir, "embedding_jobs").filter("output_path is not null").select("input_path")
+    return rollups.completion(table(spark, sf_dir, "chain_files").select("input_path"), done)
+
+
+@query("""SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 2""")
+def a12_facets(spark, sf_dir):
+    return search.facets(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+# ---- sorts, limits, sets -------------------------------------------------------------------------
+@query("""SELECT doc_id, created_utc FROM documents ORDER BY created_utc NULLS FIRST, doc_id LIMIT 20 OFFSET 40""")
+def o1_o3_page(spark, sf_dir):
+    return search.page(table(spark, sf_dir, "documents").select("doc_id", "created_utc"), [F.asc("created_utc"), F.asc("doc_id")], 3, 20)
+
+
+@query("""SELECT cluster_id, cluster_size, subreddit FROM (SELECT DISTINCT cluster_id, cluster_size, subreddit FROM opportunities) ORDER BY cluster_size DESC NULLS LAST, cluster_id, subreddit LIMIT 10""")
+def o4_o8_sorted(spark, sf_dir):
+    o = table(spark, sf_dir, "opportunities").select("cluster_id", "cluster_size", "subreddit").distinct()
+    column, down = search.sort_key("cluster_size_desc", o.columns)
+    return search.page(o, [F.desc(column) if down else F.asc(column), F.asc("cluster_id"), F.asc("subreddit")])
+
+
+@query()
+def o5_r3_sample(spark, sf_dir):
+    return search.sample(table(spark, sf_dir, "documents").select("doc_id"), 10, 42)
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT 'post' AS kind FROM all_messages WHERE coalesce(parent_id, '') = '' UNION ALL SELECT 'comment' FROM all_messages WHERE coalesce(parent_id, '') <> '') GROUP BY 1""")
+def u1_u2_u6_union(spark, sf_dir):
+    m = table(spark, sf_dir, "all_messages")
+    top = F.coalesce("parent_id", F.lit("")) == ""
+    parts = [m.filter(top).select(F.lit("post").alias("kind"), "id"), m.filter(~top).select(F.lit("comment").alias("kind"), "id")]
+    return relations.same_schema_union(parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT subreddit, 'both' AS side FROM (SELECT subreddit FROM documents INTERSECT SELECT subreddit FROM all_messages) UNION ALL
+  SELECT subreddit, 'messages' FROM (SELECT subreddit FROM all_messages EXCEPT SELECT subreddit FROM documents)""")
+def u3_u4_u5_sets(spark, sf_dir):
+    d, m = (table(spark, sf_dir, t).select("subreddit") for t in ("documents", "all_messages"))
+    return d.intersect(m).withColumn("side", F.lit("both")).unionByName(m.distinct().exceptAll(d.distinct()).withColumn("side", F.lit("messages")))
+
+
+@query("""SELECT row_id, file_path FROM (SELECT row_id, min(file_path) AS file_path FROM nlp_results WHERE row_id IS NOT NULL GROUP BY 1) n WHERE row_id NOT IN (SELECT row_id FROM nlp_jobs WHERE row_id IS NOT NULL)""")
+def u7_k8_insert_new(spark, sf_dir):
+    new = table(spark, sf_dir, "nlp_results").filter("row_id is not null").select("row_id", "file_path")
+    return sinks.insert_new(table(spark, sf_dir, "nlp_jobs"), new, ["row_id"])
+
+
+# ---- search ---------------------------------------------------------------------------------------
+_BM25 = r"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, len(w) AS dl, unnest(w) AS w FROM t), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+  tf AS (SELECT doc_id, dl, w, count(*) AS tf FROM s WHERE w IN ('glass', 'jar', 'label') GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
+  b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (w), n GROUP BY 1)"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id AS id, round(score, 6) AS score FROM b")
+def r1_relevance(spark, sf_dir):
+    found = search.multi_match(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, "glass jar LABEL")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_BM25} SELECT d.doc_id, round(score, 6) AS score FROM b JOIN documents d USING (doc_id) WHERE lang = 'en' AND n_chars >= 0 AND n_chars <= 900 ORDER BY round(b.score, 9) DESC, doc_id LIMIT 10")
+def r2_filtered(spark, sf_dir):
+    found, _ = search.search(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, "glass jar label", {"lang": "en"}, {"n_chars": (0, 900)})
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT count(*) AS total FROM documents WHERE lang = 'de' AND n_chars >= 0""")
+def r5_a13_total(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), "doc_id", {}, "", {"lang": "de"}, {"n_chars": (0, None)})[1]
+
+
+@query("""SELECT vec_id AS id, round(list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), 4) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)) DESC, id LIMIT 10""")
+def r6_semantic(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    q = vectors.filter("vec_id = 7").first().embedding  # the one query vector
+    return search.similar_to(vectors, "vec_id", "embedding", q, 10).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("""SELECT doc_id FROM documents WHERE (contains(text, 'er') OR contains(source, 'er')) AND lang = 'en'""")
+def r7_contains(spark, sf_dir):
+    return search.contains_any(table(spark, sf_dir, "documents"), ["text", "source"], "er", F.col("lang") == "en").select("doc_id")
+
+
+@query("""WITH n AS (SELECT cluster_id AS _id, subreddit, cluster_size, row_number() OVER (PARTITION BY cluster_id ORDER BY cluster_size DESC NULLS LAST, subreddit DESC NULLS LAST) AS r FROM opportunities)
+  SELECT _id, subreddit, cluster_size FROM n WHERE r = 1""")
+def k11_r8_upsert(spark, sf_dir):
+    docs = table(spark, sf_dir, "opportunities").select(F.col("cluster_id").alias("_id"), "subreddit", "cluster_size")
+    return sinks.upsert(docs.limit(0), docs.select("_id", "subreddit", "cluster_size"), "_id", F.col("cluster_size"))
+
+
+# ---- models ---------------------------------------------------------------------------------------
+_CLASS = f"""{_ONCE}, c AS (SELECT id, length(body) - length(replace(body, '!', '')) AS a, length(body) - length(replace(body, '?', '')) AS b FROM once WHERE body <> '')"""
+
+
+@query(f"""WITH {_CLASS} SELECT id AS row_id, CASE WHEN b > a THEN 'idea' ELSE 'pain_point' END AS nlp_label, round(1 / (1 + exp(-abs(a - b))), 4) AS nlp_score FROM c""")
+def m1_classify(spark, sf_dir):
+    return inference.classify(_messages(spark, sf_dir), "id", "body").withColumn("nlp_score", F.round(F.col("nlp_score").cast("double"), 4))
+
+
+@query(f"""WITH {_CLASS} SELECT count(*) AS n, count(*) FILTER (b > a AND 1 / (1 + exp(-abs(a - b))) > 0.7) AS n_ideas FROM c""")
+def m3_threshold(spark, sf_dir):
+    found = inference.thresholded(inference.classify(_messages(spark, sf_dir), "id", "body"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_idea"), 1)).alias("n_ideas"))
+
+
+@query()
+def m4_embed(spark, sf_dir):
+    e = inference.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", width=64)
+    return e.select("doc_id", F.size("embedding").alias("width"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+      AND list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) <= 1.21),
+  c AS (SELECT e.vec_id AS id FROM embeddings e LEFT JOIN p ON p.a = e.vec_id GROUP BY 1 HAVING count(p.b) + 1 >= 3),
+  w(id, r) AS (SELECT id, id FROM c UNION SELECT p.b, w.r FROM w JOIN p ON p.a = w.id WHERE p.b IN (SELECT id FROM c)),
+  l AS (SELECT id, min(r) AS label FROM w GROUP BY 1),
+  x AS (SELECT p.a AS id, arg_min(l.label, p.b) AS label FROM p JOIN l ON l.id = p.b WHERE p.a NOT IN (SELECT id FROM c) GROUP BY 1)
+  SELECT e.vec_id AS id, coalesce(l.label, x.label, -1) AS cluster_id FROM embeddings e LEFT JOIN l ON l.id = e.vec_id LEFT JOIN x ON x.id = e.vec_id""")
+def m9_dbscan(spark, sf_dir):
+    return density.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1.10, 3)
+
+
+@query()
+def m6_m7_hdbscan(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    reduced = density.reduce(vectors, "embedding", 15)
+    return density.hdbscan(reduced, "label", "vec_id", "embedding").groupBy("label", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT cluster_id, length('- ' || array_to_string(list_transform(list_filter(texts, lambda t: t IS NOT NULL), lambda t: replace(t, chr(10), ' ')), chr(10) || '- ')) AS n FROM cluster_data WHERE texts IS NOT NULL)
+  SELECT cluster_id, n % 2 = 0 AS is_viable_business, CAST(1 + n % 10 AS INTEGER) AS viability_score, n % 3 = 0 AS is_saas, NULL::VARCHAR AS error FROM p""")
+def m10_analyse(spark, sf_dir):
+    prompts = table(spark, sf_dir, "cluster_data").filter("texts is not null").select("cluster_id", inference.cluster_prompt(F.col("texts")).alias("prompt"))
+    return inference.ask(prompts, "prompt", ["cluster_id"]).select("cluster_id", "is_viable_business", "viability_score", "is_saas", "error")
+
+
+# ---- layout and maintenance ------------------------------------------------------------------------
+@query("""SELECT coalesce(nullif(subreddit_prefix, ''), 'misc') AS subreddit_prefix, strftime(created_utc, '%m%y') AS mmyy, count(*) AS n FROM all_messages WHERE created_utc IS NOT NULL GROUP BY 1, 2""")
+def k2_k3_partitions(spark, sf_dir):
+    m = table(spark, sf_dir, "all_messages").filter("created_utc is not null").withColumn("mmyy", F.date_format("created_utc", "MMyy"))
+    path = scratch_path(spark, "partitions")
+    sinks.write_partitioned(m.select("id", "subreddit_prefix", "mmyy"), path, ["subreddit_prefix", "mmyy"], files_per_key=1, mode="overwrite")
+    stored = spark.read.schema("id string, subreddit_prefix string, mmyy string").parquet(path)
+    return stored.groupBy("subreddit_prefix", "mmyy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT subreddit FROM (SELECT DISTINCT subreddit FROM all_messages WHERE subreddit ILIKE '%shop%') ORDER BY 1""")
+def s12_s13_catalog(spark, sf_dir):
+    return tables.catalog(table(spark, sf_dir, "all_messages"), "subreddit", "*SHOP*")
+
+
+@query("""SELECT 'documents' AS t, count(*) AS n FROM documents UNION ALL SELECT 'all_messages', count(*) FROM all_messages UNION ALL SELECT 'nlp_jobs', count(*) FROM nlp_jobs""")
+def t3_row_counts(spark, sf_dir):
+    out = None
+    for name in ("documents", "all_messages", "nlp_jobs"):
+        one = table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1""")
+def s8_x30_props(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+
+
+# ---- streaming ---------------------------------------------------------------------------------------
+@query(rf"""WITH j AS (SELECT regexp_replace(lower(regexp_replace(row_id, '[\s\p{{Z}}\p{{Cf}}]+', '', 'g')), '^t\d_', '') AS row_id, text FROM nlp_jobs WHERE text <> '')
+  SELECT count(DISTINCT row_id) AS n FROM j WHERE row_id <> ''""")
+def st1_st7_queue(spark, sf_dir):
+    """Jobs through the classifier stream and the write-back stream: every id is handed on once."""
+    from loomspark.streaming import queues
+
+    base = scratch_path(spark, "queue")
+    table(spark, sf_dir, "nlp_jobs").select("file_path", X.bare_id(F.col("row_id")).alias("row_id"), "text").write.parquet(f"{base}/jobs")
+    queues.consume(spark, f"{base}/jobs", f"{base}/results", f"{base}/c1").awaitTermination()
+    stored = spark.read.schema("row_id string, nlp_label string, nlp_score float").parquet(f"{base}/results")
+    stored.write.parquet(f"{base}/queue")
+    apply = lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/applied/{n}")
+    queues.write_back_stream(spark, f"{base}/queue", f"{base}/state", f"{base}/c2", apply).awaitTermination()
+    return spark.read.parquet(f"{base}/applied/*").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- bridge and web tables ---------------------------------------------------------------------------
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+def d1_mark(spark, sf_dir):
+    return relations.mark(table(spark, sf_dir, "customer"), F.col("c_acctbal") < 0, "c_mktsegment", F.lit("debt")).select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 9 THEN 2 ELSE n_regionkey END AS "order" FROM nation""")
+def d2_reorder(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("order"))
+    return relations.reorder(rows, "n_nationkey", [5, 3, 9])
+
+
+@query("""SELECT file_path, row_id, sent_at FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY file_path NULLS FIRST, sent_at) AS r FROM nlp_jobs) WHERE r = 1 OR row_id IS NULL""")
+def d7_d9_unique(spark, sf_dir):
+    return relations.unique_by(table(spark, sf_dir, "nlp_jobs").select("file_path", "row_id", "sent_at"), ["row_id"])
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def d10_cascade(spark, sf_dir):
+    gone = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
+    return relations.cascade(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey", "c_custkey").select("o_orderkey")

@@ -176,6 +176,7 @@ def nearest(
     partial = grouped.groupBy(*keys).applyInArrow(_compare(k, width), "node long, others array<long>, sims array<float>")
     pairs = F.transform(F.arrays_zip("others", "sims"), lambda p: F.struct((-p["sims"]).alias("far"), p["others"].alias("other")))
     best = partial.groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
+    best = materialize(best, "best")  # read more than once below
     copies = materialize(placed.filter("v is null").select("id", "node"), "copies")
     if not copies.isEmpty():
         best = _expand(best, copies, k)

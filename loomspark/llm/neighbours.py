@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from loomspark.runtime import materialize
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, at most
-LEAF_ROWS = 1_500  # vectors in a leaf, as far as the sample allows
+LEAF_ROWS = 4_000  # vectors in a leaf at most, as far as the sample allows: large leaves, as visits cost shuffle and comparing is cheap
 LEAST_IN_LEAF = 12  # sampled vectors in a leaf; bounds the tree, and what is sent to the tasks
 BRANCHES = 8
 TARGET = 0.96  # recall that the number of leaves to visit is calibrated for

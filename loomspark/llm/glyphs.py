@@ -35,7 +35,7 @@ WIDE_TO = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c + 0xFEE0) not in HY
 
 def plain_signs(text: Column) -> Column:
     """Without invisible characters; spaces, hyphens, wide forms and ligatures in their plain form."""
-    c = F.regexp_replace(text, "(?<=[\\p{So}\\p{Sk}\ufe0f])\u200d(?=\\p{So})", JOINED_EMOJI)
+    c = F.regexp_replace(text, "([\\p{So}\\p{Sk}\ufe0f])\u200d(?=\\p{So})", "$1" + JOINED_EMOJI)
     c = F.regexp_replace(c, f"[{INVISIBLE}\u200d]", "")
     c = F.translate(
         c,

@@ -61,22 +61,28 @@ def _common_words(texts: DataFrame, n: int) -> list[str]:
     words = texts.select(F.explode(F.array_distinct(F.flatten("clauses"))).alias("w")).groupBy("w").count()
     often = materialize(words.filter(F.col("count") > 0.01 * n), "words")
     tested = often.filter(F.col("count") > FRAME_SHARE * n)
-    spread = texts.select(F.posexplode("clauses").alias("i", "c"), "clauses").select("i", F.explode(F.array_distinct("c")).alias("item"), "clauses")
+    # once per text, at the first clause that has the word
+    spread = texts.select(F.explode(F.array_distinct(F.flatten("clauses"))).alias("item"), "clauses").withColumn(
+        "i", F.array_position(F.transform("clauses", lambda c: F.array_contains(c, F.col("item"))), F.lit(True)) - 1
+    )
     bound = _bound(spread.join(F.broadcast(tested.select(F.col("w").alias("item"))), "item", "left_semi"), tested.withColumnRenamed("w", "item"), often, n)
     return [r.item for r in tested.select(F.col("w").alias("item")).join(bound, "item", "left_anti").toLocalIterator()]
 
 
 def _bound(occurrences: DataFrame, items: DataFrame, often: DataFrame, n: int) -> DataFrame:
-    """Items with a word, at least two clauses away, in half of their texts and twice as often as elsewhere.
+    """Items with a word, in other clauses, in half of their texts and twice as often as elsewhere.
 
-    A phrase of a topic has such words, however large the topic is; a turn of phrase has not.
+    A phrase of a topic has such words, however large the topic is; a turn of phrase has not. Words that
+    hardly ever stand more than one clause away don't count: they belong to the same turn of phrase.
     """
-    away = occurrences.select(
-        "item", F.explode(F.array_distinct(F.flatten(F.filter("clauses", lambda c, j: F.abs(j - F.col("i")) > 1)))).alias("w")
+    beside = F.array_distinct(F.flatten(F.filter("clauses", lambda c, j: j != F.col("i"))))
+    away = F.array_distinct(F.flatten(F.filter("clauses", lambda c, j: F.abs(j - F.col("i")) > 1)))
+    met = occurrences.select("item", away.alias("away"), F.explode(beside).alias("w"))
+    together = met.groupBy("item", "w").agg(
+        F.count(F.lit(1)).alias("both"), F.count(F.when(F.array_contains("away", F.col("w")), 1)).alias("far")
     )
-    together = away.groupBy("item", "w").agg(F.count(F.lit(1)).alias("both"))
     return (
-        together.join(F.broadcast(items.select("item", F.col("count").alias("k"))), "item").filter("both >= 0.5 * k")
+        together.join(F.broadcast(items.select("item", F.col("count").alias("k"))), "item").filter("both >= 0.5 * k and far >= 0.25 * both")
         .join(often.select("w", F.col("count").alias("kw")), "w")
         .filter((F.col("both") / F.col("k")) >= 2 * F.col("kw") / F.lit(n)).select("item").distinct()
     )

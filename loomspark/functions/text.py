@@ -79,7 +79,7 @@ def round_to_long(c: Column) -> Column:
 def repair_json(c: Column) -> Column:
     """Model output without code fences and with lone backslashes doubled."""
     unfenced = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    return F.trim(F.regexp_replace(unfenced, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\"))
+    return F.trim(F.regexp_replace(unfenced, r'\\(?!["\\/bfnrtu])', r"\\\\"))
 
 
 def fenced_json(c: Column) -> Column:

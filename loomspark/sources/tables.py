@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import glob_match
+from loomspark.runtime import filesystem
 
 
 def scan(spark: SparkSession, paths: str | list[str], by_name: bool = False, deep: bool = False, skip_damaged: bool = False) -> DataFrame:
@@ -38,12 +39,20 @@ def inspect(df: DataFrame, rows: int = 2) -> dict:
 def damaged_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, reason) of Parquet files that are empty or lack the magic bytes at either end.
 
-    Only the files' bytes are looked at, per file; nothing is changed.
+    Only the files' bytes are looked at, per file; nothing is changed. Scans leave out empty files, so those
+    come from the folder's listing, which the driver reads for any scan.
     """
+    fs, hadoop_path = filesystem(spark, folder)
+    listing, empty = fs.listFiles(hadoop_path(folder), True), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0 and status.getPath().getName().endswith(".parquet"):
+            empty.append((status.getPath().toString(), 0, "empty"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
     magic = F.lit(b"PAR1")
     head, tail = F.expr("substring(content, 1, 4)"), F.expr("substring(content, -4, 4)")
-    return files.select(
+    damaged = files.select(
         "path", F.col("length").alias("size"),
-        F.when(F.col("length") == 0, "empty").when(head != magic, "no header").when(tail != magic, "no footer").alias("reason"),
+        F.when(head != magic, "no header").when(tail != magic, "no footer").alias("reason"),
     ).filter("reason is not null")
+    return damaged.unionByName(spark.createDataFrame(empty, "path string, size long, reason string"))

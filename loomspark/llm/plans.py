@@ -88,4 +88,43 @@ QUERIES = {
     "p8_ids": p8_ids, "p8_lengths": p8_lengths,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_texts": p10_texts,
 }
-SQL: dict[str, str] = {}
+
+
+def _quoted(chars: str) -> str:
+    return "'" + chars.replace("'", "''") + "'"
+
+
+def _shape(column: str) -> str:
+    """The look-alike form in DuckDB, with accents composed."""
+    g = glyphs
+    c = f"regexp_replace({column}, '([\\p{{So}}\\p{{Sk}}\\x{{FE0F}}])\\x{{200D}}(\\p{{So}})', '\\1{g.JOINED_EMOJI}\\2', 'g')"
+    c = f"regexp_replace({c}, '[{g.INVISIBLE}\u200d]', '', 'g')"
+    frm = g.SPACES + g.HYPHENS + g.WIDE_FROM + "".join(g.WIDE_SIGNS) + g.LOOKALIKE_FROM
+    to = " " * len(g.SPACES) + "-" * len(g.HYPHENS) + g.WIDE_TO + "".join(g.WIDE_SIGNS.values()) + g.LOOKALIKE_TO
+    c = f"translate({c}, {_quoted(frm)}, {_quoted(to)})"
+    for sign, letters in g.LIGATURES.items():
+        c = f"replace({c}, '{sign}', '{letters}')"
+    return f"nfc_normalize({c})"
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+SQL: dict[str, str] = {
+    "p1_found": """
+        WITH v AS (SELECT vec_id, embedding AS e FROM message_vectors WHERE embedding IS NOT NULL AND len(embedding) = 384
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM p)
+        SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE place <= 10 AND s >= 0.8""",
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(_shape("text"))} AS w FROM documents WHERE text <> ''),
+        i AS (SELECT item_id, {_WORDS.format(_shape("text"))} AS w FROM eval_items WHERE text <> ''),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
+        ig AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM i)),
+        c AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(p, p + 8)) AS q FROM dg JOIN ig USING (g))
+        SELECT doc_id, item_id FROM c GROUP BY doc_id, item_id, n HAVING 2 * count(*) >= n""",
+    "p10_found": f"""
+        WITH d AS (SELECT doc_id, text, {_shape("text")} AS form FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT * FROM d WHERE regexp_matches(form, '[^\\s]'))
+        SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+}

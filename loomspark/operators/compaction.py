@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.runtime import filesystem
+from loomspark.runtime import filesystem, materialize
 
 RECORD = "id string, rev int, parent_id string, subreddit string, body string, ups long"
 
@@ -86,6 +86,7 @@ def compact(
     staging = f"{target}.staging-{run}"
     rest = [c for c in records.columns if c not in key]
     once = records.groupBy(*key).agg(F.min(F.struct(*rest)).alias("rest")).select(*key, "rest.*")
+    once = materialize(once, "records")  # parsed once; counted, sampled and laid out from here
     total_rows, total_bytes = once.agg(F.count(F.lit(1)), F.sum(F.expr(row_bytes))).first()
     files = max(1, math.ceil((total_bytes or 0) / target_bytes))
     order = list(dict.fromkeys([*cluster_by, *key]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ CLAUSE = r"[.,;:!?()\n\r]+|\s[-–—]+(?=\s|$)"
 FRAME_SHARE = 0.15  # words in more texts than this are grammar, unless they come with certain others
 TESTED_SHARE = 0.02  # phrases in more texts than this must show that they belong to a topic
 DIMENSIONS = 3  # phrases, of different clauses, that make a cell of the grid
-DENSITY = 10.0  # log-likelihood by which a cell's count must exceed chance
+DENSITY = 4.0  # log-likelihood, over that of one text among all, by which a cell's count must exceed chance
 ALTERNATES = 3  # clusters in which two words must stand for each other to count as one
 MAX_MODEL = 50_000  # words of the fitted vocabulary model that are sent to the tasks
 
@@ -77,10 +78,14 @@ def _bound(occurrences: DataFrame, items: DataFrame, often: DataFrame, n: int) -
     """
     beside = F.array_distinct(F.flatten(F.filter("clauses", lambda c, j: j != F.col("i"))))
     away = F.array_distinct(F.flatten(F.filter("clauses", lambda c, j: F.abs(j - F.col("i")) > 1)))
-    met = occurrences.select("item", away.alias("away"), F.explode(beside).alias("w"))
-    together = met.groupBy("item", "w").agg(
-        F.count(F.lit(1)).alias("both"), F.count(F.when(F.array_contains("away", F.col("w")), 1)).alias("far")
+    near_only = F.array_except(beside, away)
+    told = F.concat(
+        F.transform(away, lambda w: F.struct(w.alias("w"), F.lit(1).alias("far"))), F.transform(near_only, lambda w: F.struct(w.alias("w"), F.lit(0).alias("far")))
     )
+    met = occurrences.select("item", F.explode(told).alias("t")).select("item", "t.w", "t.far")
+    # often has a bounded number of words, as each is in a fixed share of the texts
+    met = met.join(F.broadcast(often.select("w")), "w", "left_semi")
+    together = met.groupBy("item", "w").agg(F.count(F.lit(1)).alias("both"), F.sum("far").alias("far"))
     return (
         together.join(F.broadcast(items.select("item", F.col("count").alias("k"))), "item").filter("both >= 0.5 * k and far >= 0.25 * both")
         .join(often.select("w", F.col("count").alias("kw")), "w")
@@ -118,7 +123,7 @@ def _cells(texts: DataFrame, frame: list[str], same: dict[str, str], n: int) ->
     excess = F.col("members") * F.log(F.col("members") / F.col("chance")) - F.col("members") + F.col("chance")
     dense = filled.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("chance").alias("chance")).filter("members > 1").withColumn(
         "density", excess
-    ).filter(F.col("density") >= DENSITY)
+    ).filter(F.col("density") >= DENSITY + math.log(n))
     return filled.select("message_id", "cell").join(dense.select("cell", "members", "density"), "cell")
 
 

@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\W_]+")
 # exact run of RUN tokens is hit; the ignored places let runs with a changed word be hit too.
 RUN = 8
 MASKS = ("11011011", "10110111")
-BLOCK_WORDS = 4_000_000  # words of items that are sent to the tasks at once
+BLOCK_WORDS = 1_000_000  # words of items that are sent to the tasks at once
 
 
 def words(text: str | None) -> list[str]:

@@ -49,7 +49,7 @@ NOT_PERSONAL = re.compile(
     r"(?:\s*(?:no|nr|number|id|is|it|#)\b)*[^\w\n]*$",
     re.IGNORECASE,
 )
-UNIT_AFTER = re.compile(r"^\s*(?:km|kg|g|m|cm|mm|l|litres?|liters?|%|percent|eur|usd|dollars?|units?|times|of them|people|pieces)\b", re.IGNORECASE)
+UNIT_AFTER = re.compile(r"^ ?(?:km|kg|g|m|cm|mm|l|litres?|liters?|%|percent|eur|usd|dollars?|units?|times|of them|people|pieces)\b(?! ?\d)", re.IGNORECASE)
 
 # ---- identity numbers ------------------------------------------------------------------------------
 ID_SHAPES = [
@@ -64,7 +64,7 @@ ID_SHAPES = [
     (re.compile(r"(?<![\w.-])\d{3}([ -])\d\d\1\d{4}(?![\w-])"), "social"),
     (re.compile(r"(?<![\w.-])\d{2}[ .]\d{3}[ .]\d{3}[ .]\d{3}(?![\w-])"), "tax"),
     (re.compile(r"(?<![\w.-])\d{4}[ -]\d{4}[ -]\d{2}[ -]\d(?![\w-])"), "national"),
-    (re.compile(r"(?<![\w.-])\d{3}[ -]\d{3}[ -]\d{3,4}(?![\w-])"), "any"),
+    (re.compile(r"(?<![\w.-])(?<!\+\d )(?<!\+\d\d )\d{3}[ -]\d{3}[ -]\d{3,4}(?![\w-])"), "any"),
     (re.compile(r"(?<![\w.$-])\d{8,12}(?![\w-])"), "any"),
 ]
 _ID_WORDS = (
@@ -73,7 +73,8 @@ _ID_WORDS = (
     r"driv(?:er|ing|er's)\s+licen[cs]e|licen[cs]e\s+(?:no|number)|health\s+(?:card|insurance|no|number)|residence\s+permit|aufenthalts\w*|permit\s+(?:no|number)|dni|nie|nif|cpf|pesel"
 )
 ID_BEFORE = re.compile(rf"\b(?:{_ID_WORDS})\b(?:\s+(?:card|no|nr|number|id|is|was|security))*[^\w\n]{{0,4}}$", re.IGNORECASE)
-ID_AFTER = re.compile(rf"^[^\n.!?]{{0,32}}?\b(?:{_ID_WORDS})\b", re.IGNORECASE)
+# a label after the number counts only if no other number follows it
+ID_AFTER = re.compile(rf"^[^\n.!?]{{0,32}}?\b(?:{_ID_WORDS})\b(?![^\n.!?]{{0,14}}?\d)", re.IGNORECASE)
 
 # ---- addresses ----------------------------------------------------------------------------------
 _TYPES = (
@@ -88,10 +89,15 @@ STREETS = [
     ),
     re.compile(rf"(?<![\w$€£.,/-]){_UNIT}?\d{{1,4}}[a-z]?(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|allée|place|quai|chemin|impasse|route)\s+((?:(?:de\s+la|des|du|de)\s+|d['’])?)[^\W\d_][\w'’-]*", re.IGNORECASE),
     re.compile(r"(?<![\w-])[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s+\d{1,4}(?:\s?[a-z])?\b()", re.IGNORECASE),
+    # no word that says what it is, but a town and code after it
+    re.compile(
+        rf"(?<![\w$€£.,/-])(?i:{_UNIT})?\d{{1,4}}[A-Za-z]?,?\s+((?:[^\W\d_][\w'’-]*\s+){{0,2}}[^\W\d_][\w'’-]*)[ ]*[,\n]\s*(?=[^\W\d_a-z][\w'’-]+\s+\d{{5}}(?!\s?\d))"
+    ),
     re.compile(r"(?<![\w-])(?:calle|avenida|avda\.?|plaza|paseo|camino|via|viale|piazza|corso|rua|travessa)\s+((?:[^\W\d_][\w'’-]*\s?){1,4}?),?\s+\d{1,4}(?:\s?[a-z])?\b", re.IGNORECASE),
 ]
+FRENCH = STREETS[1]
 STREET_TAIL = re.compile(
-    r"^(?:,?\s*(?:apt|apartment|flat|unit|suite)\.?\s*\d{1,4}[a-z]?|,?\s*\d{1,2}\s?º\s?\w?)?(?:[,\n]\s*(?:\d{4,6}\s+[^\W\d_][\w'’-]*|[^\W\d_][\w'’-]*\s+\d{4,6}\b))?", re.IGNORECASE
+    r"^(?:,?\s*(?:apt|apartment|flat|unit|suite)\.?\s*\d{1,4}[a-z]?|,?\s*\d{1,2}\s?º\s?\w?)?(?:(?:[,\n]\s*)?(?:\d{4,6}\s+[^\W\d_][\w'’-]*|(?!tel|phone|cell|call|fax|t:)[^\W\d_][\w'’-]*\s+\d{4,6}\b(?!\s?\d)))?", re.IGNORECASE
 )
 # words that don't stand in a street's name
 _PLAIN = frozenset(
@@ -120,6 +126,7 @@ NUMBERISH = re.compile(r"\d(?:[^\d\n]{0,4}\d){5}|\d(?:\s?\d){5}")
 STREET_WORDS = frozenset(_TYPES.split("|")) | frozenset(
     "rue avenue boulevard allée place quai chemin impasse route calle avenida avda plaza paseo camino via viale piazza corso rua travessa".split()
 )
+TOWN_CODE = re.compile(r"\d[A-Za-z]?,?\s+[^\d\n,]+[,\n]\s*[^\W\d_][\w'’-]+\s+\d{5}")
 STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s+\d")
 CUE_WORDS = frozenset(
     "mr mrs ms miss mx dr prof professor herr frau sir madame señor señora sr sra name called signed regards best cheers sincerely yours spoke talk talked met ask asked "
@@ -187,7 +194,7 @@ class Finder:
         long_number = NUMBERISH.search(text) is not None
         if long_number:
             self._add(taken, self._identities(text))
-        if not vocabulary.isdisjoint(STREET_WORDS) or STREET_END.search(low):
+        if not vocabulary.isdisjoint(STREET_WORDS) or STREET_END.search(low) or TOWN_CODE.search(text):
             self._add(taken, self._addresses(text))
         if long_number:
             self._add(taken, self._phones(text))
@@ -253,7 +260,7 @@ class Finder:
             while m := pattern.search(text, at):
                 a, b = m.span()
                 inner = m.group(1).lower().replace(",", " ").split()
-                if any(w in _PLAIN for w in inner) and pattern is not STREETS[1]:
+                if any(w in _PLAIN for w in inner) and pattern is not FRENCH:
                     at = a + 1
                     continue
                 b += STREET_TAIL.match(text[b:]).end()
@@ -444,20 +451,25 @@ def name_list(names: DataFrame) -> dict[str, str]:
 def plain_words(texts: DataFrame, column: str, names: dict[str, str]) -> set[str]:
     """Listed names that are written in lower case, as a word of the language, in many texts.
 
-    Counted over all texts: in lower case with blanks around it at least 5 times and in no less
-    than a third as many texts as in capitals. Only counts of listed names come to the driver.
+    Counted over all texts: in lower case at least 5 times, without another listed name beside it, and in no less
+    than a quarter of all uses. Only counts of listed names come to the driver.
     """
     listed = [n for n in names if n.isalpha()]
     if not listed:
         return set()
     spark = texts.sparkSession
-    known = spark.createDataFrame([(n,) for n in listed], "word string")
-    tokens = texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?<![\p{L}\p{N}_@.\-])\p{L}+(?![\p{L}\p{N}_@\-]|\.\p{L})"), F.lit(0))).alias("w"))
-    counts = (
-        tokens.groupBy("w").count().withColumn("word", F.lower("w")).join(F.broadcast(known), "word")
-        .groupBy("word").agg(F.sum(F.when(F.col("w") == F.col("word"), F.col("count")).otherwise(0)).alias("low"), F.sum("count").alias("n"))
-        .filter("low >= 5 and 4 * low >= n")
-    )
+    known = F.broadcast(spark.createDataFrame([(n,) for n in listed], "word string"))  # no more than MAX_NAMES
+    tokens = F.regexp_extract_all(F.col(column), F.lit(r"(?<![\p{L}\p{N}_@.\-])\p{L}+(?![\p{L}\p{N}_@\-]|\.\p{L})"), F.lit(0))
+    none = F.array(F.lit(""))
+    beside = texts.select(tokens.alias("t")).filter("size(t) > 0").select(
+        F.explode(F.arrays_zip(F.col("t").alias("w"), F.concat(none, "t").alias("before"), F.concat(F.slice("t", F.lit(2), F.size("t")), none).alias("after"))).alias("p")
+    ).select("p.*").filter("w is not null")
+    uses = beside.withColumn("word", F.lower("w")).join(known, "word")
+    for side in ("before", "after"):
+        other = known.select(F.col("word").alias(f"{side}_word"))
+        uses = uses.join(other, F.lower(side) == F.col(f"{side}_word"), "left")
+    alone = F.col("before_word").isNull() & F.col("after_word").isNull()
+    counts = uses.groupBy("word").agg(F.count(F.when((F.col("w") == F.col("word")) & alone, 1)).alias("low"), F.count(F.lit(1)).alias("n")).filter("low >= 5 and 4 * low >= n")
     return {r.word for r in counts.toLocalIterator()}
 
 

@@ -29,6 +29,10 @@ def found(text):
         ("at 42B Quarry Rd, Apt 26, Buhir 78877 today", [("address", "42B Quarry Rd, Apt 26, Buhir 78877")]),
         ("by Unit 9/230 Cobbler Blvd or Oldweg 12", [("address", "Unit 9/230 Cobbler Blvd"), ("address", "Oldweg 12")]),
         ("173, rue des Tisserands, X and Calle Upper 193", [("address", "173, rue des Tisserands"), ("address", "Calle Upper 193")]),
+        ("ship to: 64 Fennimore\nQuabraind 54392 There", [("address", "64 Fennimore\nQuabraind 54392")]),
+        ("25 Ropewalk Court\nTel 01632 960781, x", [("address", "25 Ropewalk Court"), ("phone", "01632 960781")]),
+        ("only +61 491 570 266 My NI number is qq 14 65 15 c", [("phone", "+61 491 570 266"), ("id_number", "qq 14 65 15 c")]),
+        ("T: 01632 960381\nUnit 5/8 Kestrel Lane", [("phone", "01632 960381"), ("address", "Unit 5/8 Kestrel Lane")]),
         ("would pay $25 for a way to undo; 40 of us share the road", []),
         ("My name is Zokom Vidrovu and", [("name", "Zokom Vidrovu")]),
         ("Dr. Unlisted Cesormild-Vidrovu, hello", [("name", "Unlisted Cesormild-Vidrovu")]),
@@ -69,6 +73,13 @@ def test_frames(spark):
     assert P.find_spans(df.limit(0), "id", "body", names.limit(0)).count() == 0
 
 
+def test_plain_words(spark):
+    rows = [(f"the clay is wet {i}",) for i in range(6)] + [("Clay",), ("clay brook came",)] + [(f"brook clay {i} and mail brook@x.test",) for i in range(9)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "body string")
+    assert P.plain_words(df, "body", {"clay": "given", "brook": "family", "two words": "given"}) == {"clay"}
+    assert P.plain_words(df, "body", {}) == set()
+
+
 def test_name_list_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(P, "MAX_NAMES", 1)
     with pytest.raises(ValueError):

@@ -140,6 +140,23 @@ def ask(df: DataFrame, prompt_col: str, keep: list[str], schema: str = schemas.C
     return answered.withColumn("_r", F.from_json("_answer", schema)).select(*keep, "_r.*", "error")
 
 
+def offline_planner(prompt: str) -> str:
+    """Offline stand-in for plans: fenced, and with a lone backslash, as models write them."""
+    title = prompt.strip().split("\n")[0][:40].replace("\\", " ").replace('"', " ")
+    return '```json\n{"title": "' + title + '", "market_analysis": {"target_market": "a\\c", "trends": ["t"]}}\n```'
+
+
+def repaired(client: Callable[[str], str]) -> Callable[[str], str]:
+    """A client whose answers lose their code fence and have lone backslashes doubled."""
+    import re
+
+    def call(prompt: str) -> str:
+        text = re.sub(r"^```(?:json)?\s*|\s*```$", "", client(prompt).strip())
+        return re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", text).strip()
+
+    return call
+
+
 def cluster_prompt(texts):
     return F.concat(F.lit("- "), F.array_join(F.transform(texts, lambda t: F.regexp_replace(t, "\n", " ")), "\n- "))
 

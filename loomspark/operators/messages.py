@@ -100,3 +100,20 @@ def large_groups(df: DataFrame, key: str, least: int) -> DataFrame:
 
 def with_default(df: DataFrame, column: str, value: Column) -> DataFrame:
     return df if column in df.columns else df.withColumn(column, value)
+
+
+def validated(df: DataFrame) -> DataFrame:
+    """Rows with an id, a subreddit of two characters or more and a body; the body is trimmed."""
+    trimmed = df.withColumn("body", F.trim("body"))
+    return trimmed.filter("id <> '' and length(subreddit) >= 2 and body <> ''")
+
+
+def present(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in the columns, which become strings."""
+    return df.dropna(subset=columns).withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def json_fields(df: DataFrame, column: str, defaults: dict[str, str | None]) -> DataFrame:
+    """Fields of a JSON object as columns, with a default where the object or the field is missing or null."""
+    found = {f: F.coalesce(F.get_json_object(column, f"$.{f}"), F.lit(d)) for f, d in defaults.items()}
+    return df.withColumns(found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,12 @@ def sample(df: DataFrame, size: int, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(size)
 
 
+def random_row(df: DataFrame, order: list[Column], seed: int) -> DataFrame:
+    """One row at a random place of a total order; no row of an empty table."""
+    n = df.count()
+    return df.orderBy(*order).offset(random.Random(seed).randrange(n) if n else 0).limit(1)
+
+
 def contains_any(df: DataFrame, columns: list[str], words: str, extra: Column | None = None) -> DataFrame:
     """Rows with `words` in any of the columns, and (not or) the extra condition."""
     hit = F.lit(False)

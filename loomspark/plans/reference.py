@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
 from loomspark.functions import vectors as V
+from loomspark import schemas
 from loomspark.operators import chains, density, inference, messages, relations, rollups, search, writeback
 from loomspark.runtime import scratch_path, table
 from loomspark.sources import dumps, sinks, tables
@@ -192,6 +193,17 @@ def f22_f25_f26_columns(spark, sf_dir):
     )
 
 
+@query(f"""WITH {_ONCE} SELECT id, trim(body) AS body, CAST(ups AS VARCHAR) AS ups FROM once WHERE id <> '' AND length(subreddit) >= 2 AND trim(body) <> '' AND ups IS NOT NULL""")
+def f20_f21_validated(spark, sf_dir):
+    return messages.present(messages.validated(_messages(spark, sf_dir)), ["ups"]).select("id", "body", "ups")
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '0') AS k, coalesce(json_extract_string(props, '$.gone'), 'none') AS gone FROM events WHERE event_type = 'click'""")
+def f23_f24_fields(spark, sf_dir):
+    events = spark.sql("SELECT event_id, props FROM {e} WHERE event_type = :kind", args={"kind": "click"}, e=table(spark, sf_dir, "events"))
+    return messages.json_fields(events, "props", {"k": "0", "gone": "none"}).drop("props")
+
+
 # ---- joins and write-back ----------------------------------------------------------------------
 _RESULTS = r"r AS (SELECT regexp_replace(lower(regexp_replace(row_id, '[\s\p{Z}\p{Cf}]+', '', 'g')), '^t\d_', '') AS id, nlp_label, CASE WHEN CAST(nlp_score AS VARCHAR) = 'nan' THEN 0 ELSE nlp_score END AS nlp_score FROM nlp_results WHERE row_id IS NOT NULL), one AS (SELECT DISTINCT ON (id) * FROM r ORDER BY id, nlp_label NULLS FIRST, nlp_score NULLS FIRST)"
 
@@ -285,6 +297,15 @@ def gr2_a9_threads(spark, sf_dir):
     return chains.threads(m, m.filter("is_idea"))
 
 
+@query("""WITH n AS (SELECT n_nationkey AS id, n_regionkey * 1000 + 2 + 2 * n_nationkey AS l FROM nation), r AS (SELECT r_regionkey AS id, r_regionkey * 1000 AS l, r_regionkey * 1000 + 999 AS g FROM region)
+  SELECT 100 + r.id AS ancestor, n.id AS descendant FROM r JOIN n ON n.l > r.l AND n.l < r.g""")
+def gr5_nested_set(spark, sf_dir):
+    r = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).alias("id"), (F.col("r_regionkey") * 1000).alias("_lft"), (F.col("r_regionkey") * 1000 + 999).alias("_rgt"))
+    left = F.col("n_regionkey") * 1000 + 2 + 2 * F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), left.alias("_lft"), (left + 1).alias("_rgt"))
+    return chains.nested_set(r.unionByName(n))
+
+
 # ---- aggregations --------------------------------------------------------------------------------
 @query("""SELECT subreddit_prefix, count(*) AS n, count(DISTINCT subreddit) AS n_subreddits, count(*) FILTER (is_idea) AS n_ideas, CAST(sum(ups) AS BIGINT) AS ups FROM all_messages GROUP BY 1""")
 def a1_a3_counts(spark, sf_dir):
@@ -357,6 +378,11 @@ def o5_r3_sample(spark, sf_dir):
     return search.sample(table(spark, sf_dir, "documents").select("doc_id"), 10, 42)
 
 
+@query()
+def o6_random_row(spark, sf_dir):
+    return search.random_row(table(spark, sf_dir, "documents").select("doc_id"), [F.asc("doc_id")], 7)
+
+
 @query("""SELECT kind, count(*) AS n FROM (SELECT 'post' AS kind FROM all_messages WHERE coalesce(parent_id, '') = '' UNION ALL SELECT 'comment' FROM all_messages WHERE coalesce(parent_id, '') <> '') GROUP BY 1""")
 def u1_u2_u6_union(spark, sf_dir):
     m = table(spark, sf_dir, "all_messages")
@@ -467,6 +493,14 @@ def m10_analyse(spark, sf_dir):
     return inference.ask(prompts, "prompt", ["cluster_id"]).select("cluster_id", "is_viable_business", "viability_score", "is_saas", "error")
 
 
+@query("""WITH p AS (SELECT cluster_id, '- ' || array_to_string(list_transform(list_filter(texts, lambda t: t IS NOT NULL), lambda t: replace(t, chr(10), ' ')), chr(10) || '- ') AS p FROM cluster_data WHERE texts IS NOT NULL)
+  SELECT cluster_id, substr(replace(replace(split_part(trim(p), chr(10), 1)[1:40], chr(92), ' '), '"', ' '), 1, 40) AS title, 'a' || chr(92) || 'c' AS target_market, NULL::VARCHAR AS problem FROM p""")
+def m11_x14_plans(spark, sf_dir):
+    prompts = table(spark, sf_dir, "cluster_data").filter("texts is not null").select("cluster_id", inference.cluster_prompt(F.col("texts")).alias("prompt"))
+    plans = inference.ask(prompts, "prompt", ["cluster_id"], schemas.PLAN, inference.repaired(inference.offline_planner))
+    return plans.select("cluster_id", "title", F.col("market_analysis.target_market").alias("target_market"), "problem")
+
+
 # ---- layout and maintenance ------------------------------------------------------------------------
 @query("""SELECT coalesce(nullif(subreddit_prefix, ''), 'misc') AS subreddit_prefix, strftime(created_utc, '%m%y') AS mmyy, count(*) AS n FROM all_messages WHERE created_utc IS NOT NULL GROUP BY 1, 2""")
 def k2_k3_partitions(spark, sf_dir):
@@ -477,6 +511,18 @@ def k2_k3_partitions(spark, sf_dir):
     return stored.groupBy("subreddit_prefix", "mmyy").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT count(*) AS n, count(*) AS blank, CAST(greatest(1, ceil(count(*) / 20000.0)) AS BIGINT) AS files FROM all_messages""")
+def k4_t2_rewrite(spark, sf_dir):
+    """Many small files rewritten into files of bounded rows, with a column added on the way."""
+    path = scratch_path(spark, "small-files")
+    table(spark, sf_dir, "all_messages").select("id", "body").repartition(40).write.parquet(path)
+    add = lambda t: messages.with_default(t, "generated_plan", F.lit("")).repartition(max(1, -(-t.count() // 20_000)))
+    stored = sinks.rewrite(spark, path, add, rows_per_file=20_000)
+    return stored.agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("generated_plan") == "", 1)).alias("blank"), F.countDistinct(F.col("_metadata.file_path")).alias("files")
+    )
+
+
 @query("""SELECT subreddit FROM (SELECT DISTINCT subreddit FROM all_messages WHERE subreddit ILIKE '%shop%') ORDER BY 1""")
 def s12_s13_catalog(spark, sf_dir):
     return tables.catalog(table(spark, sf_dir, "all_messages"), "subreddit", "*SHOP*")

@@ -189,3 +189,22 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{base}/a/*").count() == 1
     m = spark.createDataFrame([("1", False, None)], "id string, is_idea boolean, nlp_top_score float")
     assert queues.refresh(spark, m, f"{base}/a").first().is_idea is True
+
+
+def test_validation_and_defaults(spark):
+    from loomspark.operators import messages as M
+
+    rows = [("1", "ab", " x ", 1), ("2", "a", "x", 1), ("", "ab", "x", 1), ("4", "ab", "  ", 1), ("5", None, "x", 1), ("6", "ab", "y", None)]
+    df = spark.createDataFrame(rows, "id string, subreddit string, body string, ups int")
+    assert [(r.id, r.body) for r in M.validated(df).collect()] == [("1", "x"), ("6", "y")]
+    assert [(r.id, r.ups) for r in M.present(M.validated(df), ["ups"]).collect()] == [("1", "1")]
+    j = spark.createDataFrame([('{"a": "x", "b": null}',), ("{bad",), (None,)], "j string")
+    assert [(r.a, r.b) for r in M.json_fields(j, "j", {"a": "-", "b": None}).collect()] == [("x", None), ("-", None), ("-", None)]
+
+
+def test_random_row_and_plans(spark):
+    df = spark.createDataFrame([(i,) for i in range(9)], "i int")
+    one = search.random_row(df, [F.asc("i")], 3).collect()
+    assert one == search.random_row(df, [F.asc("i")], 3).collect() and len(one) == 1
+    assert search.random_row(df.limit(0), [F.asc("i")], 3).count() == 0
+    assert inference.repaired(inference.offline_planner)("t").startswith('{"title": "t"')

@@ -79,10 +79,10 @@ def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # copies meet here, with map-side combining, so a text stored very often is one row from here on
     distinct = forms.groupBy("form").agg(F.count(F.lit(1)).alias("copies"))
     alike = distinct.groupBy(F.collate("form", "UNICODE").alias("shape")).agg(
-        F.min("form").alias("least"), F.collect_set("form").alias("spellings")
+        F.min("form").alias("least")
     )
-    # a form is listed once per spelling of its accents, never once per document
-    classes = alike.select(F.sha2("least", 256).alias("class_id"), F.explode("spellings").alias("form"))
+    # one row per form, never one per document
+    classes = distinct.join(alike, F.collate("form", "UNICODE") == F.col("shape")).select("form", F.sha2("least", 256).alias("class_id"))
     return forms.join(classes, "form")
 
 

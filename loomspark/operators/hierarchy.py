@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import strip_type
+from loomspark.operators import skew
 from loomspark.runtime import materialize
 
 LOCAL = "id string, parent string, top string, hops long, state string, link string"
@@ -24,6 +25,7 @@ def resolve(
     hint: Column | None = None,
     fragment_rows: int = 500_000,
     colocate_rows: int = 1_000_000,
+    heavy_rows: int = 100_000,
 ) -> DataFrame:
     """Per distinct id: parent, state ('complete', 'broken', 'cycle'), top and hops.
 
@@ -35,9 +37,9 @@ def resolve(
     Components are found by contraction. `hint` is any guess at what belongs together, right or
     wrong (e.g. a thread id). Rows are range-partitioned by (hint, id), so a giant component is cut
     into bounded fragments of at most `fragment_rows`; within each a depth-first walk with node
-    colours finds tops, depths and back edges. What is left is one row per fragment top whose
-    parent lies elsewhere: those rows are walked in the same way if there are at most
-    `colocate_rows` of them, else by pointer doubling.
+    colours finds tops, depths and back edges. What is left is one row per parent that lies in another
+    fragment or nowhere: those rows are walked in the same way if there are at most `colocate_rows`
+    of them, else by pointer doubling. Parents with over `heavy_rows` rows below them are joined back by broadcast.
     """
     clean = F.nullif(parent, F.lit(""))
     guess = F.coalesce(*([F.nullif(hint, F.lit(""))] if hint is not None else []), clean, F.col(id_col))
@@ -51,38 +53,31 @@ def resolve(
     placed = nodes.repartitionByRange(parts, "hint", "id").sortWithinPartitions("hint")
     local = materialize(placed.select("id", "parent").mapInArrow(_walk_fragments(fragment_rows), LOCAL), "fragments")
 
-    open_tops = local.filter("state = 'open' and id = top").select("top", "link")
+    # parents that lie in another fragment or nowhere; one row each, however many children they have
+    opened = local.filter("state = 'open'")
+    missing = opened.groupBy("link").agg(F.count(F.lit(1)).alias("load"))
     landing = local.select(
-        F.col("id").alias("link"), F.col("top").alias("next"), (F.col("hops") + 1).alias("step"),
-        F.col("state").alias("next_state"),
+        F.col("id").alias("link"), F.col("top").alias("own"), (F.col("hops") + 1).alias("step"),
+        F.col("state").alias("found"), F.col("link").alias("next"),
     )
-    # one row per fragment top: where its missing parent was found, and in what state
     links = materialize(
-        open_tops.join(landing, "link", "left").select(
-            "top", "link", "next", "step",
-            F.when(F.col("next").isNull(), "broken").otherwise(F.col("next_state")).alias("state"),
-        ),
-        "links",
+        missing.join(landing, "link", "left").select("link", "load", "own", "step", "next", F.coalesce("found", F.lit("missing")).alias("state")), "links"
     )
     n_links = links.count()
-    if n_links == 0:
-        settled = None
-    elif n_links <= colocate_rows:
-        settled = links.coalesce(1).mapInArrow(_walk_links, "top string, final string, extra long, end string")
-    else:
-        settled = _double(links)
-    if settled is None:
-        done = local.select("id", "parent", "top", "hops", "state")
-    else:
+    done = local.select("id", "parent", "top", "hops", "state")
+    if n_links:
+        schema = "link string, load long, final string, extra long, end string"
+        settled = links.coalesce(1).mapInArrow(_walk_links, schema) if n_links <= colocate_rows else _double(links)
         settled = materialize(settled, "settled")
-        done = local.join(settled, "top", "left").select(
+        by_link = skew.lookup(opened, settled, "link", heavy_rows=heavy_rows)
+        joined = by_link.select(
             "id", "parent",
-            F.coalesce("final", "top").alias("top"),
-            F.when(F.col("state") == "open", F.col("hops") + F.col("extra")).otherwise(F.col("hops")).alias("hops"),
-            F.coalesce("end", "state").alias("state"),
+            F.when(F.col("end") == "missing", F.col("top")).otherwise(F.col("final")).alias("top"),
+            F.when(F.col("end") == "missing", F.col("hops")).otherwise(F.col("hops") + F.col("extra")).alias("hops"),
+            F.when(F.col("end") == "missing", "broken").otherwise(F.col("end")).alias("state"),
         )
-        loops = settled.filter("end = 'loop'")
-        if not loops.isEmpty():
+        done = done.filter("state <> 'open'").unionByName(joined)
+        if not settled.filter("end = 'loop'").isEmpty():
             done = materialize(done, "resolved")
             fixed = _close_loops(done.filter("state = 'loop'"), colocate_rows)
             done = done.filter("state <> 'loop'").unionByName(fixed)
@@ -173,55 +168,47 @@ def _fragment(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _walk_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragment tops as nodes of a smaller graph; steps are weighted by the hops they stand for."""
+    """Missing parents as nodes of a smaller graph; a step stands for the hops within a fragment."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     frame = pa.Table.from_batches(held).to_pandas()
-    tops, nxt = frame["top"].to_numpy(), frame["next"].to_numpy()
-    onward = (frame["state"] == "open").to_numpy()
-    at = pd.Index(tops).get_indexer(nxt)
-    up = np.where(onward, at, -1).tolist()
+    link, own, state = frame["link"].to_numpy(), frame["own"].tolist(), frame["state"].tolist()
+    up = pd.Index(link).get_indexer(frame["next"].to_numpy())
+    up = np.where((frame["state"] == "open").to_numpy(), up, -1).tolist()
     step = frame["step"].fillna(0).astype("int64").tolist()
-    state = frame["state"].tolist()
-    n = len(tops)
-    final, extra, close, colour = [None] * n, [0] * n, [""] * n, bytearray(n)
+    n = len(link)
+    final, extra, end, colour = [None] * n, [0] * n, [""] * n, bytearray(n)
     for start in range(n):
-        if colour[start]:
-            continue
         trail, v = [], start
         while v >= 0 and not colour[v]:
             colour[v] = 1
             trail.append(v)
             v = up[v]
         if v < 0:
-            u = trail.pop()
-            colour[u], close[u] = 2, state[u]
-            final[u] = tops[u] if state[u] == "broken" else nxt[u]
-            extra[u] = 0 if state[u] == "broken" else step[u]
-            v = u
+            v = trail.pop()
+            final[v], extra[v], end[v], colour[v] = own[v], step[v], state[v], 2
         looped = colour[v] == 1
         for u in reversed(trail):
             colour[u] = 2
             if looped:
-                final[u], close[u] = tops[v], "loop"
+                end[u] = "loop"
+            elif end[up[u]] == "missing":  # u is the last that exists
+                final[u], extra[u], end[u] = own[u], step[u], "broken"
             else:
-                p = up[u]
-                final[u], close[u], extra[u] = final[p], close[p], step[u] + extra[p]
+                final[u], extra[u], end[u] = final[up[u]], step[u] + extra[up[u]], end[up[u]]
     yield from pa.table(
-        {"top": pa.array(tops, pa.string()), "final": pa.array(final, pa.string()),
-         "extra": pa.array(extra, pa.int64()), "end": pa.array(close, pa.string())}
+        {"link": pa.array(link, pa.string()), "load": pa.array(frame["load"], pa.int64()), "final": pa.array(final, pa.string()),
+         "extra": pa.array(extra, pa.int64()), "end": pa.array(end, pa.string())}
     ).to_batches(max_chunksize=50_000)
 
 
 def _double(links: DataFrame) -> DataFrame:
-    """Pointer doubling: each round halves what is left of every path; loops never settle."""
-    now = links.select(
-        "top",
-        F.when(F.col("state") == "broken", F.col("top")).otherwise(F.col("next")).alias("final"),
-        F.when(F.col("state") == "broken", 0).otherwise(F.col("step")).cast("long").alias("extra"),
-        F.col("state").alias("end"),
-    )
+    """Pointer doubling: each round halves what is left of every path; loops never settle.
+
+    `final` and `extra` stand for the stretch walked so far, and hold when it ends at a missing parent.
+    """
+    now = links.select("link", "load", "next", F.col("own").alias("final"), F.col("step").alias("extra"), F.col("state").alias("end"))
     left = -1
     while True:
         now = materialize(now, "doubling")
@@ -229,12 +216,20 @@ def _double(links: DataFrame) -> DataFrame:
         if pending in (0, left):
             break
         left = pending
-        ahead = now.select(F.col("top").alias("final"), F.col("final").alias("f2"), F.col("extra").alias("e2"), F.col("end").alias("s2"))
-        moved = now.filter("end = 'open'").join(ahead, "final").select(
-            "top", F.col("f2").alias("final"), (F.col("extra") + F.col("e2")).alias("extra"), F.col("s2").alias("end")
+        still = now.filter("end = 'open'")
+        asked = still.groupBy("next").agg(F.count(F.lit(1)).alias("asked"))
+        ahead = now.select(
+            F.col("link").alias("next"), F.col("next").alias("n2"), F.col("final").alias("f2"), F.col("extra").alias("e2"), F.col("end").alias("s2")
+        ).join(asked, "next")
+        gone = F.col("s2") == "missing"
+        moved = skew.lookup(still, ahead, "next", load="asked").select(
+            "link", "load", F.col("n2").alias("next"),
+            F.when(gone, F.col("final")).otherwise(F.col("f2")).alias("final"),
+            F.when(gone, F.col("extra")).otherwise(F.col("extra") + F.col("e2")).alias("extra"),
+            F.when(gone, "broken").otherwise(F.col("s2")).alias("end"),
         )
         now = now.filter("end <> 'open'").unionByName(moved)
-    return now.withColumn("end", F.when(F.col("end") == "open", "loop").otherwise(F.col("end")))
+    return now.select("link", "load", "final", "extra", F.when(F.col("end") == "open", "loop").otherwise(F.col("end")).alias("end"))
 
 
 def _close_loops(nodes: DataFrame, colocate_rows: int) -> DataFrame:
@@ -336,7 +331,9 @@ def _double_paths(big: DataFrame) -> DataFrame:
     for _ in range(int(deepest).bit_length()):
         now = materialize(now, "paths")
         other = now.select(F.col("id").alias("before"), F.col("path").alias("p2"), F.col("before").alias("b2"))
-        open_ = now.filter("before is not null").join(other, "before").select(
+        todo = now.filter("before is not null")
+        asked = todo.groupBy("before").agg(F.count(F.lit(1)).alias("asked"))
+        open_ = skew.lookup(todo, other.join(asked, "before"), "before", load="asked").select(
             *[c for c in big.columns], F.concat("p2", "path").alias("path"), F.col("b2").alias("before")
         )
         now = now.filter("before is null").unionByName(open_.select(*now.columns))

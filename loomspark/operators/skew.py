@@ -90,6 +90,23 @@ def heavy_keys(counts: DataFrame, group: str, share: float) -> DataFrame:
     return counts.join(totals, group).filter(F.col("n") >= F.col("all_n") * share)
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, load: str = "load", heavy_rows: int = 100_000) -> DataFrame:
+    """Inner join of rows with a table of unique keys whose column `load` tells how many rows each key has.
+
+    Keys with over `heavy_rows` rows, and over a thousandth of all rows, are broadcast: there are fewer than a
+    thousand of them, whatever the size. The rest is joined by shuffle, where no key is heavy. The join's
+    result has the columns of both but `load`. Null keys match nothing.
+    """
+    total = table.agg(F.sum(load)).first()[0] or 0
+    is_heavy = F.col(load) > F.lit(max(heavy_rows, total / 1000))
+    heavy, light = table.filter(is_heavy).drop(load), table.filter(~is_heavy).drop(load)
+    if heavy.isEmpty():
+        return rows.join(table.drop(load), key)
+    spread = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return spread.unionByName(rest)
+
+
 def _fold_runs(keys: list[str], gap_us: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_run = None  # the last run of a batch may go on in the next

@@ -46,12 +46,12 @@ def states(df):
 CASES = [("a", None, "1"), ("b", "a", "1"), ("c", "b", "2"), ("d", "x", None), ("e", "d", "3"), ("f", "g", "4"), ("g", "f", "5"), ("h", "g", "6"), ("i", "", "1"), ("s", "s", "1"), ("t", "s", "9"), ("b", "a", "7"), (None, "a", "1"), ("", "a", "1")]
 
 
-@pytest.mark.parametrize("kw", [{}, {"fragment_rows": 2}, {"fragment_rows": 2, "colocate_rows": 0}])
+@pytest.mark.parametrize("kw", [{}, {"fragment_rows": 2}, {"fragment_rows": 2, "colocate_rows": 0}, {"fragment_rows": 3, "heavy_rows": 0}])
 def test_states(spark, kw):
     assert states(resolve(spark, CASES, **kw)) == brute(CASES)
 
 
-@pytest.mark.parametrize("kw", [{"fragment_rows": 7}, {"fragment_rows": 7, "colocate_rows": 0}])
+@pytest.mark.parametrize("kw", [{"fragment_rows": 7}, {"fragment_rows": 7, "colocate_rows": 0}, {"fragment_rows": 5, "colocate_rows": 0, "heavy_rows": 3}])
 def test_random_forest_with_cycles(spark, kw):
     rnd = random.Random(3)
     rows = [(f"n{i}", rnd.choice([None, f"n{rnd.randrange(300)}", f"n{max(0, i - 1)}", "gone"]), rnd.choice(["x", "y", None, f"h{i % 40}"])) for i in range(240)]
@@ -59,6 +59,13 @@ def test_random_forest_with_cycles(spark, kw):
     assert states(resolve(spark, rows, **kw)) == brute(rows)
 
 
+def test_one_parent_of_a_third(spark):
+    rows = [("root", None, "r")] + [(f"k{i}", "root", f"h{i % 50}") for i in range(400)] + [(f"m{i}", "absent", f"h{i % 50}") for i in range(400)]
+    rows += [(f"g{i}", f"k{i}", None) for i in range(400)]
+    for kw in ({"fragment_rows": 40}, {"fragment_rows": 40, "colocate_rows": 0, "heavy_rows": 20}):
+        assert states(resolve(spark, rows, **kw)) == brute(rows)
+
+
 def test_deep_chain_and_paths(spark):
     rows = [(f"d{i:04d}", f"d{i - 1:04d}" if i else None, f"h{i % 13}") for i in range(700)]
     found = resolve(spark, rows, fragment_rows=50)

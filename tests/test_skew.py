@@ -48,3 +48,12 @@ def test_slices_share_a_heavy_key(spark):
 def test_heavy_keys(spark):
     counts = spark.createDataFrame([("c", "a", 96), ("c", "b", 4), ("d", None, 3)], "g string, k string, n int")
     assert {(r.g, r.k) for r in skew.heavy_keys(counts, "g", 0.04).collect()} == {("c", "a"), ("c", "b"), ("d", None)}
+
+
+def test_lookup_with_heavy_keys(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(300)] + [("cold", 1), (None, 2), ("gone", 3)], "k string, i int")
+    table = spark.createDataFrame([("hot", 300, "H"), ("cold", 1, "C"), ("idle", 0, "I")], "k string, load long, v string")
+    for heavy in (100, 10_000):
+        got = skew.lookup(rows, table, "k", heavy_rows=heavy).groupBy("k", "v").count().collect()
+        assert {tuple(r) for r in got} == {("hot", "H", 300), ("cold", "C", 1)}
+    assert skew.lookup(rows, table.limit(0), "k").count() == 0

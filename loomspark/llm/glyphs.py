@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.skew import lookup
 from loomspark.runtime import materialize
 
 # Letters of other scripts and the Latin letters they look like (after UTS #39).
@@ -63,35 +64,43 @@ def oddness(text: Column) -> Column:
     return F.regexp_count(text, F.lit(odd))
 
 
-def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with visible text: class_id, variant, odd, and `form`, the mapped text.
+def text_variants(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(variant, form, odd, load) of the distinct visible texts: digest, mapped text, oddness, rows.
 
-    Texts are alike if their mapped forms are equal under Spark's UNICODE collation, which heeds
-    accents and case but not whether an accent is written as one character or two. class_id is the
-    digest of the class's least form, variant the digest of the text as stored. Null, empty and
-    blank texts are in no class. Equal texts share class and variant. Other columns are ignored.
+    Copies meet here with map-side combining, so a text stored very often is one row from here on.
     """
-    forms = docs.select(
-        F.col(id_col).alias("doc_id"), F.sha2(text_col, 256).alias("variant"), oddness(F.col(text_col)).alias("odd"),
-        skeleton(F.col(text_col)).alias("form"),
-    ).filter(F.trim(F.regexp_replace("form", r"\s+", " ")) != "")
-    forms = materialize(forms, "forms")
-    # copies meet here, with map-side combining, so a text stored very often is one row from here on
-    distinct = forms.groupBy("form").agg(F.count(F.lit(1)).alias("copies"))
-    alike = distinct.groupBy(F.collate("form", "UNICODE").alias("shape")).agg(
-        F.min("form").alias("least")
-    )
-    # one row per form, never one per document
-    classes = distinct.join(alike, F.collate("form", "UNICODE") == F.col("shape")).select("form", F.sha2("least", 256).alias("class_id"))
-    return forms.join(classes, "form")
+    text = F.col(text_col)
+    rows = docs.filter(text.isNotNull()).select(F.sha2(text_col, 256).alias("variant"), skeleton(text).alias("form"), oddness(text).alias("odd"))
+    visible = rows.filter(F.trim(F.regexp_replace("form", r"\s+", " ")) != "")
+    return visible.groupBy("variant").agg(F.min("form").alias("form"), F.min("odd").alias("odd"), F.count(F.lit(1)).alias("load"))
+
+
+def variant_classes(variants: DataFrame) -> DataFrame:
+    """(variant, class_id, odd, load): texts are alike if their forms are equal under Spark's UNICODE collation.
+
+    That collation heeds accents and case, but not whether an accent is written as one character or
+    two. class_id is the digest of the least form of the class.
+    """
+    least = variants.groupBy(F.collate("form", "UNICODE").alias("shape")).agg(F.min("form").alias("least"))
+    alike = variants.join(least, F.collate("form", "UNICODE") == F.col("shape"))
+    return alike.select("variant", F.sha2("least", 256).alias("class_id"), "odd", "load")
 
 
-def canonical_members(classes: DataFrame) -> DataFrame:
-    """Per class: the canonical variant, the one with the fewest unusual characters, then the least digest."""
-    return classes.groupBy("class_id").agg(
-        F.min(F.struct("odd", "variant")).alias("best"), F.count(F.lit(1)).alias("members"),
-        F.min("doc_id").alias("first_doc"),
-    ).select("class_id", F.col("best.variant").alias("canonical"), "members", "first_doc")
+def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Per document with visible text (doc_id, variant, class_id, odd), and the classes' variants.
+
+    Null, empty and blank texts are in no class. Equal texts share class and variant. Other columns are ignored.
+    """
+    classes = materialize(variant_classes(materialize(text_variants(docs, text_col), "variants")), "classes")
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.sha2(text_col, 256).alias("variant"))
+    return lookup(rows, classes, "variant"), classes
+
+
+def canonical_variants(classes: DataFrame) -> DataFrame:
+    """(class_id, variant, load): the variant with the fewest unusual characters, then the least digest."""
+    return classes.groupBy("class_id").agg(F.min(F.struct("odd", "variant")).alias("best"), F.sum("load").alias("load")).select(
+        "class_id", F.col("best.variant").alias("variant"), "load"
+    )
 
 
 def consistent_texts(docs: DataFrame) -> DataFrame:
@@ -99,15 +108,15 @@ def consistent_texts(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts come out as they are, with a null class.
     """
-    classes = lookalike_classes(docs)
-    members = materialize(classes.select("doc_id", "class_id", "variant", "odd"), "classes")
-    chosen = canonical_members(members)
-    holder = members.join(chosen, "class_id").filter("variant = canonical").groupBy("class_id").agg(F.min("doc_id").alias("holder"))
+    members, classes = lookalike_classes(docs)
+    members = materialize(members.select("doc_id", "class_id", "variant"), "members")
+    chosen = canonical_variants(classes)
+    holders = members.join(chosen, ["class_id", "variant"]).groupBy("class_id", "load").agg(F.min("doc_id").alias("holder"))
     texts = (
         docs.select(F.col("doc_id").alias("holder"), plain_signs(F.col("text")).alias("plain"))
-        .join(holder, "holder").select("class_id", F.replace("plain", F.lit(JOINED_EMOJI), F.lit("\u200d")).alias("plain"))
+        .join(holders, "holder").select("class_id", "load", F.replace("plain", F.lit(JOINED_EMOJI), F.lit("\u200d")).alias("plain"))
     )
-    placed = members.select("doc_id", "class_id").join(texts, "class_id")
+    placed = lookup(members.select("doc_id", "class_id"), materialize(texts, "canonical"), "class_id")
     return docs.select("doc_id", "text").join(placed, "doc_id", "left").select(
         "doc_id", "class_id", F.coalesce("plain", "text").alias("text")
     )
@@ -119,11 +128,12 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
     Variants of a class are paired first; documents are put in for each pair of variants, so copies
     of one text are never compared with each other.
     """
-    members = materialize(lookalike_classes(docs).select("doc_id", "class_id", "variant"), "classes")
-    variants = members.select("class_id", "variant").distinct()
+    members, variants = lookalike_classes(docs)
+    variants = variants.select("class_id", "variant")
     several = variants.groupBy("class_id").count().filter("count > 1").select("class_id")
     left = variants.join(several, "class_id", "left_semi").withColumnRenamed("variant", "v1")
     pairs = left.join(left.withColumnRenamed("v1", "v2"), "class_id").filter("v1 < v2")
+    members = materialize(members.join(several, "class_id", "left_semi").select("doc_id", "class_id", "variant"), "members")
     one = members.select("class_id", F.col("variant").alias("v1"), F.col("doc_id").alias("d1"))
     two = members.select("class_id", F.col("variant").alias("v2"), F.col("doc_id").alias("d2"))
     return pairs.join(one, ["class_id", "v1"]).join(two, ["class_id", "v2"]).select(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import second_segment
-from loomspark.operators import hierarchy
+from loomspark.operators import hierarchy, skew
+from loomspark.runtime import materialize
 
 
 def complete_ideas(messages: DataFrame) -> DataFrame:
@@ -35,7 +36,10 @@ def threads(messages: DataFrame, starts: DataFrame, max_hops: int = 100) -> Data
     resolved = hierarchy.message_forest(once.withColumn("trunc_link_id", F.lit(None).cast("string")))
     ways = hierarchy.paths(resolved).filter(F.col("state") == "complete").filter(F.col("hops") <= max_hops)
     steps = ways.join(starts.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("start_id"), F.posexplode("path").alias("at", "id"))
-    told = steps.join(once.select("id", "body", "ups", "downs"), "id")
+    # a root lies on the paths of all its descendants
+    steps = materialize(steps, "steps")
+    load = steps.groupBy("id").agg(F.count(F.lit(1)).alias("load"))
+    told = skew.lookup(steps, once.select("id", "body", "ups", "downs").join(load, "id"), "id")
     # a path has at most max_hops + 1 messages, so the list is bounded
     return told.groupBy("start_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("body", F.lit("")).alias("b")))), lambda x: x["b"]), "\n\n---\n\n").alias("full_thread_body"),

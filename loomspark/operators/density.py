@@ -31,7 +31,7 @@ def _anchors(vectors: DataFrame, column: str, count: int) -> np.ndarray:
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
-def close_pairs(vectors: DataFrame, id_col: str, column: str, eps: float, anchors: int = 64) -> DataFrame:
+def close_pairs(vectors: DataFrame, id_col: str, column: str, eps: float, anchors: int = 64, block_rows: int = 20_000) -> DataFrame:
     """(a, b) with a < b and Euclidean distance at most eps, exactly.
 
     Rows go to the cell of their nearest anchor, and besides to every cell they could have a partner in: by the
@@ -62,24 +62,33 @@ def close_pairs(vectors: DataFrame, id_col: str, column: str, eps: float, anchor
     usable = vectors.filter(F.col(column).isNotNull()).select(id_col, F.col(column).cast("array<float>"))
     if not len(fixed):
         return vectors.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}")
-    placed = usable.mapInArrow(place, f"id {id_type}, home boolean, cell int, v array<float>")
+    placed = materialize(usable.mapInArrow(place, f"id {id_type}, home boolean, cell int, v array<float>"), "placed")
+    # a cell with many rows is compared in blocks of bounded size: every block of asked rows with every block of all rows
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # one row per anchor
+    blocks = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / block_rows).alias("blocks")))
+    cut = placed.join(blocks, "cell")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    asked = cut.filter("home").select("cell", own.alias("q"), every.alias("b"), F.lit(True).alias("home"), "id", "v")
+    held = cut.select("cell", every.alias("q"), own.alias("b"), F.lit(False).alias("home"), "id", "v")
 
     def compare(table: pa.Table) -> pa.Table:
         x = np.array(table.column("v").to_pylist(), dtype=np.float64)
         ids = table.column("id").to_pylist()
-        home = np.flatnonzero(table.column("home").to_numpy(zero_copy_only=False))
+        is_home = table.column("home").to_numpy(zero_copy_only=False)
+        home, rest = np.flatnonzero(is_home), np.flatnonzero(~is_home)
         sq = (x**2).sum(1)
         left, right = [], []
         for lo in range(0, len(home), 1024):
             rows = home[lo : lo + 1024]
-            d2 = sq[rows][:, None] + sq[None, :] - 2 * x[rows] @ x.T
+            d2 = sq[rows][:, None] + sq[rest][None, :] - 2 * x[rows] @ x[rest].T
             for i, j in zip(*np.nonzero(d2 <= eps * eps + 1e-12)):
-                a, b = ids[rows[i]], ids[j]
+                a, b = ids[rows[i]], ids[rest[j]]
                 if a != b:
                     left.append(min(a, b)), right.append(max(a, b))
         return pa.table({"a": pa.array(left, table.schema.field("id").type), "b": pa.array(right, table.schema.field("id").type)})
 
-    return placed.groupBy("cell").applyInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+    return asked.unionByName(held).groupBy("cell", "q", "b").applyInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

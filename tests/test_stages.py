@@ -74,6 +74,7 @@ def test_close_pairs_same_as_brute_force(spark):
     x = rng.normal(size=(300, 4)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "i int, v array<float>")
     got = {(r.a, r.b) for r in density.close_pairs(df, "i", "v", 0.8, anchors=9).collect()}
+    assert got == {(r.a, r.b) for r in density.close_pairs(df, "i", "v", 0.8, anchors=3, block_rows=40).collect()}
     d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
     assert got == {(a, b) for a in range(300) for b in range(a + 1, 300) if d[a, b] <= 0.8}
 

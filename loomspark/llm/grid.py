@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.operators.skew import lookup
 from loomspark.runtime import materialize
 
 WORD = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
@@ -107,7 +108,7 @@ def _cells(texts: DataFrame, frame: list[str], same: dict[str, str], n: int) ->
     bound = _bound(where.select(F.col("phrase").alias("item"), F.col("clause").alias("i"), "clauses"), tested.withColumnRenamed("phrase", "item"), words, n)
     idle = tested.select("phrase").join(bound.withColumnRenamed("item", "phrase"), "phrase", "left_anti")
     axes = counts.join(F.broadcast(idle), "phrase", "left_anti")
-    points = spots.join(axes, "phrase").groupBy("message_id").agg(
+    points = lookup(spots, axes.withColumn("load", F.col("count")), "phrase").groupBy("message_id").agg(
         F.sort_array(F.collect_list(F.struct("phrase", "clause", (F.col("count") / n).alias("share")))).alias("f")
     )
     # every choice of three phrases from different clauses is the text's cell in that subspace
@@ -124,7 +125,7 @@ def _cells(texts: DataFrame, frame: list[str], same: dict[str, str], n: int) ->
     dense = filled.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("chance").alias("chance")).filter("members > 1").withColumn(
         "density", excess
     ).filter(F.col("density") >= DENSITY + math.log(n))
-    return filled.select("message_id", "cell").join(dense.select("cell", "members", "density"), "cell")
+    return lookup(filled.select("message_id", "cell"), materialize(dense.select("cell", "members", "density", F.col("members").alias("load")), "dense-cells"), "cell")
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -152,8 +153,9 @@ def _group(cells: DataFrame) -> DataFrame:
     """(message_id, label) by joining dense cells that share a text."""
     least = cells.groupBy("message_id").agg(F.min("cell").alias("least"))
     links = cells.select("message_id", "cell").join(least, "message_id").select(F.col("cell").alias("a"), F.col("least").alias("b")).distinct()
-    labels = _components(links)
-    return least.join(labels, F.col("least") == F.col("node")).select("message_id", "label")
+    labels = _components(links).withColumnRenamed("node", "least")
+    load = least.groupBy("least").agg(F.count(F.lit(1)).alias("load"))
+    return lookup(least, materialize(labels.join(load, "least"), "least-labels"), "least").select("message_id", "label")
 
 
 def _alternates(texts: DataFrame, groups: DataFrame, frame: list[str]) -> dict[str, str]:
@@ -215,7 +217,8 @@ def cluster_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = materialize(_group(cells), "groups")
     first = groups.groupBy("label").agg(F.min("message_id").alias("first_id"), F.count(F.lit(1)).alias("cluster_size"))
     density = cells.groupBy("message_id").agg(F.max("members").alias("densest"), F.sum("density").alias("density"))
-    members = groups.join(first, "label").join(density, "message_id").select("message_id", "first_id", "cluster_size", "densest", "density")
+    first = materialize(first.withColumn("load", F.col("cluster_size")), "first")
+    members = lookup(groups, first, "label").join(density, "message_id").select("message_id", "first_id", "cluster_size", "densest", "density")
     return members, cells
 
 

@@ -77,7 +77,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def spark_write(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()

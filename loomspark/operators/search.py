@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,41 +19,47 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bm25(docs: DataFrame, id_col: str, field: str, query: str) -> DataFrame:
-    """(id, score) of documents with any word of the query, by Okapi BM25 over one field, to nine digits.
+def query_words(query: str) -> list[str]:
+    return sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
 
-    Lengths and document frequencies are over all documents whose field isn't null. Only the query's words are
-    exploded, so what is shuffled is one row per document, word and match.
-    """
-    wanted = sorted({w for w in _split(query)})
-    if not wanted:
-        return docs.select(F.col(id_col).alias("id")).limit(0).withColumn("score", F.lit(0.0))
-    words = docs.filter(F.col(field).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(field)).alias("t"))
-    sized = words.select("id", F.size("t").alias("dl"), F.filter("t", lambda w: w.isin(wanted)).alias("hit"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    matched = sized.filter(F.size("hit") > 0).select("id", "dl", F.explode("hit").alias("w")).groupBy("id", "dl", "w").agg(F.count(F.lit(1)).alias("tf"))
-    df = matched.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = totals.first()  # two numbers
-    n, avgdl = float(n), float(avgdl or 1.0) or 1.0
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    # one row per query word
-    return matched.join(F.broadcast(df), "w").groupBy("id").agg(F.round(F.sum(part), 9).alias("score"))
+
+def _times(words: Column, word: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == word))
 
 
-def _split(query: str) -> list[str]:
-    import re
+def relevance(docs: DataFrame, fields: dict[str, float], query: str) -> Column:
+    """The best boosted Okapi BM25 score of a row's fields, to nine digits; 0 if no word of the query occurs.
 
-    return [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    Lengths and document frequencies are over all of `docs` with a value in the field; they are gathered in one
+    aggregation to one row, of as many numbers as the query has words. The score itself is an
+    expression on the row, so ranking needs no shuffle.
+    """
+    wanted = query_words(query)
+    if not wanted or not fields:
+        return F.lit(0.0)
+    figures = []
+    for field in fields:
+        t = terms(F.col(field))
+        figures += [F.count(field), F.avg(F.when(F.col(field).isNotNull(), F.size(t)))]
+        figures += [F.count(F.when(F.array_contains(t, w), 1)) for w in wanted]
+    row = docs.agg(*[f.alias(f"f{i}") for i, f in enumerate(figures)]).first()
+    scores, width = [], 2 + len(wanted)
+    for i, (field, boost) in enumerate(fields.items()):
+        n, mean, *df = row[i * width : (i + 1) * width]
+        t = terms(F.col(field))
+        length, total = F.size(t), F.lit(0.0)
+        for w, k in zip(wanted, df):
+            if k:
+                tf = _times(t, w)
+                idf = math.log(1 + (n - k + 0.5) / (k + 0.5))
+                total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))).otherwise(0.0)
+        scores.append(F.coalesce(total, F.lit(0.0)) * boost)
+    return F.round(F.greatest(*scores) if len(scores) > 1 else scores[0], 9)
 
 
 def multi_match(docs: DataFrame, id_col: str, fields: dict[str, float], query: str) -> DataFrame:
-    """(id, score): the best boosted field score of each document."""
-    out = None
-    for field, boost in fields.items():
-        one = bm25(docs, id_col, field, query).withColumn("score", F.col("score") * boost)
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("id").agg(F.max("score").alias("score"))
+    """(id, score) of the documents with any word of the query in any field."""
+    return docs.select(F.col(id_col).alias("id"), relevance(docs, fields, query).alias("score")).filter("score > 0")
 
 
 def filtered(docs: DataFrame, equal: dict | None = None, ranges: dict | None = None) -> DataFrame:
@@ -87,11 +95,9 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 10, la
 
 def search(docs: DataFrame, id_col: str, fields: dict[str, float], query: str = "", equal: dict | None = None, ranges: dict | None = None, sort: str = "", number: int = 1, size: int = 10) -> tuple[DataFrame, DataFrame]:
     """(page, total) of a search: filters first, then relevance or the sort, ties by id."""
-    rows = filtered(docs, equal, ranges)
+    rows = filtered(docs, equal, ranges).withColumn("score", relevance(docs, fields, query))
     if query:
-        rows = rows.join(multi_match(docs, id_col, fields, query).withColumnRenamed("id", id_col), id_col)
-    else:
-        rows = rows.withColumn("score", F.lit(0.0))
+        rows = rows.filter("score > 0")
     if sort:
         column, down = sort_key(sort, docs.columns)
         order = [F.desc(column) if down else F.asc(column), F.asc(id_col)]

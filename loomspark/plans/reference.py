@@ -9,7 +9,7 @@ from loomspark.functions import text as X
 from loomspark.functions import vectors as V
 from loomspark import schemas
 from loomspark.operators import chains, density, inference, messages, relations, rollups, search, writeback
-from loomspark.runtime import scratch_path, table
+from loomspark.runtime import materialize, scratch_path, table
 from loomspark.sources import dumps, sinks, tables
 
 QUERIES = {}
@@ -28,10 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored messages, one row per id: copies differ in ingested_at only."""
+def _messages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Stored messages, one row per id, with the columns asked for: copies differ in ingested_at only."""
     m = table(spark, sf_dir, "all_messages")
-    return m.groupBy("id").agg(F.min(F.struct(*[c for c in m.columns if c != "id"])).alias("r")).select("id", "r.*")
+    return m.groupBy("id").agg(F.min(F.struct(*columns)).alias("r")).select("id", "r.*")
 
 
 _ONCE = "once AS (SELECT DISTINCT ON (id) * FROM all_messages WHERE id IS NOT NULL ORDER BY id, ingested_at)"
@@ -119,7 +119,7 @@ def x21_x22_vectors(spark, sf_dir):
 # ---- sources and normalisation -----------------------------------------------------------------
 def _raw(spark, sf_dir):
     """Messages in the shape of a raw dump: starting posts have a name and a title, comments a body."""
-    m = _messages(spark, sf_dir)
+    m = _messages(spark, sf_dir, "link_id", "parent_id", "subreddit", "author", "body", "permalink", "created_utc", "ups", "downs")
     top = F.coalesce("parent_id", F.lit("")) == ""
     return m.select(
         "id", F.when(top, F.concat(F.lit("t3_"), "id")).alias("name"), "link_id", "parent_id", "subreddit", "author",
@@ -166,14 +166,14 @@ def s8_k1_flagship(spark, sf_dir):
     * CASE WHEN regexp_matches(body, '\\$\\d+|[0-9]+%|\\d+ (users|customers|months)') AND len(list_filter(regexp_split_to_array(body, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) > 100 THEN 1.5 ELSE 1 END END AS score FROM once)
   SELECT id, CAST(score AS DOUBLE) AS score FROM q WHERE score >= 1""")
 def f7_quality(spark, sf_dir):
-    scored = _messages(spark, sf_dir).select("id", messages.quality_score(F.col("body"), F.col("ups")).alias("score"))
+    scored = _messages(spark, sf_dir, "body", "ups").select("id", messages.quality_score(F.col("body"), F.col("ups")).alias("score"))
     return scored.filter("score >= 1")
 
 
 @query(f"""WITH {_ONCE} SELECT id, body FROM once WHERE regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate')
   AND NOT is_idea AND nlp_top_score IS NULL AND length(body) > 10""")
 def f11_f12_candidates(spark, sf_dir):
-    m = _messages(spark, sf_dir).withColumn("cpu_filter_is_idea", X.any_phrase(F.col("body"), messages.IDEA_WORDS, True))
+    m = _messages(spark, sf_dir, "body", "is_idea", "nlp_top_score").withColumn("cpu_filter_is_idea", X.any_phrase(F.col("body"), messages.IDEA_WORDS, True))
     return messages.long_enough(messages.nlp_candidates(m), "body", 10)
 
 
@@ -195,7 +195,7 @@ def f22_f25_f26_columns(spark, sf_dir):
 
 @query(f"""WITH {_ONCE} SELECT id, trim(body) AS body, CAST(ups AS VARCHAR) AS ups FROM once WHERE id <> '' AND length(subreddit) >= 2 AND trim(body) <> '' AND ups IS NOT NULL""")
 def f20_f21_validated(spark, sf_dir):
-    return messages.present(messages.validated(_messages(spark, sf_dir)), ["ups"]).select("id", "body", "ups")
+    return messages.present(messages.validated(_messages(spark, sf_dir, "subreddit", "body", "ups")), ["ups"]).select("id", "body", "ups")
 
 
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '0') AS k, coalesce(json_extract_string(props, '$.gone'), 'none') AS gone FROM events WHERE event_type = 'click'""")
@@ -215,12 +215,12 @@ def _results(spark, sf_dir):
 @query(f"""WITH {_ONCE}, {_RESULTS} SELECT id, coalesce(one.nlp_label = 'idea', once.is_idea) AS is_idea, coalesce(one.nlp_score, once.nlp_top_score) AS nlp_top_score
   FROM once LEFT JOIN one USING (id)""")
 def j1_write_back(spark, sf_dir):
-    return writeback.write_back(_messages(spark, sf_dir), _results(spark, sf_dir)).select("id", "is_idea", "nlp_top_score")
+    return writeback.write_back(_messages(spark, sf_dir, "is_idea", "nlp_top_score"), _results(spark, sf_dir)).select("id", "is_idea", "nlp_top_score")
 
 
 @query(f"""WITH {_ONCE}, {_RESULTS} SELECT id, CASE WHEN one.nlp_label = 'idea' THEN true ELSE once.is_idea END AS is_idea FROM once LEFT JOIN one USING (id)""")
 def j2_write_back_once(spark, sf_dir):
-    return writeback.write_back(_messages(spark, sf_dir), _results(spark, sf_dir), reset=False).select("id", "is_idea")
+    return writeback.write_back(_messages(spark, sf_dir, "is_idea", "nlp_top_score"), _results(spark, sf_dir), reset=False).select("id", "is_idea")
 
 
 @query("""SELECT c.subreddit, c.cluster_id, c.message_count, o.cluster_size, o.avg_quality_score FROM cluster_data c JOIN opportunities o ON c.cluster_id = o.cluster_id AND c.subreddit = o.subreddit""")
@@ -283,7 +283,7 @@ _WALK = f"""WITH RECURSIVE {_ONCE},
 
 @query(_WALK + " SELECT m.id, m.subreddit, w.hops FROM w JOIN m USING (k) WHERE m.is_idea")
 def gr1_complete_ideas(spark, sf_dir):
-    return chains.complete_ideas(_messages(spark, sf_dir))
+    return chains.complete_ideas(_messages(spark, sf_dir, "subreddit", "parent_id", "link_id", "is_idea"))
 
 
 @query(rf"""WITH RECURSIVE {_ONCE}, m AS (SELECT id, nullif(regexp_replace(trim(parent_id), '^[tT]\d_', ''), '') AS p, coalesce(body, '') AS body, ups, downs, is_idea FROM once),
@@ -293,7 +293,7 @@ def gr1_complete_ideas(spark, sf_dir):
       FROM w JOIN m ON m.p = w.id WHERE w.hops < 100)
   SELECT w.id AS start_id, full_thread_body, total_ups, total_downs, total_ups / (hops + 1) AS avg_ups, total_downs / (hops + 1) AS avg_downs FROM w JOIN m USING (id) WHERE m.is_idea""")
 def gr2_a9_threads(spark, sf_dir):
-    m = _messages(spark, sf_dir)
+    m = materialize(_messages(spark, sf_dir, "parent_id", "link_id", "body", "ups", "downs", "is_idea"), "messages")  # read twice
     return chains.threads(m, m.filter("is_idea"))
 
 
@@ -318,7 +318,7 @@ def _members(spark, sf_dir):
     """Messages with the pile they are listed in; piles of fewer than three messages count as noise."""
     piles = table(spark, sf_dir, "cluster_data").select("cluster_id", F.explode("message_ids").alias("id"), F.size("message_ids").alias("n")).distinct()
     labelled = piles.select("id", F.when(F.col("n") < 3, -1).otherwise(F.col("cluster_id")).alias("cluster_id"))
-    return labelled.join(_messages(spark, sf_dir).select("id", "body", "ups", "downs", "nlp_top_score"), "id")
+    return labelled.join(_messages(spark, sf_dir, "body", "ups", "downs", "nlp_top_score"), "id")
 
 
 _MEMBERS = f"""{_ONCE}, piles AS (SELECT DISTINCT cluster_id, unnest(message_ids) AS id, len(message_ids) AS n FROM cluster_data),
@@ -453,12 +453,12 @@ _CLASS = f"""{_ONCE}, c AS (SELECT id, length(body) - length(replace(body, '!',
 
 @query(f"""WITH {_CLASS} SELECT id AS row_id, CASE WHEN b > a THEN 'idea' ELSE 'pain_point' END AS nlp_label, round(1 / (1 + exp(-abs(a - b))), 4) AS nlp_score FROM c""")
 def m1_classify(spark, sf_dir):
-    return inference.classify(_messages(spark, sf_dir), "id", "body").withColumn("nlp_score", F.round(F.col("nlp_score").cast("double"), 4))
+    return inference.classify(_messages(spark, sf_dir, "body"), "id", "body").withColumn("nlp_score", F.round(F.col("nlp_score").cast("double"), 4))
 
 
 @query(f"""WITH {_CLASS} SELECT count(*) AS n, count(*) FILTER (b > a AND 1 / (1 + exp(-abs(a - b))) > 0.7) AS n_ideas FROM c""")
 def m3_threshold(spark, sf_dir):
-    found = inference.thresholded(inference.classify(_messages(spark, sf_dir), "id", "body"))
+    found = inference.thresholded(inference.classify(_messages(spark, sf_dir, "body"), "id", "body"))
     return found.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_idea"), 1)).alias("n_ideas"))
 
 

@@ -117,7 +117,10 @@ def test_search(spark):
     assert [r.id for r in page.collect()] == [1, 2] and total.first().total == 2
     assert [r.id for r in search.search(docs, "id", {}, sort="total_ups_desc", size=2, number=2)[0].collect()] == [3, 4]
     assert search.search(docs, "id", {}, ranges={"s": (0, 0)})[1].first().total == 2
-    assert search.bm25(docs, "id", "t", " -- ").count() == 0 and search.search(docs, "id", {}, number=99)[0].count() == 0
+    assert search.multi_match(docs, "id", {"t": 1.0}, " -- ").count() == 0 and search.search(docs, "id", {}, number=99)[0].count() == 0
+    two = docs.withColumn("u", F.lit("fox"))
+    scores = {r.id: r.score for r in search.multi_match(two, "id", {"t": 1.0, "u": 3.0}, "fox").collect()}
+    assert set(scores) == {1, 2, 3, 4} and scores[1] == max(scores.values()) and search.multi_match(docs.limit(0), "id", {"t": 1.0}, "x").count() == 0
     assert search.sort_key("popularity_desc", docs.columns) == ("total_ups", True)
     with pytest.raises(ValueError):
         search.sort_key("total_ups", docs.columns)

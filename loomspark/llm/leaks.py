@@ -34,7 +34,8 @@ def words(text: str | None) -> list[str]:
 class SeedIndex:
     """Seeds of a bounded block of items, sorted by hash, with the items' words for the check."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], near_share: float = 0.5):
+        self.near_share = near_share
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
         for item_id, text in items:
@@ -65,8 +66,10 @@ class SeedIndex:
         for mask, (hashes, item, place) in zip(MASKS, self.seeds):
             if not len(hashes):
                 continue
-            bits = np.array([c == "1" for c in mask])
-            whole = np.lib.stride_tricks.sliding_window_view(known, len(mask))[:, bits].all(axis=1)
+            whole = np.ones(len(doc) - len(mask) + 1, dtype=bool)
+            for j, bit in enumerate(mask):
+                if bit == "1":
+                    whole &= known[j : j + len(whole)]
             at = np.flatnonzero(whole)
             if not len(at):
                 continue
@@ -78,14 +81,28 @@ class SeedIndex:
         for k, shifts in lines.items():
             want = self.items[k]
             n = len(want)
-            exact, near = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+            if n < RUN:
+                continue
+            diagonals, most, equal = [], 0, 0
             for shift in shifts:
                 same = np.zeros(n, dtype=bool)
                 a, b = max(0, -shift), min(n, len(doc) - shift)
                 same[a:b] = doc[a + shift : b + shift] == want[a:b]
-                exact |= in_runs(same, RUN, RUN)
-                near |= in_runs(same, RUN, RUN - 2)
-            yield k, n, int(exact.sum()), int(near.sum())
+                sums = np.cumsum(same)
+                equal += int(sums[-1])
+                windows = sums[RUN - 1 :].copy()
+                windows[1:] -= sums[:-RUN]
+                most = max(most, int(windows.max()))
+                diagonals.append((same, windows))
+            if most < RUN and equal < self.near_share * n:
+                continue  # neither an exact run nor, at best, enough words in runs with changes
+            exact, near = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+            for same, windows in diagonals:
+                if most == RUN:
+                    exact |= covered(same, windows >= RUN)
+                near |= covered(same, windows >= RUN - 2)
+            if most == RUN or near.sum() >= self.near_share * n:
+                yield k, n, int(exact.sum()), int(near.sum())
 
 
 def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -104,23 +121,19 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def in_runs(same: np.ndarray, span: int, least: int) -> np.ndarray:
-    """Equal positions that lie in a window of `span` with at least `least` equal ones."""
-    n = len(same)
-    if n < span:
-        return np.zeros(n, dtype=bool)
-    sums = np.concatenate([[0], np.cumsum(same)])
-    good = (sums[span:] - sums[:-span]) >= least
-    edge = np.zeros(n + 1, dtype=np.int64)
+def covered(same: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Equal positions that lie in one of the windows of RUN that are marked by their first position."""
+    edge = np.zeros(len(same) + 1, dtype=np.int32)
     starts = np.flatnonzero(good)
-    edge[starts] += 1
-    edge[starts + span] -= 1
-    return (np.cumsum(edge)[:n] > 0) & same
+    edge[starts] = 1
+    edge[starts + RUN] -= 1
+    return (np.cumsum(edge[:-1]) > 0) & same
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, item_words, exact_words, near_words) for every document and item with a seed in common.
+    """(doc_id, item_id, item_words, exact_words, near_words) for every document and item that overlap.
 
+    They overlap if they share an exact run, or if runs with changed words hold half of the item's words.
     exact_words counts the item's words that occur in the document in runs of RUN or more
     consecutive words, near_words those in runs with up to two changed words in RUN. Both texts
     are compared in their look-alike form, in lower case, words only. Items of fewer than RUN words,
@@ -131,7 +144,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     shaped = items.select(F.col(item_id).alias("item_id"), skeleton(F.col("text")).alias("text"), F.length("text").alias("n")).filter("n > 0").distinct()
     blocks = materialize(shaped.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(_block_count(shaped, block_words)))), "items")
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), skeleton(F.col("text")).alias("text")).filter("text is not null")
+    corpus = docs.filter(F.col("text").isNotNull()).select(F.col(doc_id).alias("doc_id"), skeleton(F.col("text")).alias("text"))
     out = None
     for (block,) in blocks.select("block").distinct().orderBy("block").toLocalIterator():
         rows = [(r.item_id, r.text) for r in blocks.filter(F.col("block") == block).toLocalIterator()]

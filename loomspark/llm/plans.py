@@ -68,9 +68,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    # seeds also hit turns of phrase; an overlap is an exact run, or half an item with changed words
-    return found.filter("exact_words > 0 or 2 * near_words >= item_words")
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 import numpy as np
 
@@ -73,7 +72,8 @@ def test_masks_span_the_run():
     assert all(len(m) <= leaks.RUN and m[0] == "1" and "0" in m for m in leaks.MASKS)
 
 
-def test_in_runs():
-    same = np.array([1, 1, 1, 0, 1, 1, 1, 1, 0, 0], dtype=bool)
-    assert leaks.in_runs(same, 4, 4).tolist() == [False] * 4 + [True] * 4 + [False] * 2
-    assert leaks.in_runs(same[:2], 4, 4).tolist() == [False, False]
+def test_covered():
+    same = np.array([1, 1, 1, 1, 1, 1, 1, 1, 0, 1], dtype=bool)
+    good = np.array([True, False, True])
+    assert leaks.covered(same, good).tolist() == [True] * 8 + [False, True]
+    assert not leaks.covered(same, np.zeros(3, dtype=bool)).any()

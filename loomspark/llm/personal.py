@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -13,16 +14,19 @@ MAX_NAMES = 1_000_000  # entries of a name list that are sent to the tasks
 ACCEPT = 0.5
 
 # ---- e-mail -------------------------------------------------------------------------------------
-_LOCAL = r"[\w.+%'-]*[\w+]"
+_LOCAL = r"[\w.+%'-]{0,63}[\w+]"
 _AT = r"(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?)"
-_DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)"
+_DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s{1,3}dot\s{1,3})"
+_LABEL = r"[\w-]{1,63}"  # all parts are bounded, so that no text makes a search quadratic
 EMAIL = re.compile(
-    rf"(?<![\w.@/]){_LOCAL}{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,24}}(?![\w@])", re.IGNORECASE
+    rf"(?<![\w.@/]){_LOCAL}{_AT}[^\W_][\w-]{{0,62}}(?:{_DOT}[^\W_][\w-]{{0,62}}){{0,6}}{_DOT}[^\W\d_]{{2,24}}(?![\w@])", re.IGNORECASE
 )
 SPOKEN_EMAIL = re.compile(
-    rf"(?<![\w.@/]){_LOCAL}(?:\s+dot\s+[\w+-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+[^\W\d_]{{2,24}}(?!\w)", re.IGNORECASE
+    rf"(?<![\w.@/]){_LOCAL}(?:\s{{1,3}}dot\s{{1,3}}[\w+-]{{1,63}}){{0,6}}\s{{1,3}}at\s{{1,3}}{_LABEL}(?:\s{{1,3}}dot\s{{1,3}}{_LABEL}){{0,6}}\s{{1,3}}dot\s{{1,3}}[^\W\d_]{{2,24}}(?!\w)", re.IGNORECASE
+)
+SPOKEN_LOCAL = re.compile(
+    rf"(?<![\w.@/])[\w+-]{{1,63}}(?:\s{{1,3}}dot\s{{1,3}}[\w+-]{{1,63}}){{1,6}}{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{0,6}}{_DOT}[^\W\d_]{{2,24}}(?!\w)", re.IGNORECASE
 )
-SPOKEN_LOCAL = re.compile(rf"(?<![\w.@/])[\w+-]+(?:\s+dot\s+[\w+-]+)+{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,24}}(?!\w)", re.IGNORECASE)
 
 # ---- phone: pattern and score before context ------------------------------------------------------
 _EXT = r"(?:\s?(?:ext\.?|x)\s?\d{1,5})?"
@@ -84,16 +88,16 @@ _TYPES = (
 _UNIT = r"(?:(?:unit|flat|apt|apartment|suite|room|no\.?|nr\.?)\s*\d{1,4}[a-z]?\s*[/,]?\s*)"
 STREETS = [
     re.compile(
-        rf"(?<![\w$€£.,/-]){_UNIT}?\d{{1,4}}[a-z]?,?\s+(?:(?:n|s|e|w|ne|nw|se|sw)\.?\s+)?((?:[^\W\d_][\w'’-]*\s+){{1,3}}?)(?:{_TYPES})\b(?:\s+(?:{_TYPES})\b)?\.?",
+        rf"(?<![\w$€£.,/-]){_UNIT}?\d{{1,4}}[a-z]?,?\s{{1,4}}(?:(?:n|s|e|w|ne|nw|se|sw)\.?\s{{1,4}})?((?:[^\W\d_][\w'’-]{{0,40}}\s{{1,4}}){{1,3}}?)(?:{_TYPES})\b(?:\s{{1,4}}(?:{_TYPES})\b)?\.?",
         re.IGNORECASE,
     ),
-    re.compile(rf"(?<![\w$€£.,/-]){_UNIT}?\d{{1,4}}[a-z]?(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|allée|place|quai|chemin|impasse|route)\s+((?:(?:de\s+la|des|du|de)\s+|d['’])?)[^\W\d_][\w'’-]*", re.IGNORECASE),
-    re.compile(r"(?<![\w-])[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s+\d{1,4}(?:\s?[a-z])?\b()", re.IGNORECASE),
+    re.compile(rf"(?<![\w$€£.,/-]){_UNIT}?\d{{1,4}}[a-z]?(?:\s?(?:bis|ter))?,?\s{{1,4}}(?:rue|avenue|boulevard|allée|place|quai|chemin|impasse|route)\s{{1,4}}((?:(?:de\s{{1,4}}la|des|du|de)\s{{1,4}}|d['’])?)[^\W\d_][\w'’-]{{0,40}}", re.IGNORECASE),
+    re.compile(r"(?<![\w-])[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s{1,4}\d{1,4}(?:\s?[a-z])?\b()", re.IGNORECASE),
     # no word that says what it is, but a town and code after it
     re.compile(
-        rf"(?<![\w$€£.,/-])(?i:{_UNIT})?\d{{1,4}}[A-Za-z]?,?\s+((?:[^\W\d_][\w'’-]*\s+){{0,2}}[^\W\d_][\w'’-]*)[ ]*[,\n]\s*(?=[^\W\d_a-z][\w'’-]+\s+\d{{5}}(?!\s?\d))"
+        rf"(?<![\w$€£.,/-])(?i:{_UNIT})?\d{{1,4}}[A-Za-z]?,?\s{{1,4}}((?:[^\W\d_][\w'’-]{{0,40}}\s{{1,4}}){{0,2}}[^\W\d_][\w'’-]{{0,40}})[ ]*[,\n]\s*(?=[^\W\d_a-z][\w'’-]+\s{{1,4}}\d{{5}}(?!\s?\d))"
     ),
-    re.compile(r"(?<![\w-])(?:calle|avenida|avda\.?|plaza|paseo|camino|via|viale|piazza|corso|rua|travessa)\s+((?:[^\W\d_][\w'’-]*\s?){1,4}?),?\s+\d{1,4}(?:\s?[a-z])?\b", re.IGNORECASE),
+    re.compile(r"(?<![\w-])(?:calle|avenida|avda\.?|plaza|paseo|camino|via|viale|piazza|corso|rua|travessa)\s{1,4}((?:[^\W\d_][\w'’-]{0,40}\s?){1,4}?),?\s{1,4}\d{1,4}(?:\s?[a-z])?\b", re.IGNORECASE),
 ]
 FRENCH = STREETS[1]
 STREET_TAIL = re.compile(
@@ -126,13 +130,13 @@ NUMBERISH = re.compile(r"\d(?:[^\d\n]{0,4}\d){5}|\d(?:\s?\d){5}")
 STREET_WORDS = frozenset(_TYPES.split("|")) | frozenset(
     "rue avenue boulevard allée place quai chemin impasse route calle avenida avda plaza paseo camino via viale piazza corso rua travessa".split()
 )
-TOWN_CODE = re.compile(r"\d[A-Za-z]?,?\s+[^\d\n,]+[,\n]\s*[^\W\d_][\w'’-]+\s+\d{5}")
+TOWN_CODE = re.compile(r"\d[A-Za-z]?,?\s{1,4}[^\d\n,]{1,160}[,\n]\s{0,4}[^\W\d_][\w'’-]{1,60}\s{1,4}\d{5}")
 STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s+\d")
 CUE_WORDS = frozenset(
     "mr mrs ms miss mx dr prof professor herr frau sir madame señor señora sr sra name called signed regards best cheers sincerely yours spoke talk talked met ask asked "
     "credit thanks thank invoice written sent landlord landlady sister brother mother father mum dad wife husband son daughter boss doctor friend colleague partner aunt uncle cousin neighbor neighbour".split()
 )
-INITIAL_FIELD = re.compile(r"(?:^|[\n|])\s*[A-Z]\.")
+INITIAL_FIELD = re.compile(r"(?:^|[\n|])[ \t]{0,8}[A-Z]\.")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
@@ -200,7 +204,7 @@ class Finder:
             self._add(taken, self._phones(text))
         if not vocabulary.isdisjoint(self.names) or self._cued(text, vocabulary) or INITIAL_FIELD.search(text):
             self._add(taken, self._people(text, vocabulary))
-        return sorted(taken)
+        return taken
 
     def redact(self, text: str | None) -> str | None:
         """The text with every span replaced by its kind in brackets, e.g. [EMAIL]."""
@@ -214,9 +218,11 @@ class Finder:
 
     @staticmethod
     def _add(taken: list, spans) -> None:
-        for a, b, kind in spans:
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
+        """Keep spans in order and apart; what came first holds."""
+        for span in spans:
+            at = bisect.bisect(taken, span)
+            if (at == 0 or taken[at - 1][1] <= span[0]) and (at == len(taken) or span[1] <= taken[at][0]):
+                taken.insert(at, span)
 
     def _identities(self, text: str):
         for shape, sort in ID_SHAPES:
@@ -301,7 +307,7 @@ class Finder:
             elif w[0].isupper() and lowered[i] not in _PLAIN and len(w) > 2 and AFTER_NAME.match(text[b : b + 14]) and re.search(r"(?:^|[.!?\n]\s*)$", text[max(0, a - 3) : a]) and lowered[i] in self.names:
                 spans.append((a, b, "name"))
         # an initial and a surname in a field of their own
-        for m in () if not INITIAL_FIELD.search(text) else re.finditer(rf"(?:^|[\n|])\s*((?:{_CAP}|[A-Z]\.)(?:\s[A-Z]\.)?\s+(?:{_PARTICLE})?({_CAP}))(?=\s*(?:$|[\n|]))", text):
+        for m in () if not INITIAL_FIELD.search(text) else re.finditer(rf"(?:^|[\n|])[ \t]{{0,8}}((?:{_CAP}|[A-Z]\.)(?:\s[A-Z]\.)?\s+(?:{_PARTICLE})?({_CAP}))(?=\s*(?:$|[\n|]))", text):
             if re.match(r"[A-Z]\.", m.group(1)):
                 spans.append((m.start(1), m.end(1), "name"))
         for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):

@@ -62,6 +62,16 @@ def test_positions_are_code_points_and_rest_is_kept():
     assert FINDER.redact(None) is None and FINDER.redact("") == "" and FINDER.find(None) == []
 
 
+@pytest.mark.parametrize("unit", ["-", "\n", " ", "a-", "1 ", "1", "a.", "x@", "dot ", "at ", "1 a\n", "Zokom ", "A. ", "(", "12 a ", "+1 ", "a@b.test "])
+def test_long_odd_texts_take_linear_time(unit):
+    import time
+
+    text = "@ at dot (at) " + unit * (60_000 // len(unit))
+    began = time.process_time()
+    FINDER.find(text)
+    assert time.process_time() - began < 6
+
+
 def test_frames(spark):
     names = spark.createDataFrame([("Zokom", "given"), (None, "given"), (" ", "x")], "name_text string, name_kind string")
     rows = [("1", "a@b.test", "k"), ("1", "a@b.test", "k"), ("2", None, "k"), ("3", "", None), (None, "a@b.test", "k")]

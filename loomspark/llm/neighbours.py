@@ -142,7 +142,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    total = slim.filter(F.size("v") == width).count()
+    total = vectors.count()  # from the footers; it only sets the sample's share and the size of leaves
     share = min(1.0, 1.2 * SAMPLE / max(1, total))
     drawn = (slim if share == 1.0 else slim.sample(False, share, 11)).limit(SAMPLE + SAMPLE // 2).toArrow()
     sample = unit_rows(_one_array(drawn.column("v")), width)[1][:SAMPLE] if drawn.num_rows else np.empty((0, width), np.float32)

@@ -34,34 +34,66 @@ WIDE_FROM = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F) if chr(c + 0xFEE0
 WIDE_TO = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c + 0xFEE0) not in HYPHENS)
 
 
-def plain_signs(text: Column) -> Column:
-    """Without invisible characters; spaces, hyphens, wide forms and ligatures in their plain form."""
-    c = F.regexp_replace(text, "([\\p{So}\\p{Sk}\ufe0f])\u200d(?=\\p{So})", "$1" + JOINED_EMOJI)
-    c = F.regexp_replace(c, f"[{INVISIBLE}\u200d]", "")
-    c = F.translate(
-        c,
-        SPACES + HYPHENS + WIDE_FROM + "".join(WIDE_SIGNS),
-        " " * len(SPACES) + "-" * len(HYPHENS) + WIDE_TO + "".join(WIDE_SIGNS.values()),
-    )
-    has = c.rlike("[\ufb00-\ufb06]")
-    opened = c
+def _spelled(ranges: str) -> str:
+    """The characters of a class of single characters and ranges."""
+    out, i = [], 0
+    while i < len(ranges):
+        if ranges[i + 1 : i + 2] == "-":
+            out += [chr(c) for c in range(ord(ranges[i]), ord(ranges[i + 2]) + 1)]
+            i += 3
+        else:
+            out.append(ranges[i])
+            i += 1
+    return "".join(out)
+
+
+JOINER = "\u200d"
+SIGNS_FROM = SPACES + HYPHENS + WIDE_FROM + "".join(WIDE_SIGNS)
+SIGNS_TO = " " * len(SPACES) + "-" * len(HYPHENS) + WIDE_TO + "".join(WIDE_SIGNS.values())
+GONE = _spelled(INVISIBLE) + JOINER  # translate drops what has no counterpart
+SCRIPTS = "".join(chr(c) for c in range(0x370, 0x590))  # the blocks of Greek, Cyrillic and Armenian
+MARKS = "".join(chr(c) for c in range(0x300, 0x370) if chr(c) not in GONE)
+
+
+def _not_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
+
+
+def _mapped(text: Column, extra_from: str = "", extra_to: str = "") -> Column:
+    """Translation is one pass without a pattern; the patterns run only on the few texts that need them."""
+    joined = F.when(
+        text.contains(JOINER), F.regexp_replace(text, "([\\p{So}\\p{Sk}\ufe0f])" + JOINER + "(?=\\p{So})", "$1" + JOINED_EMOJI)
+    ).otherwise(text)
+    opened = joined
     for sign, letters in LIGATURES.items():
         opened = F.replace(opened, F.lit(sign), F.lit(letters))
-    return F.when(has, opened).otherwise(c)
+    c = F.when(F.translate(text, "".join(LIGATURES), "") != text, opened).otherwise(joined)
+    return F.when(_not_ascii(text), F.translate(c, SIGNS_FROM + extra_from + GONE, SIGNS_TO + extra_to)).otherwise(text)
+
+
+def plain_signs(text: Column) -> Column:
+    """Without invisible characters; spaces, hyphens, wide forms and ligatures in their plain form."""
+    return _mapped(text)
 
 
 def skeleton(text: Column) -> Column:
     """`plain_signs` with look-alike letters of other scripts mapped to Latin ones."""
-    return F.translate(plain_signs(text), LOOKALIKE_FROM, LOOKALIKE_TO)
+    return _mapped(text, LOOKALIKE_FROM, LOOKALIKE_TO)
+
+
+def is_visible(text: Column) -> Column:
+    """Whether the text holds anything but blanks and invisible characters; looks no further than the first."""
+    return text.rlike(f"[^\\s{SPACES}{INVISIBLE}{JOINER}]")
 
 
 def oddness(text: Column) -> Column:
     """How many characters are unusual: invisible, wide, special blanks, marks, mixed scripts in a word."""
-    odd = (
-        f"[{INVISIBLE}\u200d{SPACES}{HYPHENS}\ufb00-\ufb06\uff01-\uff5e]|\\p{{M}}"
-        r"|\p{IsLatin}(?=[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}])|[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}](?=\p{IsLatin})"
-    )
-    return F.regexp_count(text, F.lit(odd))
+    signs = F.length(text) - F.length(F.translate(text, SIGNS_FROM + GONE + MARKS + "".join(LIGATURES), ""))
+    other = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"
+    mixed = F.when(
+        F.translate(text, SCRIPTS, "") != text, F.regexp_count(text, F.lit(rf"\p{{IsLatin}}(?={other})|{other}(?=\p{{IsLatin}})"))
+    ).otherwise(0)
+    return F.when(_not_ascii(text), signs + mixed).otherwise(0)
 
 
 def text_variants(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -70,9 +102,8 @@ def text_variants(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Copies meet here with map-side combining, so a text stored very often is one row from here on.
     """
     text = F.col(text_col)
-    rows = docs.filter(text.isNotNull()).select(F.sha2(text_col, 256).alias("variant"), skeleton(text).alias("form"), oddness(text).alias("odd"))
-    visible = rows.filter(F.trim(F.regexp_replace("form", r"\s+", " ")) != "")
-    return visible.groupBy("variant").agg(F.min("form").alias("form"), F.min("odd").alias("odd"), F.count(F.lit(1)).alias("load"))
+    rows = docs.filter(is_visible(text)).select(F.sha2(text_col, 256).alias("variant"), skeleton(text).alias("form"), oddness(text).alias("odd"))
+    return rows.groupBy("variant").agg(F.min("form").alias("form"), F.min("odd").alias("odd"), F.count(F.lit(1)).alias("load"))
 
 
 def variant_classes(variants: DataFrame) -> DataFrame:

@@ -23,43 +23,45 @@ def query_words(query: str) -> list[str]:
     return sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
 
 
-def _times(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
-
-
-def relevance(docs: DataFrame, fields: dict[str, float], query: str) -> Column:
-    """The best boosted Okapi BM25 score of a row's fields, to nine digits; 0 if no word of the query occurs.
+def with_relevance(rows: DataFrame, docs: DataFrame, fields: dict[str, float], query: str) -> DataFrame:
+    """`rows` with `score`: the best boosted Okapi BM25 score of the fields, to nine digits; 0 without a match.
 
     Lengths and document frequencies are over all of `docs` with a value in the field; they are gathered in one
     aggregation to one row, of as many numbers as the query has words. The score itself is an
-    expression on the row, so ranking needs no shuffle.
+    expression on the row, so ranking needs no shuffle. A column `score` of the rows is replaced.
     """
     wanted = query_words(query)
     if not wanted or not fields:
-        return F.lit(0.0)
+        return rows.withColumn("score", F.lit(0.0))
+    split = {f"_t{i}": terms(F.col(field)) for i, field in enumerate(fields)}
     figures = []
-    for field in fields:
-        t = terms(F.col(field))
-        figures += [F.count(field), F.avg(F.when(F.col(field).isNotNull(), F.size(t)))]
+    for t in split:
+        figures += [F.count(t), F.avg(F.when(F.col(t).isNotNull(), F.size(t)))]
         figures += [F.count(F.when(F.array_contains(t, w), 1)) for w in wanted]
-    row = docs.agg(*[f.alias(f"f{i}") for i, f in enumerate(figures)]).first()
+    stats = docs.select(*[c.alias(t) for t, c in split.items()])
+    row = stats.agg(*[f.alias(f"f{i}") for i, f in enumerate(figures)]).first()
     scores, width = [], 2 + len(wanted)
-    for i, (field, boost) in enumerate(fields.items()):
+    for i, boost in enumerate(fields.values()):
         n, mean, *df = row[i * width : (i + 1) * width]
-        t = terms(F.col(field))
-        length, total = F.size(t), F.lit(0.0)
+        score = F.lit(0.0)
         for w, k in zip(wanted, df):
             if k:
-                tf = _times(t, w)
+                tf = _times(F.col(f"_t{i}"), w)
                 idf = math.log(1 + (n - k + 0.5) / (k + 0.5))
-                total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))).otherwise(0.0)
-        scores.append(F.coalesce(total, F.lit(0.0)) * boost)
-    return F.round(F.greatest(*scores) if len(scores) > 1 else scores[0], 9)
+                score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(f"_t{i}") / mean))).otherwise(0.0)
+        scores.append(F.coalesce(score, F.lit(0.0)) * boost)
+    best = F.round(F.greatest(*scores) if len(scores) > 1 else scores[0], 9)
+    return rows.withColumns(split).withColumn("score", best).drop(*split)
+
+
+def _times(words: Column, word: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == word))
 
 
 def multi_match(docs: DataFrame, id_col: str, fields: dict[str, float], query: str) -> DataFrame:
     """(id, score) of the documents with any word of the query in any field."""
-    return docs.select(F.col(id_col).alias("id"), relevance(docs, fields, query).alias("score")).filter("score > 0")
+    slim = docs.select(F.col(id_col).alias("id"), *[F.col(f) for f in fields])
+    return with_relevance(slim, slim, fields, query).select("id", "score").filter("score > 0")
 
 
 def filtered(docs: DataFrame, equal: dict | None = None, ranges: dict | None = None) -> DataFrame:
@@ -95,7 +97,8 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 10, la
 
 def search(docs: DataFrame, id_col: str, fields: dict[str, float], query: str = "", equal: dict | None = None, ranges: dict | None = None, sort: str = "", number: int = 1, size: int = 10) -> tuple[DataFrame, DataFrame]:
     """(page, total) of a search: filters first, then relevance or the sort, ties by id."""
-    rows = filtered(docs, equal, ranges).withColumn("score", relevance(docs, fields, query))
+    rows = filtered(docs, equal, ranges)
+    rows = with_relevance(rows, docs, fields, query)
     if query:
         rows = rows.filter("score > 0")
     if sort:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,9 +53,11 @@ def _phrases(clauses: Column, frame: list[str], same: dict[str, str]) -> Column:
             F.arrays_zip(F.slice(c, F.lit(1), F.size(c) - 1).alias("a"), F.slice(c, F.lit(2), F.size(c)).alias("b")),
             lambda p: F.struct(F.concat_ws(" ", p["a"], p["b"]).alias("phrase"), i.alias("clause")),
         )
-        return F.when(F.size(c) == 1, F.array(F.struct(F.get(c, F.lit(0)).alias("phrase"), i.alias("clause")))).otherwise(pairs)
+        single = F.array(F.struct(F.get(c, F.lit(0)).alias("phrase"), i.alias("clause")))
+        none = F.expr("cast(array() as array<struct<phrase: string, clause: int>>)")
+        return F.when(F.size(c) > 1, pairs).when(F.size(c) == 1, single).otherwise(none)
 
-    return F.flatten(F.transform(F.filter(content, lambda c: F.size(c) > 0), of_clause))
+    return F.flatten(F.transform(content, of_clause))
 
 
 def _common_words(texts: DataFrame, n: int) -> list[str]:
@@ -60,53 +65,82 @@ def _common_words(texts: DataFrame, n: int) -> list[str]:
 
     There are fewer than words-per-text / FRAME_SHARE of them, whatever the size of the input.
     """
+    often = _often(texts, FRAME_SHARE * n / 2)
+    tested = {w: k for w, k in often.items() if k > FRAME_SHARE * n}
+    found = F.flatten(F.transform("clauses", lambda c, i: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("phrase"), i.alias("clause")))))
+    return sorted(set(tested) - _bound(texts.select("clauses", found.alias("p")), tested, often, n))
+
+
+def _often(texts: DataFrame, least: float) -> dict[str, int]:
+    """Words in more than `least` texts; a fixed share of the texts, so their number is bounded."""
     words = texts.select(F.explode(F.array_distinct(F.flatten("clauses"))).alias("w")).groupBy("w").count()
-    often = materialize(words.filter(F.col("count") > 0.01 * n), "words")
-    tested = often.filter(F.col("count") > FRAME_SHARE * n)
-    # once per text, at the first clause that has the word
-    spread = texts.select(F.explode(F.array_distinct(F.flatten("clauses"))).alias("item"), "clauses").withColumn(
-        "i", F.array_position(F.transform("clauses", lambda c: F.array_contains(c, F.col("item"))), F.lit(True)) - 1
-    )
-    bound = _bound(spread.join(F.broadcast(tested.select(F.col("w").alias("item"))), "item", "left_semi"), tested.withColumnRenamed("w", "item"), often, n)
-    return [r.item for r in tested.select(F.col("w").alias("item")).join(bound, "item", "left_anti").toLocalIterator()]
+    return {r.w: r[1] for r in words.filter(F.col("count") > least).toLocalIterator()}
 
 
-def _bound(occurrences: DataFrame, items: DataFrame, often: DataFrame, n: int) -> DataFrame:
+def _bound(rows: DataFrame, items: dict[str, int], often: dict[str, int], n: int) -> set[str]:
     """Items with a word, in other clauses, in half of their texts and twice as often as elsewhere.
 
     A phrase of a topic has such words, however large the topic is; a turn of phrase has not. Words that
     hardly ever stand more than one clause away don't count: they belong to the same turn of phrase.
+    `rows` has the clauses and the phrases with their clause. Both vocabularies are bounded (see
+    the callers), so every task counts into two matrices and only their cells are shuffled.
     """
-    beside = F.array_distinct(F.flatten(F.filter("clauses", lambda c, j: j != F.col("i"))))
-    away = F.array_distinct(F.flatten(F.filter("clauses", lambda c, j: F.abs(j - F.col("i")) > 1)))
-    near_only = F.array_except(beside, away)
-    told = F.concat(
-        F.transform(away, lambda w: F.struct(w.alias("w"), F.lit(1).alias("far"))), F.transform(near_only, lambda w: F.struct(w.alias("w"), F.lit(0).alias("far")))
-    )
-    met = occurrences.select("item", F.explode(told).alias("t")).select("item", "t.w", "t.far")
-    # often has a bounded number of words, as each is in a fixed share of the texts
-    met = met.join(F.broadcast(often.select("w")), "w", "left_semi")
-    together = met.groupBy("item", "w").agg(F.count(F.lit(1)).alias("both"), F.sum("far").alias("far"))
-    return (
-        together.join(F.broadcast(items.select("item", F.col("count").alias("k"))), "item").filter("both >= 0.5 * k and far >= 0.25 * both")
-        .join(often.select("w", F.col("count").alias("kw")), "w")
-        .filter((F.col("both") / F.col("k")) >= 2 * F.col("kw") / F.lit(n)).select("item").distinct()
+    if not items or not often:
+        return set()
+    counts = rows.mapInArrow(_count_partners(items, often), "item string, w string, both long, far long").groupBy("item", "w").agg(
+        F.sum("both").alias("both"), F.sum("far").alias("far")
     )
+    # at most one row per item and partner
+    return {
+        r.item for r in counts.filter("far >= 0.25 * both").toLocalIterator()
+        if r.both >= 0.5 * items[r.item] and r.both / items[r.item] >= 2 * often[r.w] / n
+    }
+
+
+def _count_partners(items: dict[str, int], often: dict[str, int]):
+    item_at, word_at = {w: i for i, w in enumerate(items)}, {w: i for i, w in enumerate(often)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((len(item_at), len(word_at)), dtype=np.int64)
+        far = np.zeros_like(both)
+        for batch in batches:
+            for clauses, phrases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first: dict[int, int] = {}
+                for p in phrases:
+                    at = item_at.get(p["phrase"])
+                    if at is not None:
+                        first[at] = min(first.get(at, p["clause"]), p["clause"])
+                if not first:
+                    continue
+                has = np.zeros((len(clauses) + 2, len(word_at)), dtype=np.int16)
+                for j, clause in enumerate(clauses, 1):
+                    has[j, [word_at[w] for w in clause if w in word_at]] = 1
+                at, here = np.fromiter(first, dtype=np.int64), np.fromiter(first.values(), dtype=np.int64) + 1
+                beside = has.sum(axis=0) - has[here]
+                both[at] += beside > 0
+                far[at] += beside - has[here - 1] - has[here + 1] > 0
+        i, w = np.nonzero(both)
+        if len(i):
+            names, words = np.array(list(item_at), dtype=object), np.array(list(word_at), dtype=object)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[i], pa.string()), pa.array(words[w], pa.string()), pa.array(both[i, w]), pa.array(far[i, w])], ["item", "w", "both", "far"]
+            )
+
+    return run
 
 
 def _cells(texts: DataFrame, frame: list[str], same: dict[str, str], n: int) -> DataFrame:
     """(message_id, cell, members, density) for the dense cells of every text."""
     phrased = texts.select("message_id", "clauses", _phrases(F.col("clauses"), frame, same).alias("p"))
-    spots = phrased.select("message_id", "clauses", F.explode("p").alias("p")).groupBy("message_id", F.col("p.phrase").alias("phrase")).agg(
+    spots = phrased.select("message_id", F.explode("p").alias("p")).groupBy("message_id", F.col("p.phrase").alias("phrase")).agg(
         F.min("p.clause").alias("clause")
     )
     spots = materialize(spots, "phrases")
     counts = materialize(spots.groupBy("phrase").count().filter("count > 1"), "phrase-counts")
-    tested = counts.filter(F.col("count") > TESTED_SHARE * n)
-    words = texts.select(F.explode(F.array_distinct(F.flatten("clauses"))).alias("w")).groupBy("w").count().filter(F.col("count") > 0.005 * n)
-    where = spots.join(F.broadcast(tested.select("phrase")), "phrase", "left_semi").join(texts.select("message_id", "clauses"), "message_id")
-    bound = _bound(where.select(F.col("phrase").alias("item"), F.col("clause").alias("i"), "clauses"), tested.withColumnRenamed("phrase", "item"), words, n)
-    idle = tested.select("phrase").join(bound.withColumnRenamed("item", "phrase"), "phrase", "left_anti")
+    # fewer than phrases-per-text / TESTED_SHARE of them
+    tested = {r.phrase: r[1] for r in counts.filter(F.col("count") > TESTED_SHARE * n).toLocalIterator()}
+    bound = _bound(phrased.select("clauses", "p"), tested, _often(texts, TESTED_SHARE * n / 2), n)
+    idle = texts.sparkSession.createDataFrame([(w,) for w in tested if w not in bound], "phrase string")
     axes = counts.join(F.broadcast(idle), "phrase", "left_anti")
     points = lookup(spots, axes.withColumn("load", F.col("count")), "phrase").groupBy("message_id").agg(
         F.sort_array(F.collect_list(F.struct("phrase", "clause", (F.col("count") / n).alias("share")))).alias("f")

@@ -85,7 +85,7 @@ _TYPES = (
     r"street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|drive|dr|court|ct|close|cl|terrace|ter|way|place|pl|square|sq|crescent|cres|"
     r"mews|row|parade|grove|gardens|gdns|hill|walk|alley|quay|wharf|highway|hwy|parkway|pkwy|circle|cir|yard|green|rise|view|path"
 )
-_UNIT = r"(?:(?:unit|flat|apt|apartment|suite|room|no\.?|nr\.?)\s*\d{1,4}[a-z]?\s*[/,]?\s*)"
+_UNIT = r"(?:(?:unit|flat|apt|apartment|suite|room)\s*\d{1,4}[a-z]?\s*[/,]?\s*)"
 STREETS = [
     re.compile(
         rf"(?<![\w$€£.,/-]){_UNIT}?\d{{1,4}}[a-z]?,?\s{{1,4}}(?:(?:n|s|e|w|ne|nw|se|sw)\.?\s{{1,4}})?((?:[^\W\d_][\w'’-]{{0,40}}\s{{1,4}}){{1,3}}?)(?:{_TYPES})\b(?:\s{{1,4}}(?:{_TYPES})\b)?\.?",
@@ -198,10 +198,11 @@ class Finder:
         long_number = NUMBERISH.search(text) is not None
         if long_number:
             self._add(taken, self._identities(text))
+        # what follows may not reach into spans found before
         if not vocabulary.isdisjoint(STREET_WORDS) or STREET_END.search(low) or TOWN_CODE.search(text):
-            self._add(taken, self._addresses(text))
+            self._add(taken, self._addresses(self._masked(text, taken)))
         if long_number:
-            self._add(taken, self._phones(text))
+            self._add(taken, self._phones(self._masked(text, taken)))
         if not vocabulary.isdisjoint(self.names) or self._cued(text, vocabulary) or INITIAL_FIELD.search(text):
             self._add(taken, self._people(text, vocabulary))
         return taken
@@ -216,6 +217,16 @@ class Finder:
             at = b
         return "".join(out) + text[at:]
 
+    @staticmethod
+    def _masked(text: str, taken: list) -> str:
+        if not taken:
+            return text
+        out, at = [], 0
+        for a, b, _ in taken:
+            out += [text[at:a], "\0" * (b - a)]
+            at = b
+        return "".join(out) + text[at:]
+
     @staticmethod
     def _add(taken: list, spans) -> None:
         """Keep spans in order and apart; what came first holds."""

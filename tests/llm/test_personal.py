@@ -33,6 +33,7 @@ def found(text):
         ("25 Ropewalk Court\nTel 01632 960781, x", [("address", "25 Ropewalk Court"), ("phone", "01632 960781")]),
         ("only +61 491 570 266 My NI number is qq 14 65 15 c", [("phone", "+61 491 570 266"), ("id_number", "qq 14 65 15 c")]),
         ("T: 01632 960381\nUnit 5/8 Kestrel Lane", [("phone", "01632 960381"), ("address", "Unit 5/8 Kestrel Lane")]),
+        ("phone: 0491 570 006 73, rue des Tisserands", [("phone", "0491 570 006"), ("address", "73, rue des Tisserands")]),
         ("would pay $25 for a way to undo; 40 of us share the road", []),
         ("My name is Zokom Vidrovu and", [("name", "Zokom Vidrovu")]),
         ("Dr. Unlisted Cesormild-Vidrovu, hello", [("name", "Unlisted Cesormild-Vidrovu")]),

@@ -76,9 +76,20 @@ def plain_signs(text: Column) -> Column:
     return _mapped(text)
 
 
+def _normal(text: Column, way: str) -> Column:
+    """Accents apart ("decompose") or in one letter ("compose"), by the ICU library of Spark's collations; not for nulls."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(way), text, F.lit(False))
+
+
 def skeleton(text: Column) -> Column:
-    """`plain_signs` with look-alike letters of other scripts mapped to Latin ones."""
-    return _mapped(text, LOOKALIKE_FROM, LOOKALIKE_TO)
+    """`plain_signs` with look-alike letters of other scripts mapped to Latin ones, in composed form.
+
+    Accents are taken apart first, so an accented letter is mapped like the letter below its accent.
+    """
+    # as a list of one, since an expression that is named several times is evaluated as often
+    apart = F.array(_normal(text, "decompose"))
+    shape = F.transform(apart, lambda t: _mapped(t, LOOKALIKE_FROM, LOOKALIKE_TO))
+    return F.when(_not_ascii(text), _normal(F.get(shape, F.lit(0)), "compose")).otherwise(text)
 
 
 def is_visible(text: Column) -> Column:

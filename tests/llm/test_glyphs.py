@@ -1,3 +1,5 @@
+import unicodedata
+
 from loomspark.llm import glyphs as G
 
 GROUPS = [
@@ -22,6 +24,17 @@ def test_pairs(spark):
     assert got == want
 
 
+def test_composed_and_decomposed_letters_of_other_scripts(spark):
+    whole = ["Ёжик ещё её несёт", "ѐ ў ї Ќ ѓ", "ά ό Έ ὰ ᾂ", "ё", "е"]
+    apart = [unicodedata.normalize("NFD", t) for t in whole]
+    latin = [whole[0].replace("е", "e"), whole[3].replace("ё", "ë"), apart[3].replace("е", "e")]
+    got = {(r.doc_a, r.doc_b) for r in G.lookalike_pairs(frame(spark, whole + apart + latin)).collect()}
+    n = len(whole)
+    assert {(i, i + n) for i in range(n) if whole[i] != apart[i]} <= got
+    assert {p for p in got if 0 in p or n in p} == {(0, n), (0, 2 * n), (n, 2 * n)}
+    assert {p for p in got if 3 in p} == {(3, n + 3), (3, 2 * n + 1), (3, 2 * n + 2)} and not any(4 in p for p in got)
+
+
 def test_consistent_texts(spark):
     texts = [*GROUPS[0], *GROUPS[1], None, "", "alone here", "x" * 200_000]
     rows = {r.doc_id: (r.class_id, r.text) for r in G.consistent_texts(frame(spark, texts)).collect()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,6 @@ TESTED_SHARE = 0.02  # phrases in more texts than this must show that they belon
 DIMENSIONS = 3  # phrases, of different clauses, that make a cell of the grid
 DENSITY = 4.0  # log-likelihood, over that of one text among all, by which a cell's count must exceed chance
 ALTERNATES = 3  # clusters in which two words must stand for each other to count as one
-MAX_MODEL = 50_000  # words of the fitted vocabulary model that are sent to the tasks
 
 
 def distinct_messages(piles: DataFrame) -> DataFrame:
@@ -40,13 +38,10 @@ def _clauses(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), CLAUSE), lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0)))
 
 
-def _phrases(clauses: Column, frame: list[str], same: dict[str, str]) -> Column:
+def _phrases(clauses: Column, frame: list[str]) -> Column:
     """Per text (phrase, clause number): neighbouring content words, or the only one, of every clause."""
     frame_lit = F.array(*[F.lit(w) for w in frame]) if frame else F.expr("array('')")
     content = F.transform(clauses, lambda c: F.filter(c, lambda w: ~F.array_contains(frame_lit, w)))
-    if same:
-        mapping = F.create_map(*[F.lit(x) for x in chain.from_iterable(same.items())])
-        content = F.transform(content, lambda c: F.transform(c, lambda w: F.coalesce(F.try_element_at(mapping, w), w)))
 
     def of_clause(c, i):
         pairs = F.transform(
@@ -60,6 +55,19 @@ def _phrases(clauses: Column, frame: list[str], same: dict[str, str]) -> Column:
     return F.flatten(F.transform(content, of_clause))
 
 
+def _renamed(spots: DataFrame, same: DataFrame) -> DataFrame:
+    """`spots` with every word of their phrases in the form that `same` (word, label) gives it.
+
+    Words are looked up once per phrase, and phrases then per spot, so a frequent phrase is no one task's work.
+    """
+    phrases = materialize(spots.groupBy("phrase").agg(F.count(F.lit(1)).alias("load")), "phrase-loads")
+    words = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("at", "word"))
+    named = words.join(same, "word").groupBy("phrase").agg(F.map_from_entries(F.collect_list(F.struct("at", "label"))).alias("labels"))
+    name = F.array_join(F.transform(F.split("phrase", " "), lambda w, i: F.coalesce(F.try_element_at("labels", i), w)), " ")
+    table = phrases.join(named, "phrase", "left").select("phrase", F.when(F.col("labels").isNull(), F.col("phrase")).otherwise(name).alias("name"), "load")
+    return lookup(spots, materialize(table, "phrase-names"), "phrase").groupBy("message_id", F.col("name").alias("phrase")).agg(F.min("clause").alias("clause"))
+
+
 def _common_words(texts: DataFrame, n: int) -> list[str]:
     """Words in more than FRAME_SHARE of the texts that don't draw certain other words with them.
 
@@ -129,17 +137,21 @@ def _count_partners(items: dict[str, int], often: dict[str, int]):
     return run
 
 
-def _cells(texts: DataFrame, frame: list[str], same: dict[str, str], n: int) -> DataFrame:
+def _cells(texts: DataFrame, frame: list[str], same: DataFrame | None, n: int) -> DataFrame:
     """(message_id, cell, members, density) for the dense cells of every text."""
-    phrased = texts.select("message_id", "clauses", _phrases(F.col("clauses"), frame, same).alias("p"))
+    phrased = texts.select("message_id", _phrases(F.col("clauses"), frame).alias("p"))
     spots = phrased.select("message_id", F.explode("p").alias("p")).groupBy("message_id", F.col("p.phrase").alias("phrase")).agg(
         F.min("p.clause").alias("clause")
     )
     spots = materialize(spots, "phrases")
+    if same is not None:
+        spots = materialize(_renamed(spots, same), "phrases")
     counts = materialize(spots.groupBy("phrase").count().filter("count > 1"), "phrase-counts")
     # fewer than phrases-per-text / TESTED_SHARE of them
     tested = {r.phrase: r[1] for r in counts.filter(F.col("count") > TESTED_SHARE * n).toLocalIterator()}
-    bound = _bound(phrased.select("clauses", "p"), tested, _often(texts, TESTED_SHARE * n / 2), n)
+    often_said = texts.sparkSession.createDataFrame([(w,) for w in tested], "phrase string")
+    said = spots.join(F.broadcast(often_said), "phrase").groupBy("message_id").agg(F.collect_list(F.struct("phrase", "clause")).alias("p"))
+    bound = _bound(texts.join(said, "message_id").select("clauses", "p"), tested, _often(texts, TESTED_SHARE * n / 2), n)
     idle = texts.sparkSession.createDataFrame([(w,) for w in tested if w not in bound], "phrase string")
     axes = counts.join(F.broadcast(idle), "phrase", "left_anti")
     points = lookup(spots, axes.withColumn("load", F.col("count")), "phrase").groupBy("message_id").agg(
@@ -192,13 +204,13 @@ def _group(cells: DataFrame) -> DataFrame:
     return lookup(least, materialize(labels.join(load, "least"), "least-labels"), "least").select("message_id", "label")
 
 
-def _alternates(texts: DataFrame, groups: DataFrame, frame: list[str]) -> dict[str, str]:
-    """Words that stand for each other: the same neighbour, in the same cluster, in ALTERNATES clusters or more.
+def _alternates(texts: DataFrame, groups: DataFrame, frame: list[str]) -> DataFrame:
+    """(word, label) of words that stand for each other, label being the least of them: the same neighbour, in the same cluster, in ALTERNATES clusters or more.
 
     A word also has to be exchanged for the other in a good part of the clusters that have it, so
     two words of different meaning that one cluster mixes aren't joined.
     """
-    phrased = texts.select("message_id", F.explode(_phrases(F.col("clauses"), frame, {})).alias("p")).select("message_id", F.split("p.phrase", " ").alias("w")).filter("size(w) = 2")
+    phrased = texts.select("message_id", F.explode(_phrases(F.col("clauses"), frame)).alias("p")).select("message_id", F.split("p.phrase", " ").alias("w")).filter("size(w) = 2")
     held = phrased.join(groups, "message_id").groupBy("label", "w").agg(F.count(F.lit(1)).alias("k"))
     held = materialize(held, "held")
     sides = held.select("label", F.lit("l").alias("side"), F.col("w")[0].alias("kept"), F.col("w")[1].alias("word"), "k").unionByName(
@@ -215,19 +227,8 @@ def _alternates(texts: DataFrame, groups: DataFrame, frame: list[str]) -> dict[s
         pairs.join(used.withColumnsRenamed({"word": "x", "clusters": "cx"}), "x").join(used.withColumnsRenamed({"word": "y", "clusters": "cy"}), "y")
         .filter(F.col("n") >= 0.3 * F.least("cx", "cy"))
     )
-    rows = strong.orderBy(F.desc("n")).limit(MAX_MODEL).collect()  # a vocabulary model of bounded size, not links of texts
-    parent: dict[str, str] = {}
-
-    def root(w: str) -> str:
-        while parent.get(w, w) != w:
-            w = parent[w]
-        return w
-
-    for r in rows:
-        a, b = sorted((root(r.x), root(r.y)))
-        if a != b:
-            parent[b] = a
-    return {w: root(w) for w in parent if root(w) != w}
+    labels = _components(strong.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return labels.filter("node <> label").withColumnRenamed("node", "word")
 
 
 def cluster_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -239,14 +240,14 @@ def cluster_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouping shows which words stand for each other; the grid is then laid again with those joined.
     first_id is the least id of the cluster. Texts in no dense cell are in no cluster. Equal texts of
     different ids are members of their own. Everything is counted over all texts; what goes to
-    the driver is the vocabulary model only (common words and word pairs).
+    the driver is the common words and phrases only.
     """
     texts = materialize(messages.select("message_id", _clauses(F.col("text")).alias("clauses")), "texts")
     n = max(1, texts.count())
     frame = _common_words(texts, n)
-    cells = materialize(_cells(texts, frame, {}, n), "dense")
+    cells = materialize(_cells(texts, frame, None, n), "dense")
     same = _alternates(texts, materialize(_group(cells), "groups"), frame)
-    if same:
+    if not same.isEmpty():
         cells = materialize(_cells(texts, frame, same, n), "dense")
     groups = materialize(_group(cells), "groups")
     first = groups.groupBy("label").agg(F.min("message_id").alias("first_id"), F.count(F.lit(1)).alias("cluster_size"))

@@ -32,6 +32,22 @@ def test_planted_needs_are_found(spark):
     assert all(f == min(i for i, g in got.items() if g == f) for f in by)
 
 
+def test_all_words_that_stand_for_each_other_are_joined(spark):
+    """More strong pairs than any model that was sent to the driver held: 51,000, each in three clusters."""
+    pairs = spark.range(51_000).selectExpr("concat('kept', id) as k", "concat('ax', id) as x", "concat('by', id) as y")
+    told = pairs.selectExpr("explode(array(0, 1, 2)) as g", "*").selectExpr("concat('g', g) as label", "k", "explode(array(x, y)) as w")
+    texts = told.selectExpr("concat(label, k, w) as message_id", "array(array(k, w)) as clauses", "label")
+    same = grid._alternates(texts.select("message_id", "clauses"), texts.select("message_id", "label"), [])
+    assert same.count() == 51_000 and same.filter("substr(word, 3) <> substr(label, 3) or word not like 'by%' or label not like 'ax%'").isEmpty()
+
+
+def test_renamed_phrases(spark):
+    spots = spark.createDataFrame([("m", "red car", 2), ("m", "red auto", 1), ("m", "alone", 3), ("n", "auto", 0)], "message_id string, phrase string, clause int")
+    same = spark.createDataFrame([("car", "auto"), ("red", "dark")], "word string, label string")
+    got = {tuple(r) for r in grid._renamed(spots, same).select("message_id", "phrase", "clause").collect()}
+    assert got == {("m", "dark auto", 1), ("m", "alone", 3), ("n", "auto", 0)}
+
+
 def test_one_need_holds_a_third(spark):
     rows, truth = corpus(20, 9)
     big = [r for r in rows if truth[r[0]] == 0]

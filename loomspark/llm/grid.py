@@ -19,7 +19,8 @@ CLAUSE = r"[.,;:!?()\n\r]+|\s[-–—]+(?=\s|$)"
 FRAME_SHARE = 0.15  # words in more texts than this are grammar, unless they come with certain others
 TESTED_SHARE = 0.02  # phrases in more texts than this must show that they belong to a topic
 DIMENSIONS = 3  # phrases, of different clauses, that make a cell of the grid
-DENSITY = 4.0  # log-likelihood, over that of one text among all, by which a cell's count must exceed chance
+DENSITY = 4.0  # log-likelihood, over that of one text among USUAL, by which a cell's count must exceed chance
+USUAL = 600  # fixed, so that a cell is judged alike in a table of any size
 ALTERNATES = 3  # clusters in which two words must stand for each other to count as one
 
 
@@ -170,7 +171,7 @@ def _cells(texts: DataFrame, frame: list[str], same: DataFrame | None, n: int) -
     excess = F.col("members") * F.log(F.col("members") / F.col("chance")) - F.col("members") + F.col("chance")
     dense = filled.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("chance").alias("chance")).filter("members > 1").withColumn(
         "density", excess
-    ).filter(F.col("density") >= DENSITY + math.log(n))
+    ).filter(F.col("density") >= DENSITY + math.log(USUAL))
     return lookup(filled.select("message_id", "cell"), materialize(dense.select("cell", "members", "density", F.col("members").alias("load")), "dense-cells"), "cell")
 
 

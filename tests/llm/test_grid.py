@@ -41,6 +41,17 @@ def test_all_words_that_stand_for_each_other_are_joined(spark):
     assert same.count() == 51_000 and same.filter("substr(word, 3) <> substr(label, 3) or word not like 'by%' or label not like 'ax%'").isEmpty()
 
 
+def test_cells_are_judged_alike_at_every_size(spark):
+    """Two texts that share a phrase of five texts and two phrases of 1 %, among n and ten times n."""
+    for n in (6_000, 60_000):
+        texts = spark.range(n).selectExpr(
+            "concat('m', id) as message_id",
+            "array(if(id < 5, array('rare', 'thing'), array('own' || id)), if(id < 2 or id % 200 in (10, 11), array('first', 'usual'), array('some' || id)), "
+            "if(id < 2 or id % 200 in (20, 21), array('second', 'usual'), array('more' || id))) as clauses",
+        )
+        assert {(r.message_id, r.members) for r in grid._cells(texts, [], None, n).collect()} == {("m0", 2), ("m1", 2)}
+
+
 def test_renamed_phrases(spark):
     spots = spark.createDataFrame([("m", "red car", 2), ("m", "red auto", 1), ("m", "alone", 3), ("n", "auto", 0)], "message_id string, phrase string, clause int")
     same = spark.createDataFrame([("car", "auto"), ("red", "dark")], "word string, label string")

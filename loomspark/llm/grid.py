@@ -18,7 +18,7 @@ WORD = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 CLAUSE = r"[.,;:!?()\n\r]+|\s[-–—]+(?=\s|$)"
 FRAME_SHARE = 0.15  # words in more texts than this are grammar, unless they come with certain others
 TESTED_SHARE = 0.02  # phrases in more texts than this must show that they belong to a topic
-DIMENSIONS = 3  # phrases, of different clauses, that make a cell of the grid
+DIMENSIONS = 3  # phrases, of different clauses, that make a cell of the grid; texts of fewer clauses have cells of their own
 DENSITY = 4.0  # log-likelihood, over that of one text among USUAL, by which a cell's count must exceed chance
 USUAL = 600  # fixed, so that a cell is judged alike in a table of any size
 ALTERNATES = 3  # clusters in which two words must stand for each other to count as one
@@ -167,7 +167,8 @@ def _cells(texts: DataFrame, frame: list[str], same: DataFrame | None, n: int) -
                 F.xxhash64(a["phrase"], b["phrase"], c["phrase"]).alias("cell"), (a["share"] * b["share"] * c["share"] * n).alias("chance")
             ),
         )).otherwise(F.expr("cast(array() as array<struct<cell: bigint, chance: double>>)"))))))
-    filled = materialize(points.select("message_id", F.explode(pick).alias("c")).select("message_id", "c.*"), "cells")
+    filled = points.select("message_id", F.explode(pick).alias("c")).select("message_id", "c.*")
+    filled = materialize(filled.unionByName(_short_cells(texts, points, n)), "cells")
     excess = F.col("members") * F.log(F.col("members") / F.col("chance")) - F.col("members") + F.col("chance")
     dense = filled.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("chance").alias("chance")).filter("members > 1").withColumn(
         "density", excess
@@ -175,6 +176,30 @@ def _cells(texts: DataFrame, frame: list[str], same: DataFrame | None, n: int) -
     return lookup(filled.select("message_id", "cell"), materialize(dense.select("cell", "members", "density", F.col("members").alias("load")), "dense-cells"), "cell")
 
 
+def _short_cells(texts: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """(message_id, cell, chance) of texts with fewer than DIMENSIONS clauses that have words.
+
+    Their cells are all the phrases they have, and those left when one word is taken out, so short
+    texts meet that differ in a word. One phrase alone is no cell.
+    """
+    short = texts.filter(F.size(F.filter("clauses", lambda c: F.size(c) > 0)) < DIMENSIONS).select("message_id")
+    words = F.array_distinct(F.flatten(F.transform("f", lambda a: F.split(a["phrase"], " "))))
+    without = F.transform(words, lambda w: F.filter("f", lambda a: ~F.array_contains(F.split(a["phrase"], " "), w)))
+    kept = F.array_distinct(F.transform(F.concat(F.array("f"), without), lambda f: F.transform(f, lambda a: F.struct(a["phrase"].alias("phrase"), a["share"].alias("share")))))
+    sets = points.join(short, "message_id", "left_semi").select("message_id", F.explode(kept).alias("k")).filter("size(k) > 1")
+    chance = F.aggregate("k", F.lit(float(n)), lambda x, a: x * a["share"])
+    return sets.select("message_id", F.xxhash64(F.lit("short"), F.transform("k", lambda a: a["phrase"])).alias("cell"), chance.alias("chance"))
+
+
+def _equal_cells(texts: DataFrame, n: int) -> DataFrame:
+    """(message_id, cell, members, density) of texts whose whole normalised text is that of others."""
+    m = F.col("members")
+    equal = texts.groupBy(F.col("whole").alias("cell")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(
+        "cell", "members", (m * F.log(n / m) - m + m * m / n).alias("density"), m.alias("load")
+    )
+    return lookup(texts.select("message_id", F.col("whole").alias("cell")), materialize(equal, "equal-texts"), "cell")
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of (a, b) links, by label propagation.
 
@@ -240,16 +265,21 @@ def cluster_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells that share a text are adjacent, and adjacent dense cells form a cluster. A first
     grouping shows which words stand for each other; the grid is then laid again with those joined.
     first_id is the least id of the cluster. Texts in no dense cell are in no cluster. Equal texts of
-    different ids are members of their own. Everything is counted over all texts; what goes to
+    different ids are members of their own and always share a cell, however short they are; texts of
+    fewer than three clauses have cells of all their phrases (see `_short_cells`). Everything is counted over all texts; what goes to
     the driver is the common words and phrases only.
     """
-    texts = materialize(messages.select("message_id", _clauses(F.col("text")).alias("clauses")), "texts")
+    said = F.array_join(F.flatten("clauses"), " ")
+    bare = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))  # of texts without words
+    texts = messages.select("message_id", "text", _clauses(F.col("text")).alias("clauses"))
+    texts = materialize(texts.select("message_id", "clauses", F.xxhash64(F.lit("whole"), F.when(said != "", said).otherwise(bare)).alias("whole")), "texts")
     n = max(1, texts.count())
     frame = _common_words(texts, n)
-    cells = materialize(_cells(texts, frame, None, n), "dense")
+    equal = materialize(_equal_cells(texts, n), "equal")
+    cells = materialize(_cells(texts, frame, None, n).unionByName(equal), "dense")
     same = _alternates(texts, materialize(_group(cells), "groups"), frame)
     if not same.isEmpty():
-        cells = materialize(_cells(texts, frame, same, n), "dense")
+        cells = materialize(_cells(texts, frame, same, n).unionByName(equal), "dense")
     groups = materialize(_group(cells), "groups")
     first = groups.groupBy("label").agg(F.min("message_id").alias("first_id"), F.count(F.lit(1)).alias("cluster_size"))
     density = cells.groupBy("message_id").agg(F.max("members").alias("densest"), F.sum("density").alias("density"))

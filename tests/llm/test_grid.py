@@ -68,6 +68,18 @@ def test_one_need_holds_a_third(spark):
     assert len({got[f"x{i:04d}"] for i in range(90)} | {got[b[0]] for b in big}) == 1
 
 
+def test_short_texts(spark):
+    """Copies of one sentence hold a quarter of the rows; others differ in a word or have no words."""
+    rows, _ = corpus(60, 9)
+    groups = {"hot": ["Where is my parcel?"] * 200, "odd": ["\U0001f44d \U0001f44d"] * 6}
+    groups["near"] = [f"{w} purple zebra unicycle rental downtown" for w in ("nice", "Cheap", "best", "any", "good", "first")] + ["purple zebra scooter rental downtown"]
+    rows += [(f"{g}{i}", t) for g, ts in groups.items() for i, t in enumerate(ts)]
+    members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))
+    got = {r.message_id: (r.first_id, r.cluster_size) for r in members.collect()}
+    for g, ts in groups.items():
+        assert {got.get(f"{g}{i}") for i in range(len(ts))} == {(f"{g}0", len(ts))}, g
+
+
 def test_empty_blank_and_single(spark):
     for rows in ([], [("a", "one text alone")]):
         members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))

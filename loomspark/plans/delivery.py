@@ -2,45 +2,67 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import bare_id
 from loomspark.operators import compaction, hierarchy, skew
 from loomspark.operators.delivery import SeenRegistry
-from loomspark.runtime import materialize, scratch_path, table
+from loomspark.runtime import discard, materialize, scratch_path, table
+
+
+WAVES = 3  # groups of consecutive batches that p4's queries take in one after the other
 
 
-def _admit(spark: SparkSession, arrivals: DataFrame, order: list, label: str, queue: str = "") -> DataFrame:
+def _intake(spark: SparkSession, arrivals: DataFrame, order: list, label: str) -> tuple[SeenRegistry, list[str]]:
+    """Batches of (queue_name, row_id, batch_id, ...) admitted in the order of batch_id, in WAVES groups of about as many rows.
+
+    All queues share the dictionary; each has bits of its own. Rows without batch come first.
+    """
     registry = SeenRegistry(spark, scratch_path(spark, f"seen-{label}"))
-    ident = bare_id(F.col("row_id"))
-    if queue:
-        # an id of one queue is another identifier than the same id of the other queue
-        ident = F.when(F.coalesce(ident, F.lit("")) != "", F.concat(F.col(queue), F.lit(":"), ident))
-    return registry.admit(arrivals, ident, order, "whole")
+    shares = F.array(*[F.lit(k / WAVES) for k in range(1, WAVES)])
+    cuts = arrivals.groupBy("queue_name").agg(F.percentile_approx("batch_id", shares).alias("cuts"))  # one row per queue
+    wave = F.size(F.filter("cuts", lambda c: F.col("batch_id") > c))
+    numbered = materialize(arrivals.join(F.broadcast(cuts), "queue_name").withColumn("wave", F.greatest(wave, F.lit(0))).drop("cuts"), f"{label}-waves")
+    tokens = [f"wave-{k}" for k in range(WAVES)]
+    for k, token in enumerate(tokens):
+        registry.admit(numbered.filter(F.col("wave") == k).drop("wave"), bare_id(F.col("row_id")), [F.col("batch_id"), *order], token, F.col("queue_name"))
+    discard(numbered)
+    return registry, tokens
+
+
+def _decisions(registry: SeenRegistry, tokens: list[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [registry.decided(t) for t in tokens])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "nlp_jobs").select(F.lit("job").alias("queue_name"), "row_id", F.col("sent_at").alias("at"), "batch_id")
     results = table(spark, sf_dir, "nlp_results").select(F.lit("result").alias("queue_name"), "row_id", F.col("delivered_at").alias("at"), "batch_id")
-    admitted = _admit(spark, jobs.unionByName(results), [F.col("at"), F.col("batch_id")], "found", "queue_name")
-    return admitted.filter("arrivals > 1").select("queue_name", F.substring_index("ident", ":", -1).alias("row_id"))
+    registry, tokens = _intake(spark, jobs.unionByName(results), [F.col("at")], "found")
+    # delivered again: refused for its bit, or several times in the group of batches that set it
+    again = _decisions(registry, tokens).filter("seen or arrivals > 1")
+    return again.select(F.col("space").alias("queue_name"), F.col("ident").alias("row_id")).distinct()
+
+
+def _admitted(registry: SeenRegistry, tokens: list[str]) -> DataFrame:
+    """The one row handed out per identifier, `arrivals` being all its deliveries."""
+    decisions = _decisions(registry, tokens)
+    refused = decisions.filter("seen").groupBy("ident").agg(F.sum("arrivals").alias("more"))
+    return decisions.filter("not seen").join(refused, "ident", "left").withColumn("arrivals", F.col("arrivals") + F.coalesce("more", F.lit(0)))
 
 
 def p4_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "nlp_jobs")
-    order = [F.col(c) for c in ("sent_at", "batch_id", "file_path", "text", "row_id")]
-    return _admit(spark, jobs, order, "jobs").select(
-        F.col("ident").alias("row_id"), "file_path", "text", "batch_id", "sent_at", "arrivals"
-    )
+    jobs = table(spark, sf_dir, "nlp_jobs").withColumn("queue_name", F.lit("job"))
+    order = [F.col(c) for c in ("sent_at", "file_path", "text", "row_id")]
+    return _admitted(*_intake(spark, jobs, order, "jobs")).select(F.col("ident").alias("row_id"), "file_path", "text", "batch_id", "sent_at", "arrivals")
 
 
 def p4_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = table(spark, sf_dir, "nlp_results")
-    order = [F.col(c) for c in ("delivered_at", "batch_id", "file_path", "row_id")]
-    return _admit(spark, results, order, "results").select(
-        F.col("ident").alias("row_id"), "nlp_label", "batch_id", "delivered_at", "arrivals"
-    )
+    results = table(spark, sf_dir, "nlp_results").withColumn("queue_name", F.lit("result"))
+    order = [F.col(c) for c in ("delivered_at", "file_path", "row_id")]
+    return _admitted(*_intake(spark, results, order, "results")).select(F.col("ident").alias("row_id"), "nlp_label", "batch_id", "delivered_at", "arrivals")
 
 
 _BARE = r"regexp_replace(lower(regexp_replace(row_id, '[\s\p{Z}\p{Cf}]+', '', 'g')), '^t\d_', '')"
@@ -53,12 +75,12 @@ P4_SQL = {
         GROUP BY queue_name, row_id HAVING count(*) > 1""",
     "p4_jobs": f"""
         WITH q AS (SELECT {_BARE} AS ident, *, count(*) OVER (PARTITION BY {_BARE}) AS arrivals,
-                     row_number() OVER (PARTITION BY {_BARE} ORDER BY sent_at, batch_id, file_path, text, row_id) AS nth
+                     row_number() OVER (PARTITION BY {_BARE} ORDER BY batch_id NULLS FIRST, sent_at, file_path, text, row_id) AS nth
                    FROM nlp_jobs WHERE {_BARE} <> '')
         SELECT ident AS row_id, file_path, text, batch_id, sent_at, arrivals FROM q WHERE nth = 1""",
     "p4_results": f"""
         WITH q AS (SELECT {_BARE} AS ident, *, count(*) OVER (PARTITION BY {_BARE}) AS arrivals,
-                     row_number() OVER (PARTITION BY {_BARE} ORDER BY delivered_at, batch_id, file_path, row_id) AS nth
+                     row_number() OVER (PARTITION BY {_BARE} ORDER BY batch_id NULLS FIRST, delivered_at, file_path, row_id) AS nth
                    FROM nlp_results WHERE {_BARE} <> '')
         SELECT ident AS row_id, nlp_label, batch_id, delivered_at, arrivals FROM q WHERE nth = 1""",
 }

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,9 +71,95 @@ def _quiet_delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with this content; False, and nothing done, if there is one already.
+
+    The content is complete when the file appears. Two writers can't both succeed: a hard link on a local or mounted
+    folder, elsewhere a rename that refuses an existing target, which the store has to do in one step, as HDFS does.
+    """
+    fs, hadoop_path = filesystem(spark, path)
+    folder, _, name = path.rpartition("/")
+    draft = hadoop_path(f"{folder}/.draft-{name}-{uuid.uuid4().hex}")
+    fs.mkdirs(hadoop_path(folder))
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), hadoop_path(path).toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        jvm = spark._jvm
+        none = spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, hadoop_path(path), none)
+            return True
+        except Exception:
+            if fs.exists(hadoop_path(path)):
+                return False
+            raise
+    finally:
+        fs.delete(draft, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, hadoop_path = filesystem(spark, path)
+    stream = fs.open(hadoop_path(path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator["Scope"]:
+    """Tables materialised within are deleted at the end, but for those that were kept."""
+    scope = Scope()
+    _scopes.append(scope.paths)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope.paths)
+        for path in scope.paths:
+            if path in scope.kept:
+                if _scopes:
+                    _scopes[-1].append(path)  # the scope around this one may drop it
+            else:
+                _quiet_delete(spark, path)
+
+
+class Scope:
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df` is a materialised table that outlives the scope."""
+        self.kept.add(df._scratch_path)
+        return df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives lost executors."""
-    return spark_write(df, scratch_path(df.sparkSession, label))
+    path = scratch_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append(path)
+    stored = spark_write(df, path)
+    stored._scratch_path = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        _quiet_delete(df.sparkSession, path)
 
 
 def spark_write(df: DataFrame, path: str) -> DataFrame:

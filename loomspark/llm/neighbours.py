@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +16,15 @@ from pyspark.sql.window import Window
 
 from loomspark.runtime import materialize
 
-SAMPLE = 20_000  # vectors that the tree is fitted on, at most
-LEAF_ROWS = 4_000  # vectors in a leaf at most, as far as the sample allows: large leaves, as visits cost shuffle and comparing is cheap
-LEAST_IN_LEAF = 12  # sampled vectors in a leaf; bounds the tree, and what is sent to the tasks
+SAMPLE = 20_000  # vectors that a tree is fitted on, at most; also those of a leaf that is split further
+LEAF_ROWS = 4_000  # vectors in a leaf, on average: large leaves, as visits cost shuffle and comparing is cheap
+LEAST_IN_LEAF = 12  # sampled vectors in a leaf; bounds a tree, and what is sent to the tasks
 BRANCHES = 8
+LEVELS = 4  # times that leaves are split; enough for more rows than a long counts
 TARGET = 0.96  # recall that the number of leaves to visit is calibrated for
 PROBED = 400  # sampled vectors used for that
 TASK_ROWS = 100_000  # vectors of one side that are compared in one task
+KNOWN = 1 << 20  # digests of vectors that a task remembers to find equal ones
 
 
 def unit_rows(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +131,8 @@ def nearest(
     width: int = 384,
     k: int = 10,
     target: float = TARGET,
+    sample_rows: int = SAMPLE,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """(id, neighbour, similarity, place): up to k most similar others of every usable vector, by cosine.
 
@@ -134,41 +140,28 @@ def nearest(
     no neighbours. Ties are broken by the smaller id. ids must be unique longs. Other columns are
     ignored. With fewer than k + 1 usable vectors all others come out.
 
-    A k-means tree is fitted on at most SAMPLE vectors, and every vector is put into its nearest
-    leaf. A vector is compared, in 16-bit floats, with all vectors of the leaves it visits; how many it visits
-    is calibrated on the sample for `target` recall. Equal vectors of one input partition are compared once and
-    expanded at the end, so a large group of copies costs no comparisons among themselves. Leaves
-    with more than TASK_ROWS rows on a side are split over tasks and their results merged.
+    A k-means tree is fitted on at most `sample_rows` vectors, drawn by the hash of their ids from the whole table, and
+    every vector is put into its nearest leaf. A leaf of more than twice `leaf_rows` vectors gets a tree of its own, fitted on a
+    sample of its vectors, and so on, so leaves don't grow with the table. A vector is compared, in 16-bit floats, with
+    all vectors of the leaves it visits; how many it visits is calibrated on the samples for `target` recall. Equal vectors
+    of one input partition are compared once and expanded at the end, so a large group of copies costs no comparisons
+    among themselves. Leaves with more than TASK_ROWS rows on a side are split over tasks and their results merged.
     """
-    spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     total = vectors.count()  # from the footers; it only sets the sample's share and the size of leaves
-    share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    drawn = (slim if share == 1.0 else slim.sample(False, share, 11)).limit(SAMPLE + SAMPLE // 2).toArrow()
-    sample = unit_rows(_one_array(drawn.column("v")), width)[1][:SAMPLE] if drawn.num_rows else np.empty((0, width), np.float32)
-    tree = Tree(sample, math.ceil(LEAF_ROWS * len(sample) / max(1, total)))
-    visits = calibrate(tree, sample, k, target)
-
-    placed = materialize(
-        slim.mapInArrow(_place(tree, visits, width), "id long, node long, leaves array<int>, v binary"), "placed"
+    placed, rows = _in_leaves(slim, total, k, width, target, sample_rows, leaf_rows)
+    loads = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("place") == 0, 1)).alias("held"))
+    heavy = loads.filter(f"asked > {TASK_ROWS} or held > {TASK_ROWS}").select(
+        "leaf", F.ceil(F.col("asked") / TASK_ROWS).alias("nq"), F.greatest(F.ceil(F.col("held") / TASK_ROWS), F.lit(1)).alias("nb")
     )
-    nodes = placed.filter("v is not null")
-    loads = nodes.select(F.posexplode("leaves").alias("place", "leaf")).groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("place") == 0, 1)).alias("held")
-    )
-    rows = nodes.select("node", "v", F.posexplode("leaves").alias("place", "leaf"))
-    heavy = {
-        r.leaf: (-(-r.asked // TASK_ROWS), -(-r.held // TASK_ROWS))
-        for r in loads.filter(f"asked > {TASK_ROWS} or held > {TASK_ROWS}").toLocalIterator()  # at most one row per leaf
-    }
+    heavy = materialize(heavy, "heavy")
     asked = rows.select("leaf", F.lit(False).alias("held"), "node", "v", "place")
-    if heavy:
-        grid = spark.createDataFrame([(leaf, q, b) for leaf, (q, b) in heavy.items()], "leaf int, nq long, nb long")
-        cut = rows.join(F.broadcast(grid), "leaf", "left").fillna(1, ["nq", "nb"])
+    if not heavy.isEmpty():
+        spread = rows.join(F.broadcast(heavy), "leaf", "left").fillna(1, ["nq", "nb"])  # fewer rows than TASK_ROWS goes into all
         part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        ask = cut.select("leaf", part("nq").alias("q"), every("nb").alias("b"), F.lit(False).alias("held"), "node", "v", "place")
-        hold = cut.filter("place = 0").select("leaf", every("nq").alias("q"), part("nb").alias("b"), F.lit(True).alias("held"), "node", "v", "place")
+        ask = spread.select("leaf", part("nq").alias("q"), every("nb").alias("b"), F.lit(False).alias("held"), "node", "v", "place")
+        hold = spread.filter("place = 0").select("leaf", every("nq").alias("q"), part("nb").alias("b"), F.lit(True).alias("held"), "node", "v", "place")
         grouped = ask.unionByName(hold)
         keys = ["leaf", "q", "b"]
     else:
@@ -185,21 +178,105 @@ def nearest(
     ).select("id", F.col("p.other").alias("neighbour"), (-F.col("p.far")).alias("similarity"), (F.col("place") + 1).alias("place"))
 
 
+def _in_leaves(slim: DataFrame, total: int, k: int, width: int, target: float, sample_rows: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node, leaves, v) of all usable vectors, and (node, v, place, leaf) of every visit; place is 0 in the leaf that holds the vector."""
+    sample = _draw(slim, total, sample_rows, width)
+    tree = Tree(sample, math.ceil(leaf_rows * len(sample) / max(1, total)))
+    if total > 2 * leaf_rows * tree.leaves:
+        target = math.sqrt(target)  # leaves are split once more, which costs recall again
+    visits = calibrate(tree, sample, k, target)
+
+    placed = materialize(
+        slim.mapInArrow(_place(tree, visits, width), "id long, node long, leaves array<int>, v binary"), "placed"
+    )
+    rows = placed.filter("v is not null").select("node", "v", F.posexplode("leaves").alias("place", "leaf")).withColumn("leaf", F.col("leaf").cast("long"))
+    for _ in range(LEVELS):
+        cut = _split_leaves(rows, leaf_rows, sample_rows, k, width, target)
+        if cut is None:
+            break
+        rows = cut
+    return placed, rows
+
+
+def _draw(slim: DataFrame, total: int, size: int, width: int) -> np.ndarray:
+    """`size` usable vectors at most, those of the least hashes of their ids, whatever the table's order."""
+    span = 1 << 30
+    mark = F.pmod(F.xxhash64("id"), F.lit(span))
+    drawn = slim.select(mark.alias("mark"), "v").filter(F.col("mark") < min(span, math.ceil(1.25 * span * size / max(1, total)))).toArrow()
+    if not drawn.num_rows:
+        return np.empty((0, width), np.float32)
+    at, unit = unit_rows(_one_array(drawn.column("v")), width)
+    order = np.argsort(drawn.column("mark").to_numpy()[at], kind="stable")
+    return unit[order[:size]]
+
+
+def _split_leaves(rows: DataFrame, leaf_rows: int, sample_rows: int, k: int, width: int, target: float) -> DataFrame | None:
+    """`rows` with the leaves of too many vectors split by trees of their own; None if there is nothing to split."""
+    loads = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("place") == 0, 1)).alias("held"))
+    big = materialize(loads.filter(F.col("held") > 2 * leaf_rows).withColumn("salts", F.ceil(F.col("asked") / TASK_ROWS)), "big-leaves")
+    if big.isEmpty():
+        return None
+    span = 1 << 30
+    within = rows.filter("place = 0").join(big, "leaf").filter(
+        F.pmod(F.xxhash64("node"), F.lit(span)) < F.least(F.lit(span * LEAST_IN_LEAF / leaf_rows), span * sample_rows / F.col("held"))
+    )
+
+    def fit(table: pa.Table) -> pa.Table:
+        unit = _matrix(table.column("v"), width)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        tree = Tree(unit, LEAST_IN_LEAF)
+        kept = tree.leaves > 1
+        return pa.table({
+            "leaf": pa.array([table.column("leaf")[0].as_py()] if kept else [], pa.int64()),
+            "visits": pa.array([calibrate(tree, unit, k, target)] if kept else [], pa.int32()), "tree": pa.array([pickle.dumps(tree)] if kept else [], pa.binary()),
+        })
+
+    trees = within.select("leaf", "node", "v").groupBy("leaf").applyInArrow(fit, "leaf long, visits int, tree binary")
+    trees = materialize(trees.join(big.select("leaf", "salts"), "leaf"), "leaf-trees")
+    if trees.isEmpty():  # equal or nearly equal vectors, which no tree tells apart
+        return None
+
+    def route(part: pa.Table, chosen: pa.Table) -> pa.Table:
+        tree, visits = pickle.loads(chosen.column("tree")[0].as_py()), chosen.column("visits")[0].as_py()
+        if not part.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "v": pa.array([], pa.binary()), "place": pa.array([], pa.int32()), "leaf": pa.array([], pa.int64())})
+        unit = _matrix(part.column("v"), width)
+        found = tree.visit(unit / np.linalg.norm(unit, axis=1, keepdims=True), visits)
+        n = found.shape[1]
+        again = np.repeat(np.arange(len(unit)), n)
+        place = part.column("place").to_numpy()[again] + np.tile(np.arange(n), len(unit))  # 0 only in the home of the home
+        leaf = part.column("leaf").to_numpy()[again] * 4096 + 1 + found.ravel()
+        return pa.table({"node": pa.array(part.column("node").to_numpy()[again]), "v": part.column("v").combine_chunks().take(pa.array(again)), "place": pa.array(place, pa.int32()), "leaf": pa.array(leaf, pa.int64())})
+
+    few = F.broadcast(trees.select("leaf", "salts"))  # one row per leaf that is split
+    whole = rows.join(few.select("leaf"), "leaf", "left_anti").select("node", "v", "place", F.col("leaf") * 4096)
+    split_rows = rows.join(few, "leaf").select("leaf", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), "node", "v", "place")
+    copies = trees.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "visits", "tree")
+    routed = split_rows.groupBy("leaf", "salt").cogroup(copies.groupBy("leaf", "salt")).applyInArrow(route, "node long, v binary, place int, leaf long")
+    return materialize(whole.toDF("node", "v", "place", "leaf").unionByName(routed), "routed")
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, width).astype(np.float32)
+
+
 def _one_array(column: pa.ChunkedArray) -> pa.ListArray:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0)
 
 
 def _place(tree: Tree, visits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, int] = {}
+        first: dict[bytes, int] = {}  # of digests, and no more than KNOWN: copies that aren't recognised are compared like others
         for batch in batches:
+            if len(first) > KNOWN:
+                first.clear()
             at, unit = unit_rows(batch.column(1), width)
             if not len(at):
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
             half = unit.astype(np.float16)
             raw = [half[i].tobytes() for i in range(len(half))]
-            node = [first.setdefault(r, int(i)) for r, i in zip(raw, ids)]
+            node = [first.setdefault(hashlib.blake2b(r, digest_size=16).digest(), int(i)) for r, i in zip(raw, ids)]
             leaves = tree.visit(unit, visits)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -214,13 +291,10 @@ def _place(tree: Tree, visits: int, width: int):
 
 def _compare(k: int, width: int):
     def run(table: pa.Table) -> pa.Table:
-        def matrix(t: pa.Table) -> np.ndarray:
-            return np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=np.float16).reshape(-1, width).astype(np.float32)
-
         held = table.column("held").to_numpy()
         place = table.column("place").to_numpy()
         split_sides = bool(held.any())
-        everything = matrix(table)
+        everything = _matrix(table.column("v"), width)
         nodes = table.column("node").to_numpy()
         base_at = np.flatnonzero(held) if split_sides else np.flatnonzero(place == 0)
         ask_at = np.flatnonzero(~held)

@@ -55,13 +55,12 @@ def test_empty_and_too_few(spark):
 
 
 def test_recall_with_many_leaves_and_split_leaves(spark, monkeypatch):
-    monkeypatch.setattr(nb, "LEAF_ROWS", 200)
     monkeypatch.setattr(nb, "TASK_ROWS", 150)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, W))
     rows = [(i, list(centres[i % 40] + 0.25 * rng.normal(size=W))) for i in range(4000)]
     df = frame(spark, rows).cache()
-    near = nb.nearest(df, width=W, k=10)
+    near = nb.nearest(df, width=W, k=10, leaf_rows=200)
     got = {}
     for r in near.filter("id % 100 = 0").collect():
         got.setdefault(r.id, set()).add(r.neighbour)
@@ -72,6 +71,46 @@ def test_recall_with_many_leaves_and_split_leaves(spark, monkeypatch):
     assert sum(len(got[i] & want[i]) for i in want) / 400 >= 0.9
 
 
+def recall(df, **kw):
+    got, want = {}, {}
+    for r in nb.nearest(df, width=W, k=10, **kw).filter("id % 100 = 0").collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    for r in nb.exact(df, df.filter("vec_id % 100 = 0"), width=W, k=10).collect():
+        want.setdefault(r.id, set()).add(r.neighbour)
+    return sum(len(got[i] & want[i]) for i in want) / sum(map(len, want.values()))
+
+
+def clustered(n, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, W))
+    return [(i, list(centres[i % 60] + 0.25 * rng.normal(size=W))) for i in range(n)]
+
+
+def test_leaves_do_not_grow_with_the_table(spark):
+    """Ten times the rows on the same small sample: more leaves, not larger ones, and the recall holds."""
+    size = {}
+    for n in (2_000, 20_000):
+        df = frame(spark, clustered(n)).cache()
+        slim = df.selectExpr("vec_id as id", "embedding as v")
+        _, rows = nb._in_leaves(slim, n, 10, W, nb.TARGET, 300, 100)
+        held = [r["count"] for r in rows.filter("place = 0").groupBy("leaf").count().collect()]
+        assert sum(held) == n
+        size[n] = max(held)
+    assert size[20_000] <= 2 * 100 and len(held) >= 100
+    assert recall(df, sample_rows=300, leaf_rows=100) >= 0.9
+
+
+def test_the_sample_is_of_the_whole_table(spark):
+    """A table in order of its regions: the last ones are in the sample like all others."""
+    rows = sorted(clustered(6_000), key=lambda r: r[0] % 60)
+    df = frame(spark, [(i, v) for i, (_, v) in enumerate(rows)])
+    sample = nb._draw(df.selectExpr("vec_id as id", "embedding as v"), 6_000, 600, W)
+    unit = np.array([v for _, v in rows], dtype=np.float32)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    place = np.argmax(sample @ unit.T, axis=1)
+    assert len(sample) == 600 and 70 <= (place >= 5_000).sum() <= 130
+
+
 def test_best_bin_first_visits_by_similarity():
     rng = np.random.default_rng(4)
     sample = rng.normal(size=(2000, W)).astype(np.float32)

@@ -47,7 +47,7 @@ PHONE_BEFORE = re.compile(
     r"(?:\b(?:tel|telephone|telefon|phone|cell|mobile|mob|fax|call|ring|text|sms|whatsapp|signal|hotline|handy|dial|reach|number is|my number|ring us on|t|m|p)\b[^\w\n]*(?:(?:us|me|on|at|is|only|please|no|nr|number|line)\b[^\w\n]*){0,3})\(?$",
     re.IGNORECASE,
 )
-PHONE_AFTER = re.compile(r"^\)?\s*(?:[-,]\s*leave a message|after \w+|and ask for|just rings|is my (?:cell|phone|number))", re.IGNORECASE)
+PHONE_AFTER = re.compile(r"^\)?\s*(?:is my (?:cell|phone|number)|,?\s*(?:and )?ask for)", re.IGNORECASE)
 NOT_PERSONAL = re.compile(
     r"\b(?:model|serial|part|order|version|firmware|isbn|issn|batch|code|port|pages?|sku|item|stand|article|ref|reference|ticket|invoice|build|release|rev|revision|lot|tracking|gateway|paid|between|chapter|issue|week)\b"
     r"(?:\s*(?:no|nr|number|id|is|it|#)\b)*[^\w\n]*$",
@@ -55,22 +55,28 @@ NOT_PERSONAL = re.compile(
 )
 UNIT_AFTER = re.compile(r"^ ?(?:km|kg|g|m|cm|mm|l|litres?|liters?|%|percent|eur|usd|dollars?|units?|times|of them|people|pieces)\b(?! ?\d)", re.IGNORECASE)
 
-# ---- identity numbers ------------------------------------------------------------------------------
+# ---- identity numbers: pattern, what it is, and the check its digits have to pass, if the scheme has one -----------
 ID_SHAPES = [
-    (re.compile(r"(?<![\w])[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d](?!\w)"), "insurance"),
-    (re.compile(r"(?<![\w])[A-Z]{2,5}-?\d{5,8}-[A-Z]?\d{1,3}(?!\w)", re.IGNORECASE), "licence"),
-    (re.compile(r"(?<![\w])[A-Z]{1,3}\d{2}-\d{5,8}(?!\w)", re.IGNORECASE), "permit"),
-    (re.compile(r"(?<![\w])[A-Z]\d{3}[ -]\d{3}[ -]\d{3}(?![\w])", re.IGNORECASE), "health"),
-    (re.compile(r"(?<![\w])[A-Z]{1,2}\d{6,9}[A-Z]?(?!\w)", re.IGNORECASE), "passport"),
-    (re.compile(r"(?<![\w.-])\d{3}\.\d{3}\.\d{3}-\d\d(?![\w])"), "national"),
-    (re.compile(r"(?<![\w.-])\d{2,3}/\d{3}/\d{4,5}(?![\w/])"), "tax"),
-    (re.compile(r"(?<![\w.-])\d{6}-\d{4}(?![\w-])"), "national"),
-    (re.compile(r"(?<![\w.-])\d{3}([ -])\d\d\1\d{4}(?![\w-])"), "social"),
-    (re.compile(r"(?<![\w.-])\d{2}[ .]\d{3}[ .]\d{3}[ .]\d{3}(?![\w-])"), "tax"),
-    (re.compile(r"(?<![\w.-])\d{4}[ -]\d{4}[ -]\d{2}[ -]\d(?![\w-])"), "national"),
-    (re.compile(r"(?<![\w.-])(?<!\+\d )(?<!\+\d\d )\d{3}[ -]\d{3}[ -]\d{3,4}(?![\w-])"), "any"),
-    (re.compile(r"(?<![\w.$-])\d{8,12}(?![\w-])"), "any"),
+    (re.compile(r"(?<![\w])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)"), "account", "mod97"),
+    (re.compile(r"(?<![\w.+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])"), "card", "luhn"),
+    (re.compile(r"(?<![\w.+-])3[47]\d\d([ -]?)\d{6}\1\d{5}(?![\w-])"), "card", "luhn"),
+    (re.compile(r"(?<![\w])[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d](?!\w)"), "insurance", None),
+    (re.compile(r"(?<![\w])[A-Z]{2,5}-?\d{5,8}-[A-Z]?\d{1,3}(?!\w)", re.IGNORECASE), "licence", None),
+    (re.compile(r"(?<![\w])[A-Z]{1,3}\d{2}-\d{5,8}(?!\w)", re.IGNORECASE), "permit", None),
+    (re.compile(r"(?<![\w])[A-Z]\d{3}[ -]\d{3}[ -]\d{3}(?![\w])", re.IGNORECASE), "health", None),
+    (re.compile(r"(?<![\w.-])(?:\d{8}|[XYZ]-?\d{7})[ -]?[A-HJ-NP-TV-Z](?![\w-])"), "national", "letter23"),
+    (re.compile(r"(?<![\w])[A-Z]{1,2}\d{6,9}[A-Z]?(?!\w)", re.IGNORECASE), "passport", None),
+    (re.compile(r"(?<![\w.-])\d{3}\.\d{3}\.\d{3}-\d\d(?![\w])"), "national", "mod11"),
+    (re.compile(r"(?<![\w.-])\d{2,3}/\d{3}/\d{4,5}(?![\w/])"), "tax", None),
+    (re.compile(r"(?<![\w.-])\d{6}-\d{4}(?![\w-])"), "national", "dated_luhn"),
+    (re.compile(r"(?<![\w.-])\d{3}([ -])\d\d\1\d{4}(?![\w-])"), "social", None),
+    (re.compile(r"(?<![\w.+-])\d{2}[ .]\d{3}[ .]\d{3}[ .]\d{3}(?![\w-])"), "tax", "mod11_10"),
+    (re.compile(r"(?<![\w.-])\d{4}[ -]\d{4}[ -]\d{2}[ -]\d(?![\w-])"), "national", None),
+    (re.compile(r"(?<![\w.-])(?<!\+\d )(?<!\+\d\d )\d{3}[ -]\d{3}[ -]\d{3,4}(?![\w-])"), "any", None),
+    (re.compile(r"(?<![\w.$-])\d{8,12}(?![\w-])"), "any", None),
 ]
+# evidence: a label, a check that holds or fails, a word that speaks against it; ACCEPT is what it has to come to
+LABEL_BEFORE, LABEL_AFTER, CHECK_HOLDS, CHECK_FAILS, SPEAKS_AGAINST = 0.7, 0.5, 0.6, -0.2, -0.5
 _ID_WORDS = (
     r"social(?:\s+security)?|ssn|passport|reisepass|passeport|national\s+id(?:entity)?|id[\s-]*card|id[\s-]*nr|id\s+number|identity\s+(?:card|number)|"
     r"national\s+insurance|ni\s+number|nino|insurance\s+(?:no|number|card)|tax\s*(?:id|number|no)|personal\s+tax|steuer\w*|tin|vat\s+id|"
@@ -115,11 +121,11 @@ _PARTICLE = r"(?:(?:von|van|de|di|da|del|der|den|du|la|le|zu|bin|al)\s+){1,3}"
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 TITLE = re.compile(r"(?<![\w;])(?:mr|mrs|ms|miss|mx|dr|prof|professor|herr|frau|sir|madame|señor|señora|sr|sra)\b\.?\s+$", re.IGNORECASE)
 CUE = re.compile(
-    r"(?:\b(?:my name is|i am called|signed|regards|best|cheers|sincerely|yours|spoke (?:with|to)|talk(?:ed)? to|met with|ask(?:ed)? for|credit goes to|thanks to|thank you|invoice says|written by|sent by|"
+    r"(?:\b(?:my name is|i am called|signed|regards|best|cheers|sincerely|yours|spoke (?:with|to)|talk(?:ed)? to|met with|ask(?:ed)? for|credit(?:ed)? (?:goes )?to|thanks to|thank you|says|written by|sent by|"
     r"my (?:landlord|landlady|sister|brother|mother|father|mum|dad|wife|husband|son|daughter|boss|doctor|friend|colleague|partner|aunt|uncle|cousin|neighbou?r))\b[,:]?\s+|(?:^|[\n.!?]\s*)[—–-]{1,2}\s*)$",
     re.IGNORECASE,
 )
-AFTER_NAME = re.compile(r"^\s+(?:runs the|drew the|wrote me|called me|told me)\b")
+AFTER_NAME = re.compile(r"^\s+(?:wrote|called|told|said|says|asked)\b")
 FIELD_EDGE = re.compile(r"(?:^|[\n|])\s*$")
 COMPANY = re.compile(r"^\s+(?:studio|kit|kits|ltd|limited|inc|corp|gmbh|ag|llc|works|labs?|company|co|brand|model|shop|store|group|design|press|tools?|boards?|slip)\b", re.IGNORECASE)
 HANDLE = re.compile(r"(?:@|\bu/|\br/|#|/)[\w-]*$")
@@ -134,28 +140,33 @@ TOWN_CODE = re.compile(r"\d[A-Za-z]?,?\s{1,4}[^\d\n,]{1,160}[,\n]\s{0,4}[^\W\d_]
 STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s+\d")
 CUE_WORDS = frozenset(
     "mr mrs ms miss mx dr prof professor herr frau sir madame señor señora sr sra name called signed regards best cheers sincerely yours spoke talk talked met ask asked "
-    "credit thanks thank invoice written sent landlord landlady sister brother mother father mum dad wife husband son daughter boss doctor friend colleague partner aunt uncle cousin neighbor neighbour".split()
+    "credit credited thanks thank says written sent landlord landlady sister brother mother father mum dad wife husband son daughter boss doctor friend colleague partner aunt uncle cousin neighbor neighbour".split()
 )
 INITIAL_FIELD = re.compile(r"(?:^|[\n|])[ \t]{0,8}[A-Z]\.")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
-def luhn(digits: str) -> bool:
+def luhn(token: str) -> bool:
+    """The check of payment cards and many national numbers: doubled digits add up to a multiple of ten."""
+    digits = re.sub(r"\D", "", token)
     total = 0
     for i, ch in enumerate(reversed(digits)):
         d = int(ch) * (2 if i % 2 else 1)
         total += d - 9 if d > 9 else d
-    return total % 10 == 0
+    return total % 10 == 0 and len(set(digits)) > 1
 
 
-def mod97(text: str) -> bool:
-    """The ISO 7064 mod 97-10 check of account and registration numbers that start with a country."""
-    moved = text[4:] + text[:4]
-    return moved.isalnum() and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+def mod97(token: str) -> bool:
+    """The ISO 7064 mod 97-10 check of account numbers that start with a country."""
+    text = re.sub(r"\W", "", token).upper()
+    if not 15 <= len(text) <= 34 or not text.isascii() or not text.isalnum():
+        return False
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
-def mod11_two(digits: str) -> bool:
+def mod11(token: str) -> bool:
     """Two check digits by weighted sums modulo 11, over eleven digits."""
+    digits = re.sub(r"\D", "", token)
     if len(digits) != 11 or len(set(digits)) == 1:
         return False
     for n in (9, 10):
@@ -165,16 +176,31 @@ def mod11_two(digits: str) -> bool:
     return True
 
 
-def checksum_bonus(token: str) -> float:
+def mod11_10(token: str) -> bool:
+    """The ISO 7064 mod 11,10 check of eleven digits, of which the first ten aren't all different."""
+    digits = re.sub(r"\D", "", token)
+    if len(digits) != 11 or digits[0] == "0" or not 8 <= len(set(digits[:10])) <= 9:
+        return False
+    rest = 10
+    for d in digits[:10]:
+        rest = ((int(d) + rest) % 10 or 10) * 2 % 11
+    return (11 - rest) % 10 == int(digits[10])
+
+
+def dated_luhn(token: str) -> bool:
+    """Six digits that are a date (days may be raised by 60) and four with a Luhn digit."""
     digits = re.sub(r"\D", "", token)
-    if len(digits) == 11 and mod11_two(digits):
-        return 0.3
-    if len(digits) >= 9 and luhn(digits):
-        return 0.1
-    compact = re.sub(r"\W", "", token)
-    if 15 <= len(compact) <= 34 and compact[:2].isalpha() and compact[2:4].isdigit() and mod97(compact.upper()):
-        return 0.4
-    return 0.0
+    return 1 <= int(digits[2:4]) <= 12 and 1 <= int(digits[4:6]) % 60 <= 31 and luhn(digits)
+
+
+def letter23(token: str) -> bool:
+    """A letter that stands for the number modulo 23."""
+    text = re.sub(r"\W", "", token).upper()
+    number = int(str("XYZ".find(text[0])) + text[1:-1] if text[0] in "XYZ" else text[:-1])
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[number % 23] == text[-1]  # fixed value: the published order of letters
+
+
+CHECKS = {f.__name__: f for f in (luhn, mod97, mod11, mod11_10, dated_luhn, letter23)}
 
 
 class Finder:
@@ -236,17 +262,24 @@ class Finder:
                 taken.insert(at, span)
 
     def _identities(self, text: str):
-        for shape, sort in ID_SHAPES:
+        """Numbers of a known shape. A check that holds is enough by itself, one that fails leaves only a label just before the number."""
+        for shape, sort, check in ID_SHAPES:
             for m in shape.finditer(text):
                 a, b = m.span()
                 before, after = text[max(0, a - 48) : a], text[b : b + 56]
-                score = 0.1 + checksum_bonus(m.group())
-                if ID_BEFORE.search(before):
-                    score += 0.6
+                score = 0.1
+                if check:
+                    score += CHECK_HOLDS if CHECKS[check](m.group()) else CHECK_FAILS
+                if sort in ("card", "account"):
+                    pass  # nothing but the check makes one
+                elif ID_BEFORE.search(before):
+                    score += LABEL_BEFORE
                 elif ID_AFTER.search(after):
-                    score += 0.5
+                    score += LABEL_AFTER
+                elif PHONE_BEFORE.search(before):
+                    score += SPEAKS_AGAINST
                 if NOT_PERSONAL.search(before):
-                    score -= 0.5
+                    score += SPEAKS_AGAINST
                 if score >= ACCEPT:
                     yield a, b, "id_number"
 
@@ -312,7 +345,7 @@ class Finder:
                     j = self._extend(text, words, lowered, i, loose=True)
                     tail = text[words[j][1] :]
                     weak = before.rstrip()[-1:] in "—–-" or bool(re.search(r"(?i)(?:best|cheers|thanks to|ask for),?\s*$", before))
-                    ends = not tail or bool(re.match(r"\s*(?:$|[\n|,.;!])|\s+[A-Z0-9(<]|\s+(?:for the|at the|and i|last|tried|refuses|really)", tail))
+                    ends = not tail or bool(re.match(r"\s*(?:$|[\n|,.;!])|\s+[A-Z0-9(<]|\s+(?:for|at|and|or|is|was|has|had|will|would)\b", tail))
                     if titled or j > i or (not weak and w.lower() not in _OPENERS) or (ends and w.lower() not in ("the", "you", "everyone", "all")):
                         spans.append((a, words[j][1], "name"))
             elif w[0].isupper() and lowered[i] not in _PLAIN and len(w) > 2 and AFTER_NAME.match(text[b : b + 14]) and re.search(r"(?:^|[.!?\n]\s*)$", text[max(0, a - 3) : a]) and lowered[i] in self.names:
@@ -349,7 +382,7 @@ class Finder:
                 known = self.names.get(lowered[k])
                 fits = known == "family" and (lowered[k] not in self.plain or w[0].isupper() or words[i][2].islower()) or (
                     w[0].isupper() and known != "given" and lowered[k] not in _PLAIN and (k > j + 1 or not self._sentence(text, words, k)) and (w.isupper() == upper or not upper)
-                    and len(w) > 3 and not COMPANY.match(text[words[j][1] :])
+                    and len(w) > 3 and not COMPANY.match(text[words[j][1] :]) and not re.match(r"-[^\W\d_A-Z]", text[words[k][1] : words[k][1] + 2])
                 )
                 if fits:
                     j = k
@@ -442,13 +475,14 @@ class Finder:
         return self.names.get(lowered[k]) == "given" or bool(FIELD_EDGE.search(text[max(0, a - 3) : a])) or bool(CUE.search(text[max(0, a - 32) : a]))
 
 
+# words that open sentences or stand as labels: function words, modal verbs, times, ways of contact, kinds of identity numbers
 _OPENERS = frozenset(
     "the our my we i it in if is you they that this there what why would could can has have had no not nobody somebody someone same some every everyone each don't do does did "
-    "last keep plan please shipping send since so still thanks half honestly imagine an a at after and as ask all any by but because before between both call for from here how "
-    "mail me now numbers of on only order or out pick pm reach ring serial signed somewhere spread tel the these those to until was warm were when where whatsapp who will with write yesterday "
-    "credit firmware install isbn batch passport national insurance tax residence social driver driving health regards half nothing pick-up unit flat calle via tl".split()
+    "last please so since still thanks an a at after and as ask all any by but because before between both call for from here how me now of on only or out to until was were when where who will with "
+    "these those then though yesterday today tomorrow tonight soon later again also maybe perhaps honestly frankly actually basically really clearly obviously luckily sadly finally hopefully apparently recently usually just mail text phone tel ring reach fax whatsapp sms "
+    "passport national insurance tax residence social driver driving health licence license permit unit flat apartment suite room".split()
 )
-_NOT_GIVEN = frozenset("landlord sister brother says goes name mr mrs ms dr prof signed regards cheers best thanks".split())
+_NOT_GIVEN = frozenset("landlord landlady sister brother mother father says said name mr mrs ms dr prof signed regards cheers best thanks".split())
 
 
 def name_list(names: DataFrame) -> dict[str, str]:

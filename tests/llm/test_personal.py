@@ -50,9 +50,41 @@ def test_spans(text, want):
 
 
 def test_checksums():
-    assert P.luhn("4539578763621486") and not P.luhn("4539578763621487")
-    assert P.mod97("GB82WEST12345698765432") and not P.mod97("GB83WEST12345698765432")
-    assert P.mod11_two("52998224725") and not P.mod11_two("52998224726") and not P.mod11_two("11111111111")
+    assert P.luhn("4539578763621486") and not P.luhn("4539578763621487") and not P.luhn("0000 0000 0000 0000")
+    assert P.mod97("GB82WEST12345698765432") and not P.mod97("GB83WEST12345698765432") and not P.mod97("GB82")
+    assert P.mod11("529.982.247-25") and not P.mod11("52998224726") and not P.mod11("11111111111")
+    assert P.mod11_10("86 095 742 719") and not P.mod11_10("86 095 742 718")
+    assert P.dated_luhn("811228-9874") and not P.dated_luhn("811228-9873") and not P.dated_luhn("811328-9873")
+    assert P.letter23("12345678Z") and P.letter23("X1234567L") and not P.letter23("12345678A")
+
+
+HELD = [  # numbers without a label, and the same with a wrong check digit
+    ("Pay to GB82 WEST 1234 5698 7654 32 by Friday", "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32"),
+    ("I wrote 4539 5787 6362 1486 on it", "4539 5787 6362 1486", "4539 5787 6362 1487"),
+    ("or 378282246310005 then", "378282246310005", "378282246310006"),
+    ("mine is 529.982.247-25 now", "529.982.247-25", "529.982.247-26"),
+    ("it says 86 095 742 719 here", "86 095 742 719", "86 095 742 718"),
+    ("born as 811228-9874 there", "811228-9874", "811228-9873"),
+    ("sent 12345678Z twice", "12345678Z", "12345678A"),
+]
+
+
+@pytest.mark.parametrize("text, number, wrong", HELD)
+def test_a_check_that_holds_decides(text, number, wrong):
+    assert found(text) == [("id_number", number)]
+    assert found(text.replace(number, wrong)) == []
+    assert found(text.replace(number, "order no. " + number)) == []
+
+
+def test_a_check_that_fails_vetoes_a_label_behind():
+    assert found("529.982.247-26 is a tax number") == [] and found("tax number 529.982.247-26") == [("id_number", "529.982.247-26")]
+    assert found("529.982.247-25 is a tax number") == [("id_number", "529.982.247-25")]
+
+
+def test_without_the_checks_nothing_of_it_is_found(monkeypatch):
+    """The ablation: checks that never hold change the result."""
+    monkeypatch.setattr(P, "CHECKS", dict.fromkeys(P.CHECKS, lambda token: False))
+    assert all(found(text) == [] for text, *_ in HELD)
 
 
 def test_positions_are_code_points_and_rest_is_kept():

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.operators.skew import lookup
 from loomspark.runtime import materialize
 
 # Letters of other scripts and the Latin letters they look like (after UTS #39).
 LOOKALIKE_FROM = (
-    "аеорсухѕіјһԁԛԝѵӏ" "АВЕКМНОРСТУХЅІЈԌԚԜӀ"  # Cyrillic
-    "οναρϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ"  # Greek
-    "օսհզ" "ՕՏ"  # Armenian
+    "аеорсухѕіјһԁԛԝѵӏү" "АВЕКМНОРСТУХЅІЈԌԚԜӀҮ"  # Cyrillic
+    "αγιονρυϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ"  # Greek
+    "օսհզցո" "ՕՏԼ"  # Armenian
+    "ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ"  # Cherokee
     "ɑɡ"  # Latin variants
 )
 LOOKALIKE_TO = (
-    "aeopcyxsijhdqwvl" "ABEKMHOPCTYXSIJGQWI"
-    "ovapcj" "ABEZHIKMNOPTYXC"
-    "ouhq" "OS"
+    "aeopcyxsijhdqwvly" "ABEKMHOPCTYXSIJGQWIY"
+    "ayiovpucj" "ABEZHIKMNOPTYXCJ"
+    "ouhqgn" "OSL"
+    "ABCEHJKLMPRSTVWZ"
     "ag"
 )
 # Blanks of one width or another, and the signs that are drawn as a hyphen.
@@ -52,6 +55,7 @@ SIGNS_FROM = SPACES + HYPHENS + WIDE_FROM + "".join(WIDE_SIGNS)
 SIGNS_TO = " " * len(SPACES) + "-" * len(HYPHENS) + WIDE_TO + "".join(WIDE_SIGNS.values())
 GONE = _spelled(INVISIBLE) + JOINER  # translate drops what has no counterpart
 SCRIPTS = "".join(chr(c) for c in range(0x370, 0x590))  # the blocks of Greek, Cyrillic and Armenian
+HOT_ROWS = 100_000  # documents of one text that are put into pairs by one task
 MARKS = "".join(chr(c) for c in range(0x300, 0x370) if chr(c) not in GONE)
 
 
@@ -107,77 +111,86 @@ def oddness(text: Column) -> Column:
     return F.when(_not_ascii(text), signs + mixed).otherwise(0)
 
 
-def text_variants(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(variant, form, odd, load) of the distinct visible texts: digest, mapped text, oddness, rows.
+def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_oddness: bool = False) -> DataFrame:
+    """(doc_id, variant, shape, mark, letters, odd, form) of the documents with visible text, as a stored table.
 
-    Copies meet here with map-side combining, so a text stored very often is one row from here on.
+    variant is the text's digest, shape that of its mapped form. mark and letters are short hashes of the form and of its
+    letters and digits alone, by which later stages tell what has to be compared. odd is null unless asked for.
     """
     text = F.col(text_col)
-    rows = docs.filter(is_visible(text)).select(F.sha2(text_col, 256).alias("variant"), skeleton(text).alias("form"), oddness(text).alias("odd"))
-    return rows.groupBy("variant").agg(F.min("form").alias("form"), F.min("odd").alias("odd"), F.count(F.lit(1)).alias("load"))
+    odd = oddness(text) if with_oddness else F.lit(None).cast("int")
+    rows = docs.filter(is_visible(text)).select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text_col, 256)).alias("variant"), odd.alias("odd"), skeleton(text).alias("form"))
+    letters = F.xxhash64(F.regexp_replace("form", r"[^\p{L}\p{N}]+", ""))
+    return materialize(
+        rows.select("doc_id", "variant", F.unhex(F.sha2("form", 256)).alias("shape"), F.xxhash64("form").alias("mark"), letters.alias("letters"), "odd", "form"), "text-rows"
+    )
 
 
-def variant_classes(variants: DataFrame) -> DataFrame:
-    """(variant, class_id, odd, load): texts are alike if their forms are equal under Spark's UNICODE collation.
+def text_classes(rows: DataFrame) -> DataFrame:
+    """(variant, class_id, odd, load, holder): one row per distinct text of `text_rows`.
 
-    That collation heeds accents and case, but not whether an accent is written as one character or
-    two. class_id is the digest of the least form of the class.
+    Texts are alike if their forms are equal under Spark's UNICODE collation. That collation heeds accents and case, but
+    not how an accent is written, nor control characters. Forms can be equal under it only if their letters and digits are,
+    so nothing but forms of the same letters is compared by it, and only where there are several. class_id is the least
+    shape of the class, load counts the rows of the text and holder is the least document that has it.
     """
-    least = variants.groupBy(F.collate("form", "UNICODE").alias("shape")).agg(F.min("form").alias("least"))
-    alike = variants.join(least, F.collate("form", "UNICODE") == F.col("shape"))
-    return alike.select("variant", F.sha2("least", 256).alias("class_id"), "odd", "load")
-
-
-def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per document with visible text (doc_id, variant, class_id, odd), and the classes' variants.
-
-    Null, empty and blank texts are in no class. Equal texts share class and variant. Other columns are ignored.
+    # copies meet here with map-side combining, and no text is shuffled: a text stored very often is one row from here on
+    variants = rows.groupBy("variant", "shape").agg(F.min("odd").alias("odd"), F.count(F.lit(1)).alias("load"), F.min("doc_id").alias("holder"))
+    several = rows.groupBy("letters").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low <> high").select("letters")
+    compared = rows.join(several, "letters", "left_semi").groupBy("letters", "shape").agg(F.any_value("form").alias("form"))
+    alike = Window.partitionBy("letters", F.collate("form", "UNICODE"))  # distinct forms, of which few are equal under it
+    joined = compared.repartition("letters").select("shape", F.min("shape").over(alike).alias("class_id")).filter("shape <> class_id")
+    joined = materialize(joined, "joined-shapes")
+    named = variants if joined.isEmpty() else variants.join(joined, "shape", "left")
+    class_id = F.col("shape") if joined.isEmpty() else F.coalesce("class_id", "shape")
+    return materialize(named.select("variant", class_id.alias("class_id"), "odd", "load", "holder"), "classes")
+
+
+def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links): one row per document with visible text.
+
+    links counts the documents that look the same but aren't the same characters. Null, empty and blank
+    texts are in no class. Other columns are ignored.
     """
-    classes = materialize(variant_classes(materialize(text_variants(docs, text_col), "variants")), "classes")
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.sha2(text_col, 256).alias("variant"))
-    return lookup(rows, classes, "variant"), classes
-
-
-def canonical_variants(classes: DataFrame) -> DataFrame:
-    """(class_id, variant, load): the variant with the fewest unusual characters, then the least digest."""
-    return classes.groupBy("class_id").agg(F.min(F.struct("odd", "variant")).alias("best"), F.sum("load").alias("load")).select(
-        "class_id", F.col("best.variant").alias("variant"), "load"
-    )
+    rows = text_rows(docs, id_col, text_col)
+    classes = text_classes(rows)
+    total = classes.groupBy("class_id").agg(F.sum("load").alias("all"), F.count(F.lit(1)).alias("variants"))
+    table = classes.join(total, "class_id").select("variant", "class_id", (F.col("all") - F.col("load")).alias("links"), "load")
+    return lookup(rows.select("doc_id", "variant"), materialize(table, "links"), "variant").select("doc_id", "class_id", "links")
 
 
 def consistent_texts(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and text: for every class the plain form of its canonical member.
 
-    Null, empty and blank texts come out as they are, with a null class.
+    That is the text with the fewest unusual characters, then of the least digest. Null, empty and blank texts come out as
+    they are, with a null class.
     """
-    members, classes = lookalike_classes(docs)
-    members = materialize(members.select("doc_id", "class_id", "variant"), "members")
-    chosen = canonical_variants(classes)
-    holders = members.join(chosen, ["class_id", "variant"]).groupBy("class_id", "load").agg(F.min("doc_id").alias("holder"))
-    texts = (
-        docs.select(F.col("doc_id").alias("holder"), plain_signs(F.col("text")).alias("plain"))
-        .join(holders, "holder").select("class_id", "load", F.replace("plain", F.lit(JOINED_EMOJI), F.lit("\u200d")).alias("plain"))
-    )
-    placed = lookup(members.select("doc_id", "class_id"), materialize(texts, "canonical"), "class_id")
-    return docs.select("doc_id", "text").join(placed, "doc_id", "left").select(
-        "doc_id", "class_id", F.coalesce("plain", "text").alias("text")
-    )
+    rows = text_rows(docs, with_oddness=True)
+    classes = text_classes(rows)
+    chosen = classes.groupBy("class_id").agg(F.min(F.struct("odd", "variant", "holder")).alias("best")).select("class_id", F.col("best.holder").alias("holder"))
+    plain = F.replace(plain_signs(F.col("text")), F.lit(JOINED_EMOJI), F.lit(JOINER))
+    texts = materialize(docs.select(F.col("doc_id").alias("holder"), plain.alias("plain")).join(chosen, "holder").select("class_id", "plain"), "canonical")
+    # a class by its number of rows, so that a text stored very often is no one task's work
+    loads = classes.groupBy("class_id").agg(F.sum("load").alias("load"))
+    members = lookup(rows.select("doc_id", "variant"), classes.select("variant", "class_id", "load"), "variant")
+    placed = lookup(members.select("doc_id", "class_id"), texts.join(loads, "class_id"), "class_id")
+    return docs.select("doc_id", "text").join(placed, "doc_id", "left").select("doc_id", "class_id", F.coalesce("plain", "text").alias("text"))
 
 
 def lookalike_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b): documents of a class whose stored texts differ.
+    """(doc_a, doc_b): documents of a class whose stored texts differ. `lookalike_classes` gives the same without pairs.
 
     Variants of a class are paired first; documents are put in for each pair of variants, so copies
-    of one text are never compared with each other.
+    of one text are never compared with each other. A text of very many documents is put in in parts.
     """
-    members, variants = lookalike_classes(docs)
-    variants = variants.select("class_id", "variant")
-    several = variants.groupBy("class_id").count().filter("count > 1").select("class_id")
-    left = variants.join(several, "class_id", "left_semi").withColumnRenamed("variant", "v1")
-    pairs = left.join(left.withColumnRenamed("v1", "v2"), "class_id").filter("v1 < v2")
-    members = materialize(members.join(several, "class_id", "left_semi").select("doc_id", "class_id", "variant"), "members")
-    one = members.select("class_id", F.col("variant").alias("v1"), F.col("doc_id").alias("d1"))
-    two = members.select("class_id", F.col("variant").alias("v2"), F.col("doc_id").alias("d2"))
-    return pairs.join(one, ["class_id", "v1"]).join(two, ["class_id", "v2"]).select(
-        F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b")
-    )
+    rows = text_rows(docs)
+    classes = text_classes(rows)
+    several = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class_id")
+    variants = materialize(classes.join(several, "class_id", "left_semi").withColumn("parts", F.ceil(F.col("load") / HOT_ROWS)), "several")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    members = materialize(lookup(rows.select("doc_id", "variant"), variants.select("variant", "class_id", "parts", "load"), "variant").select("doc_id", "variant", part.alias("part")), "members")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    side = lambda i: variants.select("class_id", F.col("variant").alias(f"v{i}"), F.col("parts").alias(f"n{i}"))
+    pairs = side(1).join(side(2), "class_id").filter("v1 < v2").select("v1", "v2", every("n1").alias("p1"), "n2").select("v1", "v2", "p1", every("n2").alias("p2"))
+    one, two = (members.select(F.col("variant").alias(f"v{i}"), F.col("part").alias(f"p{i}"), F.col("doc_id").alias(f"d{i}")) for i in (1, 2))
+    return pairs.join(one, ["v1", "p1"]).join(two, ["v2", "p2"]).select(F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b"))

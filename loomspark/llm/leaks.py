@@ -15,19 +15,22 @@ from loomspark.llm.glyphs import skeleton
 from loomspark.runtime import materialize
 
 WORD = re.compile(r"[^\W_]+")
-# Spaced seeds over RUN tokens: a 0 is a token that is ignored. Each spans RUN at most, so every
-# exact run of RUN tokens is hit; the ignored places let runs with a changed word be hit too.
+# Spaced seeds over RUN tokens: a 0 is a token that is ignored. Each spans RUN at most, and together they hit every run of
+# RUN tokens in which no more than two are changed, whichever these are.
 RUN = 8
-MASKS = ("11011011", "10110111")
+MASKS = ("11101", "100111", "11010011")
 BLOCK_WORDS = 1_000_000  # words of items that are sent to the tasks at once
+# Small letters whose capitals look like Latin ones, so that case doesn't matter after the look-alike map.
+FOLD = str.maketrans("нвкмт" "βεζηκμτχ", "hbkmt" "bezhkmtx")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters and digits in lower case, with accents in composed form."""
+    """Runs of letters and digits of a text in look-alike form, in one case, with accents in composed form."""
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.lower()).translate(FOLD))
+        return WORD.findall(text)
     return WORD.findall(text.lower())
 
 
@@ -40,84 +43,99 @@ class SeedIndex:
         self.ids, self.items = [], []
         for item_id, text in items:
             tokens = words(text)
-            if tokens:
+            if len(tokens) >= RUN:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], dtype=np.int64))
         self.seeds = []
+        lengths = [len(t) for t in self.items]
+        flat = np.concatenate(self.items) if self.items else np.empty(0, np.int64)
+        item, place = np.repeat(np.arange(len(lengths)), lengths), _within(lengths)
         for mask in MASKS:
-            hashes, item, place = [], [], []
-            for k, tokens in enumerate(self.items):
-                h = seed_hashes(tokens, mask)
-                hashes.append(h)
-                item.append(np.full(len(h), k, dtype=np.int32))
-                place.append(np.arange(len(h), dtype=np.int32))
-            h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            at = _inside(lengths, len(mask))
+            h = seed_hashes(flat, mask, at)
             order = np.argsort(h, kind="stable")
-            self.seeds.append((h[order], np.concatenate(item)[order] if hashes else [], np.concatenate(place)[order] if hashes else []))
+            self.seeds.append((h[order], item[at][order], place[at][order]))
 
-    def search(self, tokens: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """(item position, words, words in exact runs, words in runs with substitutions)."""
-        if len(tokens) < RUN:
+    def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(place of the document, item position, words, words in exact runs, words in runs with changes)."""
+        lengths = [len(d) for d in docs]
+        total = sum(lengths)
+        if not total or not self.items:
             return
         get = self.vocabulary.get
-        doc = np.array([get(t, -1) for t in tokens], dtype=np.int64)
-        lines: dict[int, set[int]] = {}
-        known = doc >= 0
+        flat = np.fromiter((get(t, -1) for d in docs for t in d), dtype=np.int64, count=total)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        doc_of, place_of, known = np.repeat(np.arange(len(docs)), lengths), _within(lengths), flat >= 0
+        found = []
         for mask, (hashes, item, place) in zip(MASKS, self.seeds):
-            if not len(hashes):
-                continue
-            whole = np.ones(len(doc) - len(mask) + 1, dtype=bool)
+            at = _inside(lengths, len(mask))
             for j, bit in enumerate(mask):
                 if bit == "1":
-                    whole &= known[j : j + len(whole)]
-            at = np.flatnonzero(whole)
-            if not len(at):
-                continue
-            h = seed_hashes(doc, mask)[at]
+                    at = at[known[at + j]]
+            h = seed_hashes(flat, mask, at)
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                for k, q in zip(item[a:b].tolist(), place[a:b].tolist()):
-                    lines.setdefault(k, set()).add(p - q)
-        for k, shifts in lines.items():
-            want = self.items[k]
-            n = len(want)
-            if n < RUN:
-                continue
-            diagonals, most, equal = [], 0, 0
-            for shift in shifts:
-                same = np.zeros(n, dtype=bool)
-                a, b = max(0, -shift), min(n, len(doc) - shift)
-                same[a:b] = doc[a + shift : b + shift] == want[a:b]
-                sums = np.cumsum(same)
-                equal += int(sums[-1])
-                windows = sums[RUN - 1 :].copy()
-                windows[1:] -= sums[:-RUN]
-                most = max(most, int(windows.max()))
+            times = hi - lo
+            at = np.repeat(at, times)
+            hit = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(at))
+            found.append(np.stack([doc_of[at], item[hit], place_of[at] - place[hit]], axis=1))
+        lines = np.unique(np.concatenate(found), axis=0)
+        if not len(lines):
+            return
+        edges = np.flatnonzero(np.any(lines[1:, :2] != lines[:-1, :2], axis=1)) + 1
+        for group in np.split(lines, edges):
+            d, k = int(group[0, 0]), int(group[0, 1])
+            result = self._verify(flat[starts[d] : starts[d] + lengths[d]], self.items[k], group[:, 2].tolist())
+            if result:
+                yield (d, k, *result)
+
+    def _verify(self, doc: np.ndarray, want: np.ndarray, shifts: list[int]) -> tuple[int, int, int] | None:
+        n = len(want)
+        if len(doc) < RUN:
+            return None
+        diagonals, most, equal = [], 0, 0
+        for shift in shifts:
+            same = np.zeros(n, dtype=bool)
+            a, b = max(0, -shift), min(n, len(doc) - shift)
+            same[a:b] = doc[a + shift : b + shift] == want[a:b]
+            sums = np.cumsum(same)
+            windows = sums[RUN - 1 :].copy()
+            windows[1:] -= sums[:-RUN]
+            top = int(windows.max())
+            if top >= RUN - 2:
+                most, equal = max(most, top), equal + int(sums[-1])
                 diagonals.append((same, windows))
-            if most < RUN and equal < self.near_share * n:
-                continue  # neither an exact run nor, at best, enough words in runs with changes
-            exact, near = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-            for same, windows in diagonals:
-                if most == RUN:
-                    exact |= covered(same, windows >= RUN)
-                near |= covered(same, windows >= RUN - 2)
-            if most == RUN or near.sum() >= self.near_share * n:
-                yield k, n, int(exact.sum()), int(near.sum())
-
-
-def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
-    """A hash per position, of the tokens where the mask has a 1."""
-    n = len(tokens) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
+        if most < RUN and equal < self.near_share * n:
+            return None  # neither an exact run nor, at best, enough words in runs with changes
+        exact, near = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        for same, windows in diagonals:
+            if most == RUN:
+                exact |= covered(same, windows >= RUN)
+            near |= covered(same, windows >= RUN - 2)
+        if most == RUN or near.sum() >= self.near_share * n:
+            return n, int(exact.sum()), int(near.sum())
+        return None
+
+
+def _within(lengths: list[int]) -> np.ndarray:
+    """0, 1, ... within each of the sequences of these lengths."""
+    sizes = np.asarray(lengths, dtype=np.int64)
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _inside(lengths: list[int], span: int) -> np.ndarray:
+    """Places, in the joined sequences, from which `span` tokens are of one sequence."""
+    return np.flatnonzero(_within(lengths) + span <= np.repeat(np.asarray(lengths, dtype=np.int64), lengths))
+
+
+def seed_hashes(tokens: np.ndarray, mask: str, at: np.ndarray) -> np.ndarray:
+    """A hash for each place of `at`, of the tokens where the mask has a 1."""
     x = tokens.astype(np.uint64) + np.uint64(1)
     x = (x ^ (x >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros(len(at), np.uint64)
     for j, bit in enumerate(mask):
-        out *= np.uint64(0xBF58476D1CE4E5B9)
         if bit == "1":
-            out += x[j : j + n]
+            out = out * np.uint64(0xBF58476D1CE4E5B9) + x[at + j]
     return out
 
 
@@ -135,7 +153,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
     They overlap if they share an exact run, or if runs with changed words hold half of the item's words.
     exact_words counts the item's words that occur in the document in runs of RUN or more
-    consecutive words, near_words those in runs with up to two changed words in RUN. Both texts
+    consecutive words, near_words those in runs with up to two changed words in RUN; no such run is missed. Both texts
     are compared in their look-alike form, in lower case, words only. Items of fewer than RUN words,
     null and empty texts give no rows; repeated item rows count once per id and text.
 
@@ -165,11 +183,10 @@ def _search(rows: list[tuple[int, str]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, n, exact, near in index.search(words(text)):
-                    out.append((doc, index.ids[k], n, exact, near))
-            if out:
+            ids = batch.column(0).to_pylist()
+            found = list(index.search([words(t) for t in batch.column(1).to_pylist()]))  # many documents at once: few calls, long arrays
+            if found:
+                out = [(ids[d], index.ids[k], n, exact, near) for d, k, n, exact, near in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                     ["doc_id", "item_id", "item_words", "exact_words", "near_words"],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.lookalike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents look like how many others that aren't the same characters."""
+    found = glyphs.lookalike_classes(table(spark, sf_dir, "documents"))
+    return found.groupBy("links").agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("class_id").alias("n_classes"))
+
+
 def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.consistent_texts(table(spark, sf_dir, "documents"))
 
@@ -84,28 +92,46 @@ QUERIES = {
     "p3_found": p3_found, "p3_clusters": p3_clusters,
     "p2_found": p2_found, "p2_redacted": p2_redacted,
     "p8_ids": p8_ids, "p8_lengths": p8_lengths,
-    "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_texts": p10_texts,
+    "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts,
 }
 
 
+# What the SQL takes for alike, typed apart from the operator's table, so that either shows what the other lacks.
+_ALIKE = (
+    "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl үy АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ԚQ ԜW ӀI ҮY "
+    "αa γy ιi οo νv ρp υu ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ օo սu հh զq ցg ոn ՕO ՏS ԼL ɑa ɡg "
+    "ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+).split()
+_LIGATURES = "ﬀff ﬁfi ﬂfl ﬃffi ﬄffl ﬅst ﬆst".split()
+_SIGNS = [(c, " ") for c in "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"] + [(c, "-") for c in "\u2010\u2011\ufe63\uff0d"]
+_SIGNS += [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, (*range(0xFF01, 0xFF5F), 0xFFE0, 0xFFE1, 0xFFE2, 0xFFE4, 0xFFE5, 0xFFE6)) if c != "\uff0d"] + [("\uffe3", "\u00af")]
+_UNSEEN = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff"
+
+
+def _accented() -> list[tuple[str, str]]:
+    """Composed letters over a letter of _ALIKE, and the Latin letter under the same accents."""
+    latin = {pair[0]: pair[1] for pair in _ALIKE}
+    apart = ((c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))))
+    return [(c, unicodedata.normalize("NFC", latin[d[0]] + d[1:])) for c, d in apart if len(d) > 1 and d[0] in latin]
+
+
 def _quoted(chars: str) -> str:
     return "'" + chars.replace("'", "''") + "'"
 
 
 def _shape(column: str) -> str:
     """The look-alike form in DuckDB, with accents composed."""
-    g = glyphs
-    c = f"regexp_replace({column}, '([\\p{{So}}\\p{{Sk}}\\x{{FE0F}}])\\x{{200D}}(\\p{{So}})', '\\1{g.JOINED_EMOJI}\\2', 'g')"
-    c = f"regexp_replace({c}, '[{g.INVISIBLE}\u200d]', '', 'g')"
-    frm = g.SPACES + g.HYPHENS + g.WIDE_FROM + "".join(g.WIDE_SIGNS) + g.LOOKALIKE_FROM
-    to = " " * len(g.SPACES) + "-" * len(g.HYPHENS) + g.WIDE_TO + "".join(g.WIDE_SIGNS.values()) + g.LOOKALIKE_TO
-    c = f"translate({c}, {_quoted(frm)}, {_quoted(to)})"
-    for sign, letters in g.LIGATURES.items():
+    c = f"regexp_replace(nfc_normalize({column}), '([\\p{{So}}\\p{{Sk}}\\x{{FE0F}}])\\x{{200D}}(\\p{{So}})', '\\1\ue00d\\2', 'g')"
+    c = f"nfc_normalize(regexp_replace({c}, '[{_UNSEEN}]', '', 'g'))"
+    single = [p for p in _accented() if len(p[1]) == 1] + [(p[0], p[1]) for p in _ALIKE] + _SIGNS
+    c = f"translate({c}, {_quoted(''.join(a for a, _ in single))}, {_quoted(''.join(b for _, b in single))})"
+    for sign, letters in [p for p in _accented() if len(p[1]) > 1] + [(p[0], p[1:]) for p in _LIGATURES]:
         c = f"replace({c}, '{sign}', '{letters}')"
     return f"nfc_normalize({c})"
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+# small letters whose capitals look like Latin ones
+_WORDS = "list_filter(regexp_split_to_array(translate(lower({}), 'нвкмтβεζηκμτχ', 'hbkmtbezhkmtx'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 SQL: dict[str, str] = {
     "p1_found": """

@@ -1,4 +1,6 @@
+import itertools
 import random
+import unicodedata
 
 import numpy as np
 
@@ -68,8 +70,49 @@ def test_empty(spark):
     assert run(spark, [(1, "a b c d e f g h")], []).count() == 0
 
 
-def test_masks_span_the_run():
+def test_masks_hit_every_run_with_two_changes():
     assert all(len(m) <= leaks.RUN and m[0] == "1" and "0" in m for m in leaks.MASKS)
+    for gone in itertools.combinations(range(leaks.RUN), 2):
+        assert any(all(b == "0" or j + s not in gone for j, b in enumerate(m)) for m in leaks.MASKS for s in range(leaks.RUN - len(m) + 1)), gone
+
+
+def near_brute(docs, items):
+    out = {}
+    for d, text in docs:
+        w = leaks.words(text)
+        for k, it in items:
+            v, cov = leaks.words(it), set()
+            for i in range(len(v) - 7):
+                for j in range(len(w) - 7):
+                    same = [x for x in range(8) if v[i + x] == w[j + x]]
+                    if len(same) >= 6:
+                        cov |= {i + x for x in same}
+            if cov and 2 * len(cov) >= len(v):
+                out[d, k] = len(cov)
+    return out
+
+
+def test_changed_words_are_found_as_by_brute_force(spark):
+    """Copies with every second to ninth word changed; every fourth makes two changes in eight."""
+    vocab = [f"w{i}" for i in range(400)]
+    rnd = random.Random(5)
+    items = [(k, " ".join(rnd.choice(vocab) for _ in range(60))) for k in range(6)]
+    docs = []
+    for k, text in items:
+        for step in range(2, 10):
+            w = text.split()
+            w[:: step] = ["other"] * len(w[:: step])
+            docs.append((len(docs), "before that " + " ".join(w)))
+    want = near_brute(docs, items)
+    got = {(r.doc_id, r.item_id): r.near_words for r in run(spark, docs, items).collect() if 2 * r.near_words >= r.item_words}
+    assert got == want and len(want) == 6 * 7
+
+
+def test_case_of_other_scripts(spark):
+    item = "Новый товар пришёл к нам вчера вечером и стоит недорого"
+    docs = [(1, item.upper()), (2, item.lower()), (3, unicodedata.normalize("NFD", item.upper())), (4, item.replace("о", "o").replace("Н", "H"))]
+    got = {r.doc_id: r.exact_words for r in run(spark, docs, [(7, item)]).collect()}
+    assert got == {1: 10, 2: 10, 3: 10, 4: 10}
 
 
 def test_covered():

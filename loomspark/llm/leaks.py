@@ -24,6 +24,10 @@ BLOCK_WORDS = 1_000_000  # words of items that are sent to the tasks at once
 FOLD = str.maketrans("нвкмт" "βεζηκμτχ", "hbkmt" "bezhkmtx")
 
 
+# ASCII letters in lower case and digits as they are, anything else a blank
+ASCII_WORDS = {c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)}
+
+
 def words(text: str | None) -> list[str]:
     """Runs of letters and digits of a text in look-alike form, in one case, with accents in composed form."""
     if not text:
@@ -31,7 +35,7 @@ def words(text: str | None) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.lower()).translate(FOLD))
         return WORD.findall(text)
-    return WORD.findall(text.lower())
+    return text.translate(ASCII_WORDS).split()
 
 
 class SeedIndex:
@@ -48,7 +52,8 @@ class SeedIndex:
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], dtype=np.int64))
         self.seeds = []
         lengths = [len(t) for t in self.items]
-        flat = np.concatenate(self.items) if self.items else np.empty(0, np.int64)
+        flat = self.flat = np.concatenate(self.items) if self.items else np.empty(0, np.int64)
+        self.ends = np.cumsum(lengths, dtype=np.int64)
         item, place = np.repeat(np.arange(len(lengths)), lengths), _within(lengths)
         for mask in MASKS:
             at = _inside(lengths, len(mask))
@@ -77,43 +82,55 @@ class SeedIndex:
             times = hi - lo
             at = np.repeat(at, times)
             hit = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(at))
+            near = self._near(flat, np.asarray(lengths)[doc_of[at]], at, place_of[at], item[hit], place[hit])
+            at, hit = at[near], hit[near]
             found.append(np.stack([doc_of[at], item[hit], place_of[at] - place[hit]], axis=1))
         lines = np.unique(np.concatenate(found), axis=0)
         if not len(lines):
             return
-        edges = np.flatnonzero(np.any(lines[1:, :2] != lines[:-1, :2], axis=1)) + 1
-        for group in np.split(lines, edges):
-            d, k = int(group[0, 0]), int(group[0, 1])
-            result = self._verify(flat[starts[d] : starts[d] + lengths[d]], self.items[k], group[:, 2].tolist())
-            if result:
-                yield (d, k, *result)
-
-    def _verify(self, doc: np.ndarray, want: np.ndarray, shifts: list[int]) -> tuple[int, int, int] | None:
-        n = len(want)
-        if len(doc) < RUN:
-            return None
-        diagonals, most, equal = [], 0, 0
-        for shift in shifts:
-            same = np.zeros(n, dtype=bool)
-            a, b = max(0, -shift), min(n, len(doc) - shift)
-            same[a:b] = doc[a + shift : b + shift] == want[a:b]
-            sums = np.cumsum(same)
-            windows = sums[RUN - 1 :].copy()
-            windows[1:] -= sums[:-RUN]
-            top = int(windows.max())
-            if top >= RUN - 2:
-                most, equal = max(most, top), equal + int(sums[-1])
-                diagonals.append((same, windows))
-        if most < RUN and equal < self.near_share * n:
-            return None  # neither an exact run nor, at best, enough words in runs with changes
-        exact, near = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        for same, windows in diagonals:
-            if most == RUN:
-                exact |= covered(same, windows >= RUN)
-            near |= covered(same, windows >= RUN - 2)
-        if most == RUN or near.sum() >= self.near_share * n:
-            return n, int(exact.sum()), int(near.sum())
-        return None
+        yield from self._verify(flat, starts, np.asarray(lengths), lines)
+
+    def _near(self, flat: np.ndarray, length: np.ndarray, at: np.ndarray, place: np.ndarray, item: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Hits with a run around them in which no more than two of RUN words differ; most chance hits have none."""
+        size = np.diff(self.ends, prepend=0)[item]
+        first = self.ends[item] - size
+        run, best = np.zeros(len(at), np.int8), np.zeros(len(at), np.int8)
+        lately: list[np.ndarray] = []
+        for o in range(1 - RUN, 2 * RUN - 1):
+            within = (place + o >= 0) & (place + o < length) & (q + o >= 0) & (q + o < size)
+            same = within & (flat[np.where(within, at + o, 0)] == self.flat[np.where(within, first + q + o, 0)])
+            lately.append(same)
+            run = run + same - (lately[-1 - RUN] if len(lately) > RUN else 0)
+            best = np.maximum(best, run)
+        return best >= RUN - 2
+
+    def _verify(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lines: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Words in runs, per document and item, over all diagonals (document, item, shift) at once.
+
+        The items' words of all diagonals form one long array, in which runs are counted by cumulative sums.
+        """
+        doc, item, shift = lines.T
+        sizes = np.diff(self.ends, prepend=0)[item]
+        line, q = np.repeat(np.arange(len(lines)), sizes), _within(sizes)
+        p = q + shift[line]
+        inside = (p >= 0) & (p < lengths[doc][line])
+        same = inside & (flat[np.where(inside, starts[doc][line] + p, 0)] == self.flat[(self.ends[item] - sizes)[line] + q])
+        sums = np.concatenate([[0], np.cumsum(same)])
+        at = np.flatnonzero(q + RUN <= sizes[line])
+        equal = sums[at + RUN] - sums[at]
+        new = np.concatenate([[True], np.any(lines[1:, :2] != lines[:-1, :2], axis=1)])
+        group = np.cumsum(new) - 1
+        width = sizes[new]
+        edges = np.cumsum(width) - width
+        cell = edges[group][line] + q
+        counts = []
+        for least in (RUN, RUN - 2):
+            held = np.zeros(int(width.sum()), dtype=bool)
+            held[cell[covered(same, at[equal >= least])]] = True
+            counts.append(np.add.reduceat(held, edges, dtype=np.int64))
+        exact, near = counts
+        for g in np.flatnonzero((exact > 0) | (near >= self.near_share * width)).tolist():
+            yield int(doc[new][g]), int(item[new][g]), int(width[g]), int(exact[g]), int(near[g])
 
 
 def _within(lengths: list[int]) -> np.ndarray:
@@ -139,13 +156,12 @@ def seed_hashes(tokens: np.ndarray, mask: str, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(same: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Equal positions that lie in one of the windows of RUN that are marked by their first position."""
-    edge = np.zeros(len(same) + 1, dtype=np.int32)
-    starts = np.flatnonzero(good)
-    edge[starts] = 1
+def covered(same: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Equal positions that lie in one of the windows of RUN that start at these places."""
+    edge = np.zeros(len(same) + RUN + 1, dtype=np.int32)
+    edge[starts] += 1
     edge[starts + RUN] -= 1
-    return (np.cumsum(edge[:-1]) > 0) & same
+    return (np.cumsum(edge[: len(same)]) > 0) & same
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -20,22 +20,35 @@ WORD = re.compile(r"[^\W_]+")
 RUN = 8
 MASKS = ("11101", "100111", "11010011")
 BLOCK_WORDS = 1_000_000  # words of items that are sent to the tasks at once
+WORDS_AT_ONCE = 20_000  # words of documents that are searched together
 # Small letters whose capitals look like Latin ones, so that case doesn't matter after the look-alike map.
-FOLD = str.maketrans("нвкмт" "βεζηκμτχ", "hbkmt" "bezhkmtx")
-
-
+FOLD = dict(zip("нвкмт" "βεζηκμτχ", "hbkmt" "bezhkmtx"))
+SCRIPTS = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
 # ASCII letters in lower case and digits as they are, anything else a blank
 ASCII_WORDS = {c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)}
 
 
+def _folded() -> dict[int, str]:
+    """FOLD, and the letters that are composed of one of its letters and accents."""
+    table = {ord(a): b for a, b in FOLD.items()}
+    for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(c))
+        if marks and base in FOLD:
+            table[c] = unicodedata.normalize("NFC", FOLD[base] + "".join(marks))
+    return table
+
+
+FOLDED = _folded()
+
+
 def words(text: str | None) -> list[str]:
     """Runs of letters and digits of a text in look-alike form, in one case, with accents in composed form."""
     if not text:
         return []
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.lower()).translate(FOLD))
-        return WORD.findall(text)
-    return text.translate(ASCII_WORDS).split()
+    if text.isascii():
+        return text.translate(ASCII_WORDS).split()
+    text = unicodedata.normalize("NFC", text.lower())
+    return WORD.findall(text.translate(FOLDED) if SCRIPTS.search(text) else text)
 
 
 class SeedIndex:
@@ -63,32 +76,44 @@ class SeedIndex:
 
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, int, int]]:
         """(place of the document, item position, words, words in exact runs, words in runs with changes)."""
-        lengths = [len(d) for d in docs]
-        total = sum(lengths)
+        lo = 0
+        while lo < len(docs):  # many documents at once, but few enough words for a processor's cache
+            hi, total = lo, 0
+            while hi < len(docs) and (hi == lo or total + len(docs[hi]) <= WORDS_AT_ONCE):
+                total += len(docs[hi])
+                hi += 1
+            for d, *found in self._search(docs[lo:hi], total):
+                yield (lo + d, *found)
+            lo = hi
+
+    def _search(self, docs: list[list[str]], total: int) -> Iterator[tuple[int, int, int, int, int]]:
         if not total or not self.items:
             return
         get = self.vocabulary.get
-        flat = np.fromiter((get(t, -1) for d in docs for t in d), dtype=np.int64, count=total)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        doc_of, place_of, known = np.repeat(np.arange(len(docs)), lengths), _within(lengths), flat >= 0
+        flat = np.array([get(t, -1) for d in docs for t in d], dtype=np.int64)
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        doc_of, place_of = np.repeat(np.arange(len(docs)), lengths), _within(lengths)
+        left = np.repeat(lengths, lengths) - place_of
+        known = flat >= 0
         found = []
         for mask, (hashes, item, place) in zip(MASKS, self.seeds):
-            at = _inside(lengths, len(mask))
+            ok = left >= len(mask)
             for j, bit in enumerate(mask):
                 if bit == "1":
-                    at = at[known[at + j]]
+                    ok[: total - j] &= known[j:]
+            at = np.flatnonzero(ok)
             h = seed_hashes(flat, mask, at)
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             times = hi - lo
             at = np.repeat(at, times)
-            hit = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(at))
-            near = self._near(flat, np.asarray(lengths)[doc_of[at]], at, place_of[at], item[hit], place[hit])
+            hit = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(len(at))
+            near = self._near(flat, lengths[doc_of[at]], at, place_of[at], item[hit], place[hit])
             at, hit = at[near], hit[near]
-            found.append(np.stack([doc_of[at], item[hit], place_of[at] - place[hit]], axis=1))
-        lines = np.unique(np.concatenate(found), axis=0)
-        if not len(lines):
-            return
-        yield from self._verify(flat, starts, np.asarray(lengths), lines)
+            found.append((doc_of[at] * len(self.items) + item[hit], place_of[at] - place[hit], place[hit]))
+        pair, shift, q = (np.concatenate(c) for c in zip(*found))
+        if len(pair):
+            yield from self._verify(flat, starts, lengths, pair, shift, q)
 
     def _near(self, flat: np.ndarray, length: np.ndarray, at: np.ndarray, place: np.ndarray, item: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Hits with a run around them in which no more than two of RUN words differ; most chance hits have none."""
@@ -104,33 +129,40 @@ class SeedIndex:
             best = np.maximum(best, run)
         return best >= RUN - 2
 
-    def _verify(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lines: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """Words in runs, per document and item, over all diagonals (document, item, shift) at once.
+    def _verify(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pair: np.ndarray, shift: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Words in runs, per document and item, from hits (pair of both, shift, place in the item), over all diagonals at once.
 
-        The items' words of all diagonals form one long array, in which runs are counted by cumulative sums.
+        Every run has a hit within it, so nothing but the words around a diagonal's hits is looked at. These stretches form
+        one long array, in which runs are counted by cumulative sums.
         """
-        doc, item, shift = lines.T
-        sizes = np.diff(self.ends, prepend=0)[item]
-        line, q = np.repeat(np.arange(len(lines)), sizes), _within(sizes)
-        p = q + shift[line]
-        inside = (p >= 0) & (p < lengths[doc][line])
-        same = inside & (flat[np.where(inside, starts[doc][line] + p, 0)] == self.flat[(self.ends[item] - sizes)[line] + q])
+        order = np.lexsort((q, shift, pair))
+        pair, shift, q = pair[order], shift[order], q[order]
+        # a stretch ends where the next hit is too far off for a run to reach both
+        new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (shift[1:] != shift[:-1]) | (q[1:] - q[:-1] > 2 * RUN)])
+        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(q) - 1]])
+        pair, shift, low, high = pair[new], shift[new], q[new], q[last]
+        doc, item = np.divmod(pair, len(self.items))
+        size = np.diff(self.ends, prepend=0)[item]
+        low = np.maximum(np.maximum(low - RUN + 1, 0), -shift)
+        high = np.minimum(np.minimum(high + 2 * RUN - 1, size), lengths[doc] - shift)
+        width = high - low
+        line, at = np.repeat(np.arange(len(pair)), width), _within(width) + np.repeat(low, width)
+        same = flat[(starts[doc] + shift)[line] + at] == self.flat[(self.ends[item] - size)[line] + at]
         sums = np.concatenate([[0], np.cumsum(same)])
-        at = np.flatnonzero(q + RUN <= sizes[line])
-        equal = sums[at + RUN] - sums[at]
-        new = np.concatenate([[True], np.any(lines[1:, :2] != lines[:-1, :2], axis=1)])
-        group = np.cumsum(new) - 1
-        width = sizes[new]
-        edges = np.cumsum(width) - width
-        cell = edges[group][line] + q
+        begin = np.flatnonzero(at + RUN <= high[line])
+        equal = sums[begin + RUN] - sums[begin]
+        longest = int(size.max())
+        pairs, group = np.unique(pair, return_inverse=True)
         counts = []
         for least in (RUN, RUN - 2):
-            held = np.zeros(int(width.sum()), dtype=bool)
-            held[cell[covered(same, at[equal >= least])]] = True
-            counts.append(np.add.reduceat(held, edges, dtype=np.int64))
+            held = np.flatnonzero(covered(same, begin[equal >= least]))
+            once = np.unique(group[line[held]] * longest + at[held])  # diagonals may cover the same word
+            counts.append(np.bincount(once // longest, minlength=len(pairs)))
         exact, near = counts
-        for g in np.flatnonzero((exact > 0) | (near >= self.near_share * width)).tolist():
-            yield int(doc[new][g]), int(item[new][g]), int(width[g]), int(exact[g]), int(near[g])
+        doc, item = np.divmod(pairs, len(self.items))
+        size = np.diff(self.ends, prepend=0)[item]
+        for g in np.flatnonzero((exact > 0) | (near >= self.near_share * size)).tolist():
+            yield int(doc[g]), int(item[g]), int(size[g]), int(exact[g]), int(near[g])
 
 
 def _within(lengths: list[int]) -> np.ndarray:

@@ -77,15 +77,27 @@ def round_to_long(c: Column) -> Column:
 
 
 def repair_json(c: Column) -> Column:
-    """Model output without code fences and with lone backslashes doubled."""
-    unfenced = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    return F.trim(F.regexp_replace(unfenced, r'\\(?!["\\/bfnrtu])', r"\\\\"))
+    r"""Model output without code fences and with every backslash doubled that starts no escape of JSON.
+
+    Escapes are read in pairs from the left, so a doubled backslash stays as it is, whatever follows; `\u` is one
+    only before four hexadecimal digits.
+    """
+    unfenced = F.regexp_replace(F.trim(c), r"(?m)^```(?:json)?\s*|\s*```$", "")
+    return F.trim(F.regexp_replace(unfenced, r'(?<!\\)((?:\\\\)*)\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})', r"$1\\\\"))
 
 
 def fenced_json(c: Column) -> Column:
+    """What stands in the first fence marked as JSON to the last fence; '' without one."""
     return F.regexp_extract(c, r"(?s)```json\n(.*)\n```", 1)
 
 
+def stable_uuid(*parts: Column) -> Column:
+    """An id in the form of a UUID that depends on the columns only; nulls count as ''. For random ids there is `F.uuid()`."""
+    digest = F.md5(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts])
+
+
 def says_yes(c: Column) -> Column:
     return F.upper(c).contains("YES")
 

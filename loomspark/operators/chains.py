@@ -34,7 +34,8 @@ def threads(messages: DataFrame, starts: DataFrame, max_hops: int = 100) -> Data
         F.min(F.struct("parent_id", "link_id", "body", "ups", "downs")).alias("r")
     ).select("id", "r.*")
     resolved = hierarchy.message_forest(once.withColumn("trunc_link_id", F.lit(None).cast("string")))
-    ways = hierarchy.paths(resolved).filter(F.col("state") == "complete").filter(F.col("hops") <= max_hops)
+    # ancestors have fewer hops, so what is too deep can go before the paths are made
+    ways = hierarchy.paths(resolved.filter((F.col("state") == "complete") & (F.col("hops") <= max_hops)))
     steps = ways.join(starts.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("start_id"), F.posexplode("path").alias("at", "id"))
     # a root lies on the paths of all its descendants
     steps = materialize(steps, "steps")

@@ -6,6 +6,7 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -107,11 +108,15 @@ def offline_analyst(prompt: str) -> str:
     )
 
 
-def ask(df: DataFrame, prompt_col: str, keep: list[str], schema: str = schemas.CLUSTER_ANALYSIS, client: Callable[[str], str] = offline_analyst, tries: int = 3, pause: float = 1.0) -> DataFrame:
+def ask(
+    df: DataFrame, prompt_col: str, keep: list[str], schema: str = schemas.CLUSTER_ANALYSIS, client: Callable[[str], str] = offline_analyst, tries: int = 3, pause: float = 1.0,
+    at_once: int = 50, per_window: int = 0, window: float = 120.0,
+) -> DataFrame:
     """Rows of `keep`, the answer's fields by `schema`, and `error`.
 
-    A throttled call is tried again after 2^n seconds and a bit; other errors, and answers that are no JSON object, end in
-    `error`. Answers may come in a code fence.
+    A task keeps `at_once` calls under way. A throttled call is tried again after 2^n seconds and a bit; other errors, and answers that
+    are no JSON object, end in `error`. Answers may come in a code fence. With `per_window`, a task starts at most so many
+    calls in `window` seconds.
     """
     types = dict(df.dtypes)
 
@@ -131,15 +136,54 @@ def ask(df: DataFrame, prompt_col: str, keep: list[str], schema: str = schemas.C
         return None, "throttled"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            answers = [call(p or "") for p in pdf["_prompt"]]
-            yield pdf.drop(columns="_prompt").assign(_answer=[a for a, _ in answers], error=[e for _, e in answers])
+        with ThreadPoolExecutor(at_once) as pool:
+            started = None
+            for pdf in frames:
+                prompts, answers = [p or "" for p in pdf["_prompt"]], []
+                step = per_window or max(1, len(prompts))
+                for lo in range(0, len(prompts), step):
+                    if per_window and started is not None:
+                        time.sleep(max(0.0, window - (time.monotonic() - started)))
+                    started = time.monotonic()
+                    answers += pool.map(call, prompts[lo : lo + step])
+                yield pdf.drop(columns="_prompt").assign(_answer=[a for a, _ in answers], error=[e for _, e in answers])
 
     kept = ", ".join(f"`{c}` {types[c]}" for c in keep)
     answered = df.select(*keep, F.col(prompt_col).alias("_prompt")).mapInPandas(run, f"{kept}, _answer string, error string")
     return answered.withColumn("_r", F.from_json("_answer", schema)).select(*keep, "_r.*", "error")
 
 
+def offline_judge(prompt: str) -> str:
+    """Offline stand-in that rates a text by its length, in a fence as models write it."""
+    return '```json\n{"score": ' + str(len(prompt) % 11) + ', "reasoning": "length"}\n```'
+
+
+def rate(df: DataFrame, prompt_col: str, keep: list[str], client: Callable[[str], str] = offline_judge, **how) -> DataFrame:
+    """Rows of `keep` with `score` and `reasoning`; a failed call is a score of 0 with the failure as its reason."""
+    asked = ask(df, prompt_col, keep, schemas.SCORE, client, **how)
+    failed = F.concat(F.lit("failed: "), F.col("error"))
+    return asked.select(*keep, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("reasoning", failed).alias("reasoning"))
+
+
+def told(df: DataFrame, prompt_col: str, keep: list[str], client: Callable[[str], str], at_once: int = 50) -> DataFrame:
+    """Rows of `keep` with `answer`, the client's plain text; null where the call failed. For summaries and yes-or-no questions."""
+    types = dict(df.dtypes)
+
+    def call(prompt: str | None) -> str | None:
+        try:
+            return client(prompt or "")
+        except Exception:
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in frames:
+                yield pdf.drop(columns="_prompt").assign(answer=list(pool.map(call, pdf["_prompt"])))
+
+    kept = ", ".join(f"`{c}` {types[c]}" for c in keep)
+    return df.select(*keep, F.col(prompt_col).alias("_prompt")).mapInPandas(run, f"{kept}, answer string")
+
+
 def offline_planner(prompt: str) -> str:
     """Offline stand-in for plans: fenced, and with a lone backslash, as models write them."""
     title = prompt.strip().split("\n")[0][:40].replace("\\", " ").replace('"', " ")
@@ -147,12 +191,15 @@ def offline_planner(prompt: str) -> str:
 
 
 def repaired(client: Callable[[str], str]) -> Callable[[str], str]:
-    """A client whose answers lose their code fence and have lone backslashes doubled."""
+    """A client whose answers are mended as `functions.text.repair_json` does it."""
     import re
 
+    def double(m) -> str:
+        return m.group() if len(m.group()) > 1 else "\\\\"
+
     def call(prompt: str) -> str:
-        text = re.sub(r"^```(?:json)?\s*|\s*```$", "", client(prompt).strip())
-        return re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", text).strip()
+        text = re.sub(r"(?m)^```(?:json)?\s*|\s*```$", "", client(prompt).strip())
+        return re.sub(r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})|\\', double, text).strip()
 
     return call
 
@@ -163,3 +210,9 @@ def cluster_prompt(texts):
 
 def timed(rows: int, seconds: float) -> dict:
     return {"rows": rows, "seconds": seconds, "rows_per_s": rows / seconds if seconds else float("nan")}
+
+
+def ranked(runs: DataFrame, name: str) -> DataFrame:
+    """Runs of models (name, n, seconds) with `rows_per_s`, the fastest first, ties by name; null without a time."""
+    rate = F.when(F.col("seconds") > 0, F.col("n") / F.col("seconds"))
+    return runs.withColumn("rows_per_s", rate).orderBy(F.desc_nulls_last("rows_per_s"), name)

@@ -16,6 +16,7 @@ EXCLUDED = [
 IDEA_WORDS = [
     "idea", "solution", "concept", "opportunity", "build", "create", "develop", "imagine", "what if", "improve", "new way", "innovate",
 ]
+# Fixed value: what counts as a figure that supports a text.
 DETAIL = r"\$\d+|[0-9]+%|\d+ (users|customers|months)"
 
 
@@ -117,3 +118,26 @@ def json_fields(df: DataFrame, column: str, defaults: dict[str, str | None]) ->
     """Fields of a JSON object as columns, with a default where the object or the field is missing or null."""
     found = {f: F.coalesce(F.get_json_object(column, f"$.{f}"), F.lit(d)) for f, d in defaults.items()}
     return df.withColumns(found)
+
+
+def plan_candidates(ideas: DataFrame) -> DataFrame:
+    """Viable ideas for software that one person can build, without a plan yet; a null flag is no."""
+    flags = ("is_viable_business", "is_saas", "is_solo_entrepreneur_possible")
+    out = ideas
+    for flag in flags:
+        out = out.filter(F.coalesce(F.col(flag), F.lit(False)))
+    if "generated_plan" not in ideas.columns:
+        return out
+    return out.filter(F.coalesce("generated_plan", F.lit("")) == "")
+
+
+def scored_at_least(df: DataFrame, answer: str, least: float = 7.0) -> DataFrame:
+    """Rows whose JSON answer has a `score` of at least `least`; an answer without one doesn't."""
+    return df.filter(F.coalesce(F.get_json_object(answer, "$.score").try_cast("double"), F.lit(0.0)) >= least)
+
+
+def with_time(df: DataFrame, column: str = "created_utc") -> DataFrame:
+    """The column as a time, from epoch seconds or ISO text; null where it is neither."""
+    text = F.col(column).cast("string")
+    seconds = F.timestamp_seconds(text.try_cast("double"))
+    return df.withColumn(column, F.coalesce(seconds, F.try_to_timestamp(text)))

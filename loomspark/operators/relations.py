@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def same_schema_union(parts: list[DataFrame]) -> DataFrame:
@@ -60,3 +61,28 @@ def unique_by(rows: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     once = rows.filter(full).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
     return once.select(*rows.columns).unionByName(rows.filter(~full))
+
+
+def memberships(owned: DataFrame, joined: DataFrame) -> DataFrame:
+    """Distinct rows of both: what someone owns and what they are a member of."""
+    return same_schema_union([owned, joined]).distinct()
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, foreign: str, item: list[str], name: str, most: int | None = None) -> DataFrame:
+    """Parents with the list `name` of their children's `item` columns in order; an empty list without children.
+
+    With `most`, the first so many are listed, and no more than these are brought together.
+    """
+    rows = children.select(F.col(foreign).alias(key), F.struct(*item).alias("_c")).filter(F.col(key).isNotNull())
+    if most is not None:
+        first = Window.partitionBy(key).orderBy("_c")
+        rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).drop("_r")
+    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list("_c")).alias(name))
+    kind = lists.schema[name].dataType.simpleString()
+    return parents.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+
+
+def latest(rows: DataFrame, key: str, at: str, tie: str, most: int) -> DataFrame:
+    """The `most` newest rows of each key, the newest first in column `place`."""
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), F.col(tie))
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomspark import schemas
 
+# Fixed value: words that mark action.
 ACTION = r"(?i)(build|create|develop|solve|implement|design)"
 
 

@@ -1,17 +1,19 @@
-"""Full-text search, filters, paging and facets over document tables."""
+"""Full-text search over a stored index of terms; filters, paging, facets and samples over document tables."""
 
 from __future__ import annotations
 
-import math
 import random
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.vectors import cosine
+from loomspark.sources.sinks import exists
 
 K1, B = 1.2, 0.75  # the usual constants of the Okapi formula
+# Names that the interface gives to sort columns.
 SORTS = {"date": "created_at", "popularity": "total_ups"}
 
 
@@ -23,45 +25,74 @@ def query_words(query: str) -> list[str]:
     return sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
 
 
-def with_relevance(rows: DataFrame, docs: DataFrame, fields: dict[str, float], query: str) -> DataFrame:
-    """`rows` with `score`: the best boosted Okapi BM25 score of the fields, to nine digits; 0 without a match.
+@dataclass
+class Index:
+    """An inverted table: `postings` (part, term, field, id, tf, len), `fields` (field, n, mean)."""
 
-    Lengths and document frequencies are over all of `docs` with a value in the field; they are gathered in one
-    aggregation to one row, of as many numbers as the query has words. The score itself is an
-    expression on the row, so ranking needs no shuffle. A column `score` of the rows is replaced.
+    spark: SparkSession
+    path: str
+    parts: int
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def fields(self) -> DataFrame:
+        return self.spark.read.schema("field string, n long, mean double").parquet(f"{self.path}/fields")
+
+
+def build_index(docs: DataFrame, path: str, id_col: str, fields: list[str], parts: int = 64) -> Index:
+    """Write the terms of the fields once: one row per term, field and document, in folders by the term's hash.
+
+    Nested fields count with all text they hold. Null fields don't count as documents of the field, empty ones do. Files are sorted
+    by term, so a query reads the folders of its words and there the row groups that hold them. Ids must be
+    unique. A term in very many documents is spread over several files.
+    """
+    spark = docs.sparkSession
+    kinds = {f.name: f.dataType.typeName() for f in docs.schema}
+    text = {f: F.col(f) if kinds[f] == "string" else F.to_json(f) if kinds[f] in ("struct", "array", "map") else F.col(f).cast("string") for f in fields}
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("text")) for f, c in text.items()]))
+    long = docs.select(F.col(id_col).alias("id"), each.alias("e")).select("id", "e.field", terms(F.col("e.text")).alias("terms")).filter("terms is not null")
+    long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    tf = long.select("id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "field", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    placed = tf.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"), "term", "field", "id", "tf", "len")
+    # range partitioning spreads a frequent term over tasks
+    ordered = placed.repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term")
+    ordered.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{path}/postings")
+    return Index(spark, path, parts)
+
+
+def open_index(docs: DataFrame, path: str, id_col: str, fields: list[str], parts: int = 64) -> Index:
+    """The index at `path`, built there if it is missing."""
+    if exists(docs.sparkSession, f"{path}/postings/_SUCCESS"):
+        return Index(docs.sparkSession, path, parts)
+    return build_index(docs, path, id_col, fields, parts)
+
+
+def part_of(spark: SparkSession, words: list[str], parts: int) -> list[int]:
+    """Folders of a query's words; as many rows as the query has words."""
+    marks = spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    return sorted({r[0] for r in marks.collect()})
+
+
+def relevance(index: Index, query: str, boosts: dict[str, float]) -> DataFrame:
+    """(id, score) of the documents with any word of the query: the best boosted Okapi BM25 score of the fields, to nine digits.
+
+    Only the postings of the query's words are read. Lengths and document frequencies are over all documents with a value in the
+    field. A query without words finds nothing.
     """
-    wanted = query_words(query)
-    if not wanted or not fields:
-        return rows.withColumn("score", F.lit(0.0))
-    split = {f"_t{i}": terms(F.col(field)) for i, field in enumerate(fields)}
-    figures = []
-    for t in split:
-        figures += [F.count(t), F.avg(F.when(F.col(t).isNotNull(), F.size(t)))]
-        figures += [F.count(F.when(F.array_contains(t, w), 1)) for w in wanted]
-    stats = docs.select(*[c.alias(t) for t, c in split.items()])
-    row = stats.agg(*[f.alias(f"f{i}") for i, f in enumerate(figures)]).first()
-    scores, width = [], 2 + len(wanted)
-    for i, boost in enumerate(fields.values()):
-        n, mean, *df = row[i * width : (i + 1) * width]
-        score = F.lit(0.0)
-        for w, k in zip(wanted, df):
-            if k:
-                tf = _times(F.col(f"_t{i}"), w)
-                idf = math.log(1 + (n - k + 0.5) / (k + 0.5))
-                score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(f"_t{i}") / mean))).otherwise(0.0)
-        scores.append(F.coalesce(score, F.lit(0.0)) * boost)
-    best = F.round(F.greatest(*scores) if len(scores) > 1 else scores[0], 9)
-    return rows.withColumns(split).withColumn("score", best).drop(*split)
-
-
-def _times(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
-
-
-def multi_match(docs: DataFrame, id_col: str, fields: dict[str, float], query: str) -> DataFrame:
-    """(id, score) of the documents with any word of the query in any field."""
-    slim = docs.select(F.col(id_col).alias("id"), *[F.col(f) for f in fields])
-    return with_relevance(slim, slim, fields, query).select("id", "score").filter("score > 0")
+    spark, words = index.spark, query_words(query)
+    if not words or not boosts:
+        return index.postings.select("id").withColumn("score", F.lit(0.0)).filter("false")
+    of_word = F.col("part").isin(part_of(spark, words, index.parts)) & F.col("term").isin(words)
+    hits = index.postings.filter(of_word & F.col("field").isin(list(boosts)))
+    df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # words times fields rows
+    weight = spark.createDataFrame([(f, float(b)) for f, b in boosts.items()], "field string, boost double")
+    known = F.broadcast(index.fields.join(weight, "field").join(df, "field").select("field", "term", (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("boost")).alias("idf"), "mean"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))
+    scored = hits.join(known, ["field", "term"]).select("id", "field", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("s"))
+    return scored.groupBy("id", "field").agg(F.sum("s").alias("s")).groupBy("id").agg(F.round(F.max("s"), 9).alias("score"))
 
 
 def filtered(docs: DataFrame, equal: dict | None = None, ranges: dict | None = None) -> DataFrame:
@@ -95,12 +126,19 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 10, la
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
-def search(docs: DataFrame, id_col: str, fields: dict[str, float], query: str = "", equal: dict | None = None, ranges: dict | None = None, sort: str = "", number: int = 1, size: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(page, total) of a search: filters first, then relevance or the sort, ties by id."""
-    rows = filtered(docs, equal, ranges)
-    rows = with_relevance(rows, docs, fields, query)
-    if query:
-        rows = rows.filter("score > 0")
+def search(docs: DataFrame, id_col: str, index: Index | None = None, boosts: dict[str, float] | None = None, query: str = "", equal: dict | None = None, ranges: dict | None = None, sort: str = "", number: int = 1, size: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(page, total) of a search: filters, relevance if there is a query, then the sort or the score, ties by id.
+
+    Without a query every row counts, with a score of 0. A column `score` of the documents is replaced.
+    """
+    rows = filtered(docs, equal, ranges).drop("score")
+    if query_words(query) and index is not None:
+        found = relevance(index, query, boosts or {}).withColumnRenamed("id", id_col)
+        rows = rows.join(found, id_col)
+    elif query:
+        rows = rows.withColumn("score", F.lit(0.0)).filter("false")
+    else:
+        rows = rows.withColumn("score", F.lit(0.0))
     if sort:
         column, down = sort_key(sort, docs.columns)
         order = [F.desc(column) if down else F.asc(column), F.asc(id_col)]
@@ -109,9 +147,19 @@ def search(docs: DataFrame, id_col: str, fields: dict[str, float], query: str =
     return page(rows, order, number, size), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
-def sample(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """`size` rows in an order that depends on the seed only."""
-    return df.orderBy(F.rand(seed)).limit(size)
+def by_id(docs: DataFrame, id_col: str, wanted) -> DataFrame:
+    """The document with an id, or no row; the filter reaches the scan."""
+    return docs.filter(F.col(id_col) == F.lit(wanted))
+
+
+def sample(df: DataFrame, size: int, seed: int, equal: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, total): `size` of the rows that match, in an order that depends on the seed and the rows only, and how many match.
+
+    The order is a hash of the row, so it is the same however the table is laid out.
+    """
+    rows = filtered(df, equal)
+    mark = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
+    return rows.orderBy(mark, *df.columns).limit(size), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
 def random_row(df: DataFrame, order: list[Column], seed: int) -> DataFrame:

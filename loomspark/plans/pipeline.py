@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.functions import text as X
 from loomspark.functions import vectors as V
 from loomspark import schemas
 from loomspark.operators import chains, density, inference, messages, relations, rollups, search, writeback
-from loomspark.runtime import materialize, scratch_path, table
+from loomspark.runtime import filesystem, materialize, scratch_path, table
 from loomspark.sources import dumps, sinks, tables
 
 QUERIES = {}
@@ -86,10 +87,28 @@ def x13_nan(spark, sf_dir):
     return table(spark, sf_dir, "nlp_results").select("row_id", "batch_id", "delivered_at", F.nanvl("nlp_score", F.lit(0).cast("float")).alias("score"))
 
 
-@query("""SELECT doc_id, n_chars, lang FROM documents""")
+@query(r"""SELECT doc_id, n_chars, lang, 'C:\users' || chr(10) || 'ew' AS path, 'x\cy' AS pair, 'z\' AS tail, 'été' AS accent, 'a\qb' AS lone FROM documents""")
 def x14_x16_json(spark, sf_dir):
-    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct("n_chars", "lang")), F.lit("\n```"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.from_json(X.repair_json(fenced), "n_chars long, lang string").alias("r")).select("doc_id", "r.*")
+    r"""Answers with lone and paired backslashes and with `\u` before other than four hexadecimal digits."""
+    open_, close = F.lit('```json\n{"path": "C:\\users\\new", "pair": "x\\\\cy", "tail": "z\\\\", "accent": "\\u00e9t\\u00E9", "lone": "a\\qb", '), F.lit("\n```")
+    fields = F.to_json(F.struct("n_chars", "lang"))
+    answer = F.concat(open_, F.when(fields == "{}", F.lit('"none": 0}')).otherwise(F.substr(fields, F.lit(2))), close)
+    parsed = F.from_json(X.repair_json(answer), "n_chars long, lang string, path string, pair string, tail string, accent string, lone string")
+    return table(spark, sf_dir, "documents").select("doc_id", parsed.alias("r")).select("doc_id", "r.*")
+
+
+@query(r"""SELECT doc_id, lang, length(text) AS n FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL""")
+def x15_fenced(spark, sf_dir):
+    """The JSON within a fence, with talk around it."""
+    d = table(spark, sf_dir, "documents").filter("lang is not null and text is not null")
+    answer = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("lang", F.length("text").alias("n"))), F.lit("\n```\nAnything else?"))
+    return d.select("doc_id", F.from_json(X.fenced_json(answer), "lang string, n long").alias("r")).select("doc_id", "r.*")
+
+
+@query("""SELECT doc_id, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS plan_id
+  FROM (SELECT doc_id, md5(coalesce(subreddit, '') || chr(31) || CAST(doc_id AS VARCHAR)) AS h FROM documents)""")
+def x20_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.stable_uuid(F.col("subreddit"), F.col("doc_id")).alias("plan_id"))
 
 
 @query(r"""SELECT cluster_id, array_to_string(list_filter(texts, lambda t: t IS NOT NULL), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS joined,
@@ -116,6 +135,22 @@ def x21_x22_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(e), 4).alias("norm"), F.round(F.array_max(e), 6).alias("top"), V.argmax(e).alias("best"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: exp(CAST(x AS DOUBLE) - list_max(embedding[1:5]))) AS e FROM embeddings)
+  SELECT vec_id, round(e[1] / list_sum(e), 6) AS first, round(list_max(e) / list_sum(e), 6) AS top FROM e""")
+def x22_softmax(spark, sf_dir):
+    p = V.softmax(F.slice("embedding", 1, 5))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(p, F.lit(0)), 6).alias("first"), F.round(F.array_max(p), 6).alias("top"))
+
+
+@query("""SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + embedding[7]) / 2, 5) AS a, round((CAST(embedding[2] AS DOUBLE) + embedding[8]) / 2, 5) AS b FROM embeddings""")
+def x21_mean_pool(spark, sf_dir):
+    """Three tokens of three numbers each, of which the second is masked."""
+    e = F.col("embedding")
+    tokens = F.array(F.slice(e, 1, 3), F.slice(e, 4, 3), F.slice(e, 7, 3))
+    pooled = V.mean_pool(tokens, F.array(F.lit(1), F.lit(0), F.lit(1)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(F.get(pooled, F.lit(i)).cast("double"), 5).alias(n) for i, n in enumerate("ab")])
+
+
 # ---- sources and normalisation -----------------------------------------------------------------
 def _raw(spark, sf_dir):
     """Messages in the shape of a raw dump: starting posts have a name and a title, comments a body."""
@@ -373,11 +408,6 @@ def o4_o8_sorted(spark, sf_dir):
     return search.page(o, [F.desc(column) if down else F.asc(column), F.asc("cluster_id"), F.asc("subreddit")])
 
 
-@query()
-def o5_r3_sample(spark, sf_dir):
-    return search.sample(table(spark, sf_dir, "documents").select("doc_id"), 10, 42)
-
-
 @query()
 def o6_random_row(spark, sf_dir):
     return search.random_row(table(spark, sf_dir, "documents").select("doc_id"), [F.asc("doc_id")], 7)
@@ -411,21 +441,93 @@ _BM25 = r"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text),
   b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (w), n GROUP BY 1)"""
 
 
+_stored: dict[tuple, search.Index] = {}
+
+
+def _index(spark, sf_dir, name: str, docs: DataFrame, id_col: str, fields: list[str]) -> search.Index:
+    """The stored index of a table: built by the first query of a session that needs it, as a search service has it ready."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = search.build_index(docs, scratch_path(spark, f"index-{name}"), id_col, fields, parts=16)
+    return _stored[key]
+
+
+def _text_index(spark, sf_dir):
+    return _index(spark, sf_dir, "documents", table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"])
+
+
 @query(f"WITH {_BM25} SELECT doc_id AS id, round(score, 6) AS score FROM b")
 def r1_relevance(spark, sf_dir):
-    found = search.multi_match(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, "glass jar LABEL")
-    return found.withColumn("score", F.round("score", 6))
+    return search.relevance(_text_index(spark, sf_dir), "glass jar LABEL", {"text": 1.0}).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25} SELECT d.doc_id, round(score, 6) AS score FROM b JOIN documents d USING (doc_id) WHERE lang = 'en' AND n_chars >= 0 AND n_chars <= 900 ORDER BY round(b.score, 9) DESC, doc_id LIMIT 10")
 def r2_filtered(spark, sf_dir):
-    found, _ = search.search(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, "glass jar label", {"lang": "en"}, {"n_chars": (0, 900)})
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    found, _ = search.search(docs, "doc_id", _text_index(spark, sf_dir), {"text": 1.0}, "glass jar label", {"lang": "en"}, {"n_chars": (0, 900)})
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _plans(spark, sf_dir) -> DataFrame:
+    """A plan of ten searched fields for every document with text: its first sentences, one to a field, some of them nested."""
+    said = F.split(F.col("text"), r"[.!?\n]+")
+    part = lambda i: F.get(said, F.lit(i))
+    names = schemas.SEARCHED
+    fields = [F.struct(part(i).alias("summary")).alias(n) if n in ("market_analysis", "competition", "marketing_strategy") else part(i).alias(n) for i, n in enumerate(names)]
+    flags = [(F.col("doc_id") % 2 == 0).alias("is_saas"), (F.col("doc_id") % 3 != 0).alias("is_solo_entrepreneur_possible"), (F.col("doc_id") % 11).alias("viability_score")]
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "subreddit", *fields, *flags)
+
+
+_PLAN_FIELDS = ", ".join(f"('{n}', p[{i + 1}], {schemas.BOOSTS.get(n, 1.0)}, {'true' if n in ('market_analysis', 'competition', 'marketing_strategy') else 'false'})" for i, n in enumerate(schemas.SEARCHED))
+_PLAN_BM25 = rf"""p AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS p FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT doc_id, v.* FROM p, LATERAL (VALUES {_PLAN_FIELDS}) v(field, t, boost, nested)),
+  t AS (SELECT doc_id, field, boost, list_filter(regexp_split_to_array(lower(CASE WHEN nested THEN CASE WHEN t IS NULL THEN '' ELSE 'summary ' || t END ELSE t END), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM f WHERE nested OR t IS NOT NULL),
+  n AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM t GROUP BY 1),
+  tf AS (SELECT doc_id, field, boost, dl, w, count(*) AS tf FROM (SELECT doc_id, field, boost, len(w) AS dl, unnest(w) AS w FROM t) WHERE w IN ('glass', 'jar', 'label', 'honey') GROUP BY ALL),
+  df AS (SELECT field, w, count(*) AS df FROM tf GROUP BY ALL),
+  s AS (SELECT doc_id, field, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS s FROM tf JOIN df USING (field, w) JOIN n USING (field) GROUP BY ALL),
+  b AS (SELECT doc_id, round(max(s), 9) AS score FROM s GROUP BY 1)"""
+
+
+@query(f"WITH {_PLAN_BM25} SELECT doc_id AS id, round(score, 5) AS score FROM b")
+def r1_ten_fields(spark, sf_dir):
+    plans = _plans(spark, sf_dir)
+    index = _index(spark, sf_dir, "plans", plans, "doc_id", schemas.SEARCHED)
+    boosts = {f: schemas.BOOSTS.get(f, 1.0) for f in schemas.SEARCHED}
+    return search.relevance(index, "Glass, jar; label honey", boosts).withColumn("score", F.round("score", 5))
+
+
+@query("""SELECT doc_id, subreddit, lang, n_chars FROM documents WHERE doc_id = 105""")
+def r4_s19_by_id(spark, sf_dir):
+    return search.by_id(table(spark, sf_dir, "documents"), "doc_id", 105).select("doc_id", "subreddit", "lang", "n_chars")
+
+
+@query("""SELECT doc_id, subreddit FROM documents WHERE doc_id = -5""")
+def r4_missing(spark, sf_dir):
+    return search.by_id(table(spark, sf_dir, "documents"), "doc_id", -5).select("doc_id", "subreddit")
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS p FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, p[1] AS title, p[2] AS executive_summary, p[3] AS problem, p[4] AS solution, p[5] AS market_analysis, p[6] AS competition, p[7] AS marketing_strategy, p[8] AS call_to_action,
+  p[9] AS cluster_summary, p[10] AS texts_combined FROM p""")
+def r9_projection(spark, sf_dir):
+    nested = ("market_analysis", "competition", "marketing_strategy")
+    return _plans(spark, sf_dir).select("doc_id", *[F.col(f"{n}.summary").alias(n) if n in nested else F.col(n) for n in schemas.SEARCHED])
+
+
 @query("""SELECT count(*) AS total FROM documents WHERE lang = 'de' AND n_chars >= 0""")
 def r5_a13_total(spark, sf_dir):
-    return search.search(table(spark, sf_dir, "documents"), "doc_id", {}, "", {"lang": "de"}, {"n_chars": (0, None)})[1]
+    return search.search(table(spark, sf_dir, "documents"), "doc_id", equal={"lang": "de"}, ranges={"n_chars": (0, None)})[1]
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (is_saas AND is_solo) AS fitting, count(DISTINCT doc_id) AS n_ids, max(total) AS total FROM (
+  SELECT doc_id, doc_id % 2 = 0 AS is_saas, doc_id % 3 <> 0 AS is_solo, count(*) OVER () AS total FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 AND doc_id % 3 <> 0 LIMIT 10)""")
+def r3_o5_sample(spark, sf_dir):
+    """Ten random plans that fit, counted: how many, whether they fit, whether they differ, and the total."""
+    plans = _plans(spark, sf_dir).select("doc_id", "is_saas", "is_solo_entrepreneur_possible")
+    rows, total = search.sample(plans, 10, 42, {"is_saas": True, "is_solo_entrepreneur_possible": True})
+    fits = F.count(F.when(F.col("is_saas") & F.col("is_solo_entrepreneur_possible"), 1))
+    return rows.agg(F.count(F.lit(1)).alias("n"), fits.alias("fitting"), F.countDistinct("doc_id").alias("n_ids")).join(F.broadcast(total), F.lit(True))  # one row each
 
 
 @query("""SELECT vec_id AS id, round(list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), 4) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)) DESC, id LIMIT 10""")
@@ -501,16 +603,167 @@ def m11_x14_plans(spark, sf_dir):
     return plans.select("cluster_id", "title", F.col("market_analysis.target_market").alias("target_market"), "problem")
 
 
+@query("""SELECT model, n, seconds, round(n / seconds, 3) AS rows_per_s FROM (SELECT lang AS model, count(*) AS n, 0.5 + length(lang) AS seconds FROM documents WHERE lang IS NOT NULL GROUP BY 1) ORDER BY rows_per_s DESC, model""")
+def o10_benchmark(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").filter("lang is not null").groupBy(F.col("lang").alias("model")).agg(F.count(F.lit(1)).alias("n"))
+    return inference.ranked(runs.withColumn("seconds", 0.5 + F.length("model")), "model").withColumn("rows_per_s", F.round("rows_per_s", 3))
+
+
+@query("""WITH p AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(n % 11 AS DOUBLE) AS score, 'length' AS reasoning FROM p WHERE n % 11 >= 7""")
+def m12_f16_rated(spark, sf_dir):
+    """Texts rated by a model, those of 7 or more."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    rated = inference.rate(docs, "text", ["doc_id"])
+    return messages.scored_at_least(rated.withColumn("answer", F.to_json(F.struct("score"))), "answer").drop("answer")
+
+
+@query("""SELECT doc_id FROM documents WHERE length(text) % 2 = 0""")
+def m12_validated(spark, sf_dir):
+    """Texts that a model answers with a yes."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    answers = inference.told(docs, "text", ["doc_id"], lambda t: "No." if len(t) % 2 else "Yes, it is.")
+    return answers.filter(X.says_yes(F.col("answer"))).select("doc_id")
+
+
+@query("""SELECT cluster_id, message_count FROM cluster_data WHERE message_count % 2 = 0 AND cluster_id % 3 = 0 AND total_ups > 5 AND coalesce(CASE WHEN cluster_id % 5 = 0 THEN 'plan' WHEN cluster_id % 5 > 2 THEN '' END, '') = ''""")
+def f15_candidates(spark, sf_dir):
+    c = table(spark, sf_dir, "cluster_data").select(
+        "cluster_id", "message_count", (F.col("message_count") % 2 == 0).alias("is_viable_business"), (F.col("cluster_id") % 3 == 0).alias("is_saas"),
+        (F.col("total_ups") > 5).alias("is_solo_entrepreneur_possible"),
+        F.when(F.col("cluster_id") % 5 == 0, "plan").when(F.col("cluster_id") % 5 > 2, "").alias("generated_plan"),
+    )
+    return messages.plan_candidates(c).select("cluster_id", "message_count")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS at FROM orders""")
+def f21_times(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("at"))
+    iso = messages.with_time(orders, "at")
+    epochs = messages.with_time(iso.select("o_orderkey", F.unix_seconds("at").cast("string").alias("at")), "at")
+    return epochs.select("o_orderkey", "at")
+
+
 # ---- layout and maintenance ------------------------------------------------------------------------
+_PREFIX = r"lower(regexp_replace(substr(subreddit, 1, 2), '[^\p{L}\p{N}_]', '', 'g'))"
+
+
+@query(rf"""SELECT coalesce(nullif({_PREFIX}, ''), 'misc') AS sanitized_prefix, coalesce(nullif(regexp_replace(subreddit, '[^\p{{L}}\p{{N}}_]', '', 'g'), ''), 'misc') AS subreddit_dir, count(*) AS n FROM all_messages GROUP BY 1, 2""")
+def k2_by_subreddit(spark, sf_dir):
+    m = table(spark, sf_dir, "all_messages").select("id", "subreddit").withColumn("sanitized_prefix", X.name_prefix(F.col("subreddit")))
+    path = scratch_path(spark, "by-subreddit")
+    sinks.write_by_subreddit(m, path, mode="overwrite", files_per_key=1)
+    stored = spark.read.schema("id string, sanitized_prefix string, subreddit_dir string").parquet(path)
+    return stored.groupBy("sanitized_prefix", "subreddit_dir").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT coalesce(nullif(subreddit_prefix, ''), 'misc') AS subreddit_prefix, strftime(created_utc, '%m%y') AS mmyy, count(*) AS n FROM all_messages WHERE created_utc IS NOT NULL GROUP BY 1, 2""")
-def k2_k3_partitions(spark, sf_dir):
+def k3_consolidated(spark, sf_dir):
+    """Messages in two appends: those ingested on odd days go into partitions that hold the others."""
     m = table(spark, sf_dir, "all_messages").filter("created_utc is not null").withColumn("mmyy", F.date_format("created_utc", "MMyy"))
+    odd = F.coalesce(F.dayofmonth("ingested_at") % 2 == 1, F.lit(False))
     path = scratch_path(spark, "partitions")
-    sinks.write_partitioned(m.select("id", "subreddit_prefix", "mmyy"), path, ["subreddit_prefix", "mmyy"], files_per_key=1, mode="overwrite")
+    for part in (m.filter(~odd), m.filter(odd)):
+        sinks.consolidate(spark, path, part.select("id", "subreddit_prefix", "mmyy"), ["subreddit_prefix", "mmyy"])
     stored = spark.read.schema("id string, subreddit_prefix string, mmyy string").parquet(path)
     return stored.groupBy("subreddit_prefix", "mmyy").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT regexp_replace(subreddit, '[^A-Za-z0-9]', '', 'g') AS name FROM all_messages WHERE subreddit ILIKE '%shop%' AND regexp_replace(subreddit, '[^A-Za-z0-9]', '', 'g') <> '' GROUP BY 1""")
+def s12_folders(spark, sf_dir):
+    """A two-level layout written and listed again from its folder names."""
+    m = table(spark, sf_dir, "all_messages").filter("subreddit is not null").select("id", "subreddit").withColumn("sanitized_prefix", X.name_prefix(F.col("subreddit")))
+    path = scratch_path(spark, "catalog")
+    sinks.write_partitioned(m.select("id", "sanitized_prefix", X.dir_name(F.col("subreddit")).alias("name")), path, ["sanitized_prefix", "name"], mode="overwrite", files_per_key=1)
+    names = tables.folder_catalog(spark, path, "*SHOP*")
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@query(r"""SELECT subreddit_prefix, count(*) AS n, count(DISTINCT id) AS n_ids FROM all_messages WHERE subreddit_prefix <> '' GROUP BY 1""")
+def s9_s11_scan(spark, sf_dir):
+    """Folders whose files differ in columns, united by name, with the partition column and the file of each row."""
+    base = scratch_path(spark, "scan")
+    m = table(spark, sf_dir, "all_messages").filter("subreddit_prefix <> ''")
+    m.filter("ups > 0").select("id", "ups", "subreddit_prefix").write.partitionBy("subreddit_prefix").parquet(f"{base}/t")
+    m.filter("ups is null or ups <= 0").select("id", "downs", "subreddit_prefix").write.mode("append").partitionBy("subreddit_prefix").parquet(f"{base}/t")
+    read = tables.with_file(tables.scan(spark, f"{base}/t", by_name=True)).filter("filename like '%subreddit_prefix=%' and (ups is null or downs is null)")
+    return read.groupBy("subreddit_prefix").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+def _dump(spark, sf_dir, label: str) -> str:
+    """Raw dump files of two kinds: submissions as .zst, comments as .jsonl."""
+    raw, base = _raw(spark, sf_dir), scratch_path(spark, label)
+    for kind, name in (("submission", "RS_2024"), ("comment", "RC_2024")):
+        lines = raw.filter(F.col("kind") == kind).select(F.to_json(F.struct(*[c for c in raw.columns if c != "kind"])).alias("value"))
+        dumps.write_lines(lines, f"{base}/{name}", name, pack=kind == "submission")
+    return base
+
+
+@query(f"WITH {_ONCE} SELECT CASE WHEN coalesce(parent_id, '') = '' THEN 'submission' ELSE 'comment' END AS kind, count(*) AS n, count(DISTINCT id) AS n_ids FROM once GROUP BY 1")
+def s1_s7_dumps(spark, sf_dir):
+    """Dump files found by name, told apart, read by line from .zst and .jsonl, and parsed."""
+    files = dumps.pick_files(dumps.discover(spark, _dump(spark, sf_dir, "dump")), year="2024", not_month="2024-13")
+    out = None
+    for kind in ("submission", "comment"):
+        paths = [r.path for r in files.filter(F.col("kind") == kind).select("path").toLocalIterator()]  # the driver lists them for any scan
+        items = dumps.parse_items(dumps.read_lines(spark, paths)).withColumn("kind", F.lit(kind))
+        out = items if out is None else out.unionByName(items)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+@query("""SELECT 'broken.parquet' AS name, 'restored' AS done UNION ALL SELECT 'empty.parquet', 'deleted' UNION ALL SELECT 'gone.parquet', 'restored' UNION ALL SELECT 'old.parquet.tmp.1', 'deleted' ORDER BY 1""")
+def t1_s14_repair(spark, sf_dir):
+    """A folder with damaged files and leftovers of writers, put right."""
+    base = scratch_path(spark, "damaged")
+    fs, hadoop_path = filesystem(spark, base)
+    source = hadoop_path(f"{sf_dir}/nation.parquet")
+    if fs.getFileStatus(source).isDirectory():
+        source = next(s.getPath() for s in fs.listStatus(source) if s.getPath().getName().endswith(".parquet"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in ("good.parquet", "broken.parquet.tmp.7", "gone.parquet.tmp.2", "old.parquet", "old.parquet.tmp.1"):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, hadoop_path(f"{base}/{name}"), False, conf)
+    for name, content in (("broken.parquet", b"PAR1 no end"), ("empty.parquet", b"")):
+        out = fs.create(hadoop_path(f"{base}/{name}"), True)
+        out.write(bytearray(content))
+        out.close()
+    done = tables.repair(spark, base, fix=True)
+    if not tables.damaged_files(spark, base).isEmpty():
+        raise RuntimeError("damaged files are left")
+    return spark.createDataFrame([(path.rpartition("/")[2], what) for path, what in done], "name string, done string")
+
+
+@query("""SELECT c_custkey % 100 AS id, max(CAST(c_custkey AS BIGINT)) AS c FROM customer GROUP BY 1""")
+def k14_vectors(spark, sf_dir):
+    """Vectors upserted in two rounds; the second replaces those of the same ids."""
+    path = scratch_path(spark, "vectors")
+    c = table(spark, sf_dir, "customer")
+    last = c.groupBy((F.col("c_custkey") % 100).alias("id")).agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+    for which in ("low", "high"):
+        points = last.select("id", F.array(F.lit(3.0), F.lit(4.0)).cast("array<float>").alias("vector"), F.struct(F.col(which).cast("long").alias("c")).alias("payload"))
+        sinks.upsert_vectors(spark, path, points, buckets=4)
+    near = F.abs(V.norm(F.col("vector")) - 1) < 1e-6
+    return spark.read.parquet(path).filter(near).select("id", F.col("payload.c").alias("c"))
+
+
+@query("""SELECT doc_id, CAST(n_chars AS VARCHAR) AS n_chars, lang, NULL::VARCHAR AS title FROM documents""")
+def k12_k13_mapping(spark, sf_dir):
+    """An index started anew with a mapping that is extended by an unknown column."""
+    docs, mapping = sinks.extended(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id bigint, n_chars string, title string")
+    path = scratch_path(spark, "search-docs")
+    docs.withColumn("gone", F.lit(1)).write.parquet(path)
+    copy = sinks.recreate(spark, path, mapping)
+    stored = spark.read.parquet(path)
+    sinks.drop_table(spark, copy, confirm=True)
+    return stored
+
+
+@query("""WITH s AS (SELECT DISTINCT id FROM all_messages WHERE ups > 3), l AS (SELECT file_path, row_id, row_number() OVER (PARTITION BY file_path ORDER BY sent_at, batch_id, row_id NULLS FIRST, text) - 1 AS line FROM nlp_jobs)
+  SELECT file_path, count(*) AS lines, CAST(coalesce(max(CASE WHEN s.id IS NOT NULL THEN line + 1 END), 0) AS BIGINT) AS resume FROM l LEFT JOIN s ON l.row_id = s.id GROUP BY 1""")
+def gr4_resume(spark, sf_dir):
+    order = Window.partitionBy("file_path").orderBy("sent_at", "batch_id", "row_id", "text")
+    lines = table(spark, sf_dir, "nlp_jobs").select("file_path", F.col("row_id").alias("id"), (F.row_number().over(order) - 1).alias("line_number"))
+    return writeback.resume_points(lines, table(spark, sf_dir, "all_messages").filter("ups > 3"))
+
+
 @query("""SELECT count(*) AS n, count(*) AS blank, CAST(greatest(1, ceil(count(*) / 20000.0)) AS BIGINT) AS files FROM all_messages""")
 def k4_t2_rewrite(spark, sf_dir):
     """Many small files rewritten into files of bounded rows, with a column added on the way."""
@@ -544,20 +797,23 @@ def s8_x30_props(spark, sf_dir):
 
 
 # ---- streaming ---------------------------------------------------------------------------------------
-@query(rf"""WITH j AS (SELECT regexp_replace(lower(regexp_replace(row_id, '[\s\p{{Z}}\p{{Cf}}]+', '', 'g')), '^t\d_', '') AS row_id, text FROM nlp_jobs WHERE text <> '')
-  SELECT count(DISTINCT row_id) AS n FROM j WHERE row_id <> ''""")
+@query(f"""WITH {_CLASS}, cand AS (SELECT id FROM once WHERE regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate') AND NOT is_idea AND nlp_top_score IS NULL)
+  SELECT id, CASE WHEN b > a THEN 'idea' ELSE 'pain_point' END AS nlp_label FROM c JOIN cand USING (id)""")
 def st1_st7_queue(spark, sf_dir):
-    """Jobs through the classifier stream and the write-back stream: every id is handed on once."""
+    """Candidates enqueued under a brake, twice, through the classifier stream and the write-back stream: every id is handed on once."""
     from loomspark.streaming import queues
 
     base = scratch_path(spark, "queue")
-    table(spark, sf_dir, "nlp_jobs").select("file_path", X.bare_id(F.col("row_id")).alias("row_id"), "text").write.parquet(f"{base}/jobs")
+    m = _messages(spark, sf_dir, "body", "is_idea", "nlp_top_score").withColumn("cpu_filter_is_idea", X.any_phrase(F.col("body"), messages.IDEA_WORDS, True))
+    m = materialize(m, "candidates")
+    queues.enqueue_slowly(m, f"{base}/jobs", lambda: 0)
+    queues.enqueue(m, f"{base}/jobs")  # delivered again
     queues.consume(spark, f"{base}/jobs", f"{base}/results", f"{base}/c1").awaitTermination()
     stored = spark.read.schema("row_id string, nlp_label string, nlp_score float").parquet(f"{base}/results")
     stored.write.parquet(f"{base}/queue")
     apply = lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/applied/{n}")
     queues.write_back_stream(spark, f"{base}/queue", f"{base}/state", f"{base}/c2", apply).awaitTermination()
-    return spark.read.parquet(f"{base}/applied/*").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{base}/applied/*").select(F.col("row_id").alias("id"), "nlp_label")
 
 
 # ---- bridge and web tables ---------------------------------------------------------------------------
@@ -581,3 +837,25 @@ def d7_d9_unique(spark, sf_dir):
 def d10_cascade(spark, sf_dir):
     gone = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
     return relations.cascade(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey", "c_custkey").select("o_orderkey")
+
+
+@query("""SELECT DISTINCT o_custkey AS user_id, o_orderkey % 50 AS team_id FROM orders WHERE o_custkey < 200 UNION SELECT l_suppkey, l_orderkey % 50 FROM lineitem WHERE l_suppkey < 200""")
+def j11_memberships(spark, sf_dir):
+    owned = table(spark, sf_dir, "orders").filter("o_custkey < 200").select(F.col("o_custkey").cast("long").alias("user_id"), (F.col("o_orderkey") % 50).cast("long").alias("team_id"))
+    joined = table(spark, sf_dir, "lineitem").filter("l_suppkey < 200").select(F.col("l_suppkey").cast("long").alias("user_id"), (F.col("l_orderkey") % 50).cast("long").alias("team_id"))
+    return relations.memberships(owned, joined)
+
+
+@query("""SELECT n_nationkey, n_name, count(s_suppkey) AS n, coalesce(min(s_name), '') AS first FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_name <> 'GONE' GROUP BY 1, 2""")
+def d3_d4_collections(spark, sf_dir):
+    """Collections with the list of what they hold."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_name", "s_suppkey")
+    held = relations.with_children(table(spark, sf_dir, "nation"), s, "n_nationkey", "s_nationkey", ["s_name", "s_suppkey"], "suppliers")
+    return held.select("n_nationkey", "n_name", F.size("suppliers").cast("long").alias("n"), F.coalesce(F.get("suppliers", F.lit(0))["s_name"], F.lit("")).alias("first"))
+
+
+@query("""SELECT o_custkey, o_orderkey, place, c_name FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS place FROM orders) JOIN customer ON o_custkey = c_custkey WHERE place <= 2""")
+def d8_d11_latest(spark, sf_dir):
+    """The two latest orders of each customer, with the name: as comments with their user, or a digest."""
+    newest = relations.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey", 2)
+    return newest.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select("o_custkey", "o_orderkey", "place", "c_name")

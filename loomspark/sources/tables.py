@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,23 +38,102 @@ def inspect(df: DataFrame, rows: int = 2) -> dict:
     return {"schema": df.schema.simpleString(), "columns": len(df.columns), "rows": df.count(), "head": df.take(rows)}
 
 
-def damaged_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, reason) of Parquet files that are empty or lack the magic bytes at either end.
+def folder_catalog(spark: SparkSession, folder: str, pattern: str = "") -> list[str]:
+    """Names of a two-level or flat layout in order, from folder names alone: no file is opened.
 
-    Only the files' bytes are looked at, per file; nothing is changed. Scans leave out empty files, so those
-    come from the folder's listing, which the driver reads for any scan.
+    A folder of one or two characters without Parquet files in it is a partition, whose folders count. `name=value`
+    folders count by their value.
     """
     fs, hadoop_path = filesystem(spark, folder)
-    listing, empty = fs.listFiles(hadoop_path(folder), True), []
+
+    def inside(path) -> list:
+        return [s for s in fs.listStatus(path) if not s.getPath().getName().startswith(("_", "."))]
+
+    found = set()
+    for status in inside(hadoop_path(folder)):
+        if not status.isDirectory():
+            continue
+        name = status.getPath().getName().rpartition("=")[2]
+        if len(name) <= 2:
+            below = inside(status.getPath())
+            if not any(s.getPath().getName().endswith(".parquet") for s in below):
+                found |= {s.getPath().getName().rpartition("=")[2] for s in below if s.isDirectory()}
+                continue
+        found.add(name)
+    return sorted(n for n in found if not pattern or fnmatch(n.lower(), pattern.lower()))
+
+
+def _listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, modified) of all files of a tree, as the driver lists them for any scan."""
+    fs, hadoop_path = filesystem(spark, folder)
+    listing, rows = fs.listFiles(hadoop_path(folder), True), []
     while listing.hasNext():
         status = listing.next()
-        if status.getLen() == 0 and status.getPath().getName().endswith(".parquet"):
-            empty.append((status.getPath().toString(), 0, "empty"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
-    magic = F.lit(b"PAR1")
-    head, tail = F.expr("substring(content, 1, 4)"), F.expr("substring(content, -4, 4)")
-    damaged = files.select(
-        "path", F.col("length").alias("size"),
-        F.when(head != magic, "no header").when(tail != magic, "no footer").alias("reason"),
-    ).filter("reason is not null")
-    return damaged.unionByName(spark.createDataFrame(empty, "path string, size long, reason string"))
+        rows.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return spark.createDataFrame(rows, "path string, size long, modified long")
+
+
+def _footer_fault(path: str, size: int) -> str | None:
+    from pyarrow import fs, parquet
+
+    if size == 0:
+        return "empty"
+    store, inner = fs.FileSystem.from_uri(path)
+    try:
+        with store.open_input_file(inner) as file:
+            parquet.read_metadata(file)
+        return None
+    except Exception as e:
+        return str(e)[:200] or type(e).__name__
+
+
+def _checked(files: DataFrame) -> DataFrame:
+    """Files with `reason`: why their footer can't be read, or null. Tasks read the footers only, whatever the size."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(reason=[_footer_fault(p, n) for p, n in zip(pdf["path"], pdf["size"])])
+
+    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return spread.mapInPandas(run, "path string, size long, modified long, reason string")
+
+
+def damaged_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, reason) of Parquet files that are empty or whose footer can't be read; nothing is changed."""
+    parquet = _listing(spark, folder).filter(F.col("path").endswith(".parquet"))
+    return _checked(parquet).filter("reason is not null").select("path", "size", "reason")
+
+
+def repair(spark: SparkSession, folder: str, fix: bool = False) -> list[tuple[str, str]]:
+    """(path, what is done) for damaged files and leftovers named `file.parquet.tmp.*`; only `fix` changes anything.
+
+    A damaged or missing file is 'restored' from its newest leftover if that one can be read, else a damaged file is 'deleted'. Leftovers
+    that aren't used are 'deleted' too.
+    """
+    files = _listing(spark, folder).filter(F.col("path").rlike(r"\.parquet(?:\.tmp\.[^/]*)?$"))
+    checked = _checked(files).select("path", "modified", "reason", F.regexp_extract("path", r"^(.*?\.parquet)(?:\.tmp\.|$)", 1).alias("target"))
+    left, own = checked.filter("path <> target"), checked.filter("path = target")
+    newest = left.groupBy("target").agg(F.max(F.struct("modified", "path", "reason")).alias("n")).select("target", "n.path", "n.reason")
+    state = own.select("target", F.lit(True).alias("there"), F.col("reason").alias("own")).join(newest, "target", "full")
+    # only files with something to do come to the driver, which does it
+    todo = state.filter("own is not null or path is not null").toLocalIterator()
+    fs, hadoop_path = filesystem(spark, folder)
+    done: list[tuple[str, str]] = []
+    restored = set()
+    for r in todo:
+        if (r.there is None or r.own is not None) and r.path is not None and r.reason is None:
+            restored.add(r.path)
+            done.append((r.target, "restored"))
+            if fix:
+                fs.delete(hadoop_path(r.target), False)
+                fs.rename(hadoop_path(r.path), hadoop_path(r.target))
+        elif r.own is not None:
+            done.append((r.target, "deleted"))
+            if fix:
+                fs.delete(hadoop_path(r.target), False)
+    for r in files.filter(F.col("path").contains(".parquet.tmp.")).select("path").toLocalIterator():
+        if r.path not in restored:
+            done.append((r.path, "deleted"))
+            if fix:
+                fs.delete(hadoop_path(r.path), False)
+    return sorted(done)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,31 @@ def enqueue(messages: DataFrame, path: str, file_path: str = "", rows_per_file:
     jobs.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def enqueue_slowly(messages: DataFrame, path: str, backlog: Callable[[], int], rows_per_push: int = 1_000_000, most: int = 50_000, wait: float = 1.0, file_path: str = "") -> int:
+    """Like `enqueue`, in pushes of about `rows_per_push` rows, each after `backlog()` has come down to `most`. Returns the pushes.
+
+    A file queue needs no brake for its consumer's sake (see `consume`); this one keeps the queue's size in bounds.
+    """
+    pushes = max(1, -(-nlp_candidates(messages).count() // rows_per_push))
+    for k in range(pushes):
+        while backlog() > most:
+            time.sleep(wait)
+        enqueue(messages.filter(F.pmod(F.xxhash64("id"), F.lit(pushes)) == k), path, file_path)
+    return pushes
+
+
+def backlog(spark: SparkSession, queue: str, results: str) -> int:
+    """Jobs of the queue folder without a result yet; counted from the files' footers."""
+    total = spark.read.parquet(queue).count() if exists(spark, queue) else 0
+    return total - (spark.read.parquet(results).count() if exists(spark, results) else 0)
+
+
+def drain(query) -> None:
+    """Let a running query finish what has arrived, then stop it; a restart goes on from its checkpoint."""
+    query.processAllAvailable()
+    query.stop()
+
+
 def consume(spark: SparkSession, queue: str, results: str, checkpoint: str, scorer=inference.keyword_scorer, files_per_batch: int = 100, schema: str = schemas.NLP_JOB):
     """Classify queued jobs into a results folder until the queue is empty; restarts go on where they ended.
 

@@ -3,11 +3,11 @@ import os
 import duckdb
 import pytest
 
-from loomspark.plans import delivery, reference
+from loomspark.plans import delivery, pipeline
 from tools_compare import TABLES, rows_of
 
-SQL = delivery.SQL | reference.SQL
-QUERIES = delivery.QUERIES | reference.QUERIES
+SQL = delivery.SQL | pipeline.SQL
+QUERIES = delivery.QUERIES | pipeline.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_every_query_has_a_name_of_its_own():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not set(delivery.QUERIES) & set(reference.QUERIES)
+    assert not set(delivery.QUERIES) & set(pipeline.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

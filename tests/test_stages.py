@@ -67,6 +67,11 @@ def test_dbscan_blobs(spark):
     got = {r.id: r.cluster_id for r in density.dbscan(df, "vec_id", "v", 0.5, 3).collect()}
     assert {got[i] for i in range(20)} == {0} and {got[100 + i] for i in range(15)} == {100} and got[900] == got[901] == -1
     assert density.dbscan(df.limit(0), "vec_id", "v").count() == 0
+    # one ring of cores, cut into blocks, with a border row
+    ring = [(i, [float(np.cos(i / 20 * np.pi)), float(np.sin(i / 20 * np.pi))]) for i in range(40)] + [(77, [1.2, 0.0])]
+    df = spark.createDataFrame(ring, "vec_id int, v array<float>")
+    for anchors, block in ((1, 7), (8, 11), (1, 1000)):
+        assert {r.cluster_id for r in density.dbscan(df, "vec_id", "v", 0.21, 3, anchors, block).collect()} == {0}
 
 
 def test_close_pairs_same_as_brute_force(spark):
@@ -89,6 +94,23 @@ def test_hdbscan_blobs(method):
     assert list(density.hdbscan_labels(x[:3], 5)) == [-1] * 3
 
 
+def test_hdbscan_of_large_groups(spark):
+    """Groups cut into blocks have the clusters of the whole matrix."""
+    rng = np.random.default_rng(4)
+    blobs = np.vstack([rng.normal(c, 0.15, (40, 3)) for c in (0, 3, 6)] + [rng.uniform(-3, 9, (25, 3))])
+    rows = [("big", i, [float(t) for t in v]) for i, v in enumerate(blobs)] + [(None, i, [float(t) for t in v]) for i, v in enumerate(blobs[::-1])]
+    rows += [("big", 900, None), ("few", 1, [0.0, 0.0, 0.0]), ("few", 2, None)]
+    df = spark.createDataFrame(rows, "g string, id int, v array<float>")
+    whole = {(r.g, r.id): r.cluster_id for r in density.hdbscan(df, "g", "id", "v").collect()}
+    cut = {(r.g, r.id): r.cluster_id for r in density.hdbscan(df, "g", "id", "v", together=50, block_rows=40).collect()}
+    assert set(whole) == set(cut) and len(cut) == len(rows)
+    same = {}
+    for key, label in whole.items():
+        same.setdefault((key[0], label), set()).add(cut[key])
+    assert all(len(s) == 1 for s in same.values()) and len({v for k, v in cut.items() if k[0] == "big"}) >= 4
+    assert {k for k, v in whole.items() if v == -1} == {k for k, v in cut.items() if v == -1}
+
+
 def test_inference(spark):
     best, score = inference.pick(np.array([[1.0, 1.0], [0.0, 3.0], [np.nan, 1.0]]))
     assert best.tolist() == [0, 1, 0] and score[2] == 0 and score[0] == pytest.approx(0.5)
@@ -111,20 +133,31 @@ def test_inference(spark):
     assert got == {1: (7, None), 2: (None, "ValueError: x"), 3: (None, "not an object"), 4: (None, "not an object")}
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red fox", 0, 5), (2, "red red dog", 3, 4), (3, None, 0, 4), (4, "", None, 1)], "id int, t string, s int, total_ups int")
-    page, total = search.search(docs, "id", {"t": 1.0}, "RED-fox", ranges={"s": (0, None)})
+    index = search.build_index(docs, f"file://{tmp_path}/one", "id", ["t"], parts=4)
+    page, total = search.search(docs, "id", index, {"t": 1.0}, "RED-fox", ranges={"s": (0, None)})
     assert [r.id for r in page.collect()] == [1, 2] and total.first().total == 2
-    assert [r.id for r in search.search(docs, "id", {}, sort="total_ups_desc", size=2, number=2)[0].collect()] == [3, 4]
-    assert search.search(docs, "id", {}, ranges={"s": (0, 0)})[1].first().total == 2
-    assert search.multi_match(docs, "id", {"t": 1.0}, " -- ").count() == 0 and search.search(docs, "id", {}, number=99)[0].count() == 0
-    two = docs.withColumn("u", F.lit("fox"))
-    scores = {r.id: r.score for r in search.multi_match(two, "id", {"t": 1.0, "u": 3.0}, "fox").collect()}
-    assert set(scores) == {1, 2, 3, 4} and scores[1] == max(scores.values()) and search.multi_match(docs.limit(0), "id", {"t": 1.0}, "x").count() == 0
+    assert [r.id for r in search.search(docs, "id", sort="total_ups_desc", size=2, number=2)[0].collect()] == [3, 4]
+    assert search.search(docs, "id", ranges={"s": (0, 0)})[1].first().total == 2
+    assert search.relevance(index, " -- ", {"t": 1.0}).count() == 0 and search.search(docs, "id", number=99)[0].count() == 0
+    assert search.search(docs, "id", index, {"t": 1.0}, " -- ")[1].first().total == 0
+    two = docs.withColumn("u", F.lit("fox")).withColumn("n", F.struct(F.col("s").alias("deep"), F.array(F.lit("Fox den")).alias("list")))
+    several = search.build_index(two, f"file://{tmp_path}/two", "id", ["t", "u", "n"], parts=4)
+    scores = {r.id: r.score for r in search.relevance(several, "fox", {"t": 1.0, "u": 3.0}).collect()}
+    assert set(scores) == {1, 2, 3, 4} and scores[1] == max(scores.values())
+    assert {r.id for r in search.relevance(several, "den", {"n": 1.0}).collect()} == {1, 2, 3, 4} and search.relevance(several, "den", {"t": 1.0}).count() == 0
+    none = search.build_index(docs.limit(0), f"file://{tmp_path}/none", "id", ["t"], parts=4)
+    assert search.relevance(none, "x", {"t": 1.0}).count() == 0
+    assert search.open_index(docs.limit(0), f"file://{tmp_path}/one", "id", ["t"], parts=4).postings.count() == 4  # it is there already
+    long = spark.createDataFrame([(1, "word " * 100_000 + "end")], "id int, t string")
+    assert search.relevance(search.build_index(long, f"file://{tmp_path}/long", "id", ["t"]), "end", {"t": 1.0}).count() == 1
     assert search.sort_key("popularity_desc", docs.columns) == ("total_ups", True)
     with pytest.raises(ValueError):
         search.sort_key("total_ups", docs.columns)
-    assert search.sample(docs, 2, 1).count() == 2
+    rows, total = search.sample(docs, 2, 1, {"s": 0})
+    assert {r.s for r in rows.collect()} == {0} and total.first().total == 2 and rows.collect() == search.sample(docs.repartition(3), 2, 1, {"s": 0})[0].collect()
+    assert search.by_id(docs, "id", 2).first().t == "red red dog" and search.by_id(docs, "id", 9).count() == 0
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id int, v array<float>")
     assert [r.id for r in search.similar_to(v, "id", "v", [1.0, 0.1], 5).collect()] == [1, 3]
 
@@ -159,7 +192,11 @@ def test_tables(spark, tmp_path):
     assert tables.with_file(tables.scan(spark, f"{base}/p", deep=True)).select("filename").distinct().count() == 2
     (tmp_path / "p/bad.parquet").write_bytes(b"")
     (tmp_path / "p/worse.parquet").write_bytes(b"PAR1 no end")
-    assert {r.reason for r in tables.damaged_files(spark, f"{base}/p").collect()} == {"empty", "no footer"}
+    found = {r.path.rpartition("/")[2]: r.reason for r in tables.damaged_files(spark, f"{base}/p").collect()}
+    assert set(found) == {"bad.parquet", "worse.parquet"} and found["bad.parquet"] == "empty"
+    assert [(p.rpartition("/")[2], d) for p, d in tables.repair(spark, f"{base}/p")] == [("bad.parquet", "deleted"), ("worse.parquet", "deleted")]
+    assert (tmp_path / "p/bad.parquet").exists()
+    assert tables.folder_catalog(spark, f"{base}/p") == ["one", "two"] and tables.folder_catalog(spark, f"{base}/p", "O*") == ["one"]
     both.select("x").write.option("header", "true").csv(f"{base}/csv")
     tables.merge_csv(spark, f"{base}/csv", f"{base}/merged")
     assert spark.read.option("header", "true").csv(f"{base}/merged").count() == 2
@@ -212,3 +249,91 @@ def test_random_row_and_plans(spark):
     assert one == search.random_row(df, [F.asc("i")], 3).collect() and len(one) == 1
     assert search.random_row(df.limit(0), [F.asc("i")], 3).count() == 0
     assert inference.repaired(inference.offline_planner)("t").startswith('{"title": "t"')
+
+
+def test_packed_dumps(spark, tmp_path):
+    import zstandard
+
+    from loomspark.sources import dumps
+
+    lines = [f'{{"id": "{i}", "body": "{"x" * 2000}"}}' for i in range(5_000)] + ['{"id": "last"}']
+    whole = zstandard.ZstdCompressor().compress("\n".join(lines).encode() + b"\n\xff{bad utf-8")
+    (tmp_path / "RC_1.zst").write_bytes(whole)
+    (tmp_path / "RC_2.zst").write_bytes(zstandard.ZstdCompressor(write_checksum=True).compress(b'{"id": "a"}\r\n') + whole[: len(whole) // 2])
+    (tmp_path / "RS_1.jsonl").write_text('{"id": "s"}\n\nnot json\n')
+    files = dumps.discover(spark, f"file://{tmp_path}")
+    assert sorted((r.name, r.kind) for r in files.collect()) == [("RC_1.zst", "comment"), ("RC_2.zst", "comment"), ("RS_1.jsonl", "submission")]
+    read = lambda name: dumps.parse_items(dumps.read_lines(spark, f"file://{tmp_path}/{name}", parts=2))
+    assert read("RC_1.zst").count() == 5_001 and read("RS_1.jsonl").count() == 1
+    cut = read("RC_2.zst")
+    assert 1 <= cut.count() < 5_001 and cut.filter("id = 'a'").count() == 1
+    assert dumps.read_lines(spark, [f"file://{tmp_path}/RC_1.zst", f"file://{tmp_path}/RS_1.jsonl"]).count() == 5_002 + 3
+    dumps.write_lines(spark.createDataFrame([("é",), ("b",)], "value string"), f"file://{tmp_path}/out", "RS_9", pack=True)
+    assert sorted(r.line for r in dumps.read_lines(spark, f"file://{tmp_path}/out/*.zst").collect()) == ["b", "é"]
+
+
+def test_repaired_answers(spark):
+    from loomspark.functions import text as X
+
+    for raw, want in (
+        (r'{"a": "C:\users"}', r"C:\users"), (r'{"a": "x\\cy"}', r"x\cy"), (r'{"a": "x\\\cy"}', r"x\\cy".replace("\\\\", "\\" * 2)), (r'{"a": "\u00e9\"q\""}', 'é"q"'),
+        ('```json\n{"a": "t"}\n```', "t"), (r'{"a": "\d\u12"}', r"\d\u12"),
+    ):
+        df = spark.createDataFrame([(raw,)], "r string").select(F.from_json(X.repair_json(F.col("r")), "a string").alias("p"))
+        assert df.first().p.a == want, raw
+        import json
+
+        assert json.loads(inference.repaired(lambda _: raw)(""))["a"] == want
+
+
+def test_calls_run_at_once_and_in_windows(spark):
+    import time
+
+    def slow(prompt):
+        time.sleep(0.2)
+        return '{"score": 3, "reasoning": "r"}'
+
+    df = spark.createDataFrame([(i, "p") for i in range(40)], "i int, p string").coalesce(1)
+    began = time.monotonic()
+    assert inference.rate(df, "p", ["i"], slow, at_once=40).filter("score = 3").count() == 40
+    assert time.monotonic() - began < 0.2 * 40 / 2
+    began = time.monotonic()
+    assert inference.rate(df.limit(4), "p", ["i"], slow, per_window=2, window=1.5).count() == 4 and time.monotonic() - began > 1.5
+
+    def broken(prompt):
+        raise ValueError("no")
+
+    assert {(r.score, r.reasoning) for r in inference.rate(df.limit(2), "p", ["i"], broken).collect()} == {(0.0, "failed: ValueError: no")}
+    assert {r.answer for r in inference.told(df.limit(2), "p", ["i"], broken).collect()} == {None}
+
+
+def test_brake_and_resume(spark, tmp_path):
+    from loomspark.streaming import queues
+
+    m = spark.createDataFrame([(str(i), "an idea", True, False, None) for i in range(25)], "id string, body string, cpu_filter_is_idea boolean, is_idea boolean, nlp_top_score float")
+    waits = iter([9, 9, 0, 0, 0])
+    assert queues.enqueue_slowly(m, f"file://{tmp_path}/q", lambda: next(waits), rows_per_push=10, most=5, wait=0.01) == 3
+    assert spark.read.parquet(f"file://{tmp_path}/q").count() == 25 and queues.backlog(spark, f"file://{tmp_path}/q", f"file://{tmp_path}/none") == 25
+    lines = spark.createDataFrame([("f", i, str(i)) for i in range(5)] + [("g", 0, None)], "file_path string, line_number long, id string")
+    stored = spark.createDataFrame([("0",), ("2",), ("2",), (None,)], "id string")
+    assert {tuple(r) for r in writeback.resume_points(lines, stored).collect()} == {("f", 5, 3), ("g", 1, 0)}
+
+
+def test_mappings_and_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "t", 5)], "id long, title string, extra int")
+    out, mapping = sinks.extended(docs, "id bigint, title string, gone string")
+    assert out.columns == ["id", "title", "gone", "extra"] and mapping.endswith("extra string") and out.first().extra == "5"
+    path = f"file://{tmp_path}/v"
+    points = lambda rows: spark.createDataFrame(rows, "id string, vector array<float>, payload string")
+    sinks.upsert_vectors(spark, path, points([("a", [3.0, 4.0], "old"), ("b", [1.0, 0.0], "b"), ("z", [0.0, 0.0], "z"), ("n", None, "n")]), buckets=2)
+    sinks.upsert_vectors(spark, path, points([("a", [0.0, 2.0], "new"), ("c", [1.0, 1.0], "c")]), buckets=2)
+    got = {r.id: (r.payload, round(sum(x * x for x in r.vector), 4)) for r in spark.read.parquet(path).collect()}
+    assert got == {"a": ("new", 1.0), "b": ("b", 1.0), "c": ("c", 1.0)}
+
+
+def test_lists_of_children(spark):
+    parents, children = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, "b"), (1, "a"), (None, "x")], "p int, name string")
+    got = {r.id: [c.name for c in r.kids] for r in relations.with_children(parents, children, "id", "p", ["name"], "kids").collect()}
+    assert got == {1: ["a", "b"], 2: []}
+    assert [len(r.kids) for r in relations.with_children(parents, children, "id", "p", ["name"], "kids", most=1).orderBy("id").collect()] == [1, 0]
+    assert relations.memberships(children, children).count() == 3

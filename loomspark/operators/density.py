@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -133,14 +134,23 @@ def close_pairs(vectors: DataFrame, id_col: str, column: str, eps: float, anchor
     return cells.groupBy("cell", "q", "b").applyInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
-def components(edges: DataFrame, heavy_rows: int = 100_000) -> DataFrame:
-    """(node, label): the least node of each connected component of (a, b) links, by label propagation.
+def components(edges: DataFrame, together: int = 1_000_000, heavy_rows: int = 100_000) -> DataFrame:
+    """(node, label): the least node of each connected component of (a, b) links.
 
-    Every round takes the least label among the neighbours and then the label of that label, so long chains shrink fast. Nodes with
-    very many links and labels with very many nodes are joined by broadcast (`skew.lookup`). Each round's table is
-    deleted when the next is stored.
+    Up to `together` links, a bounded number, are followed in one task. More go through label propagation: every round takes the
+    least label among the neighbours and then the label of that label, so long chains shrink fast. Nodes with very many links
+    and labels with very many nodes are joined by broadcast (`skew.lookup`). Each round's table is deleted when
+    the next is stored.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    kind = dict(edges.dtypes)["a"]
+    edges = materialize(edges.select("a", "b").dropna(), "edges")
+    if edges.count() <= together:  # from the footers
+        found = edges.coalesce(1).mapInArrow(_united, f"node {kind}, label {kind}")
+        labels = materialize(found, "labels")
+        discard(edges)
+        return labels
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
+    discard(edges)
     links = materialize(both.groupBy("a").agg(F.count(F.lit(1)).alias("load"), F.min("b").alias("m")), "degrees")
     labels = links.select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
     loads = links.select(F.col("a").alias("node"), "load")
@@ -162,6 +172,30 @@ def components(edges: DataFrame, heavy_rows: int = 100_000) -> DataFrame:
             return labels
 
 
+def _united(batches):
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    ends = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks])
+    names = pc.unique(ends).sort()  # so that the least number is the least node
+    a, b = (pc.index_in(table.column(c), names).to_numpy() for c in "ab")
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        i, j = root(i), root(j)
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+    label = names.take(pa.array([root(i) for i in range(len(parent))], pa.int64()))
+    yield pa.RecordBatch.from_arrays([names, label], ["node", "label"])
+
+
 def dbscan(vectors: DataFrame, id_col: str, column: str, eps: float = 0.5, min_samples: int = 3, anchors: int = 64, block_rows: int = 20_000) -> DataFrame:
     """(id, cluster_id): least core id of the cluster, -1 for noise.
 

@@ -94,6 +94,16 @@ def test_hdbscan_blobs(method):
     assert list(density.hdbscan_labels(x[:3], 5)) == [-1] * 3
 
 
+def test_components_by_either_way(spark):
+    """A hub, a chain and a loop; strings sort as strings."""
+    links = [("hub", f"h{i}") for i in range(60)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(70)] + [("x", "y"), ("y", "z"), ("z", "x"), ("s", "s"), (None, "x")]
+    df = spark.createDataFrame(links, "a string, b string")
+    want = {"hub": "h0", "x": "x", "s": "s"} | {f"h{i}": "h0" for i in range(60)} | {f"c{i:03}": "c000" for i in range(71)} | {"y": "x", "z": "x"}
+    for together, heavy in ((1_000, 100_000), (0, 100_000), (0, 10)):
+        assert {r.node: r.label for r in density.components(df, together, heavy).collect()} == want
+    assert density.components(df.limit(0)).count() == 0 and density.components(df.limit(0), 0).count() == 0
+
+
 def test_hdbscan_of_large_groups(spark):
     """Groups cut into blocks have the clusters of the whole matrix."""
     rng = np.random.default_rng(4)

@@ -7,17 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.operators.density import components
 from loomspark.operators.skew import lookup
-from loomspark.runtime import materialize
+from loomspark.runtime import materialize, scratch_scope
 
 WORD = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 CLAUSE = r"[.,;:!?()\n\r]+|\s[-–—]+(?=\s|$)"
 FRAME_SHARE = 0.15  # words in more texts than this are grammar, unless they come with certain others
 TESTED_SHARE = 0.02  # phrases in more texts than this must show that they belong to a topic
+CLAUSE_WORDS = 24  # words after which a clause without signs is cut
+SPAN = 10  # clauses, one after the other, whose phrases make cells together: a need is told in no more
 DIMENSIONS = 3  # phrases, of different clauses, that make a cell of the grid; texts of fewer clauses have cells of their own
 DENSITY = 4.0  # log-likelihood, over that of one text among USUAL, by which a cell's count must exceed chance
 USUAL = 600  # fixed, so that a cell is judged alike in a table of any size
@@ -36,13 +40,15 @@ def distinct_messages(piles: DataFrame) -> DataFrame:
 
 
 def _clauses(text: Column) -> Column:
-    return F.transform(F.split(F.lower(text), CLAUSE), lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0)))
+    """The words of each clause, in lower case; clauses of more than CLAUSE_WORDS words are cut."""
+    found = F.transform(F.split(F.lower(text), CLAUSE), lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0)))
+    pieces = F.transform(found, lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / CLAUSE_WORDS).cast("int")), lambda i: F.slice(c, i * CLAUSE_WORDS + 1, F.lit(CLAUSE_WORDS))))
+    return F.when(F.exists(found, lambda c: F.size(c) > CLAUSE_WORDS), F.flatten(F.transform(pieces, lambda p: p))).otherwise(found)
 
 
 def _phrases(clauses: Column, frame: list[str]) -> Column:
     """Per text (phrase, clause number): neighbouring content words, or the only one, of every clause."""
-    frame_lit = F.array(*[F.lit(w) for w in frame]) if frame else F.expr("array('')")
-    content = F.transform(clauses, lambda c: F.filter(c, lambda w: ~F.array_contains(frame_lit, w)))
+    content = F.transform(clauses, lambda c: F.filter(c, lambda w: ~w.isin(frame))) if frame else clauses  # a hash set for each task
 
     def of_clause(c, i):
         pairs = F.transform(
@@ -107,37 +113,61 @@ def _bound(rows: DataFrame, items: dict[str, int], often: dict[str, int], n: int
 
 
 def _count_partners(items: dict[str, int], often: dict[str, int]):
-    item_at, word_at = {w: i for i, w in enumerate(items)}, {w: i for i, w in enumerate(often)}
+    item_set, word_set = pa.array(list(items), pa.string()), pa.array(list(often), pa.string())
+    least = 1 << 20  # texts of a piece times words, so that the matrices stay small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((len(item_at), len(word_at)), dtype=np.int64)
+        both = np.zeros((len(item_set), len(word_set)), dtype=np.int64)
         far = np.zeros_like(both)
+        step = max(1, least // len(word_set))
         for batch in batches:
-            for clauses, phrases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first: dict[int, int] = {}
-                for p in phrases:
-                    at = item_at.get(p["phrase"])
-                    if at is not None:
-                        first[at] = min(first.get(at, p["clause"]), p["clause"])
-                if not first:
-                    continue
-                has = np.zeros((len(clauses) + 2, len(word_at)), dtype=np.int16)
-                for j, clause in enumerate(clauses, 1):
-                    has[j, [word_at[w] for w in clause if w in word_at]] = 1
-                at, here = np.fromiter(first, dtype=np.int64), np.fromiter(first.values(), dtype=np.int64) + 1
-                beside = has.sum(axis=0) - has[here]
-                both[at] += beside > 0
-                far[at] += beside - has[here - 1] - has[here + 1] > 0
+            for lo in range(0, batch.num_rows, step):
+                _add_partners(batch.slice(lo, step), item_set, word_set, both, far)
         i, w = np.nonzero(both)
         if len(i):
-            names, words = np.array(list(item_at), dtype=object), np.array(list(word_at), dtype=object)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[i], pa.string()), pa.array(words[w], pa.string()), pa.array(both[i, w]), pa.array(far[i, w])], ["item", "w", "both", "far"]
+                [item_set.take(pa.array(i)), word_set.take(pa.array(w)), pa.array(both[i, w]), pa.array(far[i, w])], ["item", "w", "both", "far"]
             )
 
     return run
 
 
+def _add_partners(batch: pa.RecordBatch, item_set: pa.Array, word_set: pa.Array, both: np.ndarray, far: np.ndarray) -> None:
+    """Count, per item and word, the texts that have the word in another clause than the item, and more than one clause away.
+
+    For that it is enough to know a word's first and last clause in a text.
+    """
+    texts, clauses = batch.num_rows, batch.column(0)
+    per_text = np.diff(clauses.offsets.to_numpy())
+    inner = clauses.flatten()
+    per_clause = np.diff(inner.offsets.to_numpy())
+    text_of_clause = np.repeat(np.arange(texts), per_text)
+    clause_no = np.arange(len(per_clause)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    word = pc.fill_null(pc.index_in(inner.flatten(), word_set), -1).to_numpy()
+    t, c = np.repeat(text_of_clause, per_clause)[word >= 0], np.repeat(clause_no, per_clause)[word >= 0]
+    word = word[word >= 0]
+    none = 1 << 30
+    first, last = np.full((texts, len(word_set)), none, np.int32), np.full((texts, len(word_set)), -none, np.int32)
+    np.minimum.at(first, (t, word), c)
+    np.maximum.at(last, (t, word), c)
+    phrases = batch.column(1)
+    told = phrases.flatten()
+    item = pc.fill_null(pc.index_in(told.field("phrase"), item_set), -1).to_numpy()
+    t = np.repeat(np.arange(texts), np.diff(phrases.offsets.to_numpy()))[item >= 0]
+    c = told.field("clause").to_numpy(zero_copy_only=False)[item >= 0]
+    item = item[item >= 0]
+    # an item counts where it is said first
+    order = np.lexsort((c, t, item))
+    item, t, c = item[order], t[order], c[order]
+    kept = np.concatenate([[True], (item[1:] != item[:-1]) | (t[1:] != t[:-1])]) if len(item) else np.zeros(0, bool)
+    item, t, c = item[kept], t[kept], c[kept]
+    for part in np.split(np.arange(len(item)), np.flatnonzero(item[1:] != item[:-1]) + 1) if len(item) else ():
+        i, here = item[part[0]], c[part][:, None]
+        a, b = first[t[part]], last[t[part]]
+        both[i] += ((a != here) & (a < none) | (b != here) & (b > -none)).sum(axis=0)
+        far[i] += ((a < here - 1) | (b > here + 1)).sum(axis=0)
+
+
 def _cells(texts: DataFrame, frame: list[str], same: DataFrame | None, n: int) -> DataFrame:
     """(message_id, cell, members, density) for the dense cells of every text."""
     phrased = texts.select("message_id", _phrases(F.col("clauses"), frame).alias("p"))
@@ -155,19 +185,23 @@ def _cells(texts: DataFrame, frame: list[str], same: DataFrame | None, n: int) -
     bound = _bound(texts.join(said, "message_id").select("clauses", "p"), tested, _often(texts, TESTED_SHARE * n / 2), n)
     idle = texts.sparkSession.createDataFrame([(w,) for w in tested if w not in bound], "phrase string")
     axes = counts.join(F.broadcast(idle), "phrase", "left_anti")
-    points = lookup(spots, axes.withColumn("load", F.col("count")), "phrase").groupBy("message_id").agg(
-        F.sort_array(F.collect_list(F.struct("phrase", "clause", (F.col("count") / n).alias("share")))).alias("f")
+    marked = axes.select("phrase", F.xxhash64("phrase").alias("mark"), (F.col("count") / n).alias("share"), F.col("count").alias("load"))
+    points = lookup(spots, marked, "phrase").groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("clause", "mark", "share", "phrase"))).alias("f"))
+    points = materialize(points, "points")
+    # every choice of three phrases from different clauses, of SPAN in a row, is the text's cell in that subspace; a phrase and those
+    # of the clauses after it are a row of their own, so that a long text's cells are never together
+    ahead = F.transform("f", lambda a, i: F.struct(a["mark"].alias("mark"), a["share"].alias("share"), F.transform(
+        F.filter(F.slice("f", i + 2, F.lit(SPAN * CLAUSE_WORDS)), lambda b: (b["clause"] > a["clause"]) & (b["clause"] < a["clause"] + SPAN)),
+        lambda b: F.struct(b["clause"].alias("clause"), b["mark"].alias("mark"), b["share"].alias("share")),
+    ).alias("after")))
+    opened = points.select("message_id", F.explode(ahead).alias("a")).select("message_id", "a.*").filter("size(after) > 1")
+    pairs = F.flatten(F.transform("after", lambda b, j: F.transform(
+        F.filter(F.slice("after", j + 2, F.size("after")), lambda c: c["clause"] > b["clause"]),
+        lambda c: F.struct(b["mark"].bitwiseXOR(c["mark"]).alias("mark"), (b["share"] * c["share"]).alias("share")),
+    )))
+    filled = opened.select("message_id", "mark", "share", F.explode(pairs).alias("p")).select(
+        "message_id", F.col("mark").bitwiseXOR(F.col("p.mark")).alias("cell"), F.round(F.col("share") * F.col("p.share") * n, 12).alias("chance")
     )
-    # every choice of three phrases from different clauses is the text's cell in that subspace
-    pick = F.flatten(F.transform("f", lambda a, i: F.flatten(F.transform("f", lambda b, j: F.when(
-        (j > i) & (a["clause"] != b["clause"]),
-        F.transform(
-            F.filter(F.slice("f", j + 2, F.size("f")), lambda c: (c["clause"] != a["clause"]) & (c["clause"] != b["clause"])),
-            lambda c: F.struct(
-                F.xxhash64(a["phrase"], b["phrase"], c["phrase"]).alias("cell"), (a["share"] * b["share"] * c["share"] * n).alias("chance")
-            ),
-        )).otherwise(F.expr("cast(array() as array<struct<cell: bigint, chance: double>>)"))))))
-    filled = points.select("message_id", F.explode(pick).alias("c")).select("message_id", "c.*")
     filled = materialize(filled.unionByName(_short_cells(texts, points, n)), "cells")
     excess = F.col("members") * F.log(F.col("members") / F.col("chance")) - F.col("members") + F.col("chance")
     dense = filled.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("chance").alias("chance")).filter("members > 1").withColumn(
@@ -188,7 +222,7 @@ def _short_cells(texts: DataFrame, points: DataFrame, n: int) -> DataFrame:
     kept = F.array_distinct(F.transform(F.concat(F.array("f"), without), lambda f: F.transform(f, lambda a: F.struct(a["phrase"].alias("phrase"), a["share"].alias("share")))))
     sets = points.join(short, "message_id", "left_semi").select("message_id", F.explode(kept).alias("k")).filter("size(k) > 1")
     chance = F.aggregate("k", F.lit(float(n)), lambda x, a: x * a["share"])
-    return sets.select("message_id", F.xxhash64(F.lit("short"), F.transform("k", lambda a: a["phrase"])).alias("cell"), chance.alias("chance"))
+    return sets.select("message_id", F.xxhash64(F.lit("short"), F.sort_array(F.transform("k", lambda a: a["phrase"]))).alias("cell"), chance.alias("chance"))
 
 
 def _equal_cells(texts: DataFrame, n: int) -> DataFrame:
@@ -200,32 +234,11 @@ def _equal_cells(texts: DataFrame, n: int) -> DataFrame:
     return lookup(texts.select("message_id", F.col("whole").alias("cell")), materialize(equal, "equal-texts"), "cell")
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component of (a, b) links, by label propagation.
-
-    Every round takes the least label among the neighbours and then the label of that label, so
-    long chains shrink fast; it ends when no label changes.
-    """
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(
-        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels"
-    )
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        ahead = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = materialize(step.join(ahead, "label").select("node", "was", F.least("label", "further").alias("label")), "labels")
-        moved = not jumped.filter("was <> label").isEmpty()
-        labels = jumped.select("node", "label")
-        if not moved:
-            return labels
-
-
 def _group(cells: DataFrame) -> DataFrame:
     """(message_id, label) by joining dense cells that share a text."""
     least = cells.groupBy("message_id").agg(F.min("cell").alias("least"))
     links = cells.select("message_id", "cell").join(least, "message_id").select(F.col("cell").alias("a"), F.col("least").alias("b")).distinct()
-    labels = _components(links).withColumnRenamed("node", "least")
+    labels = components(links).withColumnRenamed("node", "least")
     load = least.groupBy("least").agg(F.count(F.lit(1)).alias("load"))
     return lookup(least, materialize(labels.join(load, "least"), "least-labels"), "least").select("message_id", "label")
 
@@ -243,6 +256,8 @@ def _alternates(texts: DataFrame, groups: DataFrame, frame: list[str]) -> DataFr
         held.select("label", F.lit("r").alias("side"), F.col("w")[1].alias("kept"), F.col("w")[0].alias("word"), "k")
     )
     used = sides.select("label", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("clusters"))
+    # a word of fewer clusters stands for none in as many
+    sides = materialize(sides.join(used.filter(F.col("clusters") >= ALTERNATES).select("word"), "word", "left_semi"), "sides")
     one = sides.select("label", "side", "kept", F.col("word").alias("x"))
     two = sides.select("label", "side", "kept", F.col("word").alias("y"))
     pairs = (
@@ -253,7 +268,7 @@ def _alternates(texts: DataFrame, groups: DataFrame, frame: list[str]) -> DataFr
         pairs.join(used.withColumnsRenamed({"word": "x", "clusters": "cx"}), "x").join(used.withColumnsRenamed({"word": "y", "clusters": "cy"}), "y")
         .filter(F.col("n") >= 0.3 * F.least("cx", "cy"))
     )
-    labels = _components(strong.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    labels = components(strong.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return labels.filter("node <> label").withColumnRenamed("node", "word")
 
 
@@ -261,7 +276,7 @@ def cluster_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members and cells of (message_id, text): (message_id, first_id, density) and the dense cells.
 
     Texts are quantised into phrases (neighbouring content words of a clause); three phrases of
-    different clauses are a cell. A cell is dense if it holds more texts than chance would put there;
+    different clauses, of SPAN in a row, are a cell, so the cells of a long text grow as its length. A cell is dense if it holds more texts than chance would put there;
     cells that share a text are adjacent, and adjacent dense cells form a cluster. A first
     grouping shows which words stand for each other; the grid is then laid again with those joined.
     first_id is the least id of the cluster. Texts in no dense cell are in no cluster. Equal texts of
@@ -269,10 +284,19 @@ def cluster_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     fewer than three clauses have cells of all their phrases (see `_short_cells`). Everything is counted over all texts; what goes to
     the driver is the common words and phrases only.
     """
+    spark = messages.sparkSession
+    with scratch_scope(spark) as scope:
+        members, cells = _clustered(messages)
+        return scope.keep(materialize(members, "members")), scope.keep(materialize(cells, "cells-of-members"))
+
+
+def _clustered(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = F.array_join(F.flatten("clauses"), " ")
     bare = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))  # of texts without words
-    texts = messages.select("message_id", "text", _clauses(F.col("text")).alias("clauses"))
-    texts = materialize(texts.select("message_id", "clauses", F.xxhash64(F.lit("whole"), F.when(said != "", said).otherwise(bare)).alias("whole")), "texts")
+    texts = messages.select(F.col("message_id").alias("name"), "text", _clauses(F.col("text")).alias("clauses"))
+    # texts go by a number, stored once, until the end
+    texts = materialize(texts.select("name", F.monotonically_increasing_id().alias("message_id"), "clauses", F.xxhash64(F.lit("whole"), F.when(said != "", said).otherwise(bare)).alias("whole")), "texts")
+    names, texts = texts.select("message_id", "name"), texts.drop("name")
     n = max(1, texts.count())
     frame = _common_words(texts, n)
     equal = materialize(_equal_cells(texts, n), "equal")
@@ -280,12 +304,12 @@ def cluster_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = _alternates(texts, materialize(_group(cells), "groups"), frame)
     if not same.isEmpty():
         cells = materialize(_cells(texts, frame, same, n).unionByName(equal), "dense")
-    groups = materialize(_group(cells), "groups")
-    first = groups.groupBy("label").agg(F.min("message_id").alias("first_id"), F.count(F.lit(1)).alias("cluster_size"))
+    groups = materialize(_group(cells).join(names, "message_id"), "groups")
+    first = groups.groupBy("label").agg(F.min("name").alias("first_id"), F.count(F.lit(1)).alias("cluster_size"))
     density = cells.groupBy("message_id").agg(F.max("members").alias("densest"), F.sum("density").alias("density"))
     first = materialize(first.withColumn("load", F.col("cluster_size")), "first")
-    members = lookup(groups, first, "label").join(density, "message_id").select("message_id", "first_id", "cluster_size", "densest", "density")
-    return members, cells
+    members = lookup(groups, first, "label").join(density, "message_id").select(F.col("name").alias("message_id"), "first_id", "cluster_size", "densest", "density")
+    return members, cells.join(names, "message_id").select(F.col("name").alias("message_id"), "cell", "members", "density")
 
 
 def describe(members: DataFrame, messages: DataFrame, k: int = 10, salts: int = 64) -> DataFrame:

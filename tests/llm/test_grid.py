@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from loomspark.llm import grid
 
 SLOTS = [[f"{a}{b}{end}" for a in ("ro", "mi", "ta", "ke", "lu", "fo", "ne") for b in ("ban", "dil", "gor", "pes", "vum")] for end in ("ish", "er")]
@@ -80,6 +82,36 @@ def test_short_texts(spark):
         assert {got.get(f"{g}{i}") for i in range(len(ts))} == {(f"{g}0", len(ts))}, g
 
 
+def test_long_texts(spark):
+    """Texts of 5,000 phrases, with and without signs, that share a need with short ones."""
+    rows, truth = corpus(12, 9)
+    rnd = random.Random(3)
+    filler = lambda end: end.join(f"w{rnd.randrange(10**9)} x{rnd.randrange(10**9)}" for _ in range(2_500))
+    need = next(t for i, t in rows if truth[i] == 4)
+    rows += [("long1", filler(", ") + ". " + need + ". " + filler(", ")), ("long2", filler(" ") + ". " + need)]
+    members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))
+    got = {r.message_id: r.first_id for r in members.collect()}
+    assert got["long1"] == got["long2"] == got[next(i for i, k in truth.items() if k == 4)] and len(set(got.values())) == 12
+
+
+def test_partners_as_by_counting(spark):
+    rnd = random.Random(9)
+    texts = [[[rnd.choice("abcdefg") for _ in range(rnd.randrange(0, 4))] for _ in range(rnd.randrange(0, 6))] for _ in range(300)]
+    df = spark.createDataFrame([(t, [(w, j) for j, c in enumerate(t) for w in c]) for t in texts], "clauses array<array<string>>, p array<struct<phrase: string, clause: int>>").repartition(3)
+    items, often = {"a": 1, "b": 1, "zz": 1}, {"a": 1, "c": 1, "d": 1}
+    want = {}
+    for t in texts:
+        for i in items:
+            at = next((j for j, c in enumerate(t) if i in c), None)
+            for w in often if at is not None else ():
+                beside = [j for j, c in enumerate(t) if w in c and j != at]
+                if beside:
+                    b, f = want.get((i, w), (0, 0))
+                    want[i, w] = (b + 1, f + any(abs(j - at) > 1 for j in beside))
+    found = df.mapInArrow(grid._count_partners(items, often), "item string, w string, both long, far long").groupBy("item", "w").agg(F.sum("both").alias("b"), F.sum("far").alias("f"))
+    assert {(r.item, r.w): (r.b, r.f) for r in found.collect()} == want
+
+
 def test_empty_blank_and_single(spark):
     for rows in ([], [("a", "one text alone")]):
         members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import strip_type
 from loomspark.operators import skew
-from loomspark.runtime import materialize
+from loomspark.runtime import discard, materialize
 
 LOCAL = "id string, parent string, top string, hops long, state string, link string"
 ROOT, OPEN = -1, -2
@@ -350,6 +350,28 @@ def descendants(with_paths: DataFrame) -> DataFrame:
     )
 
 
+def cycles(resolved: DataFrame, heavy_rows: int = 100_000) -> DataFrame:
+    """(id, parent, cycle, back): the nodes that lie on a cycle themselves, not those that hang off one.
+
+    `cycle` is the least id of the cycle; `back` marks the back edge, from this node to that one. Jumps of doubling length are
+    taken until the nodes they end at stay the same: those are the nodes on cycles, however long or deep they are.
+    """
+    nodes = materialize(resolved.filter("state = 'cycle'").select("id", "parent", F.col("top").alias("cycle")), "on-cycles")
+    jumps, n = nodes.select("id", F.col("parent").alias("jump")), None
+    while True:
+        ends = jumps.groupBy("jump").agg(F.count(F.lit(1)).alias("load"))
+        m = ends.count()
+        if m == n or not m:
+            break
+        n = m
+        further = jumps.select(F.col("id").alias("jump"), F.col("jump").alias("next")).join(ends, "jump")
+        longer = materialize(skew.lookup(jumps, further, "jump", heavy_rows=heavy_rows).select("id", F.col("next").alias("jump")), "jumps")
+        discard(jumps)
+        jumps = longer
+    on = jumps.select(F.col("jump").alias("id")).distinct()
+    return nodes.join(on, "id", "left_semi").select("id", "parent", "cycle", (F.col("parent") == F.col("cycle")).alias("back"))
+
+
 def message_forest(messages: DataFrame) -> DataFrame:
     """`resolve` for messages; thread ids, which may be wrong, only guide the placement."""
     hint = F.coalesce(F.nullif(strip_type(F.col("link_id")), F.lit("")), F.nullif(F.col("trunc_link_id"), F.lit("")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import bare_id
 from loomspark.operators import compaction, hierarchy, skew
 from loomspark.operators.delivery import SeenRegistry
-from loomspark.runtime import discard, materialize, scratch_path, table
+from loomspark.runtime import discard, filesystem, materialize, scratch_path, table
 
 
 WAVES = 3  # groups of consecutive batches that p4's queries take in one after the other
@@ -138,16 +138,26 @@ def compact_chain_files(spark: SparkSession, sf_dir: str, target: str) -> compac
     wanted = table(spark, sf_dir, "embedding_jobs").select(compaction.clean_path(F.col("input_path")).alias("path")).distinct()
     files = table(spark, sf_dir, "chain_files").select(compaction.clean_path(F.col("input_path")).alias("path"), "payload")
     records = compaction.parse_records(files.join(wanted, "path", "left_semi"))
-    return compaction.compact(records, target, ["id", "rev"], ["subreddit"], row_bytes="coalesce(length(body), 0) + 64")
+    return compaction.compact(records, target, ["id", "rev"], ["subreddit"])
 
 
-P6_SQL = {
-    "p6_found": r"""
+def p6_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from real small files: the payloads are written out, one file each, found and read again."""
+    base = scratch_path(spark, "small-files")
+    filesystem(spark, base)[0].mkdirs(filesystem(spark, base)[1](base))
+    rows = table(spark, sf_dir, "chain_files").filter("payload is not null").select(F.concat(F.lit(f"{base}/"), F.col("file_no") % 50, F.lit("/"), "file_no", F.lit(".jsonl")).alias("path"), "payload")
+    rows.mapInArrow(compaction.write_each, "path string").count()
+    target = scratch_path(spark, "compacted-files")
+    compaction.compact_files(spark, base, target, ["id", "rev"], ["subreddit"])
+    return spark.read.parquet(target).select(F.col("id").alias("record_id"), "rev")
+
+
+_RECORDS = r"""
         WITH l AS (SELECT unnest(regexp_split_to_array(replace(payload, chr(65279), ''), '\r\n|\n|\r')) AS line FROM chain_files),
         j AS (SELECT CASE WHEN json_valid(line) AND trim(line) LIKE '{%' THEN CAST(line AS JSON) END AS o FROM l)
         SELECT DISTINCT o->>'id' AS record_id, CAST(coalesce(o->>'rev', '0') AS INTEGER) AS rev
-        FROM j WHERE o IS NOT NULL AND coalesce(o->>'id', '') <> ''""",
-}
+        FROM j WHERE o IS NOT NULL AND coalesce(o->>'id', '') <> ''"""
+P6_SQL = {"p6_found": _RECORDS, "p6_from_files": _RECORDS}
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +179,11 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hierarchy.cycles(hierarchy.message_forest(table(spark, sf_dir, "all_messages")))
+    return found.groupBy(F.col("cycle").alias("cycle_id")).agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.when(F.col("back"), F.col("id"))).alias("back_edge_from"))
+
+
 _UP = r"""
         WITH RECURSIVE m AS (SELECT id, min(nullif(regexp_replace(trim(parent_id), '^[tT]\d_', ''), '')) AS parent
                              FROM all_messages WHERE id <> '' GROUP BY id),
@@ -188,6 +203,9 @@ P7_SQL = {
         SELECT id AS message_id, state AS chain_state,
           CASE WHEN state = 'cycle' THEN list_min(trail[list_position(trail, parent):]) ELSE cur END AS top_id,
           CASE WHEN state = 'cycle' THEN -1 ELSE hops END AS hops FROM e""",
+    "p7_cycles": _UP + """
+        SELECT list_min(trail) AS cycle_id, count(*) AS n_nodes, max(CASE WHEN m.parent = list_min(trail) THEN e.id END) AS back_edge_from
+        FROM e JOIN m USING (id) WHERE state = 'cycle' AND list_position(trail, e.parent) = 1 GROUP BY 1""",
     "p7_paths": _UP + """
         SELECT id AS message_id, CASE WHEN state <> 'cycle' THEN array_to_string(list_reverse(trail), '/') END AS path FROM e""",
     "p7_descendants": _UP + """,
@@ -198,7 +216,7 @@ P7_SQL = {
 
 QUERIES = {
     "p4_found": p4_found, "p4_jobs": p4_jobs, "p4_results": p4_results,
-    "p5_found": p5_found, "p5_timelines": p5_timelines, "p6_found": p6_found,
-    "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants,
+    "p5_found": p5_found, "p5_timelines": p5_timelines, "p6_found": p6_found, "p6_from_files": p6_from_files,
+    "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants, "p7_cycles": p7_cycles,
 }
 SQL = P4_SQL | P5_SQL | P6_SQL | P7_SQL

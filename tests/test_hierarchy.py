@@ -102,3 +102,15 @@ def test_walk(parents):
         assert (state == "cycle") == bool(loop[i])
         if state == "complete":
             assert (str(end[i]), steps[i]) == (top, hops)
+
+
+def test_nodes_on_cycles_and_back_edges(spark):
+    """A loop of its own, a loop of three with a long tail, a hub that hangs off a loop, and trees."""
+    rows = [("s", "s"), ("c", "a"), ("a", "b"), ("b", "c"), ("t0", "b"), ("r", None), ("r2", "r")]
+    rows += [(f"t{i + 1}", f"t{i}") for i in range(40)] + [(f"h{i}", "t40") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, parent string")
+    found = hierarchy.resolve(df, "id", F.col("parent"))
+    for heavy in (100_000, 5):
+        got = {(r.id, r.parent, r.cycle, r.back) for r in hierarchy.cycles(found, heavy).collect()}
+        assert got == {("s", "s", "s", True), ("a", "b", "a", False), ("b", "c", "a", False), ("c", "a", "a", True)}
+    assert hierarchy.cycles(found.filter("id like 'r%'")).count() == 0

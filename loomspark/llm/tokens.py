@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 RANK_FILE = os.environ.get("LOOMSPARK_RANK_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the published pattern that splits text before the merges of this vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Between a letter or digit and the white space after it a token always ends, whatever follows.
-SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
+# Between a letter or digit, of any script, and the white space after it a token always ends, whatever follows.
+SAFE = re.compile(r"(?<=[^\W_])(?=[ \n])")
 PIECE = 1 << 16
 
 

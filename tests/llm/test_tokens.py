@@ -43,3 +43,11 @@ def test_long_text():
     text = "word and 12 more\n" * 40_000
     assert len(tokens.pieces(text)) > 5
     assert tokens.encode(text) == tokens.encoder(tokens.RANK_FILE).encode_ordinary(text)
+
+
+def test_long_texts_of_any_script_are_cut():
+    for word in ("слово", "λέξη", "字词", "x²", "٣٤"):
+        text = (word + " и\n ещё, ") * 20_000
+        parts = tokens.pieces(text)
+        assert len(parts) >= len(text) // (tokens.PIECE + 100) and "".join(parts) == text
+        assert [i for p in parts for i in tokens.encoder(tokens.RANK_FILE).encode_ordinary(p)] == tokens.encoder(tokens.RANK_FILE).encode_ordinary(text)

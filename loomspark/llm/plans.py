@@ -50,7 +50,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = materialize(grid.distinct_messages(table(spark, sf_dir, "cluster_data")), "messages")
     members, _ = grid.cluster_texts(messages)
-    return grid.describe(materialize(members, "members"), messages)
+    return grid.describe(members, messages)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

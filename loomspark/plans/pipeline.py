@@ -581,6 +581,34 @@ def m9_dbscan(spark, sf_dir):
     return density.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1.10, 3)
 
 
+@query(f"WITH {_ONCE} SELECT id AS row_id, 'none' AS nlp_label, CAST(0 AS DOUBLE) AS nlp_score FROM once WHERE body <> ''")
+def m2_failed(spark, sf_dir):
+    """A model that fails on every batch leaves every text without a label."""
+
+    def failing(texts, labels):
+        raise RuntimeError("no model")
+
+    return inference.classify(_messages(spark, sf_dir, "body"), "id", "body", failing).withColumn("nlp_score", F.col("nlp_score").cast("double"))
+
+
+@query("""WITH v AS (SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS a, length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) + 1.0 AS b FROM documents)
+  SELECT doc_id, round(a / sqrt(a * a + b * b), 4) AS a, round(b / sqrt(a * a + b * b), 4) AS b FROM v""")
+def m5_embed(spark, sf_dir):
+    """Unit vectors of an encoder that counts characters."""
+    encoder = lambda texts, width: [[len(t), t.count("e") + 1] for t in texts]
+    e = inference.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", encoder, width=2)
+    return e.select("doc_id", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(n) for i, n in enumerate("ab")])
+
+
+@query("""SELECT c_custkey, CASE WHEN count(*) OVER w < 5 THEN -1 ELSE min(c_custkey) OVER w END AS least FROM customer WINDOW w AS (PARTITION BY c_nationkey)""")
+def m7_m8_hdbscan(spark, sf_dir):
+    """Customers at the place of their nation: a cluster for each nation of five or more."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lit("all").alias("g"), F.array(F.col("c_nationkey") * 10.0, F.lit(1.0)).alias("v"))
+    found = density.hdbscan(c, "g", "c_custkey", "v", method="eom")
+    least = found.groupBy("cluster_id").agg(F.min("c_custkey").alias("least"))
+    return found.join(least, "cluster_id").select("c_custkey", F.when(F.col("cluster_id") < 0, -1).otherwise(F.col("least")).alias("least"))
+
+
 @query()
 def m6_m7_hdbscan(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
@@ -796,6 +824,42 @@ def s8_x30_props(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
 
 
+@query("""SELECT doc_id, lang, n_chars FROM documents WHERE lang IS NOT NULL AND n_chars > 0""")
+def s17_k15_csv(spark, sf_dir):
+    """CSV part files merged to one and read again."""
+    base = scratch_path(spark, "csv")
+    docs = table(spark, sf_dir, "documents").filter("lang is not null and n_chars > 0").select("doc_id", "lang", "n_chars")
+    sinks.write_csv(docs.repartition(3), f"{base}/parts")
+    tables.merge_csv(spark, f"{base}/parts", f"{base}/merged")
+    return spark.read.option("header", "true").schema("doc_id long, lang string, n_chars long").csv(f"{base}/merged")
+
+
+@query("""SELECT cluster_id, cluster_size FROM opportunities WHERE avg_quality_score IS NOT NULL""")
+def k10_f17_ndjson(spark, sf_dir):
+    """Rows without an error written as JSON lines and read again."""
+    path = scratch_path(spark, "ndjson")
+    rows = table(spark, sf_dir, "opportunities").select("cluster_id", "cluster_size", F.when(F.col("avg_quality_score").isNull(), "failed").alias("error"))
+    sinks.write_ndjson(rows, path)
+    return spark.read.schema("cluster_id int, cluster_size long").json(path)
+
+
+@query(f"WITH {_ONCE} SELECT id AS row_id FROM once WHERE regexp_matches(body, '(?i)idea') AND NOT is_idea AND nlp_top_score IS NULL ORDER BY id LIMIT 10")
+def s16_peek(spark, sf_dir):
+    """The first jobs of a queue, which stay in it."""
+    from loomspark.streaming import queues
+
+    path = scratch_path(spark, "peeked")
+    m = _messages(spark, sf_dir, "body", "is_idea", "nlp_top_score").withColumn("cpu_filter_is_idea", X.any_phrase(F.col("body"), ["idea"], True))
+    queues.enqueue(m, path)
+    return queues.peek(spark, path).select("row_id")
+
+
+@query("""SELECT count(*) AS n_rows, 7 AS n_columns FROM documents""")
+def s18_inspect(spark, sf_dir):
+    seen = tables.inspect(table(spark, sf_dir, "documents"))
+    return spark.createDataFrame([(seen["rows"], seen["columns"])], "n_rows long, n_columns int")
+
+
 # ---- streaming ---------------------------------------------------------------------------------------
 @query(f"""WITH {_CLASS}, cand AS (SELECT id FROM once WHERE regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate') AND NOT is_idea AND nlp_top_score IS NULL)
   SELECT id, CASE WHEN b > a THEN 'idea' ELSE 'pain_point' END AS nlp_label FROM c JOIN cand USING (id)""")
@@ -859,3 +923,11 @@ def d8_d11_latest(spark, sf_dir):
     """The two latest orders of each customer, with the name: as comments with their user, or a digest."""
     newest = relations.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey", 2)
     return newest.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select("o_custkey", "o_orderkey", "place", "c_name")
+
+
+@query("""SELECT o_custkey AS user_id, o_orderkey % 20 AS plan_id FROM orders WHERE o_custkey < 100 AND o_orderkey % 20 <> 3 UNION SELECT c_custkey, 20 FROM customer WHERE c_custkey < 100""")
+def d6_attach(spark, sf_dir):
+    """A bridge table with rows added that may be there already, and others taken away."""
+    held = table(spark, sf_dir, "orders").filter("o_custkey < 100").select(F.col("o_custkey").cast("long").alias("user_id"), (F.col("o_orderkey") % 20).cast("long").alias("plan_id")).distinct()
+    new = table(spark, sf_dir, "customer").filter("c_custkey < 100").select(F.col("c_custkey").cast("long").alias("user_id"), F.lit(20).cast("long").alias("plan_id"))
+    return relations.detach(relations.attach(relations.attach(held, new), held), spark.createDataFrame([(3,)], "plan_id long"))

@@ -157,6 +157,12 @@ def drop_table(spark: SparkSession, path: str, confirm: bool = False) -> bool:
     return there
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV part files with a header; nested columns as JSON."""
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f.name) for f in df.schema]
+    df.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
+
+
 def write_ndjson(df: DataFrame, path: str, error: str = "error") -> None:
     """JSON lines of the rows without an error."""
     ok = df.filter(F.col(error).isNull()).drop(error) if error in df.columns else df

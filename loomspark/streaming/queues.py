@@ -46,12 +46,17 @@ def drain(query) -> None:
     query.stop()
 
 
-def consume(spark: SparkSession, queue: str, results: str, checkpoint: str, scorer=inference.keyword_scorer, files_per_batch: int = 100, schema: str = schemas.NLP_JOB):
+def consume(spark: SparkSession, queue: str, results: str, checkpoint: str, scorer=inference.keyword_scorer, files_per_batch: int = 100, schema: str = schemas.NLP_JOB, archive: str = ""):
     """Classify queued jobs into a results folder until the queue is empty; restarts go on where they ended.
 
+    With `archive`, a folder outside the queue, files that are done are moved there.
+
     `files_per_batch` is the back-pressure. Each micro-batch is written by Spark's exactly-once file sink.
     """
-    jobs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(queue)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    jobs = reader.parquet(queue)
     scored = inference.classify(jobs, "row_id", "text", scorer)
     return scored.writeStream.format("parquet").option("path", results).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

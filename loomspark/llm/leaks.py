@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.glyphs import skeleton
-from loomspark.runtime import materialize
+from loomspark.runtime import materialize, scratch_path
 
 WORD = re.compile(r"[^\W_]+")
 # Spaced seeds over RUN tokens: a 0 is a token that is ignored. Each spans RUN at most, and together they hit every run of
@@ -205,20 +207,22 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     are compared in their look-alike form, in lower case, words only. Items of fewer than RUN words,
     null and empty texts give no rows; repeated item rows count once per id and text.
 
-    Items are taken in blocks of at most `block_words` words, so what is sent to the tasks is
-    bounded; every block is one narrow pass over the corpus, without a shuffle.
+    Items are taken in blocks of about `block_words` words, whose indexes are stored in the shared folder. A task reads
+    its documents once, holds them as words, and goes through the blocks one by one, so it never has more than one block; the
+    corpus isn't shuffled.
     """
     shaped = items.select(F.col(item_id).alias("item_id"), skeleton(F.col("text")).alias("text"), F.length("text").alias("n")).filter("n > 0").distinct()
     blocks = materialize(shaped.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(_block_count(shaped, block_words)))), "items")
     corpus = docs.filter(F.col("text").isNotNull()).select(F.col(doc_id).alias("doc_id"), skeleton(F.col("text")).alias("text"))
-    out = None
+    base, paths = scratch_path(docs.sparkSession, "seed-indexes"), []
     for (block,) in blocks.select("block").distinct().orderBy("block").toLocalIterator():
         rows = [(r.item_id, r.text) for r in blocks.filter(F.col("block") == block).toLocalIterator()]
-        found = corpus.mapInArrow(_search(rows), "doc_id long, item_id long, item_words int, exact_words int, near_words int")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_words int, exact_words int, near_words int")
-    return out
+        paths.append(f"{base}/{block:06d}")
+        store, inner = fs.FileSystem.from_uri(paths[-1])
+        store.create_dir(inner.rpartition("/")[0])
+        with store.open_output_stream(inner, compression=None) as out:
+            pickle.dump(SeedIndex(rows), out, pickle.HIGHEST_PROTOCOL)
+    return corpus.mapInArrow(_search(paths), "doc_id long, item_id long, item_words int, exact_words int, near_words int")
 
 
 def _block_count(shaped: DataFrame, block_words: int) -> int:
@@ -226,18 +230,26 @@ def _block_count(shaped: DataFrame, block_words: int) -> int:
     return max(1, -(-chars // (4 * block_words)))
 
 
-def _search(rows: list[tuple[int, str]]):
-    index = SeedIndex(rows)
+def _search(paths: list[str]):
+    def load(path: str) -> SeedIndex:
+        store, inner = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(inner, compression=None) as file:
+            return pickle.load(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index = "", None
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found = list(index.search([words(t) for t in batch.column(1).to_pylist()]))  # many documents at once: few calls, long arrays
-            if found:
-                out = [(ids[d], index.ids[k], n, exact, near) for d, k, n, exact, near in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
-                    ["doc_id", "item_id", "item_words", "exact_words", "near_words"],
-                )
+            ids, docs = batch.column(0).to_pylist(), [words(t) for t in batch.column(1).to_pylist()]
+            for path in paths:
+                if path != held:
+                    index = None  # before the next is read
+                    held, index = path, load(path)
+                found = list(index.search(docs))
+                if found:
+                    out = [(ids[d], index.ids[k], n, exact, near) for d, k, n, exact, near in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
+                        ["doc_id", "item_id", "item_words", "exact_words", "near_words"],
+                    )
 
     return run

@@ -35,6 +35,8 @@ def _messages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return m.groupBy("id").agg(F.min(F.struct(*columns)).alias("r")).select("id", "r.*")
 
 
+_IDEAS = "|".join(messages.IDEA_WORDS)
+_EXCLUDED = "|".join(messages.EXCLUDED).replace("'", "''")
 _ONCE = "once AS (SELECT DISTINCT ON (id) * FROM all_messages WHERE id IS NOT NULL ORDER BY id, ingested_at)"
 
 
@@ -53,8 +55,8 @@ def x1_x3_x4_names(spark, sf_dir):
 @query(r"""SELECT id, ingested_at, length(body) AS n_chars,
   round((length(body) - length(replace(body, '!', ''))) / greatest(length(body), 1), 6) AS exclaim,
   round(len(regexp_extract_all(body, '\p{Lu}')) / greatest(length(body), 1), 6) AS caps,
-  regexp_matches(body, '\$\d+|[0-9]+%|\d+ (users|customers|months)') AS detail,
-  len(list_filter(regexp_split_to_array(body, '[\s\x{85}\p{Z}\x0b]+'), lambda w: w <> '')) AS n_words FROM all_messages WHERE body IS NOT NULL""")
+  regexp_matches(body, 'DETAIL') AS detail,
+  len(list_filter(regexp_split_to_array(body, '[\s\x{85}\p{Z}\x0b]+'), lambda w: w <> '')) AS n_words FROM all_messages WHERE body IS NOT NULL""".replace("DETAIL", messages.DETAIL))
 def x5_x8_text_measures(spark, sf_dir):
     b = F.col("body")
     return table(spark, sf_dir, "all_messages").filter(b.isNotNull()).select(
@@ -172,9 +174,9 @@ _NORMAL = f"""WITH {_ONCE}, n AS (SELECT id, coalesce(parent_id, '') = '' AS top
     CASE WHEN coalesce(parent_id, '') = '' THEN coalesce(body, '') || chr(10) ELSE coalesce(body, '') END AS body,
     CAST(coalesce(ups, 0) AS DOUBLE) AS ups, CAST(coalesce(downs, 0) AS DOUBLE) AS downs FROM once),
   k AS (SELECT * FROM n WHERE NOT contains(author, 'bot') AND NOT starts_with(author, 'm') AND ups * 0.8 + length(body) * 0.2 > 5
-    AND NOT regexp_matches(body, 'why doesn''t someone|wouldn''t it be cool if|in a perfect world|they should just|if I won the lottery|magical solution|cure for cancer|world peace|free .* for everyone')),
+    AND NOT regexp_matches(body, '{_EXCLUDED}')),
   f AS (SELECT *, lower(regexp_replace(substr(subreddit, 1, 2), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS sanitized_prefix,
-    regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate') AS flag FROM k)"""
+    regexp_matches(body, '(?i){_IDEAS}') AS flag FROM k)"""
 
 
 @query(_NORMAL + " SELECT id, link_id, parent_id, body, sanitized_prefix, flag AS cpu_filter_is_idea, false AS is_idea FROM f")
@@ -198,14 +200,14 @@ def s8_k1_flagship(spark, sf_dir):
 
 @query(f"""WITH {_ONCE}, q AS (SELECT id, CASE WHEN coalesce(body, '') = '' THEN 0 ELSE coalesce(ups, 0)
     * CASE WHEN (length(body) - length(replace(body, '!', ''))) / greatest(length(body), 1) > 0.05 OR len(regexp_extract_all(body, '\\p{{Lu}}')) / greatest(length(body), 1) > 0.3 THEN 0.5 ELSE 1 END
-    * CASE WHEN regexp_matches(body, '\\$\\d+|[0-9]+%|\\d+ (users|customers|months)') AND len(list_filter(regexp_split_to_array(body, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) > 100 THEN 1.5 ELSE 1 END END AS score FROM once)
+    * CASE WHEN regexp_matches(body, '{messages.DETAIL}') AND len(list_filter(regexp_split_to_array(body, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) > 100 THEN 1.5 ELSE 1 END END AS score FROM once)
   SELECT id, CAST(score AS DOUBLE) AS score FROM q WHERE score >= 1""")
 def f7_quality(spark, sf_dir):
     scored = _messages(spark, sf_dir, "body", "ups").select("id", messages.quality_score(F.col("body"), F.col("ups")).alias("score"))
     return scored.filter("score >= 1")
 
 
-@query(f"""WITH {_ONCE} SELECT id, body FROM once WHERE regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate')
+@query(f"""WITH {_ONCE} SELECT id, body FROM once WHERE regexp_matches(body, '(?i){_IDEAS}')
   AND NOT is_idea AND nlp_top_score IS NULL AND length(body) > 10""")
 def f11_f12_candidates(spark, sf_dir):
     m = _messages(spark, sf_dir, "body", "is_idea", "nlp_top_score").withColumn("cpu_filter_is_idea", X.any_phrase(F.col("body"), messages.IDEA_WORDS, True))
@@ -373,7 +375,7 @@ def a5_opportunities(spark, sf_dir):
 
 
 @query(rf"""WITH {_MEMBERS} SELECT cluster_id, CASE WHEN avg(length(body)) > 200 THEN 2 ELSE 0 END + CASE WHEN avg(CAST(coalesce(regexp_matches(body, '\d+'), false) AS INTEGER)) > 0.3 THEN 2 ELSE 0 END
-  + CASE WHEN avg(CAST(coalesce(regexp_matches(body, '(?i)(build|create|develop|solve|implement|design)'), false) AS INTEGER)) > 0.4 THEN 3 ELSE 0 END AS quality FROM mem GROUP BY 1""")
+  + CASE WHEN avg(CAST(coalesce(regexp_matches(body, '{rollups.ACTION}'), false) AS INTEGER)) > 0.4 THEN 3 ELSE 0 END AS quality FROM mem GROUP BY 1""")
 def a6_quality(spark, sf_dir):
     return rollups.cluster_quality(_members(spark, sf_dir), ["cluster_id"], "body")
 
@@ -861,7 +863,7 @@ def s18_inspect(spark, sf_dir):
 
 
 # ---- streaming ---------------------------------------------------------------------------------------
-@query(f"""WITH {_CLASS}, cand AS (SELECT id FROM once WHERE regexp_matches(body, '(?i)idea|solution|concept|opportunity|build|create|develop|imagine|what if|improve|new way|innovate') AND NOT is_idea AND nlp_top_score IS NULL)
+@query(f"""WITH {_CLASS}, cand AS (SELECT id FROM once WHERE regexp_matches(body, '(?i){_IDEAS}') AND NOT is_idea AND nlp_top_score IS NULL)
   SELECT id, CASE WHEN b > a THEN 'idea' ELSE 'pain_point' END AS nlp_label FROM c JOIN cand USING (id)""")
 def st1_st7_queue(spark, sf_dir):
     """Candidates enqueued under a brake, twice, through the classifier stream and the write-back stream: every id is handed on once."""

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import grid
@@ -22,16 +23,54 @@ def corpus(n_needs=30, per=9, seed=1):
     return rows, truth
 
 
-def test_planted_needs_are_found(spark):
-    rows, truth = corpus()
+SHORT = {
+    "hot": ["Where is my parcel?"] * 120, "odd": ["\U0001f44d \U0001f44d"] * 6,
+    "near": [f"{w} purple zebra unicycle rental downtown" for w in ("nice", "Cheap", "best", "any", "good", "first")] + ["purple zebra scooter rental downtown"],
+}
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    """Planted needs, one of which holds a third of all rows, short texts, and texts of 5,000 phrases, clustered together."""
+    rows, truth = corpus(40, 9)
+    big = [r for r in rows if truth[r[0]] == 0]
+    rows += [(f"x{i:04d}", big[i % len(big)][1]) for i in range(240)]
+    rows += [(f"{g}{i}", t) for g, ts in SHORT.items() for i, t in enumerate(ts)]
+    rnd = random.Random(3)
+    filler = lambda end: end.join(f"w{rnd.randrange(10**9)} x{rnd.randrange(10**9)}" for _ in range(2_500))
+    need = next(t for i, t in rows if truth.get(i) == 4)
+    rows += [("long1", filler(", ") + ". " + need + ". " + filler(", ")), ("long2", filler(" ") + ". " + need)]
     members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))
-    got = {r.message_id: r.first_id for r in members.collect()}
+    return truth, {r.message_id: (r.first_id, r.cluster_size) for r in members.collect()}
+
+
+def test_planted_needs_are_found(grouped):
+    truth, found = grouped
+    got = {i: f for i, (f, _) in found.items() if i in truth}
     by = {}
     for i, f in got.items():
         by.setdefault(f, set()).add(truth[i])
-    assert all(len(s) == 1 for s in by.values()) and len(by) == 30
-    assert len(got) >= 0.97 * len(rows)
-    assert all(f == min(i for i, g in got.items() if g == f) for f in by)
+    assert all(len(s) == 1 for s in by.values()) and len(by) == 40
+    assert len(got) >= 0.97 * len(truth)
+    assert all(f == min(i for i, (g, _) in found.items() if g == f) for f in by)
+
+
+def test_one_need_holds_a_third(grouped):
+    truth, found = grouped
+    assert len({found[f"x{i:04d}"] for i in range(240)} | {found[i] for i, need in truth.items() if need == 0}) == 1
+
+
+def test_short_texts(grouped):
+    """Copies of one sentence; others differ in a word or have no words."""
+    _, found = grouped
+    for g, ts in SHORT.items():
+        assert {found.get(f"{g}{i}") for i in range(len(ts))} == {(f"{g}0", len(ts))}, g
+
+
+def test_long_texts(grouped):
+    """With and without signs, they share a need with short ones."""
+    truth, found = grouped
+    assert found["long1"][0] == found["long2"][0] == found[next(i for i, k in truth.items() if k == 4)][0]
 
 
 def test_all_words_that_stand_for_each_other_are_joined(spark):
@@ -61,39 +100,6 @@ def test_renamed_phrases(spark):
     assert got == {("m", "dark auto", 1), ("m", "alone", 3), ("n", "auto", 0)}
 
 
-def test_one_need_holds_a_third(spark):
-    rows, truth = corpus(20, 9)
-    big = [r for r in rows if truth[r[0]] == 0]
-    rows += [(f"x{i:04d}", big[i % len(big)][1]) for i in range(90)]
-    members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))
-    got = {r.message_id: r.first_id for r in members.collect()}
-    assert len({got[f"x{i:04d}"] for i in range(90)} | {got[b[0]] for b in big}) == 1
-
-
-def test_short_texts(spark):
-    """Copies of one sentence hold a quarter of the rows; others differ in a word or have no words."""
-    rows, _ = corpus(60, 9)
-    groups = {"hot": ["Where is my parcel?"] * 200, "odd": ["\U0001f44d \U0001f44d"] * 6}
-    groups["near"] = [f"{w} purple zebra unicycle rental downtown" for w in ("nice", "Cheap", "best", "any", "good", "first")] + ["purple zebra scooter rental downtown"]
-    rows += [(f"{g}{i}", t) for g, ts in groups.items() for i, t in enumerate(ts)]
-    members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))
-    got = {r.message_id: (r.first_id, r.cluster_size) for r in members.collect()}
-    for g, ts in groups.items():
-        assert {got.get(f"{g}{i}") for i in range(len(ts))} == {(f"{g}0", len(ts))}, g
-
-
-def test_long_texts(spark):
-    """Texts of 5,000 phrases, with and without signs, that share a need with short ones."""
-    rows, truth = corpus(12, 9)
-    rnd = random.Random(3)
-    filler = lambda end: end.join(f"w{rnd.randrange(10**9)} x{rnd.randrange(10**9)}" for _ in range(2_500))
-    need = next(t for i, t in rows if truth[i] == 4)
-    rows += [("long1", filler(", ") + ". " + need + ". " + filler(", ")), ("long2", filler(" ") + ". " + need)]
-    members, _ = grid.cluster_texts(spark.createDataFrame(rows, "message_id string, text string"))
-    got = {r.message_id: r.first_id for r in members.collect()}
-    assert got["long1"] == got["long2"] == got[next(i for i, k in truth.items() if k == 4)] and len(set(got.values())) == 12
-
-
 def test_partners_as_by_counting(spark):
     rnd = random.Random(9)
     texts = [[[rnd.choice("abcdefg") for _ in range(rnd.randrange(0, 4))] for _ in range(rnd.randrange(0, 6))] for _ in range(300)]

@@ -58,7 +58,7 @@ def test_recall_with_many_leaves_and_split_leaves(spark, monkeypatch):
     monkeypatch.setattr(nb, "TASK_ROWS", 150)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, W))
-    rows = [(i, list(centres[i % 40] + 0.25 * rng.normal(size=W))) for i in range(4000)]
+    rows = [(i, list(centres[i % 40] + 0.25 * rng.normal(size=W))) for i in range(2000)]
     df = frame(spark, rows).cache()
     near = nb.nearest(df, width=W, k=10, leaf_rows=200)
     got = {}
@@ -67,8 +67,8 @@ def test_recall_with_many_leaves_and_split_leaves(spark, monkeypatch):
     want = {}
     for r in nb.exact(df, df.filter("vec_id % 100 = 0"), width=W, k=10, block=7).collect():
         want.setdefault(r.id, set()).add(r.neighbour)
-    assert len(want) == 40
-    assert sum(len(got[i] & want[i]) for i in want) / 400 >= 0.9
+    assert len(want) == 20
+    assert sum(len(got[i] & want[i]) for i in want) / 200 >= 0.9
 
 
 def recall(df, **kw):
@@ -89,15 +89,15 @@ def clustered(n, seed=5):
 def test_leaves_do_not_grow_with_the_table(spark):
     """Ten times the rows on the same small sample: more leaves, not larger ones, and the recall holds."""
     size = {}
-    for n in (2_000, 20_000):
+    for n in (800, 8_000):
         df = frame(spark, clustered(n)).cache()
         slim = df.selectExpr("vec_id as id", "embedding as v")
-        _, rows = nb._in_leaves(slim, n, 10, W, nb.TARGET, 300, 100)
+        _, rows = nb._in_leaves(slim, n, 10, W, nb.TARGET, 150, 60)
         held = [r["count"] for r in rows.filter("place = 0").groupBy("leaf").count().collect()]
         assert sum(held) == n
         size[n] = max(held)
-    assert size[20_000] <= 2 * 100 and len(held) >= 100
-    assert recall(df, sample_rows=300, leaf_rows=100) >= 0.9
+    assert size[8_000] <= 2 * 60 and len(held) >= 70
+    assert recall(df, sample_rows=150, leaf_rows=60) >= 0.9
 
 
 def test_the_sample_is_of_the_whole_table(spark):

@@ -12,21 +12,25 @@ from loomspark import schemas
 ACTION = r"(?i)(build|create|develop|solve|implement|design)"
 
 
-def cluster_rollup(members: DataFrame, keys: list[str], sort: str = "id") -> DataFrame:
-    """Texts, ids, votes and size per cluster; noise (-1) is left out, missing sums are 0.
+def cluster_rollup(members: DataFrame, keys: list[str], sort: str = "id", part_rows: int = 100_000) -> DataFrame:
+    """Texts, ids, votes and size per cluster, and `part`; noise (-1) is left out, missing sums are 0.
 
-    The lists are the feature here: they are what a cluster is handed on as. Their order is that of the id.
+    The lists are what a cluster is handed on as, in the order of the ids. A cluster of more than `part_rows` members has several
+    rows, parts 0, 1 and so on by the hash of the id, so that no list outgrows a row; its figures are those of each part.
     """
     text = schemas.first_column(members.columns, schemas.TEXT_COLUMNS)
     ups = "ups" if "ups" in members.columns else "score"
     rows = members.filter("cluster_id >= 0")
+    large = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts")).filter("_parts > 1")  # fewer than rows / part_rows
+    part = F.pmod(F.xxhash64(F.col(sort).cast("string")), F.coalesce("_parts", F.lit(1).cast("long"))).cast("int")
+    rows = rows.join(F.broadcast(large), keys, "left").withColumn("part", part)
     item = F.sort_array(F.collect_list(F.struct(F.col(sort).cast("string").alias("i"), F.col(text).alias("t"))))
     downs = F.coalesce(F.sum("downs"), F.lit(0)) if "downs" in members.columns else F.lit(0)
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys, "part").agg(
         item.alias("items"), F.coalesce(F.sum(ups), F.lit(0)).cast("long").alias("total_ups"), downs.cast("long").alias("total_downs"),
         F.count(F.lit(1)).alias("message_count"),
     ).select(
-        *keys, F.transform("items", lambda x: x["t"]).alias("texts"), F.transform("items", lambda x: x["i"]).alias("message_ids"),
+        *keys, "part", F.transform("items", lambda x: x["t"]).alias("texts"), F.transform("items", lambda x: x["i"]).alias("message_ids"),
         "total_ups", "total_downs", "message_count",
     )
 

@@ -32,10 +32,13 @@ class Index:
     spark: SparkSession
     path: str
     parts: int
+    id_type: str
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        # an index of no documents has no file to take the schema from
+        schema = f"term string, field string, id {self.id_type}, tf int, len int, part int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
     @property
     def fields(self) -> DataFrame:
@@ -60,13 +63,13 @@ def build_index(docs: DataFrame, path: str, id_col: str, fields: list[str], part
     # range partitioning spreads a frequent term over tasks
     ordered = placed.repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term")
     ordered.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{path}/postings")
-    return Index(spark, path, parts)
+    return Index(spark, path, parts, dict(docs.dtypes)[id_col])
 
 
 def open_index(docs: DataFrame, path: str, id_col: str, fields: list[str], parts: int = 64) -> Index:
     """The index at `path`, built there if it is missing."""
     if exists(docs.sparkSession, f"{path}/postings/_SUCCESS"):
-        return Index(docs.sparkSession, path, parts)
+        return Index(docs.sparkSession, path, parts, dict(docs.dtypes)[id_col])
     return build_index(docs, path, id_col, fields, parts)
 
 

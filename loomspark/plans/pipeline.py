@@ -144,7 +144,8 @@ def x22_softmax(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(p, F.lit(0)), 6).alias("first"), F.round(F.array_max(p), 6).alias("top"))
 
 
-@query("""SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + embedding[7]) / 2, 5) AS a, round((CAST(embedding[2] AS DOUBLE) + embedding[8]) / 2, 5) AS b FROM embeddings""")
+@query("""SELECT vec_id, round(CAST(CAST((CAST(embedding[1] AS DOUBLE) + embedding[7]) / 2 AS FLOAT) AS DOUBLE), 5) AS a,
+  round(CAST(CAST((CAST(embedding[2] AS DOUBLE) + embedding[8]) / 2 AS FLOAT) AS DOUBLE), 5) AS b FROM embeddings""")
 def x21_mean_pool(spark, sf_dir):
     """Three tokens of three numbers each, of which the second is masked."""
     e = F.col("embedding")
@@ -365,7 +366,7 @@ _MEMBERS = f"""{_ONCE}, piles AS (SELECT DISTINCT cluster_id, unnest(message_ids
 @query(f"""WITH {_MEMBERS} SELECT cluster_id, list(body ORDER BY id) FILTER (body IS NOT NULL OR body IS NULL) AS texts, list(id ORDER BY id) AS message_ids, CAST(coalesce(sum(ups), 0) AS BIGINT) AS total_ups,
   CAST(coalesce(sum(downs), 0) AS BIGINT) AS total_downs, count(*) AS message_count FROM mem WHERE cluster_id >= 0 GROUP BY 1""")
 def a4_a7_rollup(spark, sf_dir):
-    return rollups.cluster_rollup(_members(spark, sf_dir), ["cluster_id"])
+    return rollups.cluster_rollup(_members(spark, sf_dir), ["cluster_id"]).drop("part")  # no cluster is that large here
 
 
 @query(f"""WITH {_MEMBERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS r FROM mem WHERE cluster_id >= 0)
@@ -604,8 +605,14 @@ def m5_embed(spark, sf_dir):
 
 @query("""SELECT c_custkey, CASE WHEN count(*) OVER w < 5 THEN -1 ELSE min(c_custkey) OVER w END AS least FROM customer WINDOW w AS (PARTITION BY c_nationkey)""")
 def m7_m8_hdbscan(spark, sf_dir):
-    """Customers at the place of their nation: a cluster for each nation of five or more."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.lit("all").alias("g"), F.array(F.col("c_nationkey") * 10.0, F.lit(1.0)).alias("v"))
+    """Customers at the place of their nation: a cluster for each nation of five or more.
+
+    Nations of fewer lie each far from all others, ever farther out. Beside a cluster they would be counted to it, as points that
+    drop out of a cluster are, and two of them beside each other could make one.
+    """
+    few = F.count(F.lit(1)).over(Window.partitionBy("c_nationkey")) < 5
+    place = F.when(few, F.pow(F.lit(4.0), F.col("c_nationkey")) * 10_000.0).otherwise(F.col("c_nationkey") * 10.0)
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lit("all").alias("g"), F.array(place, F.lit(1.0)).alias("v"))
     found = density.hdbscan(c, "g", "c_custkey", "v", method="eom")
     least = found.groupBy("cluster_id").agg(F.min("c_custkey").alias("least"))
     return found.join(least, "cluster_id").select("c_custkey", F.when(F.col("cluster_id") < 0, -1).otherwise(F.col("least")).alias("least"))

@@ -54,6 +54,9 @@ def test_rollups(spark):
     opp = {r.cluster_id: r for r in rollups.opportunities(df, ["cluster_id"], first=1).collect()}
     assert opp[1].representative_texts == ["one"] and (opp[1].cluster_size, opp[1].avg_quality_score, opp[2].avg_quality_score) == (2, 3.0, 0.0)
     assert rollups.cluster_rollup(df.limit(0), ["cluster_id"]).count() == 0
+    many = spark.range(95).selectExpr("if(id < 90, 1, 2) as cluster_id", "cast(id as string) as id", "'t' as body", "1 as ups")
+    parts = rollups.cluster_rollup(many, ["cluster_id"], part_rows=20).collect()
+    assert len(parts) == 6 and max(len(r.texts) for r in parts) < 40 and sorted(i for r in parts for i in r.message_ids) == sorted(str(i) for i in range(95))
     assert tuple(rollups.cluster_stats(df).first()) == (2, 1)
     texts = spark.createDataFrame([(1, "build 3 " + "x" * 300), (1, "nothing"), (2, None)], "cluster_id int, body string")
     # mean length 157 (0), half with figures (2), half with action words (3)

@@ -124,6 +124,30 @@ def test_hdbscan_of_large_groups(spark):
     assert {k for k, v in whole.items() if v == -1} == {k for k, v in cut.items() if v == -1}
 
 
+@pytest.mark.parametrize("method", ["leaf", "eom"])
+def test_hdbscan_of_large_groups_with_copies(spark, method):
+    """Rows of equal vectors, also of 0 and -0, are one point with a weight; the clusters are those of the whole matrix."""
+    rng = np.random.default_rng(6)
+    places = np.vstack([rng.normal(c, 0.3, (30, 2)) for c in (0, 4)] + [rng.uniform(-3, 9, (15, 2)), [[20.0, 20.0], [0.0, 0.0]]])
+    times = [*rng.integers(1, 5, 75), 2, 9]
+    rows = [(i, [float(t) for t in v]) for i, v in enumerate(np.repeat(places, times, axis=0))] + [(1000, [-0.0, 0.0])]
+    df = spark.createDataFrame([("g", *r) for r in rows], "g string, id int, v array<double>")
+    whole = density.hdbscan_labels(np.array([v for _, v in rows]), 5, 3, method)
+    cut = {r.id: r.cluster_id for r in density.hdbscan(df, "g", "id", "v", together=50, block_rows=20, method=method).collect()}
+    assert len(cut) == len(rows) and len(set(whole)) >= 3
+    assert len({(int(a), cut[i]) for a, (i, _) in zip(whole, rows)}) == len(set(whole)) == len(set(cut.values()))
+    assert all((a < 0) == (cut[i] < 0) for a, (i, _) in zip(whole, rows))
+
+
+def test_hdbscan_compares_no_copies(spark, monkeypatch):
+    """40,000 rows at 25 places are 25 points."""
+    seen = []
+    monkeypatch.setattr(density, "_least_tree", lambda edges, real=density._least_tree: seen.append(edges.count()) or real(edges))
+    df = spark.range(40_000).selectExpr("'all' as g", "id", "array(cast(id % 25 as double) * 10, 1.0D) as v")
+    found = density.hdbscan(df, "g", "id", "v", method="eom")
+    assert found.selectExpr("id % 25 as place", "cluster_id").distinct().filter("cluster_id >= 0").count() == 25 and seen == [24]
+
+
 def test_inference(spark):
     best, score = inference.pick(np.array([[1.0, 1.0], [0.0, 3.0], [np.nan, 1.0]]))
     assert best.tolist() == [0, 1, 0] and score[2] == 0 and score[0] == pytest.approx(0.5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import math
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.runtime import materialize
+from loomspark.runtime import discard, materialize
 
 SAMPLE = 20_000  # vectors that a tree is fitted on, at most; also those of a leaf that is split further
 LEAF_ROWS = 4_000  # vectors in a leaf, on average: large leaves, as visits cost shuffle and comparing is cheap
@@ -24,6 +25,7 @@ LEVELS = 4  # times that leaves are split; enough for more rows than a long coun
 TARGET = 0.96  # recall that the number of leaves to visit is calibrated for
 PROBED = 400  # sampled vectors used for that
 TASK_ROWS = 100_000  # vectors of one side that are compared in one task
+COPIES = 4  # of every vector that are shuffled at a time
 KNOWN = 1 << 20  # digests of vectors that a task remembers to find equal ones
 
 
@@ -69,14 +71,26 @@ class Tree:
             self.children[me] = [self._grow(p, leaf_size, rng, p.mean(axis=0)) for p in parts]
         return me
 
+    def graft(self, leaf: int, other: Tree) -> None:
+        """Puts `other` in the place of a leaf; its first leaf gets the number of that leaf."""
+        at, offset = self.leaf_of.index(leaf), len(self.children) - 1
+        self.matrix = np.concatenate([self.matrix, other.matrix[1:]])
+        number = lambda n: -1 if n < 0 else leaf if n == 0 else self.leaves + n - 1
+        self.children[at], self.leaf_of[at] = [c + offset for c in other.children[0]], number(other.leaf_of[0])
+        self.children += [[c + offset for c in own] for own in other.children[1:]]
+        self.leaf_of += [number(n) for n in other.leaf_of[1:]]
+        self.leaves += other.leaves - 1
+
     def visit(self, rows: np.ndarray, count: int) -> np.ndarray:
         """The first `count` leaves of each row, best bin first: a queue of nodes by similarity."""
-        similar = rows @ self.matrix.T
         count = min(count, self.leaves)
         out = np.empty((len(rows), count), dtype=np.int32)
         children, leaf_of = self.children, self.leaf_of
+        step = max(1, (1 << 23) // len(children))
         for i in range(len(rows)):
-            row = similar[i]
+            if i % step == 0:
+                similar = rows[i : i + step] @ self.matrix.T
+            row = similar[i % step]
             queue, found = [(-2.0, 0)], 0
             while found < count:
                 node = heapq.heappop(queue)[1]
@@ -133,30 +147,57 @@ def nearest(
     target: float = TARGET,
     sample_rows: int = SAMPLE,
     leaf_rows: int = LEAF_ROWS,
+    least: float = -2.0,
 ) -> DataFrame:
-    """(id, neighbour, similarity, place): up to k most similar others of every usable vector, by cosine.
+    """(id, neighbour, similarity, place): up to k most similar others of every usable vector, by cosine, that are `least` similar or more.
 
     Vectors that are null, of another length, all zero or hold a null, NaN or infinite value have no rows and are
     no neighbours. Ties are broken by the smaller id. ids must be unique longs. Other columns are
     ignored. With fewer than k + 1 usable vectors all others come out.
 
-    A k-means tree is fitted on at most `sample_rows` vectors, drawn by the hash of their ids from the whole table, and
-    every vector is put into its nearest leaf. A leaf of more than twice `leaf_rows` vectors gets a tree of its own, fitted on a
-    sample of its vectors, and so on, so leaves don't grow with the table. A vector is compared, in 16-bit floats, with
-    all vectors of the leaves it visits; how many it visits is calibrated on the samples for `target` recall. Equal vectors
-    of one input partition are compared once and expanded at the end, so a large group of copies costs no comparisons
-    among themselves. Leaves with more than TASK_ROWS rows on a side are split over tasks and their results merged.
+    A k-means tree is fitted on at most `sample_rows` vectors, drawn by the hash of their ids from the whole table. A leaf of more
+    than twice `leaf_rows` vectors gets a tree of its own in the place of the leaf, fitted on a sample of its vectors, and so on, so leaves don't
+    grow with the table. Every vector is put into its nearest leaf and compared, in 16-bit floats, with all vectors of
+    the leaves it visits; these are as many as find `target` of the true neighbours, of `least` similarity, of PROBED vectors, which are searched for in the whole
+    table. Equal vectors of one input partition are compared once and expanded at the end, so a large group of copies costs no comparisons
+    among themselves. Leaves with more than TASK_ROWS rows on a side are split over tasks and their results merged. Vectors are
+    stored once; copies of them for the visits are shuffled for a part of the leaves at a time (COPIES per vector), so disk doesn't grow with the visits.
     """
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     total = vectors.count()  # from the footers; it only sets the sample's share and the size of leaves
-    placed, rows = _in_leaves(slim, total, k, width, target, sample_rows, leaf_rows)
+    placed, rows = _in_leaves(slim, total, k, width, target, sample_rows, leaf_rows, least)
     loads = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("place") == 0, 1)).alias("held"))
     heavy = loads.filter(f"asked > {TASK_ROWS} or held > {TASK_ROWS}").select(
         "leaf", F.ceil(F.col("asked") / TASK_ROWS).alias("nq"), F.greatest(F.ceil(F.col("held") / TASK_ROWS), F.lit(1)).alias("nb")
     )
     heavy = materialize(heavy, "heavy")
+    split_any = not heavy.isEmpty()
+    visits = rows.agg(F.max("place")).first()[0]
+    turns = max(1, -(-((visits or 0) + 1) // COPIES))
+    partial = None
+    for turn in range(turns):
+        own = rows if turns == 1 else rows.filter(F.pmod(F.xxhash64("leaf"), F.lit(turns)) == turn)
+        found = materialize(_compared(own, heavy if split_any else None, k, width, least), "compared")
+        partial = found if partial is None else partial.unionByName(found)
+        if turns > 1:  # the shuffled vectors go before those of the next turn come
+            del own, found
+            gc.collect()
+            vectors.sparkSession._jvm.System.gc()
+    pairs = F.transform(F.arrays_zip("others", "sims"), lambda p: F.struct((-p["sims"]).alias("far"), p["others"].alias("other")))
+    best = partial.groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
+    best = materialize(best, "best")  # read more than once below
+    copies = materialize(placed.filter("v is null").select("id", "node"), "copies")
+    if not copies.isEmpty():
+        best = _expand(best, copies, k)
+    return best.select(
+        F.col("node").alias("id"), F.posexplode("best").alias("place", "p")
+    ).select("id", F.col("p.other").alias("neighbour"), (-F.col("p.far")).alias("similarity"), (F.col("place") + 1).alias("place"))
+
+
+def _compared(rows: DataFrame, heavy: DataFrame | None, k: int, width: int, least: float) -> DataFrame:
+    """(node, others, sims) for every visit in `rows`, the best of each leaf, or of each part of a `heavy` one."""
     asked = rows.select("leaf", F.lit(False).alias("held"), "node", "v", "place")
-    if not heavy.isEmpty():
+    if heavy is not None:
         spread = rows.join(F.broadcast(heavy), "leaf", "left").fillna(1, ["nq", "nb"])  # fewer rows than TASK_ROWS goes into all
         part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -166,38 +207,59 @@ def nearest(
         keys = ["leaf", "q", "b"]
     else:
         grouped, keys = asked, ["leaf"]  # a vector in its own leaf is both asked and held
-    partial = grouped.groupBy(*keys).applyInArrow(_compare(k, width), "node long, others array<long>, sims array<float>")
-    pairs = F.transform(F.arrays_zip("others", "sims"), lambda p: F.struct((-p["sims"]).alias("far"), p["others"].alias("other")))
-    best = partial.groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
-    best = materialize(best, "best")  # read more than once below
-    copies = materialize(placed.filter("v is null").select("id", "node"), "copies")
-    if not copies.isEmpty():
-        best = _expand(best, copies, k)
-    return best.select(
-        F.col("node").alias("id"), F.posexplode("best").alias("place", "p")
-    ).select("id", F.col("p.other").alias("neighbour"), (-F.col("p.far")).alias("similarity"), (F.col("place") + 1).alias("place"))
+    return grouped.groupBy(*keys).applyInArrow(_compare(k, width, least), "node long, others array<long>, sims array<float>")
 
 
-def _in_leaves(slim: DataFrame, total: int, k: int, width: int, target: float, sample_rows: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+def _in_leaves(slim: DataFrame, total: int, k: int, width: int, target: float, sample_rows: int, leaf_rows: int, least: float = -2.0) -> tuple[DataFrame, DataFrame]:
     """(id, node, leaves, v) of all usable vectors, and (node, v, place, leaf) of every visit; place is 0 in the leaf that holds the vector."""
     sample = _draw(slim, total, sample_rows, width)
     tree = Tree(sample, math.ceil(leaf_rows * len(sample) / max(1, total)))
-    if total > 2 * leaf_rows * tree.leaves:
-        target = math.sqrt(target)  # leaves are split once more, which costs recall again
-    visits = calibrate(tree, sample, k, target)
-
+    if total > 2 * leaf_rows:
+        for _ in range(LEVELS):
+            if not _split_leaves(slim, tree, leaf_rows, sample_rows, width):
+                break
+    visits = _calibrate(slim, tree, sample[:: max(1, len(sample) // PROBED)], k, width, target, least)
     placed = materialize(
         slim.mapInArrow(_place(tree, visits, width), "id long, node long, leaves array<int>, v binary"), "placed"
     )
     rows = placed.filter("v is not null").select("node", "v", F.posexplode("leaves").alias("place", "leaf")).withColumn("leaf", F.col("leaf").cast("long"))
-    for _ in range(LEVELS):
-        cut = _split_leaves(rows, leaf_rows, sample_rows, k, width, target)
-        if cut is None:
-            break
-        rows = cut
     return placed, rows
 
 
+def _calibrate(slim: DataFrame, tree: Tree, asked: np.ndarray, k: int, width: int, target: float, least: float) -> int:
+    """Leaves to visit so that `target` of the true neighbours of the `asked` vectors, in the whole table and of `least` similarity, are found."""
+    if tree.leaves == 1 or not len(asked):
+        return tree.leaves
+    order = tree.visit(asked, tree.leaves)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(tree.leaves, dtype=order.dtype)[None, :].repeat(len(asked), 0), axis=1)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sims, ranks = np.full((len(asked), k + 1), -3, np.float32), np.zeros((len(asked), k + 1), np.int32)
+        for batch in batches:
+            _, unit = unit_rows(batch.column(1), width)
+            if not len(unit):
+                continue
+            similar = asked @ unit.T
+            n = min(k + 1, len(unit))
+            near = np.argpartition(-similar, n - 1, axis=1)[:, :n]
+            home, found = np.zeros(len(unit), np.int32), np.take_along_axis(similar, near, axis=1)
+            some = np.unique(near[(found >= least) & (found > sims[:, -1:])])
+            home[some] = tree.visit(unit[some], 1)[:, 0]
+            sims = np.concatenate([sims, found], axis=1)
+            ranks = np.concatenate([ranks, np.take_along_axis(rank, home[near], axis=1)], axis=1)
+            best = np.argsort(-sims, axis=1)[:, : k + 1]
+            sims, ranks = np.take_along_axis(sims, best, axis=1), np.take_along_axis(ranks, best, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), k + 1)), pa.array(sims.ravel()), pa.array(ranks.ravel())], ["i", "s", "r"])
+
+    pair = F.struct((-F.col("s")).alias("far"), "r")
+    best = slim.mapInArrow(search, "i long, s float, r int").filter(F.col("s") >= max(least, -2.0)).groupBy("i").agg(F.slice(F.sort_array(F.collect_list(pair)), 2, k).alias("best"))  # the first is itself
+    needed = sorted(r for row in best.select("best.r").collect() for r in row.r)  # at most k of each asked vector
+    if len(needed) < len(asked) // 10:  # too few to tell by
+        return calibrate(tree, asked, k, target)
+    return needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)] + 1
+
+
 def _draw(slim: DataFrame, total: int, size: int, width: int) -> np.ndarray:
     """`size` usable vectors at most, those of the least hashes of their ids, whatever the table's order."""
     span = 1 << 30
@@ -210,50 +272,38 @@ def _draw(slim: DataFrame, total: int, size: int, width: int) -> np.ndarray:
     return unit[order[:size]]
 
 
-def _split_leaves(rows: DataFrame, leaf_rows: int, sample_rows: int, k: int, width: int, target: float) -> DataFrame | None:
-    """`rows` with the leaves of too many vectors split by trees of their own; None if there is nothing to split."""
-    loads = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("place") == 0, 1)).alias("held"))
-    big = materialize(loads.filter(F.col("held") > 2 * leaf_rows).withColumn("salts", F.ceil(F.col("asked") / TASK_ROWS)), "big-leaves")
-    if big.isEmpty():
-        return None
+def _split_leaves(slim: DataFrame, tree: Tree, leaf_rows: int, sample_rows: int, width: int) -> bool:
+    """Puts trees of their own in the place of the leaves of `tree` with too many vectors; False if there are none that can be split."""
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, unit = unit_rows(batch.column(1), width)
+            if len(at):
+                leaf = tree.visit(unit, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(leaf)], ["id", "leaf"])
+
+    homes = materialize(slim.mapInArrow(home, "id long, leaf int"), "homes")
+    big = {r.leaf: r.held for r in homes.groupBy("leaf").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > 2 * leaf_rows).toLocalIterator()}  # fewer than leaves
+    if not big:
+        discard(homes)
+        return False
     span = 1 << 30
-    within = rows.filter("place = 0").join(big, "leaf").filter(
-        F.pmod(F.xxhash64("node"), F.lit(span)) < F.least(F.lit(span * LEAST_IN_LEAF / leaf_rows), span * sample_rows / F.col("held"))
-    )
+    share = F.create_map(*[F.lit(x) for leaf, held in big.items() for x in (leaf, float(min(span * LEAST_IN_LEAF / leaf_rows, span * sample_rows / held)))])
+    within = homes.filter(F.pmod(F.xxhash64("id"), F.lit(span)) < F.try_element_at(share, F.col("leaf")))
 
     def fit(table: pa.Table) -> pa.Table:
-        unit = _matrix(table.column("v"), width)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        tree = Tree(unit, LEAST_IN_LEAF)
-        kept = tree.leaves > 1
-        return pa.table({
-            "leaf": pa.array([table.column("leaf")[0].as_py()] if kept else [], pa.int64()),
-            "visits": pa.array([calibrate(tree, unit, k, target)] if kept else [], pa.int32()), "tree": pa.array([pickle.dumps(tree)] if kept else [], pa.binary()),
-        })
-
-    trees = within.select("leaf", "node", "v").groupBy("leaf").applyInArrow(fit, "leaf long, visits int, tree binary")
-    trees = materialize(trees.join(big.select("leaf", "salts"), "leaf"), "leaf-trees")
-    if trees.isEmpty():  # equal or nearly equal vectors, which no tree tells apart
-        return None
-
-    def route(part: pa.Table, chosen: pa.Table) -> pa.Table:
-        tree, visits = pickle.loads(chosen.column("tree")[0].as_py()), chosen.column("visits")[0].as_py()
-        if not part.num_rows:
-            return pa.table({"node": pa.array([], pa.int64()), "v": pa.array([], pa.binary()), "place": pa.array([], pa.int32()), "leaf": pa.array([], pa.int64())})
-        unit = _matrix(part.column("v"), width)
-        found = tree.visit(unit / np.linalg.norm(unit, axis=1, keepdims=True), visits)
-        n = found.shape[1]
-        again = np.repeat(np.arange(len(unit)), n)
-        place = part.column("place").to_numpy()[again] + np.tile(np.arange(n), len(unit))  # 0 only in the home of the home
-        leaf = part.column("leaf").to_numpy()[again] * 4096 + 1 + found.ravel()
-        return pa.table({"node": pa.array(part.column("node").to_numpy()[again]), "v": part.column("v").combine_chunks().take(pa.array(again)), "place": pa.array(place, pa.int32()), "leaf": pa.array(leaf, pa.int64())})
-
-    few = F.broadcast(trees.select("leaf", "salts"))  # one row per leaf that is split
-    whole = rows.join(few.select("leaf"), "leaf", "left_anti").select("node", "v", "place", F.col("leaf") * 4096)
-    split_rows = rows.join(few, "leaf").select("leaf", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), "node", "v", "place")
-    copies = trees.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "visits", "tree")
-    routed = split_rows.groupBy("leaf", "salt").cogroup(copies.groupBy("leaf", "salt")).applyInArrow(route, "node long, v binary, place int, leaf long")
-    return materialize(whole.toDF("node", "v", "place", "leaf").unionByName(routed), "routed")
+        _, unit = unit_rows(_one_array(table.column("v")), width)
+        own = Tree(unit, LEAST_IN_LEAF)
+        kept = own.leaves > 1  # equal or nearly equal vectors, which no tree tells apart
+        return pa.table({"leaf": pa.array([table.column("leaf")[0].as_py()] if kept else [], pa.int32()), "tree": pa.array([pickle.dumps(own)] if kept else [], pa.binary())})
+
+    grafts = slim.join(within, "id").select("leaf", "v").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary")
+    grown = False
+    for r in grafts.toLocalIterator():
+        tree.graft(r.leaf, pickle.loads(r.tree))
+        grown = True
+    discard(homes)
+    return grown
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -289,7 +339,7 @@ def _place(tree: Tree, visits: int, width: int):
     return run
 
 
-def _compare(k: int, width: int):
+def _compare(k: int, width: int, least: float = -2.0):
     def run(table: pa.Table) -> pa.Table:
         held = table.column("held").to_numpy()
         place = table.column("place").to_numpy()
@@ -311,11 +361,13 @@ def _compare(k: int, width: int):
                 mine = base_ids[own] == nodes[rows]
                 similar[np.flatnonzero(mine), own[mine]] = -3
                 n = min(k, len(base_ids))
-                if n < len(base_ids):
+                if least > -2:
+                    kth = np.full(len(rows), least, np.float32)
+                elif n < len(base_ids):
                     kth = np.partition(similar, len(base_ids) - n, axis=1)[:, len(base_ids) - n]
                 for i, r in enumerate(rows):
                     row = similar[i]
-                    if n < len(base_ids):
+                    if least > -2 or n < len(base_ids):
                         near = np.flatnonzero(row >= kth[i])
                         near = near[np.argsort(-row[near], kind="stable")][:n]
                     else:

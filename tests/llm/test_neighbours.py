@@ -119,3 +119,27 @@ def test_best_bin_first_visits_by_similarity():
     order = tree.visit(sample[:50], tree.leaves)
     assert tree.leaves > 20 and all(sorted(row) == list(range(tree.leaves)) for row in order.tolist())
     assert nb.calibrate(tree, sample, 10, 0.99) >= nb.calibrate(tree, sample, 10, 0.5)
+
+
+def test_only_similar_ones_need_few_visits(spark):
+    """Pairs in one wide cloud: their leaves are few, though ten neighbours lie in most leaves; none is lost, in turns or not."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2_000, W))
+    rows = [(2 * i + j, list(v + 0.15 * j * rng.normal(size=W))) for i, v in enumerate(base) for j in (0, 1)]
+    df = frame(spark, rows).cache()
+    slim = df.selectExpr("vec_id as id", "embedding as v")
+    visits = {least: nb._in_leaves(slim, 4_000, 10, W, 0.99, 600, 60, least)[1].groupBy().max("place").first()[0] + 1 for least in (-2.0, 0.99)}
+    assert 2 * visits[0.99] <= visits[-2.0]
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1)[:, None]
+    want = {(a, b) for a, b in np.argwhere(unit @ unit.T >= 0.99) if a < b}
+    got = {(min(r.id, r.neighbour), max(r.id, r.neighbour)) for r in nb.nearest(df, width=W, k=10, target=0.99, leaf_rows=60, sample_rows=600, least=0.99).collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_turns_give_the_same(spark, monkeypatch):
+    df = frame(spark, clustered(3_000)).cache()
+    run = lambda: {tuple(r) for r in nb.nearest(df, width=W, k=5, leaf_rows=60, sample_rows=400).select("id", "neighbour", "place").collect()}
+    monkeypatch.setattr(nb, "COPIES", 1_000)
+    once = run()
+    monkeypatch.setattr(nb, "COPIES", 2)
+    assert run() == once

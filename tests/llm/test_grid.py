@@ -135,3 +135,12 @@ def test_describe_takes_the_densest(spark):
     texts = members.selectExpr("message_id", "concat('text ', message_id) as text")
     row = grid.describe(members, texts, 3).collect()[0]
     assert (row.cluster_size, row.representative_texts) == (30, ["text m27", "text m20", "text m13"])
+
+
+def test_three_common_phrases_join_no_strangers(spark):
+    """Nine texts of four phrases that a hundredth of all texts have, each; a tenth text has three of these and another fourth."""
+    drawn = ", ".join(f"array(if(id < {10 - (s == 'd')}, '{s}0', '{s}' || pmod(xxhash64(id, '{s}'), 100)), '{s}s')" for s in "abcd")
+    texts = spark.range(40_000).selectExpr("concat('m', id) as message_id", f"array({drawn}) as clauses")
+    cells = grid._cells(texts, [], None, 40_000)
+    mates = cells.join(cells.filter("message_id = 'm0'").select("cell"), "cell").select("message_id").distinct()
+    assert {r.message_id for r in mates.collect()} == {f"m{i}" for i in range(9)}
